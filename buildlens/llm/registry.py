@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from buildlens.llm import minhash_dedup
+from buildlens.llm import lm_scoring, minhash_dedup, packing
 
-_MODULES = (minhash_dedup,)
+_MODULES = (minhash_dedup, packing, lm_scoring)
 
 
 def queries() -> dict:
