@@ -8,17 +8,42 @@ their expected share is taken out of the estimate.
 
 from __future__ import annotations
 
+import math
+from dataclasses import dataclass
+
 import numpy as np
 
 from buildlens.llm.textops import mix64, segment_reduce
 
-REGISTERS = 128
 MANTISSA = 10
-BAND_ROWS = 4  # 32 bands: a pair at 0.75 meets in none of them with probability 5e-6
+MOST = 256  # registers at most
+
+_seeds = np.random.Generator(np.random.PCG64(7)).integers(0, 2**63, 2 * MOST, dtype=np.uint64)
+_MUL = _seeds[:MOST] * np.uint64(2) + np.uint64(1)
+_XOR = _seeds[MOST:]
+
+
+def tuned_bands(rows: int, similarity: float, recall: float) -> int:
+    """Bands of so many rows with which a pair of that similarity meets with that probability."""
+    return math.ceil(math.log(1 - recall) / math.log(1 - similarity**rows))
+
+
+@dataclass(frozen=True)
+class Banding:
+    """Registers in bands, and the least estimate at which a pair is still compared in full."""
+
+    rows: int
+    bands: int
+    least: float
+
+    @property
+    def registers(self) -> int:
+        return self.rows * self.bands
 
-_seeds = np.random.Generator(np.random.PCG64(7)).integers(0, 2**63, 2 * REGISTERS, dtype=np.uint64)
-_MUL = _seeds[:REGISTERS] * np.uint64(2) + np.uint64(1)
-_XOR = _seeds[REGISTERS:]
+    @staticmethod
+    def tuned(rows: int, similarity: float, recall: float, deviations: float = 4.5) -> Banding:
+        bands = tuned_bands(rows, similarity, recall)
+        return Banding(rows, bands, similarity - deviations * math.sqrt(similarity * (1 - similarity) / (rows * bands)))
 
 
 def compress(least: np.ndarray) -> np.ndarray:
@@ -33,18 +58,18 @@ def compress(least: np.ndarray) -> np.ndarray:
     return ((64 - exponent).astype(np.uint16) << np.uint16(MANTISSA)) | mantissa.astype(np.uint16)
 
 
-def signatures(grams: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    """(sets, REGISTERS) uint16; an empty set has all registers 65535."""
+def signatures(grams: np.ndarray, rows: np.ndarray, registers: int) -> np.ndarray:
+    """(sets, registers) uint16; an empty set has all registers 65535."""
     n = len(rows) - 1
     full = np.uint64(2**64 - 1)
-    out = np.empty((n, REGISTERS), dtype=np.uint16)
+    out = np.empty((n, registers), dtype=np.uint16)
     # Blocks of about 2**15 shingles stay in the cache while all registers pass over them.
     cut = 0
     while cut < n:
         to = max(cut + 1, int(np.searchsorted(rows, rows[cut] + (1 << 15), side="right")) - 1)
         part, offs = grams[rows[cut] : rows[to]], rows[cut : to + 1] - rows[cut]
-        least = np.empty((REGISTERS, to - cut), dtype=np.uint64)
-        for k in range(REGISTERS):
+        least = np.empty((registers, to - cut), dtype=np.uint64)
+        for k in range(registers):
             v = (part ^ _XOR[k]) * _MUL[k]
             v ^= v >> np.uint64(32)
             v *= np.uint64(0x9E3779B97F4A7C15)
@@ -56,7 +81,7 @@ def signatures(grams: np.ndarray, rows: np.ndarray) -> np.ndarray:
     return out
 
 
-def band_keys(sig: np.ndarray, band_rows: int = BAND_ROWS) -> np.ndarray:
+def band_keys(sig: np.ndarray, band_rows: int) -> np.ndarray:
     """(sets, bands) int64 keys that differ between bands."""
     n, k = sig.shape
     bands = k // band_rows

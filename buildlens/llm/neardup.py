@@ -30,12 +30,12 @@ from buildlens.llm.textops import mix64, segment_reduce, shingle_sets, word_hash
 SHINGLE = 5
 #: similarity >= 75 / 100
 PERCENT = 75
-#: Four and a half standard deviations of a 128-register estimate below 0.75.
-ESTIMATE = 0.58
+#: Bands of four: a pair at 0.75 meets in none with probability 5e-6.
+DOCUMENTS = hmh.Banding.tuned(4, PERCENT / 100, 1 - 5e-6)
 #: Rows of a tile; a bucket of more rows is cut into blocks, and every pair of blocks is a tile.
 TILE = 1024
 #: Candidate keys are broadcast up to this number (about 50 bytes each), else shuffled.
-BROADCAST_KEYS = 1_000_000
+BROADCAST_KEYS = 250_000
 
 
 def _nodes_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -54,7 +54,7 @@ def _fingerprint_cells(prints: np.ndarray) -> pa.Array:
     return list_binary(np.ascontiguousarray(prints).ravel(), np.arange(n + 1) * 2)
 
 
-def sketch(df: DataFrame, keys: list[str], text: str) -> DataFrame:
+def sketch(df: DataFrame, keys: list[str], text: str, banding: hmh.Banding) -> DataFrame:
     """keys, n_shingles, node (fingerprint of the set), sig (registers) of every row."""
     bound_batches(df.sparkSession)
     df = df.select(*keys, F.col(text).cast("string").alias("__text"))
@@ -64,31 +64,37 @@ def sketch(df: DataFrame, keys: list[str], text: str) -> DataFrame:
         for batch in batches:
             for part in slices(batch, "__text"):
                 grams, offs, prints = _nodes_of(column(part, "__text"))
-                sig = hmh.signatures(grams, offs)
-                cells = list_binary(sig.ravel(), np.arange(len(sig) + 1) * hmh.REGISTERS)
+                sig = hmh.signatures(grams, offs, banding.registers)
+                cells = list_binary(sig.ravel(), np.arange(len(sig) + 1) * banding.registers)
                 yield pa.RecordBatch.from_arrays([column(part, k) for k in keys] + [pa.array(np.diff(offs), pa.int64()), _fingerprint_cells(prints), cells], names=[*keys, "n_shingles", "node", "sig"])
 
     return df.mapInArrow(run, schema)
 
 
-def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        sig, _ = binary_values(column(batch, "sig"), np.uint16)
-        keys = hmh.band_keys(sig.reshape(-1, hmh.REGISTERS))
-        n, b = keys.shape
-        ids = column(batch, "id").to_numpy()
-        yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.tile(np.arange(b, dtype=np.int32), n)), pa.array(np.repeat(ids, b))], names=["bucket", "band", "id"])
+def _bands(banding: hmh.Banding):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sig, _ = binary_values(column(batch, "sig"), np.uint16)
+            keys = hmh.band_keys(sig.reshape(-1, banding.registers), banding.rows)
+            n, b = keys.shape
+            ids = column(batch, "id").to_numpy()
+            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.tile(np.arange(b, dtype=np.int32), n)), pa.array(np.repeat(ids, b))], names=["bucket", "band", "id"])
 
+    return run
 
-def _estimates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        a, _ = binary_values(column(batch, "sig_a"), np.uint16)
-        b, _ = binary_values(column(batch, "sig_b"), np.uint16)
-        n = column(batch, "n_a").to_numpy()
-        m = column(batch, "n_b").to_numpy()
-        e = hmh.estimate(a.reshape(-1, hmh.REGISTERS), b.reshape(-1, hmh.REGISTERS), n, m) if len(n) else np.zeros(0)
-        ok = (e >= ESTIMATE) & (100 * np.minimum(n, m) >= PERCENT * np.maximum(n, m))
-        yield pa.RecordBatch.from_arrays([column(batch, "a").filter(pa.array(ok)), column(batch, "b").filter(pa.array(ok))], names=["a", "b"])
+
+def _estimates(banding: hmh.Banding):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, _ = binary_values(column(batch, "sig_a"), np.uint16)
+            b, _ = binary_values(column(batch, "sig_b"), np.uint16)
+            n = column(batch, "n_a").to_numpy()
+            m = column(batch, "n_b").to_numpy()
+            e = hmh.estimate(a.reshape(-1, banding.registers), b.reshape(-1, banding.registers), n, m) if len(n) else np.zeros(0)
+            ok = (e >= banding.least) & (100 * np.minimum(n, m) >= PERCENT * np.maximum(n, m))
+            yield pa.RecordBatch.from_arrays([column(batch, "a").filter(pa.array(ok)), column(batch, "b").filter(pa.array(ok))], names=["a", "b"])
+
+    return run
 
 
 def similar(common: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.ndarray:
@@ -119,34 +125,38 @@ def _across(t: pa.Table, s: int, e: int) -> np.ndarray:
     return side[:, None] != side[None, :]
 
 
-def _promising(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _promising(banding: hmh.Banding):
     """Rows of a tile that may be similar to a row of another component.
 
     A pair counts only in the first band that it shares, so the many buckets of a
     group do not repeat each other's work.
     """
-    keys = ["bucket", "t1", "t2"]
-    for t in sorted_groups(batches, keys):
-        sig, _ = binary_values(t["sig"], np.uint16)
-        sig = sig.reshape(-1, hmh.REGISTERS)
-        n, comp, band = t["n_shingles"].to_numpy(), t["comp"].to_numpy(), t["band"].to_numpy()
-        keep = np.zeros(t.num_rows, dtype=bool)
-        cuts = boundaries(t, keys)
-        for s, e in zip(cuts[:-1], cuts[1:]):
-            if e - s < 2:
-                continue
-            allowed = _across(t, s, e)
-            for at in range(s, e, 64):
-                to = min(at + 64, e)
-                eq = sig[at:to, None, :] == sig[None, s:e, :]
-                shared = eq.reshape(to - at, e - s, -1, hmh.BAND_ROWS).all(axis=3)
-                first = shared.argmax(axis=2) == band[s]
-                share = eq.mean(axis=2)
-                x = hmh.accidental(n[at:to, None], n[None, s:e])
-                lo, hi = np.minimum(n[at:to, None], n[None, s:e]), np.maximum(n[at:to, None], n[None, s:e])
-                good = first & ((share - x) / (1 - x) >= ESTIMATE) & (comp[at:to, None] != comp[None, s:e]) & (100 * lo >= PERCENT * hi) & allowed[at - s : to - s]
-                keep[at:to] |= good.any(axis=1)
-        yield from t.filter(pa.array(keep)).select(["bucket", "t1", "t2", "side", "id", "comp"]).to_batches()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys = ["bucket", "t1", "t2"]
+        for t in sorted_groups(batches, keys):
+            sig, _ = binary_values(t["sig"], np.uint16)
+            sig = sig.reshape(-1, banding.registers)
+            n, comp, band = t["n_shingles"].to_numpy(), t["comp"].to_numpy(), t["band"].to_numpy()
+            keep = np.zeros(t.num_rows, dtype=bool)
+            cuts = boundaries(t, keys)
+            for s, e in zip(cuts[:-1], cuts[1:]):
+                if e - s < 2:
+                    continue
+                allowed = _across(t, s, e)
+                for at in range(s, e, 64):
+                    to = min(at + 64, e)
+                    eq = sig[at:to, None, :] == sig[None, s:e, :]
+                    shared = eq.reshape(to - at, e - s, -1, banding.rows).all(axis=3)
+                    first = shared.argmax(axis=2) == band[s]
+                    share = eq.mean(axis=2)
+                    x = hmh.accidental(n[at:to, None], n[None, s:e])
+                    lo, hi = np.minimum(n[at:to, None], n[None, s:e]), np.maximum(n[at:to, None], n[None, s:e])
+                    good = first & ((share - x) / (1 - x) >= banding.least) & (comp[at:to, None] != comp[None, s:e]) & (100 * lo >= PERCENT * hi) & allowed[at - s : to - s]
+                    keep[at:to] |= good.any(axis=1)
+            yield from t.filter(pa.array(keep)).select(["bucket", "t1", "t2", "side", "id", "comp"]).to_batches()
+
+    return run
 
 
 def intersections(values: np.ndarray, offs: np.ndarray) -> np.ndarray:
@@ -232,20 +242,20 @@ def _sets(df: DataFrame, wanted: DataFrame, keys: list[str], text: str) -> DataF
     return rows.mapInArrow(run, "id bigint, set binary").dropDuplicates(["id"])
 
 
-def link(df: DataFrame, keys: list[str], text: str) -> DataFrame:
+def link(df: DataFrame, keys: list[str], text: str, banding: hmh.Banding = DOCUMENTS) -> DataFrame:
     """keys, n_shingles, node and comp of every row of `df`.
 
     comp is equal exactly for rows whose texts are joined by links; rows without a
     shingle have a comp of null.  The keys should tell rows with different texts apart;
     equal keys with different texts are still handled as separate nodes.
     """
-    drawn = checkpoint(sketch(df, keys, text))
+    drawn = checkpoint(sketch(df, keys, text, banding))
     whole = drawn.where("n_shingles > 0")
     pick = F.max(F.struct(*keys)).alias("__key")
     nodes = whole.groupBy("node").agg(F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig"), pick)
     nodes = checkpoint(nodes.withColumn("id", F.monotonically_increasing_id()))
 
-    bands = nodes.select("id", "sig").mapInArrow(_bands, "bucket bigint, band int, id bigint")
+    bands = nodes.select("id", "sig").mapInArrow(_bands(banding), "bucket bigint, band int, id bigint")
     led = bands.groupBy("bucket").agg(F.min("id").alias("lead"), F.max("id").alias("last")).where("lead < last").select("bucket", "lead")
     met = checkpoint(bands.join(led, "bucket"))
 
@@ -253,7 +263,7 @@ def link(df: DataFrame, keys: list[str], text: str) -> DataFrame:
     one = sig.select(F.col("id").alias("a"), F.col("n_shingles").alias("n_a"), F.col("sig").alias("sig_a"))
     two = sig.select(F.col("id").alias("b"), F.col("n_shingles").alias("n_b"), F.col("sig").alias("sig_b"))
     star = met.where("id <> lead").select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct()
-    star = checkpoint(star.join(one, "a").join(two, "b").mapInArrow(_estimates, "a bigint, b bigint"))
+    star = checkpoint(star.join(one, "a").join(two, "b").mapInArrow(_estimates(banding), "a bigint, b bigint"))
 
     wanted = nodes.join(met.select("id").distinct(), "id", "left_semi").select("id", "node", *[F.col(f"__key.{k}").alias(k) for k in keys])
     sets = checkpoint(_sets(df, wanted, keys, text))
@@ -269,7 +279,7 @@ def link(df: DataFrame, keys: list[str], text: str) -> DataFrame:
     tiles = tiles.select("bucket", "band", "id", "comp", F.least("blk", "other").alias("t1"), F.greatest("blk", "other").alias("t2"), F.col("blk").alias("side"))
     order = ["bucket", "t1", "t2", "id"]
     near = tiles.join(sig, "id").repartition("bucket", "t1", "t2").sortWithinPartitions(*order)
-    near = near.select("bucket", "band", "t1", "t2", "side", "id", "comp", "n_shingles", "sig").mapInArrow(_promising, "bucket bigint, t1 int, t2 int, side int, id bigint, comp bigint")
+    near = near.select("bucket", "band", "t1", "t2", "side", "id", "comp", "n_shingles", "sig").mapInArrow(_promising(banding), "bucket bigint, t1 int, t2 int, side int, id bigint, comp bigint")
     more = checkpoint(near).join(sets, "id").repartition("bucket", "t1", "t2").sortWithinPartitions(*order)
     more = checkpoint(more.select("bucket", "t1", "t2", "side", "id", "comp", "set").mapInArrow(_tile_links, "a bigint, b bigint"))
 
