@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from buildlens.llm import decontaminate, line_crf, lm_scoring, minhash_dedup, packing, quality_gam, substring_dedup
+from buildlens.llm import decontaminate, line_crf, lm_scoring, minhash_dedup, packing, pii, quality_gam, substring_dedup
 
-_MODULES = (decontaminate, quality_gam, minhash_dedup, line_crf, substring_dedup, packing, lm_scoring)
+_MODULES = (decontaminate, quality_gam, minhash_dedup, line_crf, substring_dedup, pii, packing, lm_scoring)
 
 
 def queries() -> dict:
