@@ -126,8 +126,18 @@ class Encoder:
         maybe = np.flatnonzero(lead[offsets[1:]] > lead[offsets[:-1]])
         return np.array([i for i in maybe if _ODD_SPACE.search(texts[int(i)].as_py())], dtype=np.int64)
 
-    def decode(self, ids) -> str:
-        return self.bpe.decode(list(map(int, ids)))
+    def decode(self, ids: np.ndarray, offsets: np.ndarray) -> pa.Array:
+        """The texts of consecutive runs of ids."""
+        if not hasattr(self, "vocabulary"):
+            tokens = sorted(self.ranks, key=self.ranks.get)
+            self.vocabulary = np.frombuffer(b"".join(tokens), np.uint8)
+            self.token_start = np.zeros(len(self.token_bytes), np.int64)
+            self.token_start[[self.ranks[t] for t in tokens]] = np.cumsum([0, *map(len, tokens)])[:-1]
+        size = self.token_bytes[ids]
+        done = np.concatenate([[0], np.cumsum(size)])
+        raw = self.vocabulary[np.arange(done[-1]) + np.repeat(self.token_start[ids] - done[:-1], size)]
+        cells = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(offsets) - 1, [None, pa.py_buffer(done[offsets].astype(np.int64).tobytes()), pa.py_buffer(raw.tobytes())])
+        return cells.cast(pa.large_string()).cast(pa.string())
 
 
 @lru_cache(maxsize=2)
