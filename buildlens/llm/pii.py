@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from buildlens.llm.common import bound_batches, column, slices, table
+from buildlens.llm.gbt import Tree, boost
 from buildlens.llm.textops import utf8
 
 KINDS = ["email", "ip", "card", "phone", "secret", "iban", "ssn"]
@@ -236,78 +237,6 @@ def training_rows(n: int, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray
     return np.array(x), np.array(kinds), np.array(y)
 
 
-# --- boosted trees ---
-
-
-@dataclass
-class Tree:
-    """A binary tree in arrays; a leaf has feature -1."""
-
-    feature: np.ndarray
-    cut: np.ndarray
-    left: np.ndarray
-    right: np.ndarray
-    value: np.ndarray
-
-    def predict(self, x: np.ndarray) -> np.ndarray:
-        at = np.zeros(len(x), dtype=np.int64)
-        while (inner := self.feature[at] >= 0).any():
-            f = np.maximum(self.feature[at], 0)
-            go = np.where(x[np.arange(len(x)), f] <= self.cut[at], self.left[at], self.right[at])
-            at = np.where(inner, go, at)
-        return self.value[at]
-
-
-def grow(x: np.ndarray, g: np.ndarray, h: np.ndarray, cuts: list[np.ndarray], depth: int, ridge: float = 1.0, least: int = 5) -> Tree:
-    """A regression tree on gradients and Hessians; cuts has the candidate thresholds of each feature."""
-    f, c, lo, hi, v = [], [], [], [], []
-
-    def node(rows: np.ndarray, d: int) -> int:
-        k = len(f)
-        for a, z in ((f, -1), (c, 0.0), (lo, 0), (hi, 0), (v, -g[rows].sum() / (h[rows].sum() + ridge))):
-            a.append(z)
-        best = (1e-6, None)
-        if d < depth and len(rows) >= 2 * least:
-            gs, hs = g[rows].sum(), h[rows].sum()
-            for j, t in enumerate(cuts):
-                if not len(t):
-                    continue
-                b = np.searchsorted(t, x[rows, j], side="left")  # bin b: t[b-1] < x <= t[b]
-                gl, hl, nl = (np.cumsum(np.bincount(b, q, len(t) + 1))[:-1] for q in (g[rows], h[rows], np.ones(len(rows))))
-                gain = gl**2 / (hl + ridge) + (gs - gl) ** 2 / (hs - hl + ridge) - gs**2 / (hs + ridge)
-                gain[(nl < least) | (len(rows) - nl < least)] = 0
-                i = int(gain.argmax())
-                if gain[i] > best[0]:
-                    best = (float(gain[i]), (j, float(t[i])))
-        if best[1]:
-            j, t = best[1]
-            f[k], c[k] = j, t
-            go = x[rows, j] <= t
-            lo[k] = node(rows[go], d + 1)
-            hi[k] = node(rows[~go], d + 1)
-        return k
-
-    node(np.arange(len(x)), 0)
-    return Tree(np.array(f), np.array(c), np.array(lo), np.array(hi), np.array(v))
-
-
-def boost(x: np.ndarray, y: np.ndarray, trees: int, depth: int, rate: float = 0.2, weight: np.ndarray | None = None) -> tuple[float, list[Tree]]:
-    """Logistic gradient boosting: (first score, trees whose values have the rate in them)."""
-    weight = np.ones(len(y)) if weight is None else weight
-    share = (weight @ y + 1) / (weight.sum() + 2)
-    base = float(np.log(share / (1 - share)))
-    raw = np.full(len(y), base)
-    cuts = [np.unique(np.quantile(x[:, j], np.linspace(0, 1, 33))[:-1]) if len(x) else np.zeros(0) for j in range(x.shape[1])]
-    out = []
-    for _ in range(trees):
-        p = 1 / (1 + np.exp(-raw))
-        t = grow(x, weight * (p - y), weight * p * (1 - p), cuts, depth)
-        t.value = t.value * rate
-        raw += t.predict(x)
-        out.append(t)
-    return base, out
-
-
 @dataclass
 class Detector:
     base: float

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from buildlens.llm import chat_format, decontaminate, line_crf, lm_scoring, minhash_dedup, packing, pii, quality_gam, substring_dedup
+from buildlens.llm import chat_format, decontaminate, html_extract, line_crf, lm_scoring, minhash_dedup, packing, pii, quality_gam, substring_dedup
 
-_MODULES = (chat_format, decontaminate, quality_gam, minhash_dedup, line_crf, substring_dedup, pii, packing, lm_scoring)
+_MODULES = (chat_format, decontaminate, quality_gam, minhash_dedup, line_crf, substring_dedup, pii, packing, lm_scoring, html_extract)
 
 
 def queries() -> dict:
