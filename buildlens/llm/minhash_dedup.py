@@ -29,10 +29,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
-    """The rows of `docs` but one a component; a repeated row stays once."""
-    kept = near_duplicates(docs).where("kept").select("doc_id").distinct()
-    one = docs.dropDuplicates(["doc_id"])
-    return one.join(kept.withColumnRenamed("doc_id", "__id"), F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi").select(*docs.columns)
+    """The rows of `docs` but one a component; a row that repeats id and text stays once.
+
+    Rows that repeat an id with another text are separate members, kept each unless
+    their component has a lesser id.  Rows without an id cannot be told apart and stay.
+    """
+    found = near_duplicates(docs)
+    gone = found.where("doc_id is not null and not kept").select(F.col("doc_id").alias("__k")).distinct()
+    key = F.coalesce(F.col("doc_id").cast("bigint"), F.lit(2**63 - 1))
+    rows = docs.withColumn("__k", key).repartition("__k").dropDuplicates(["__k", "text"])
+    return rows.join(gone, "__k", "left_anti").select(*docs.columns)
 
 
 def op4_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
