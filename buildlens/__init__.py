@@ -1 +1 @@
-"""Build-profile analytics on Spark DataFrames."""
+"""Build-profile analytics on Spark: compiler traces, span forests, unit profiles, samples."""
