@@ -7,7 +7,7 @@ ASCII: that is a pandas function over the distinct texts of a batch.
 from __future__ import annotations
 
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column
@@ -25,6 +25,11 @@ def _plain(x: Column) -> Column:
     return F.when(text.contains("E"), exact).otherwise(F.regexp_replace(text, r"\.0$", ""))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), the value computed once however often body uses it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def fixed(x: Column, places: int, wide: int = 0) -> Column:
     """`x` (0 or more) with so many decimals, padded with zeros to `wide` characters.
 
@@ -32,15 +37,16 @@ def fixed(x: Column, places: int, wide: int = 0) -> Column:
     text, half up, which differs where that text ends in a 5 behind the last place.  There the
     product of x and a power of ten, in two parts without error, tells which side x is on.
     """
-    x = x.cast("double")
     scale = float(10 ** (places + 1))
-    k = F.round(x * scale)
-    high = x * 134217729.0 - (x * 134217729.0 - x)
-    rest = ((high * scale - x * scale) + (x - high) * scale) + (x * scale - k)
-    tie = (k % 10 == 5) & (k / scale == x)
-    down = tie & ((rest < 0) | ((rest == 0) & (F.floor(k / 10) % 2 == 0)))
-    text = F.format_string(f"%.{places}f", F.when(down, (k - 5) / scale).otherwise(x))
-    return F.when(F.length(text) < wide, F.lpad(text, wide, "0")).otherwise(text) if wide else text
+
+    def text(v: Column) -> Column:
+        k = F.round(v * scale)
+        high = v * 134217729.0 - (v * 134217729.0 - v)
+        rest = ((high * scale - v * scale) + (v - high) * scale) + (v * scale - k)
+        down = (k % 10 == 5) & (k / scale == v) & ((rest < 0) | ((rest == 0) & (F.floor(k / 10) % 2 == 0)))
+        return F.format_string(f"%0{wide}.{places}f" if wide else f"%.{places}f", F.when(down, (k - 5) / scale).otherwise(v))
+
+    return let(x.cast("double"), text)
 
 
 def duration_text(us: Column) -> Column:
@@ -51,21 +57,18 @@ def duration_text(us: Column) -> Column:
     """
     near = 0.005 * SECOND  # what two decimals round up
 
-    def carried(x: Column, unit: float) -> tuple[Column, Column]:
-        """Whole units and what is left, where a rest that rounds up to a unit is one."""
-        whole = F.floor(x / unit)
-        rest = x - whole * unit
-        up = rest >= unit - near
-        return (whole + up.cast("bigint")), F.when(up, 0.0).otherwise(rest)
-
-    days, after_days = carried(us, DAY)
-    day_hours, h_rest = carried(F.when(us >= DAY - near, after_days).otherwise(us), HOUR)
-    minutes, m_rest = carried(F.when(us >= HOUR - near, h_rest).otherwise(us), MINUTE)
-    clock = lambda h: F.concat(F.format_string("%s%02d:", h, minutes), fixed(m_rest / SECOND, 2, 5))
+    def split(x: Column, unit: float, head: Callable[[Column], Column], tail: Callable[[Column], Column]) -> Column:
+        """Whole units, and the rest; a rest that rounds up to a unit is one."""
+        return let(F.floor((x + near) / unit), lambda n: F.concat(head(n), tail(F.greatest(x - n * unit, F.lit(0.0)))))
+
+    text = lambda form: lambda n: F.format_string(form, n)
+    seconds = lambda x: fixed(x / SECOND, 2, 5)
+    minutes = lambda form: lambda x: split(x, MINUTE, text(form), seconds)
+    hours = lambda form: lambda x: split(x, HOUR, text(form), minutes("%02d:"))
     return (
-        F.when(us >= DAY - near, F.format_string("%dd %s", days, clock(F.format_string("%02d:", day_hours))))
-        .when(us >= HOUR - near, clock(F.format_string("%d:", day_hours)))
-        .when(us >= MINUTE - near, F.concat(F.format_string("%d:", minutes), fixed(m_rest / SECOND, 2, 5)))
+        F.when(us >= DAY - near, split(us, DAY, text("%dd "), hours("%02d:")))
+        .when(us >= HOUR - near, hours("%d:")(us))
+        .when(us >= MINUTE - near, minutes("%d:")(us))
         .when(us >= 0.999995 * SECOND, F.concat(fixed(us / SECOND, 2), F.lit("s")))
         .when(us >= MILLISECOND, F.concat(fixed(us / MILLISECOND, 2), F.lit("ms")))
         .when(us.isNotNull(), F.concat(_plain(us), F.lit("µs")))
