@@ -35,12 +35,13 @@ def paragraphs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
                 data, offs = utf8(column(part, "__text"))
                 words = split_words(column(part, "__text"), lower=False).start
                 breaks = np.flatnonzero(data == 10)
-                begin = np.sort(np.concatenate([offs[:-1], breaks + 1]))
-                row = np.searchsorted(offs[1:], begin, side="right")
-                ok = (row < len(offs) - 1) & (begin < len(data))
-                begin, row = begin[ok], row[ok]
-                end = np.append(begin[1:], len(data))
-                end = np.where((end > begin) & (data[np.maximum(end - 1, 0)] == 10), end - 1, end)
+                # a line begins with its row or behind a break of it; one behind a closing break is empty
+                row = np.concatenate([np.arange(len(offs) - 1), np.searchsorted(offs[1:], breaks, side="right")])
+                begin = np.concatenate([offs[:-1], breaks + 1])
+                order = np.lexsort((begin, row))
+                begin, row = begin[order], row[order]
+                last = np.append(row[1:] != row[:-1], True) if len(row) else np.zeros(0, bool)
+                end = np.where(last, offs[1:][row], np.append(begin[1:], 0) - 1)
                 number = np.arange(len(begin)) - np.searchsorted(row, row)
                 n = np.searchsorted(words, end) - np.searchsorted(words, begin)
                 keep = np.flatnonzero(n >= min_words)
