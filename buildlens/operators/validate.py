@@ -8,6 +8,8 @@ no harm; strict mode raises on any.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -69,11 +71,11 @@ def route(events: DataFrame) -> Column:
 
 def argument_error(arg_type: Column) -> Column:
     """Error of a span's args under its type (null: unknown activity), null if none."""
-    keys = F.expr("coalesce(map_keys(try_variant_get(e, '$.args', 'map<string,variant>')), array())")
+    keys = F.coalesce(F.map_keys("arg_kinds"), F.array())
     only_detail = F.size(F.filter(keys, lambda k: k != "detail")) == 0
     has = F.array_contains(keys, "detail")
     nothing = F.when(F.size(keys) > 0, "UnexpectedKeys")
-    detail = F.when(~only_detail, "UnexpectedKeys").when(~has, "MissingKey").when(~F.expr(is_string("$.args.detail")), "UnexpectedValue")
+    detail = F.when(~only_detail, "UnexpectedKeys").when(~has, "MissingKey").when(~is_string("detail", "arg_kinds"), "UnexpectedValue")
     optional = F.when(only_detail & ~has, None).otherwise(detail)
     inferred = F.when(F.size(keys) == 0, None).otherwise(detail)
     return F.when(arg_type.isNull(), inferred).when(arg_type == "Nothing", nothing).when(arg_type.isin("SymbolOpt", "UnnamedLoopOpt"), optional).otherwise(detail)
@@ -84,17 +86,17 @@ def event_errors(events: DataFrame) -> DataFrame:
     dim = F.broadcast(dim_activity(events.sparkSession))  # some 120 rows
     events = events.withColumn("route", route(events)).join(dim, (F.col("route") == "span") & (F.col("name") == F.col("activity")), "left").drop("activity")
     own = lambda: ((F.col("pid") == 1) & (F.col("tid") == 0)) | (F.col("tid") == F.col("pid"))
-    bare = F.expr(" and ".join(absent(f"$.{c}") for c in ("cat", "tts", "tdur", "sf", "stack", "esf", "estack")))
-    named = F.expr(is_string("$.name"))
-    meta_ok = F.expr(f"{is_string('$.cat')} and {absent('$.tts')}") & (F.size("cat") == 0) & (F.coalesce("ts", F.lit(-1.0)) == 0.0) & F.expr("size(map_keys(try_variant_get(e, '$.args', 'map<string,variant>'))) = 1")
-    keys = F.expr("map_keys(try_variant_get(e, '$.args', 'map<string,variant>'))")
+    bare = reduce(and_, (absent(c) for c in ("cat", "tts", "tdur", "sf", "stack", "esf", "estack")))
+    named = is_string("name")
+    meta_ok = is_string("cat") & absent("tts") & (F.size("cat") == 0) & (F.coalesce("ts", F.lit(-1.0)) == 0.0) & (F.size("arg_kinds") == 1)
+    keys = F.map_keys("arg_kinds")
     stat_args = (
         F.when(F.size(F.filter(keys, lambda k: ~k.isin("count", "avg ms"))) > 0, "UnexpectedKeys")
-        .when(F.array_contains(keys, "count") & ~F.expr(f"{kind('$.args.count')} = 'BIGINT' and try_variant_get(e, '$.args.count', 'bigint') >= 0"), "UnexpectedValue")
-        .when(F.array_contains(keys, "avg ms") & ~F.expr(is_number('$.args["avg ms"]')), "UnexpectedValue")
+        .when(F.array_contains(keys, "count") & ~F.coalesce((kind("count", "arg_kinds") == "BIGINT") & (F.col("count") >= 0), F.lit(False)), "UnexpectedValue")
+        .when(F.array_contains(keys, "avg ms") & ~is_number("avg ms", "arg_kinds"), "UnexpectedValue")
         .when(F.size(keys) < 2, "MissingKey")
     )
-    stat = F.when(~(named & bare & (F.col("tid") != 0) & (F.col("ts") == 0.0) & ~F.expr(absent("$.args"))), "UnexpectedInput").when(~F.col("name").startswith("Total "), "NoTotalPrefix").when(stat_args.isNotNull(), stat_args)
+    stat = F.when(~(named & bare & (F.col("tid") != 0) & (F.col("ts") == 0.0) & ~absent("args")), "UnexpectedInput").when(~F.col("name").startswith("Total "), "NoTotalPrefix").when(stat_args.isNotNull(), stat_args)
     span = F.when(~(named & bare & own()), "UnexpectedInput").otherwise(argument_error(F.col("catalogue_type")))
     by_pos = Window.partitionBy("trace_id").orderBy("raw_pos")
     earlier = by_pos.rowsBetween(Window.unboundedPreceding, -1)
@@ -135,7 +137,7 @@ def load(texts: DataFrame, strict: bool = False, arrays: bool = False) -> Loaded
     events = raw_events(docs.where("error is null"))
     checked = event_errors(events).select(
         "trace_id", "raw_pos", "route", "name", "pid", "ts", "dur", "catalogue_type", "malformed", "error", "error_detail",
-        F.expr("try_variant_get(e, '$.args.detail', 'string')").alias("detail"), F.expr("try_variant_get(e, '$.args.name', 'string')").alias("named"), F.expr("try_variant_get(e, '$.args.count', 'bigint')").alias("count"),
+        "detail", "named", "count",
     ).persist()
     malformed = checked.groupBy("trace_id").agg(F.max("malformed").alias("bad")).where("bad").select("trace_id", F.lit(None).cast("int").alias("raw_pos"), F.lit("CtfParseError").alias("error"), F.lit(None).cast("string").alias("detail"))
     per_trace = docs.where("error is null").select("trace_id", F.expr("try_variant_get(beginningOfTime, '$', 'double')").alias("beginning_of_time"))

@@ -18,26 +18,26 @@ def read_trace_texts(spark: SparkSession, *paths: str) -> DataFrame:
     return spark.read.text(list(paths), wholetext=True).select(F.col("_metadata.file_path").alias("trace_id"), F.col("value").alias("text"))
 
 
-def kind(field: str) -> str:
-    """SQL for the JSON type of a field of e: BIGINT, DECIMAL(..), DOUBLE, STRING, VOID, ...; null if absent."""
-    return f"schema_of_variant(try_variant_get(e, '{field}', 'variant'))"
+def kind(field: str, of: str = "kinds") -> Column:
+    """JSON type of a field of an event (or, with "arg_kinds", of its args): BIGINT, DECIMAL(..), DOUBLE, STRING, VOID, ...; null if absent."""
+    return F.try_element_at(F.col(of), F.lit(field))
 
 
-def absent(field: str) -> str:
-    return f"coalesce({kind(field)}, 'VOID') = 'VOID'"
+def absent(field: str, of: str = "kinds") -> Column:
+    return F.coalesce(kind(field, of), F.lit("VOID")) == "VOID"
 
 
-def is_int(field: str) -> str:
-    """A whole number of 32 bits."""
-    return f"coalesce({kind(field)} = 'BIGINT' and try_variant_get(e, '{field}', 'bigint') between -2147483648 and 2147483647, false)"
+def is_int(field: str, of: str = "kinds") -> Column:
+    """A whole number; the column of that name is null if it has more than 32 bits."""
+    return F.coalesce(kind(field, of) == "BIGINT", F.lit(False))
 
 
-def is_number(field: str) -> str:
-    return f"coalesce(regexp_like({kind(field)}, '^(BIGINT|DECIMAL|DOUBLE|FLOAT)'), false)"
+def is_number(field: str, of: str = "kinds") -> Column:
+    return F.coalesce(kind(field, of).rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT)"), F.lit(False))
 
 
-def is_string(field: str) -> str:
-    return f"coalesce({kind(field)} = 'STRING', false)"
+def is_string(field: str, of: str = "kinds") -> Column:
+    return F.coalesce(kind(field, of) == "STRING", F.lit(False))
 
 
 def documents(texts: DataFrame, arrays: bool = False) -> DataFrame:
@@ -53,33 +53,41 @@ def documents(texts: DataFrame, arrays: bool = False) -> DataFrame:
 
 
 def raw_events(docs: DataFrame) -> DataFrame:
-    """(trace_id, raw_pos, fields of the event, e): a row an event, fields null where absent or of another type.
+    """A row an event: trace_id, raw_pos, its fields (null where absent or of another type), kinds, arg_kinds, malformed.
 
-    malformed marks events that no reader of the format would take.
+    kinds and arg_kinds have the JSON types of the fields and of the fields of args, so
+    that checks look names up instead of walking the event again.  malformed marks events
+    that no reader of the format would take.
     """
     ev = docs.select("trace_id", F.posexplode("events").alias("raw_pos", "e"))
-    get = lambda name, kind_: F.expr(f"try_variant_get(e, '$.{name}', '{kind_}')").alias(name)
-    opt = lambda check, f: f"({absent(f)} or {check(f)})"
-    common = f"{opt(is_number, '$.tts')} and {opt(is_string, '$.cat')}"
-    duration = f"{is_int('$.pid')} and {is_int('$.tid')} and {is_number('$.ts')} and {opt(is_string, '$.name')} and ({absent('$.args')} or {kind('$.args')} like 'OBJECT%') and {common}"
-    complete = f"{is_number('$.dur')} and {opt(is_number, '$.tdur')}"
-    named = f"{is_string('$.args.name')}"
-    meta = f"""case try_variant_get(e, '$.name', 'string')
-        when 'process_name' then {is_int('$.pid')} and {opt(is_int, '$.tid')} and {named}
-        when 'process_labels' then {is_int('$.pid')} and {opt(is_int, '$.tid')} and {is_string('$.args.labels')}
-        when 'process_sort_index' then {is_int('$.pid')} and {opt(is_int, '$.tid')} and {is_int('$.args.sort_index')}
-        when 'thread_name' then {is_int('$.tid')} and {opt(is_int, '$.pid')} and {named}
-        when 'thread_sort_index' then {is_int('$.tid')} and {opt(is_int, '$.pid')} and {is_int('$.args.sort_index')}
-        else false end and {opt(is_number, '$.ts')} and {common}"""
-    well = f"""coalesce(case try_variant_get(e, '$.ph', 'string')
-        when 'X' then {duration} and {complete} when 'B' then {duration} when 'E' then {duration} when 'M' then {meta} else false end, false)"""
-    return ev.select(
-        "trace_id", "raw_pos", get("ph", "string"), get("pid", "int"), get("tid", "int"), get("ts", "double"), get("dur", "double"), get("tdur", "double"), get("tts", "double"), get("name", "string"),
-        F.expr("try_variant_get(e, '$.cat', 'string')").alias("raw_cat"), categories(F.expr("try_variant_get(e, '$.cat', 'string')")).alias("cat"),
-        F.expr("try_variant_get(e, '$.sf', 'string')").alias("sf"), F.expr("try_variant_get(e, '$.stack', 'array<string>')").alias("stack"),
-        F.expr("try_variant_get(e, '$.esf', 'string')").alias("esf"), F.expr("try_variant_get(e, '$.estack', 'array<string>')").alias("estack"),
-        F.expr("try_variant_get(e, '$.args', 'variant')").alias("args"), (~F.expr(well)).alias("malformed"), "e",
+    ev = ev.select("trace_id", "raw_pos", F.expr("try_variant_get(e, '$', 'map<string,variant>')").alias("m"))
+    ev = ev.withColumn("a", F.expr("try_variant_get(try_element_at(m, 'args'), '$', 'map<string,variant>')"))
+    types = lambda c: F.transform_values(c, lambda _, v: F.schema_of_variant(v))
+    get = lambda name, kind_, of="m", alias=None: F.expr(f"try_variant_get(try_element_at({of}, '{name}'), '$', '{kind_}')").alias(alias or name)
+    fields = [("ph", "string"), ("pid", "int"), ("tid", "int"), ("ts", "double"), ("dur", "double"), ("tdur", "double"), ("tts", "double"), ("name", "string"), ("sf", "string"), ("stack", "array<string>"), ("esf", "string"), ("estack", "array<string>")]
+    ev = ev.select(
+        "trace_id", "raw_pos", *[get(n, k) for n, k in fields], categories(get("cat", "string")).alias("cat"),
+        get("detail", "string", "a"), get("name", "string", "a", "named"), get("count", "bigint", "a"), types("m").alias("kinds"), types("a").alias("arg_kinds"),
     )
+    return ev.withColumn("malformed", malformed())
+
+
+def malformed() -> Column:
+    """Whether a required field lacks, or a field has a type that it cannot have."""
+    opt = lambda check, f: absent(f) | check(f)
+    whole = lambda f: is_int(f) & F.col(f).isNotNull()
+    common = opt(is_number, "tts") & opt(is_string, "cat")
+    duration = whole("pid") & whole("tid") & is_number("ts") & opt(is_string, "name") & (absent("args") | F.col("arg_kinds").isNotNull()) & common
+    own = (
+        F.when(F.col("name").isin("process_name", "thread_name"), is_string("name", "arg_kinds"))
+        .when(F.col("name") == "process_labels", is_string("labels", "arg_kinds"))
+        .when(F.col("name").isin("process_sort_index", "thread_sort_index"), is_int("sort_index", "arg_kinds"))
+        .otherwise(False)
+    )
+    needs, may = F.when(F.col("name").startswith("process"), whole("pid")).otherwise(whole("tid")), F.when(F.col("name").startswith("process"), absent("tid") | whole("tid")).otherwise(absent("pid") | whole("pid"))
+    meta = own & needs & may & opt(is_number, "ts") & common
+    well = F.when(F.col("ph") == "X", duration & is_number("dur") & opt(is_number, "tdur")).when(F.col("ph").isin("B", "E"), duration).when(F.col("ph") == "M", meta)
+    return ~F.coalesce(is_string("ph") & well, F.lit(False))
 
 
 def categories(cat: Column) -> Column:
