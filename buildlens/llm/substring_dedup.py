@@ -16,8 +16,8 @@ from buildlens.llm.textops import split_words, utf8
 
 #: Paragraphs with fewer words are too short to count as repeated passages.
 MIN_WORDS = 20
-#: Paragraphs are many: bands of three need the fewest registers for this recall.
-PARAGRAPHS = Banding.tuned(3, PERCENT / 100, 1 - 1e-5)
+#: Paragraphs are many, and unrelated ones hardly share a shingle: bands of two need the fewest rows for this recall.
+PARAGRAPHS = Banding.tuned(2, PERCENT / 100, 1 - 1e-5)
 
 
 def paragraphs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
