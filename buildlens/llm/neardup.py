@@ -102,10 +102,21 @@ def similar(common: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.ndarray:
     return 100 * common >= PERCENT * (n + m - common)
 
 
+def _sets_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(sorted shingles, offsets) of the texts, a bounded number of bytes at a time."""
+    values, sizes = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    for part in slices(pa.RecordBatch.from_arrays([texts], names=["t"]), "t"):
+        h, rows = word_hashes(part.column(0))
+        grams, offs = shingle_sets(h, rows, SHINGLE)
+        values.append(grams)
+        sizes.append(np.diff(offs))
+    return np.concatenate(values), np.concatenate([[0], np.cumsum(np.concatenate(sizes))]).astype(np.int64)
+
+
 def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        va, oa = binary_values(column(batch, "set_a"), np.uint64)
-        vb, ob = binary_values(column(batch, "set_b"), np.uint64)
+        va, oa = _sets_of(column(batch, "text_a"))
+        vb, ob = _sets_of(column(batch, "text_b"))
         ok = np.zeros(batch.num_rows, dtype=bool)
         for i in range(batch.num_rows):
             x, y = va[oa[i] : oa[i + 1]], vb[ob[i] : ob[i + 1]]
@@ -202,7 +213,7 @@ def spanning(links: np.ndarray, start: np.ndarray) -> list[tuple[int, int]]:
 def _tile_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     keys = ["bucket", "t1", "t2"]
     for t in sorted_groups(batches, keys):
-        values, offs = binary_values(t["set"], np.uint64)
+        values, offs = _sets_of(t["text"].combine_chunks() if isinstance(t["text"], pa.ChunkedArray) and t["text"].num_chunks == 1 else pa.concat_arrays(t["text"].chunks))
         n, ids, comp = np.diff(offs), t["id"].to_numpy(), t["comp"].to_numpy()
         a: list[int] = []
         b: list[int] = []
@@ -218,13 +229,14 @@ def _tile_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
 
-def _sets(df: DataFrame, wanted: DataFrame, keys: list[str], text: str) -> DataFrame:
-    """(id, set) of the wanted nodes, read again from one text of each.
+def _texts(df: DataFrame, wanted: DataFrame, keys: list[str], text: str) -> DataFrame:
+    """(id, text) of the wanted nodes, read again: a text compresses far better than its set of hashes.
 
     `wanted` has id, node and the keys of one row; rows of equal keys with another
     text are told apart by the fingerprint.
     """
-    small = wanted.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS
+    n = wanted.count()
+    small = n <= BROADCAST_KEYS
     right = wanted.select("id", F.col("node").alias("__node"), *[F.col(k).alias(f"__k_{k}") for k in keys])
     on: Column = F.lit(True)
     for k in keys:
@@ -234,12 +246,15 @@ def _sets(df: DataFrame, wanted: DataFrame, keys: list[str], text: str) -> DataF
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "__text"):
-                grams, offs, prints = _nodes_of(column(part, "__text"))
+                _, _, prints = _nodes_of(column(part, "__text"))
                 same = np.array([x == y for x, y in zip(_fingerprint_cells(prints).to_pylist(), column(part, "__node").to_pylist())], dtype=bool)
                 mask = pa.array(same)
-                yield pa.RecordBatch.from_arrays([column(part, "id").filter(mask), list_binary(grams, offs).filter(mask)], names=["id", "set"])
+                yield pa.RecordBatch.from_arrays([column(part, "id").filter(mask), column(part, "__text").filter(mask)], names=["id", "text"])
 
-    return rows.mapInArrow(run, "id bigint, set binary").dropDuplicates(["id"])
+    out = checkpoint(rows.mapInArrow(run, "id bigint, text string"))
+    if out.count() > n:  # rows that repeat keys and text
+        out = checkpoint(out.dropDuplicates(["id"]))
+    return out
 
 
 def link(df: DataFrame, keys: list[str], text: str, banding: hmh.Banding = DOCUMENTS) -> DataFrame:
@@ -266,10 +281,10 @@ def link(df: DataFrame, keys: list[str], text: str, banding: hmh.Banding = DOCUM
     star = checkpoint(star.join(one, "a").join(two, "b").mapInArrow(_estimates(banding), "a bigint, b bigint"))
 
     wanted = nodes.join(met.select("id").distinct(), "id", "left_semi").select("id", "node", *[F.col(f"__key.{k}").alias(k) for k in keys])
-    sets = checkpoint(_sets(df, wanted, keys, text))
-    set_a = sets.select(F.col("id").alias("a"), F.col("set").alias("set_a"))
-    set_b = sets.select(F.col("id").alias("b"), F.col("set").alias("set_b"))
-    edges = checkpoint(star.join(set_a, "a").join(set_b, "b").mapInArrow(_confirm, "a bigint, b bigint"))
+    texts = _texts(df, wanted, keys, text)
+    text_a = texts.select(F.col("id").alias("a"), F.col("text").alias("text_a"))
+    text_b = texts.select(F.col("id").alias("b"), F.col("text").alias("text_b"))
+    edges = checkpoint(star.join(text_a, "a").join(text_b, "b").mapInArrow(_confirm, "a bigint, b bigint"))
 
     comps = connected_components(edges)
     here = met.join(comps, "id", "left").select("bucket", "band", "id", F.coalesce("comp", "id").alias("comp"))
@@ -280,8 +295,8 @@ def link(df: DataFrame, keys: list[str], text: str, banding: hmh.Banding = DOCUM
     order = ["bucket", "t1", "t2", "id"]
     near = tiles.join(sig, "id").repartition("bucket", "t1", "t2").sortWithinPartitions(*order)
     near = near.select("bucket", "band", "t1", "t2", "side", "id", "comp", "n_shingles", "sig").mapInArrow(_promising(banding), "bucket bigint, t1 int, t2 int, side int, id bigint, comp bigint")
-    more = checkpoint(near).join(sets, "id").repartition("bucket", "t1", "t2").sortWithinPartitions(*order)
-    more = checkpoint(more.select("bucket", "t1", "t2", "side", "id", "comp", "set").mapInArrow(_tile_links, "a bigint, b bigint"))
+    more = checkpoint(near).join(texts, "id").repartition("bucket", "t1", "t2").sortWithinPartitions(*order)
+    more = checkpoint(more.select("bucket", "t1", "t2", "side", "id", "comp", "text").mapInArrow(_tile_links, "a bigint, b bigint"))
 
     # Components of components: the later links join earlier components, so only those are run again.
     label = comps.select("id", "comp")
