@@ -229,14 +229,14 @@ def _tile_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
 
-def _texts(df: DataFrame, wanted: DataFrame, keys: list[str], text: str) -> DataFrame:
+def _texts(df: DataFrame, wanted: DataFrame, keys: list[str], text: str, broadcast_keys: int) -> DataFrame:
     """(id, text) of the wanted nodes, read again: a text compresses far better than its set of hashes.
 
     `wanted` has id, node and the keys of one row; rows of equal keys with another
     text are told apart by the fingerprint.
     """
     n = wanted.count()
-    small = n <= BROADCAST_KEYS
+    small = n <= broadcast_keys
     right = wanted.select("id", F.col("node").alias("__node"), *[F.col(k).alias(f"__k_{k}") for k in keys])
     on: Column = F.lit(True)
     for k in keys:
@@ -257,7 +257,7 @@ def _texts(df: DataFrame, wanted: DataFrame, keys: list[str], text: str) -> Data
     return out
 
 
-def link(df: DataFrame, keys: list[str], text: str, banding: hmh.Banding = DOCUMENTS) -> DataFrame:
+def link(df: DataFrame, keys: list[str], text: str, banding: hmh.Banding = DOCUMENTS, broadcast_keys: int = BROADCAST_KEYS) -> DataFrame:
     """keys, n_shingles, node and comp of every row of `df`.
 
     comp is equal exactly for rows whose texts are joined by links; rows without a
@@ -281,7 +281,7 @@ def link(df: DataFrame, keys: list[str], text: str, banding: hmh.Banding = DOCUM
     star = checkpoint(star.join(one, "a").join(two, "b").mapInArrow(_estimates(banding), "a bigint, b bigint"))
 
     wanted = nodes.join(met.select("id").distinct(), "id", "left_semi").select("id", "node", *[F.col(f"__key.{k}").alias(k) for k in keys])
-    texts = _texts(df, wanted, keys, text)
+    texts = _texts(df, wanted, keys, text, broadcast_keys)
     text_a = texts.select(F.col("id").alias("a"), F.col("text").alias("text_a"))
     text_b = texts.select(F.col("id").alias("b"), F.col("text").alias("text_b"))
     edges = checkpoint(star.join(text_a, "a").join(text_b, "b").mapInArrow(_confirm, "a bigint, b bigint"))

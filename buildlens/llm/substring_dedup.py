@@ -18,6 +18,8 @@ from buildlens.llm.textops import split_words, utf8
 MIN_WORDS = 20
 #: Paragraphs are many, and unrelated ones hardly share a shingle: bands of two need the fewest rows for this recall.
 PARAGRAPHS = Banding.tuned(2, PERCENT / 100, 1 - 1e-5)
+#: Many paragraphs of a corpus meet others, so their texts are shuffled from the start; only few keys are broadcast.
+BROADCAST_KEYS = 10_000
 
 
 def paragraphs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
@@ -69,7 +71,7 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """
     parts = paragraphs(docs, min_words)
     keys = ["doc_id", "paragraph", "start_byte", "end_byte", "n_words"]
-    rows = link(parts, keys, "text", PARAGRAPHS).select(*keys, "comp")
+    rows = link(parts, keys, "text", PARAGRAPHS, BROADCAST_KEYS).select(*keys, "comp")
     first = rows.groupBy("comp").agg(F.min(F.struct("doc_id", "paragraph")).alias("first"), F.count("*").alias("members")).where("members > 1")
     out = rows.join(first, "comp")
     out = out.select(*keys, F.col("first.doc_id").alias("cluster_doc_id"), F.col("first.paragraph").alias("cluster_paragraph"))
