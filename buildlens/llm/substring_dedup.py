@@ -1,4 +1,9 @@
-"""Repeated passages: paragraphs whose shingle sets are nearly equal, within and across documents."""
+"""Repeated passages, within and across documents: near-equal paragraphs, and equal runs of words anywhere.
+
+Paragraphs are compared by their shingle sets.  Runs are found by winnowing: of every
+few consecutive grams of words the least hash is chosen, so equal runs of enough words
+choose an equal gram, wherever lines break round them.
+"""
 
 from __future__ import annotations
 
@@ -6,13 +11,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from buildlens.llm.common import bound_batches, column, slices, table
+from buildlens.llm.common import bound_batches, checkpoint, column, slices, table
 from buildlens.llm.hyperminhash import Banding
 from buildlens.llm.neardup import PERCENT, link
-from buildlens.llm.textops import split_words, utf8
+from buildlens.llm.textops import hash_ranges, ngram_hashes, split_words, utf8
 
 #: Paragraphs with fewer words are too short to count as repeated passages.
 MIN_WORDS = 20
@@ -20,6 +25,8 @@ MIN_WORDS = 20
 PARAGRAPHS = Banding.tuned(2, PERCENT / 100, 1 - 1e-5)
 #: Many paragraphs of a corpus meet others, so their texts are shuffled from the start; only few keys are broadcast.
 BROADCAST_KEYS = 10_000
+#: Consecutive grams of `min_words` words of which one is chosen: equal runs of min_words + WINDOW - 1 = 50 words share one.
+WINDOW = 31
 
 
 def paragraphs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
@@ -58,9 +65,94 @@ def paragraphs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     return docs.mapInArrow(run, "doc_id bigint, paragraph int, start_byte bigint, end_byte bigint, n_words bigint, text string")
 
 
+def winnowed(grams: np.ndarray, rows: np.ndarray, window: int = WINDOW) -> np.ndarray:
+    """Places of the least gram, the first of equals, of every window within a row."""
+    n = len(grams) - window + 1
+    if n <= 0:
+        return np.zeros(0, np.int64)
+    at, width = np.arange(len(grams)), 1
+    while width < window:
+        step = min(width, window - width)
+        left, right = at[:-step], at[step:]
+        at, width = np.where(grams[right] < grams[left], right, left), width + step
+    row = np.repeat(np.arange(len(rows) - 1), np.diff(rows))
+    return np.unique(at[row[:n] == row[window - 1 :]])
+
+
+def _row_key():
+    """Tells rows with equal ids and different texts apart."""
+    return F.xxhash64(F.col("doc_id").cast("bigint"), F.col("text").cast("string"))
+
+
+def chosen_grams(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """doc_id, row, word, start_byte, end_byte, gram: the winnowed grams of min_words words of whole texts."""
+    bound_batches(docs.sparkSession)
+    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), _row_key().alias("row"), F.col("text").cast("string").alias("__text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "__text"):
+                _, offs = utf8(column(part, "__text"))
+                w = split_words(column(part, "__text"))
+                grams, at = ngram_hashes(hash_ranges(w.data, w.start, w.end), w.rows, min_words)
+                pick = winnowed(grams, at)
+                # in a run of one repeated word all grams are equal: overlapping ones are enough
+                same = np.zeros(len(grams), bool)
+                same[1:] = grams[1:] == grams[:-1]
+                since = np.arange(len(grams)) - np.maximum.accumulate(np.where(same, 0, np.arange(len(grams))))
+                pick = pick[since[pick] % max(min_words // 2, 1) == 0]
+                row = np.searchsorted(at, pick, side="right") - 1
+                word = pick - at[row]
+                first = w.rows[row] + word
+                base = offs[row]
+                yield pa.RecordBatch.from_arrays(
+                    [column(part, "doc_id").take(pa.array(row)), column(part, "row").take(pa.array(row)), pa.array(word), pa.array(w.start[first] - base), pa.array(w.end[first + min_words - 1] - base), pa.array(grams[pick].view(np.int64))],
+                    names=["doc_id", "row", "word", "start_byte", "end_byte", "gram"],
+                )
+
+    return docs.mapInArrow(run, "doc_id bigint, row bigint, word bigint, start_byte bigint, end_byte bigint, gram bigint")
+
+
+def _linked_lines(docs: DataFrame, min_words: int) -> DataFrame:
+    parts = paragraphs(docs, min_words)
+    keys = ["doc_id", "paragraph", "start_byte", "end_byte", "n_words"]
+    rows = link(parts, keys, "text", PARAGRAPHS, BROADCAST_KEYS).select(*keys, "comp")
+    first = rows.groupBy("comp").agg(F.min(F.struct("doc_id", "paragraph")).alias("first"), F.count("*").alias("members")).where("members > 1")
+    out = rows.join(first, "comp")
+    out = out.select(*keys, F.col("first.doc_id").alias("cluster_doc_id"), F.col("first.paragraph").alias("cluster_paragraph"))
+    same = F.col("doc_id").eqNullSafe(F.col("cluster_doc_id")) & (F.col("paragraph") == F.col("cluster_paragraph"))
+    return checkpoint(out.withColumn("removed", ~same))
+
+
+def _equal_runs(docs: DataFrame, lines: DataFrame, min_words: int) -> DataFrame:
+    """Runs of equal words that no single one of the linked `lines` holds: their columns, and row.
+
+    The first holder of a gram keeps it.  Grams of a text that lie alike to those of
+    one holder, a window apart at most, are one run, as are overlapping ones.
+    """
+    grams = chosen_grams(docs, min_words)
+    place = F.struct("doc_id", "row", "word")
+    held = grams.groupBy("gram").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first < last").select("gram", "first")
+    shared = grams.join(held, "gram").select("doc_id", "row", "word", "start_byte", "end_byte", F.col("first.doc_id").alias("cluster_doc_id"), F.col("first.row").alias("of"), (F.col("word") - F.col("first.word")).alias("shift"))
+    shared = shared.withColumn("removed", (F.col("of") != F.col("row")) | (F.col("shift") != 0))
+    order = Window.partitionBy("row").orderBy("word")
+    before = lambda c: F.lag(c).over(order)
+    step = F.col("word") - before("word")
+    on = (F.col("of") == before("of")) & (((F.col("shift") == before("shift")) & (step <= WINDOW)) | ((F.col("removed") == before("removed")) & (step < min_words)))
+    runs = shared.withColumn("new", F.when(on, 0).otherwise(1)).withColumn("run", F.sum("new").over(order))
+    runs = runs.groupBy("row", "run").agg(
+        F.first("doc_id").alias("doc_id"), F.min("start_byte").alias("start_byte"), F.max("end_byte").alias("end_byte"), (F.max("word") - F.min("word") + min_words).alias("n_words"),
+        F.first("cluster_doc_id").alias("cluster_doc_id"), F.first("removed").alias("removed"),
+    )
+    line = lines.select(F.col("doc_id").alias("__id"), F.col("start_byte").alias("__start"), F.col("end_byte").alias("__end"))
+    runs = runs.join(line, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("start_byte") >= F.col("__start")) & (F.col("end_byte") <= F.col("__end")), "left_anti")
+    none = F.lit(None).cast("int")
+    return runs.select("doc_id", none.alias("paragraph"), "start_byte", "end_byte", "n_words", "cluster_doc_id", none.alias("cluster_paragraph"), "removed", "row")
+
+
 def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """A row a paragraph that is linked with another: doc_id, paragraph, start_byte, end_byte, n_words,
-    cluster_doc_id, cluster_paragraph, removed.
+    """A row a paragraph that is linked with another, or a run of equal words elsewhere: doc_id, paragraph,
+    start_byte, end_byte, n_words, cluster_doc_id, cluster_paragraph, removed.
 
     Paragraphs are linked at a Jaccard similarity of 0.75 or more of their 5-word
     shingles, confirmed on full sets.  The least (doc_id, paragraph) of a component names
@@ -68,23 +160,48 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     copies of it, and every paragraph of the later copies would be removed; as equal ids
     cannot tell copies apart, rows with equal doc_id and paragraph share one verdict.
     A null doc_id sorts first.
+
+    Runs have a null paragraph: they may be parts of lines or go over several.  Each run
+    of min_words + WINDOW - 1 equal words (A-Z as a-z) is found, shorter ones of
+    min_words by chance; up to WINDOW - 1 words at either end of a run may be left out.
+    The least doc_id that has its words keeps them, and is named as the cluster.
     """
-    parts = paragraphs(docs, min_words)
-    keys = ["doc_id", "paragraph", "start_byte", "end_byte", "n_words"]
-    rows = link(parts, keys, "text", PARAGRAPHS, BROADCAST_KEYS).select(*keys, "comp")
-    first = rows.groupBy("comp").agg(F.min(F.struct("doc_id", "paragraph")).alias("first"), F.count("*").alias("members")).where("members > 1")
-    out = rows.join(first, "comp")
-    out = out.select(*keys, F.col("first.doc_id").alias("cluster_doc_id"), F.col("first.paragraph").alias("cluster_paragraph"))
-    same = F.col("doc_id").eqNullSafe(F.col("cluster_doc_id")) & (F.col("paragraph") == F.col("cluster_paragraph"))
-    return out.withColumn("removed", ~same)
+    lines = _linked_lines(docs, min_words)
+    return lines.unionByName(_equal_runs(docs, lines, min_words).drop("row"))
+
+
+def _cut(text, gone, cuts):
+    """The text without the lines `gone` and the byte ranges `cuts`; lines that cuts empty go too."""
+    if text is None:
+        return None
+    data, out, at, gone = text.encode(), [], 0, set(gone or ())
+    cuts = sorted((c["start_byte"], c["end_byte"]) for c in cuts or ())
+    k = 0
+    for i, line in enumerate(data.split(b"\n")):
+        end, done, kept = at + len(line), at, []
+        while k < len(cuts) and cuts[k][0] < end:
+            a, b = max(cuts[k][0], done), min(cuts[k][1], end)
+            if a < b:
+                kept.append(data[done:a])
+                done = b
+            if cuts[k][1] > end:
+                break  # goes on in the next line
+            k += 1
+        kept = b"".join([*kept, data[done:end]])
+        if i not in gone and (len(kept) == len(line) or kept.strip()):
+            out.append(kept)
+        at = end + 1
+    return b"\n".join(out).decode()
 
 
 def drop_repeated(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """`docs` with removed paragraphs cut out of the texts; all rows and columns stay."""
-    gone = repeated_passages(docs, min_words).where("removed").groupBy("doc_id").agg(F.sort_array(F.collect_set("paragraph")).alias("__gone")).withColumnRenamed("doc_id", "__id")
-    joined = docs.join(gone, F.col("doc_id").cast("bigint").eqNullSafe(F.col("__id")), "left")
-    kept = F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains(F.col("__gone"), i)), "\n")
-    return joined.withColumn("text", F.when(F.col("__gone").isNull(), F.col("text")).otherwise(kept)).select(*docs.columns)
+    """`docs` with removed paragraphs and runs cut out of the texts; all rows and columns stay."""
+    lines = _linked_lines(docs, min_words)
+    gone = lines.where("removed").groupBy("doc_id").agg(F.collect_set("paragraph").alias("__gone")).withColumnRenamed("doc_id", "__id")
+    cuts = _equal_runs(docs, lines, min_words).where("removed").groupBy("row").agg(F.collect_list(F.struct("start_byte", "end_byte")).alias("__cuts")).withColumnRenamed("row", "__row")
+    joined = docs.join(gone, F.col("doc_id").cast("bigint").eqNullSafe(F.col("__id")), "left").join(cuts, _row_key() == F.col("__row"), "left")
+    kept = F.when(F.col("__gone").isNull() & F.col("__cuts").isNull() | F.col("text").isNull(), F.col("text")).otherwise(F.udf(_cut, "string")("text", "__gone", "__cuts"))
+    return joined.withColumn("text", kept).select(*docs.columns)
 
 
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

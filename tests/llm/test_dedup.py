@@ -147,6 +147,30 @@ def test_repeated_passages(spark):
     assert repeated_passages(docs.limit(0)).count() == 0
 
 
+def test_repeated_runs_beyond_lines(spark):
+    """A run inside longer lines, one over short lines, and one twice in a text of its own id."""
+    rng = random.Random(18)
+    fresh = iter(range(10**6))
+    text = lambda n: [f"r{next(fresh)}x{rng.randrange(99)}" for _ in range(n)]
+    inside, across = text(60), text(55)
+    short = "\n".join(" ".join(across[i : i + 5]) for i in range(0, 55, 5))
+    rows = [
+        (1, " ".join(text(80) + inside + text(30))), (2, " ".join(text(30) + inside + text(90)).upper()), (3, " ".join(text(40) + across + text(40))), (4, " ".join(text(9)) + "\n" + short + "\n" + " ".join(text(9))),
+        (5, " ".join(text(200))), (6, "é " * 100), (7, "é " * 300), (8, None), (4, " ".join(text(70))),
+    ]
+    docs = spark.createDataFrame(rows, DOC)
+    got = [r for r in repeated_passages(docs).collect() if r["doc_id"] < 6]
+    assert sorted((r["doc_id"], r["cluster_doc_id"], r["removed"]) for r in got) == [(1, 1, False), (2, 1, True), (3, 3, False), (4, 3, True)]
+    for r in got:
+        passage = dict(rows[:7])[r["doc_id"]].encode()[r["start_byte"] : r["end_byte"]].decode().lower().split()
+        whole = inside if r["doc_id"] < 3 else across
+        assert len(passage) == r["n_words"] >= 20 and " ".join(passage) in " ".join(whole) and r["paragraph"] is None
+    out = drop_repeated(docs).collect()
+    texts = {r["doc_id"]: r["text"] for r in out if r["text"] != rows[8][1]}
+    assert len(out) == len(rows) and texts[1] == rows[0][1] and texts[3] == rows[2][1] and texts[5] == rows[4][1] and rows[8][1] in [r["text"] for r in out]
+    assert len(texts[2].split()) <= 160 and texts[2].split()[:30] == rows[1][1].split()[:30] and len(texts[4].split()) <= 53
+
+
 def plain_alignment(a, b):
     h = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
     best = 0
