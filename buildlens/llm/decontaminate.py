@@ -1,9 +1,10 @@
 """Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment of words.
 
-Benchmark items are cut into segments of bounded length.  Of every few consecutive
+Benchmark items are cut into overlapping segments of bounded length.  Of every few consecutive
 n-grams of a segment the rarest in the corpus are its seeds, so any long enough part of
 a segment keeps some whatever its overall frequency.  A document passage round a seed is
 aligned with the segment; the score is the share of the best possible local alignment.
+A passage counts by its score, or by its words: enough of them are a quote of any item.
 """
 
 from __future__ import annotations
@@ -20,10 +21,11 @@ from buildlens.llm.common import bound_batches, column, slices, table
 from buildlens.llm.textops import ngram_hashes, word_hashes
 
 NGRAM = 3
-SEGMENT = 128  # words of a segment at most
+SEGMENT, STRIDE = 128, 64  # words of a segment at most, and from one to the next in a longer item
 GROUP, PER_GROUP = 4, 2  # of so many consecutive n-grams, so many rarest are seeds
 MATCH, MISMATCH, GAP = 2, -1, -1
 THRESHOLD = 0.4
+ENOUGH = 30  # so many matching words are a match whatever their share
 #: Words of the benchmark that are searched in one pass; a larger benchmark takes more passes.
 BLOCK_WORDS = 1 << 20
 _BITS = 22
@@ -46,13 +48,15 @@ class Block:
         item, begin, end = [], [], []
         for i in range(len(rows) - 1):
             n = int(rows[i + 1] - rows[i])
-            parts = -(-n // SEGMENT)
-            cuts = rows[i] + np.arange(parts + 1) * n // max(parts, 1)
-            for a, b in zip(cuts[:-1], cuts[1:]):
+            if not n:
+                continue
+            last = max(n - SEGMENT, 0)
+            for a in [*range(0, last, STRIDE), last]:
                 item.append(i)
-                begin.append(int(a))
-                end.append(int(b))
-        seg_rows = np.array([*begin, *(end[-1:] or [0])], dtype=np.int64)
+                begin.append(int(rows[i]) + a)
+                end.append(int(rows[i]) + min(a + SEGMENT, n))
+        h = np.concatenate([h[:0], *(h[a:b] for a, b in zip(begin, end))])
+        seg_rows = np.concatenate([[0], np.cumsum(np.array(end, np.int64) - np.array(begin, np.int64))]).astype(np.int64)
         gram, at = ngram_hashes(h, seg_rows, NGRAM)
         owner = np.repeat(np.arange(len(item)), np.diff(at))
         position = np.arange(len(gram)) - np.repeat(at[:-1], np.diff(at))
@@ -136,7 +140,7 @@ def matches(texts: pa.Array, block: Block, bitmap: np.ndarray, threshold: float
             begins.append(lo)
         best, end = local_alignment(a, b)
         score = best / (MATCH * np.array([len(x) for x in a]))
-        good = np.flatnonzero(score >= threshold)
+        good = np.flatnonzero((score >= threshold) | (best >= MATCH * ENOUGH))
         if not len(good):
             continue
         _, back = local_alignment([a[i][::-1] for i in good], [b[i][: end[i]][::-1] for i in good])
@@ -183,7 +187,8 @@ def contaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD
     """doc_id, item_id, score, begin_word, end_word: a row a document row and item found in it.
 
     The score is that of the best local alignment of a segment of the item (match 2,
-    mismatch and gap -1) over twice the segment's words; 1 is a whole exact copy.
+    mismatch and gap -1) over twice the segment's words; 1 is a whole exact copy.  Scores
+    below the threshold are of passages worth ENOUGH matching words, of long items.
     Documents with null or empty texts match nothing, nor do items of fewer than 3 words.
     Repeated items count once; repeated documents give repeated rows; a null doc_id stays null.
     """

@@ -212,6 +212,21 @@ def test_contaminated(spark):
     assert drop_contaminated(docs, bench.limit(0)).count() == len(rows) and contaminated(docs.limit(0), bench).count() == 0
 
 
+def test_partial_quotes_of_long_items(spark):
+    """Quotes on either side of any border, and quotes that are a small share of their item."""
+    rng = random.Random(19)
+    make = lambda n: [f"p{rng.randrange(10**6)}" for _ in range(n)]
+    items = [make(256), make(1000), make(100), make(129)]
+    cuts = [(0, 78, 178), (0, 100, 150), (0, 206, 256), (1, 0, 50), (1, 475, 525), (1, 950, 1000), (1, 490, 525), (2, 30, 65), (3, 79, 129)]
+    rows = [(k, " ".join(make(60) + items[i][a:b] + make(60))) for k, (i, a, b) in enumerate(cuts)] + [(100, " ".join(make(300))), (101, " ".join(make(50) + items[1][200:215] + make(50)))]
+    docs = spark.createDataFrame(rows, DOC)
+    bench = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(items)], "item_id bigint, text string")
+    got = {(r["doc_id"], r["item_id"]): (r["begin_word"], r["end_word"]) for r in contaminated(docs, bench).collect()}
+    assert set(got) == {(k, i) for k, (i, _, _) in enumerate(cuts)}
+    assert all(60 <= a < b <= 60 + cuts[k][2] - cuts[k][1] for (k, _), (a, b) in got.items())
+    assert sorted(r["doc_id"] for r in drop_contaminated(docs, bench).collect()) == [100, 101]
+
+
 @pytest.mark.parametrize("text", ["", "a", "a b c d", "a b c d e f", "  x y", "é É ß " * 3])
 def test_shingle_counts(text):
     from buildlens.llm.textops import shingle_sets, word_hashes
