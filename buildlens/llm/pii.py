@@ -18,6 +18,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -82,16 +83,16 @@ def base_spans(text: str) -> list[Span]:
     return sorted(out, key=lambda s: (s[0], KINDS.index(s[2])))
 
 
-#: Generators of further candidates; quantifiers are bounded or possessive.
+#: Generators of further candidates; quantifiers are bounded or possessive, and tokens run to their ends.
 _GENERATORS = [
     ("email", re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+ ?[\[(]at[\])] ?[A-Za-z0-9-]{1,63}+(?:(?:\.| ?[\[(]dot[\])] ?)[A-Za-z0-9-]{2,63}+){1,4}")),
     ("ip", re.compile(r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{1,4}:){3,7}:?[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:])")),
     ("card", re.compile(r"(?<![0-9])[0-9]{4}(?:[ .-]?[0-9]{4}){2}[ .-]?[0-9]{1,7}(?![0-9])")),
     ("phone", re.compile(r"(?<![0-9+])(?:00[ ]?[1-9][0-9]?[ ]?)?\(?[0-9]{2,4}\)?[ ./-][0-9]{3,4}[ .-]?[0-9]{3,4}(?![0-9])")),
     ("secret", re.compile(r"(?<![A-Za-z0-9])A[KS]IA[0-9A-Z]{16}(?![A-Za-z0-9])")),
-    ("secret", re.compile(r"(?<![A-Za-z0-9])(?:gh[pousr]_|sk-|xox[abp]-)[A-Za-z0-9-]{16,80}+")),
-    ("secret", re.compile(r"""(?<![A-Za-z0-9])(?:password|passwd|pwd|token|secret|api[_-]?key)["']? ?[:=] ?["']?([A-Za-z0-9+/_.!@#$%^&*-]{6,80}+)""", re.I)),
-    ("secret", re.compile(r"(?<![A-Za-z0-9])[0-9a-f]{32,64}+(?![A-Za-z0-9])")),
+    ("secret", re.compile(r"(?<![A-Za-z0-9])(?:gh[pousr]_|sk-|xox[abp]-)[A-Za-z0-9_-]{16,}+")),
+    ("secret", re.compile(r"""(?<![A-Za-z0-9])(?:password|passwd|pwd|token|secret|api[_-]?key)["']? ?[:=] ?["']?([A-Za-z0-9+/_.!@#$%^&*-]{6,}+)""", re.I)),
+    ("secret", re.compile(r"(?<![A-Za-z0-9])[0-9a-f]{32,}+(?![A-Za-z0-9])")),
     ("iban", re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,4})?(?![A-Za-z0-9])")),
     ("ssn", re.compile(r"(?<![0-9-])[0-9]{3}[- ][0-9]{2}[- ][0-9]{4}(?![0-9-])")),
 ]
@@ -124,6 +125,7 @@ _CUES = {
     "other": ("version", "page", "isbn", "order", "invoice", "date", "commit", "sha", "serial", "build", "hash", "md5", "checksum", "ratio", "score", "figure"),
 }
 _AROUND = 32
+_KEY_STARTS = ("sk-", "xoxa-", "xoxb-", "xoxp-", "ghp_", "gho_", "ghu_", "ghs_", "ghr_")
 
 
 def iban_ok(s: str) -> bool:
@@ -145,7 +147,7 @@ def describe(text: str, span: Span) -> list[float]:
     row = [float(kind == k) for k in KINDS]
     row += [len(s), len(digits), len(digits) / n, sum(c.isupper() for c in s) / n, sum(c.islower() for c in s) / n, entropy, len(groups), max(map(len, groups), default=0), min(map(len, groups), default=0)]
     row += [s.count(" "), s.count("-"), s.count("."), s.count(":"), float(luhn(digits)) if digits else 0.0, float(iban_ok(s)) if kind == "iban" else 0.0]
-    row += [float(bool(re.fullmatch(r"(19|20)\d\d[-./ ]?[01]?\d[-./ ]?[0-3]?\d", s))), float(s[:4] in ("AKIA", "ASIA")), float(s.startswith("00")), float("at" in s and kind == "email")]
+    row += [float(bool(re.fullmatch(r"(19|20)\d\d[-./ ]?[01]?\d[-./ ]?[0-3]?\d", s))), float(s[:4] in ("AKIA", "ASIA")), float(kind == "secret" and s.startswith(_KEY_STARTS)), float(s.startswith("00")), float("at" in s and kind == "email")]
     row += [float(digits[:1] in ("0", "1")) if digits else 0.0, float(digits[:3] in ("000", "666") or digits[:1] == "9") if kind == "ssn" else 0.0]
     row += [float(before[-1:].isalnum()), float(after[:1].isalnum()), float(before.rstrip(" \"'")[-1:] in ("=", ":"))]
     row += [float(any(w in before for w in words)) for words in _CUES.values()]
@@ -165,6 +167,14 @@ def _random_case(rng: random.Random) -> tuple[str, str, str, bool]:
     hexa = lambda n: "".join(rng.choice("0123456789abcdef") for _ in range(n))
     alnum = lambda n: "".join(rng.choice("ABCDEFGHJKLMNPQRSTUVWXYZ0123456789") for _ in range(n))
 
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
+    mixed = lambda n: "".join(rng.choice(letters + "0123456789") for _ in range(n))
+    length = lambda: rng.choice([24, 40, 56, 80, 120, 180, 300, 600])
+
+    def key() -> str:
+        n = length()
+        return rng.choice(_KEY_STARTS) + (mixed(n) if rng.random() < 0.6 else "".join(rng.choice(letters) for _ in range(n)))
+
     def card() -> str:
         base = rng.choice("3456") + d(14)
         digits = next(base + x for x in "0123456789" if luhn(base + x))
@@ -197,8 +207,11 @@ def _random_case(rng: random.Random) -> tuple[str, str, str, bool]:
         ("phone", lambda: f"{d(2)} {d(3)} {d(3)}", False),
         ("phone", lambda: f"{d(3)}.{d(4)}", False),
         ("secret", lambda: "AKIA" + alnum(16), True),
-        ("secret", lambda: hexa(rng.choice([18, 32, 40])), True),
-        ("secret", lambda: hexa(rng.choice([32, 40, 64])), False),
+        ("secret", lambda: hexa(rng.choice([18, 32, 40, 64, 96, 128, 256])), True),
+        ("secret", lambda: hexa(rng.choice([32, 40, 64, 96, 128, 256])), False),
+        ("secret", key, True),
+        ("secret", lambda: mixed(length()), True),
+        ("secret", lambda: "eyJ" + ".".join(mixed(length()) for _ in range(3)), True),
         ("iban", iban, True),
         ("iban", lambda: f"{rng.choice(['AB', 'XQ', 'DE'])}{d(2)} {alnum(4)} {alnum(4)} {alnum(4)}", False),
         ("ssn", lambda: f"{rng.randint(100, 660)}-{d(2)}-{d(4)}", True),
@@ -209,7 +222,7 @@ def _random_case(rng: random.Random) -> tuple[str, str, str, bool]:
     needs_cue = kind in ("ssn",) or (kind == "secret" and personal)
     cue = rng.choice(_CUES[kind]) if personal and (needs_cue or rng.random() < 0.7) else ""
     s = text()
-    if kind == "secret" and personal and s.startswith("AKIA") and rng.random() < 0.7:
+    if kind == "secret" and personal and s.startswith(("AKIA", *_KEY_STARTS)) and rng.random() < 0.7:
         cue = ""
     if not personal and rng.random() < 0.6:
         cue = rng.choice(_CUES["other"])
@@ -307,16 +320,11 @@ def trained(texts: int = 6000, trees: int = 60, depth: int = 4, precision: float
 _TRIGGER = np.zeros(256, dtype=bool)
 _TRIGGER[48:58] = True
 _TRIGGER[[64, 61]] = True  # @ =
-_MAYBE = np.zeros(256, dtype=bool)
-_MAYBE[list(b"[(:_")] = True
-_WORDS = re.compile(r"[\[(]at[\])]|(?:password|passwd|pwd|token|secret|api[_-]?key)[\"']? ?:|gh[pousr]_", re.I)
+_WORDS = r"(?i:[\[(]at[\])]|(?:password|passwd|pwd|token|secret|api[_-]?key)[\"']? ?:)|gh[pousr]_|sk-|xox[abp]-|A[KS]IA|(?:[A-Fa-f]{1,4}:){3}|[a-f]{32}"
 
 
 def _suspects(texts: pa.Array) -> np.ndarray:
-    """Rows that any pattern could match: a digit, @ or =, or a word that some generator needs.
-
-    Keys and hexadecimal strings without one digit are not looked for.
-    """
+    """Rows that any pattern could match: a digit, @ or =, or what some generator needs in a text without these."""
     data, offs = utf8(texts)
 
     def having(what: np.ndarray) -> np.ndarray:
@@ -324,9 +332,8 @@ def _suspects(texts: pa.Array) -> np.ndarray:
         return hits[offs[1:]] > hits[offs[:-1]]
 
     some = having(_TRIGGER)
-    for i in np.flatnonzero(~some & having(_MAYBE)):
-        if texts[int(i)].is_valid and _WORDS.search(texts[int(i)].as_py()):
-            some[i] = True
+    rest = np.flatnonzero(~some)
+    some[rest] = pc.fill_null(pc.match_substring_regex(texts.take(pa.array(rest)), _WORDS), False).to_numpy(zero_copy_only=False)
     return some
 
 

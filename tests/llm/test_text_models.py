@@ -163,6 +163,26 @@ def test_pii_held_out_accuracy():
     assert y[chosen].mean() > 0.93 and chosen[y == 1].mean() > 0.8
 
 
+def test_long_secrets_go_whole():
+    """Tokens of any length are found to their ends, and in texts without one digit too."""
+    rng = random.Random(5)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
+    word = lambda n, of=letters + "0123456789": "".join(rng.choice(of) for _ in range(n))
+    found = 0
+    secrets = ["token=" + word(180), "password: " + word(700), "token=eyJ" + ".".join(word(150) for _ in range(3)), "secret = " + word(128, "0123456789abcdef")]
+    secrets += [start + word(n, letters) for start in ("sk-", "xoxb-", "ghp_") for n in (24, 120)] + ["AKIA" + word(16, letters[:26]), "ASIA" + word(16, letters[:26])]
+    for s in secrets:
+        text = f"the morning letter {s} under the stone"
+        value = s.split("=")[-1].split(": ")[-1].strip()
+        assert pii._suspects(pa.array([text, None]))[0]
+        assert any(text[a:b] == value for a, b, _ in pii.candidates(text, pii.base_spans(text))), s
+        out = pii.redacted(text, pii.trained().spans(text)[1])
+        assert value in out or not any(value[i : i + 8] in out for i in range(len(value) - 7)), s
+        found += value not in out
+    assert found == len(secrets)
+    assert pii._suspects(pa.array(["no secret here", "dead:beef:cafe:face", "a" * 32, "river stone", ""])).tolist() == [False, True, True, False, False]
+
+
 # --- op9 ---
 
 
