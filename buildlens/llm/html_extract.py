@@ -24,8 +24,9 @@ from buildlens.llm.gbt import Tree, boost, raw_scores
 
 #: Fixed values of HTML: elements without content, with raw content, inline, and those that end an open p.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript template iframe svg math select object canvas video audio noframes xmp".split())
+RAW = frozenset("script style textarea title template iframe".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var".split())
+FOREIGN = frozenset(("svg", "math"))
 CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre search section summary table ul".split())
 TAGS = "html body div section article main p h1 h2 h3 h4 ul ol li dl dt dd table tr td th blockquote pre figure figcaption nav header footer aside form button address details".split()
 #: Tokens of class, id and role, by what they tell.
@@ -43,7 +44,9 @@ TOKENS = {
 }
 _TOKEN = {w: k for k, words in enumerate(TOKENS.values()) for w in words}
 _TAG = {t: k for k, t in enumerate(TAGS)}
-_PIECE = re.compile(r"<!--(?:.*?-->|.*)|<([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]{0,5000}\"|'[^']{0,5000}')*+)>|</([a-zA-Z][^\s>]*)[^>]*>|<[!?][^>]*>|<([a-zA-Z][^\s/>]*)([^>]*)>|([^<]+|<)", re.S)
+_PIECE = re.compile(r"<!--(?:.*?-->|.*)|</([a-zA-Z][^\s>]*)[^>]*>|<[!?][^>]*>|<([a-zA-Z][^\s/>]*)([^>]*)>|([^<]+|<)", re.S)
+_PLAIN = re.compile(r"[^>\"']*")
+_NAME = re.compile(r"<([a-zA-Z][^\s/>]*)")
 _ATTR = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.I)
 _WORDS = re.compile(r"[a-z]+")
 _HIDDEN = re.compile(r"\bhidden\b|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
@@ -65,6 +68,30 @@ class Dom:
     parts: list[tuple[int, str, int]] = field(default_factory=list)  # node, text, run (pieces of one run are one block)
 
 
+def _tag_end(page: str, at: int, unclosed: set[str]) -> int:
+    """Place of the > that ends the tag whose name ends at `at`, quoted values passed over; -1 if a quote or the tag isn't closed.
+
+    `unclosed` keeps the quotes that no later place of the page has.
+    """
+    while True:
+        at = _PLAIN.match(page, at).end()
+        if at == len(page):
+            return -1
+        if page[at] == ">":
+            return at
+        before = at - 1
+        while page[before].isspace():
+            before -= 1
+        if page[before] != "=":
+            at += 1  # a stray quote opens no value
+            continue
+        close = -1 if page[at] in unclosed else page.find(page[at], at + 1)
+        if close < 0:
+            unclosed.add(page[at])
+            return -1
+        at = close + 1
+
+
 def read_dom(page: str) -> Dom:
     """A forgiving parser: unknown, unclosed and stray tags and cut-off pages are all right."""
     dom, stack, link, run = Dom(), [], 0, 0
@@ -96,10 +123,15 @@ def read_dom(page: str) -> Dom:
 
     open_node("html", "")
     at, size = 0, len(page)
+    unclosed: set[str] = set()
     while at < size:
-        m = _PIECE.match(page, at)
-        at = m.end()
-        name, attrs, text = (m[1], m[2], m[6]) if m[1] else (m[4], m[5], m[6])
+        if (tag := _NAME.match(page, at)) and (end := _tag_end(page, tag.end(), unclosed)) >= 0:
+            name, attrs, text, closed = tag[1], page[tag.end() : end], None, None
+            at = end + 1
+        else:
+            m = _PIECE.match(page, at)
+            at = m.end()
+            closed, name, attrs, text = m[1], m[2], m[3], m[4]
         if text == "<" and page[at : at + 1].isalpha() | (page[at : at + 1] in ("/", "!", "?")) and page.find(">", at) < 0:
             break  # an unclosed tag at the end of a cut-off page
         if text is not None:
@@ -125,6 +157,8 @@ def read_dom(page: str) -> Dom:
             run += 1
             if name in ("html", "head") or name in VOID:
                 continue
+            if attrs.endswith("/") and (name in FOREIGN or any(x in FOREIGN for x in names)):
+                continue  # only in these a slash closes an element
             if name == "body" and len(stack) > 1:
                 continue
             if name in CLOSES_P and "p" in names:
@@ -133,8 +167,8 @@ def read_dom(page: str) -> Dom:
                 _close_sibling(name, names, close_to)
             open_node(name, attrs)
             link = 0
-        elif m[3] is not None:
-            name = m[3].lower()
+        elif closed is not None:
+            name = closed.lower()
             if name == "a":
                 link = 0
             elif name not in INLINE and name not in VOID:

@@ -152,6 +152,35 @@ def test_html(spark, small):
     assert not any("<script" in r["text"] or "&amp;" in r["text"] for r in table)
 
 
+@pytest.mark.parametrize("size", [10, 5_000, 60_000])
+@pytest.mark.parametrize("quote", ["'", '"'])
+def test_html_long_attributes(size, quote):
+    dom = html_extract.read_dom(f"<article><p data-x={quote}{'v' * size}<b> leaked words{quote} class='text'>Shown.</p><p>After > that</article>")
+    assert [t for _, t, _ in dom.parts] == ["Shown.", "After > that"]
+
+
+@pytest.mark.parametrize("tag", "math noscript object svg canvas video audio xmp select".split())
+def test_html_keeps_text_of_all_elements(tag):
+    """Nothing but raw elements is dropped before the nodes are judged, closed or not."""
+    text = lambda page: " ".join(t for _, t, _ in html_extract.read_dom(page).parts)
+    assert text(f"<p>One</p><{tag}><g/>within</{tag}><p>two</p>").split() == ["One", "within", "two"]
+    assert text(f"<p>One</p><{tag}>within<p>two</p>").split() == ["One", "within", "two"]
+    whole = PAGE.replace("The second one is", f"<{tag} class='x'>kept</{tag}> The second one is")
+    dom = html_extract.read_dom(whole)
+    x, _ = html_extract.node_features([dom])
+    assert "kept" in html_extract.text_of(dom, html_extract.decode(dom, 1 / (1 + np.exp(-html_extract.raw_scores(*html_extract.trained(), x)))))
+
+
+def test_html_stray_quotes():
+    dom = html_extract.read_dom("<p width=5\">one</p><p class = 'a>b'>two</p>")
+    assert [t for _, t, _ in dom.parts] == ["one", "two"]
+
+
+def test_html_unclosed_quotes_are_quick():
+    dom = html_extract.read_dom("<p title=\"abc>text</p>" + "<i class='>x" * 20_000)
+    assert "text" in [t for _, t, _ in dom.parts]
+
+
 def test_html_held_out():
     """On generated pages that were not trained on: the share of characters that is right."""
     rng = random.Random(99)
