@@ -1,8 +1,8 @@
 """HyperMinHash registers: compressed minima, band keys and the corrected Jaccard estimate.
 
 A register keeps, of the least hash of a set under one hash function, its number of
-leading zeros (6 bits) and the 10 bits that follow the leading one.  Two bytes a
-register hold sets of any size; equal registers of different minima are rare and
+leading zeros (6 bits) and the 10 or 26 bits that follow the leading one.  Two or four
+bytes a register hold sets of any size; equal registers of different minima are rare and
 their expected share is taken out of the estimate.
 """
 
@@ -15,7 +15,7 @@ import numpy as np
 
 from buildlens.llm.textops import mix64, segment_reduce
 
-MANTISSA = 10
+SHORT, LONG = 10, 26  # mantissa bits of registers of two and of four bytes
 MOST = 256  # registers at most
 
 _seeds = np.random.Generator(np.random.PCG64(7)).integers(0, 2**63, 2 * MOST, dtype=np.uint64)
@@ -35,34 +35,40 @@ class Banding:
     rows: int
     bands: int
     least: float
+    mantissa: int = SHORT
 
     @property
     def registers(self) -> int:
         return self.rows * self.bands
 
+    @property
+    def dtype(self) -> type:
+        return np.uint16 if self.mantissa == SHORT else np.uint32
+
     @staticmethod
-    def tuned(rows: int, similarity: float, recall: float, deviations: float = 4.5) -> Banding:
+    def tuned(rows: int, similarity: float, recall: float, mantissa: int = SHORT, deviations: float = 4.5) -> Banding:
         bands = tuned_bands(rows, similarity, recall)
-        return Banding(rows, bands, similarity - deviations * math.sqrt(similarity * (1 - similarity) / (rows * bands)))
+        return Banding(rows, bands, similarity - deviations * math.sqrt(similarity * (1 - similarity) / (rows * bands)), mantissa)
 
 
-def compress(least: np.ndarray) -> np.ndarray:
-    """64-bit minima to 16-bit registers: leading zeros, then mantissa."""
+def compress(least: np.ndarray, mantissa_bits: int = SHORT) -> np.ndarray:
+    """64-bit minima to registers of 6 + mantissa_bits bits: leading zeros, then mantissa."""
     least = np.maximum(least, np.uint64(1))
     _, exponent = np.frexp(least.astype(np.float64))
     exponent = exponent.astype(np.int64)  # bit length, or one more after rounding up
     wrong = (exponent > 64) | ((least >> np.minimum(exponent - 1, 63).astype(np.uint64)) == 0)
     exponent = np.where(wrong, exponent - 1, exponent)
     top = least << (64 - exponent).astype(np.uint64)  # leading one in the highest place
-    mantissa = (top << np.uint64(1)) >> np.uint64(64 - MANTISSA)
-    return ((64 - exponent).astype(np.uint16) << np.uint16(MANTISSA)) | mantissa.astype(np.uint16)
+    kind = np.uint16 if mantissa_bits == SHORT else np.uint32
+    mantissa = (top << np.uint64(1)) >> np.uint64(64 - mantissa_bits)
+    return ((64 - exponent).astype(kind) << kind(mantissa_bits)) | mantissa.astype(kind)
 
 
-def signatures(grams: np.ndarray, rows: np.ndarray, registers: int) -> np.ndarray:
-    """(sets, registers) uint16; an empty set has all registers 65535."""
-    n = len(rows) - 1
+def signatures(grams: np.ndarray, rows: np.ndarray, banding: Banding) -> np.ndarray:
+    """(sets, registers) of banding.dtype; an empty set has all bits of all registers set."""
+    n, registers = len(rows) - 1, banding.registers
     full = np.uint64(2**64 - 1)
-    out = np.empty((n, registers), dtype=np.uint16)
+    out = np.empty((n, registers), dtype=banding.dtype)
     # Blocks of about 2**15 shingles stay in the cache while all registers pass over them.
     cut = 0
     while cut < n:
@@ -74,8 +80,8 @@ def signatures(grams: np.ndarray, rows: np.ndarray, registers: int) -> np.ndarra
             v ^= v >> np.uint64(32)
             v *= np.uint64(0x9E3779B97F4A7C15)
             least[k] = segment_reduce(np.minimum, v, offs, full)
-        block = compress(least.T)
-        block[np.diff(offs) == 0] = 65535
+        block = compress(least.T, banding.mantissa)
+        block[np.diff(offs) == 0] = np.iinfo(banding.dtype).max
         out[cut:to] = block
         cut = to
     return out
@@ -92,14 +98,14 @@ def band_keys(sig: np.ndarray, band_rows: int) -> np.ndarray:
     return key.view(np.int64)
 
 
-def accidental(n: np.ndarray, m: np.ndarray) -> np.ndarray:
+def accidental(n: np.ndarray, m: np.ndarray, mantissa: int = SHORT) -> np.ndarray:
     """Expected share of equal registers of two sets without a common element."""
     n, m = np.asarray(n, np.float64), np.asarray(m, np.float64)
-    return 0.7213 / 2**MANTISSA * n * m / np.maximum(n + m, 1.0) ** 2
+    return 0.7213 / 2**mantissa * n * m / np.maximum(n + m, 1.0) ** 2
 
 
-def estimate(a: np.ndarray, b: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.ndarray:
+def estimate(a: np.ndarray, b: np.ndarray, n: np.ndarray, m: np.ndarray, mantissa: int = SHORT) -> np.ndarray:
     """Jaccard estimates of paired signatures, corrected for accidental matches."""
     share = (a == b).mean(axis=-1)
-    e = accidental(n, m)
+    e = accidental(n, m, mantissa)
     return np.clip((share - e) / (1 - e), 0.0, 1.0)

@@ -34,8 +34,6 @@ PERCENT = 75
 DOCUMENTS = hmh.Banding.tuned(4, PERCENT / 100, 1 - 5e-6)
 #: Rows of a tile; a bucket of more rows is cut into blocks, and every pair of blocks is a tile.
 TILE = 1024
-#: Candidate keys are broadcast up to this number (about 50 bytes each), else shuffled.
-BROADCAST_KEYS = 250_000
 
 
 def _nodes_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -64,7 +62,7 @@ def sketch(df: DataFrame, keys: list[str], text: str, banding: hmh.Banding) -> D
         for batch in batches:
             for part in slices(batch, "__text"):
                 grams, offs, prints = _nodes_of(column(part, "__text"))
-                sig = hmh.signatures(grams, offs, banding.registers)
+                sig = hmh.signatures(grams, offs, banding)
                 cells = list_binary(sig.ravel(), np.arange(len(sig) + 1) * banding.registers)
                 yield pa.RecordBatch.from_arrays([column(part, k) for k in keys] + [pa.array(np.diff(offs), pa.int64()), _fingerprint_cells(prints), cells], names=[*keys, "n_shingles", "node", "sig"])
 
@@ -74,7 +72,7 @@ def sketch(df: DataFrame, keys: list[str], text: str, banding: hmh.Banding) -> D
 def _bands(banding: hmh.Banding):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sig, _ = binary_values(column(batch, "sig"), np.uint16)
+            sig, _ = binary_values(column(batch, "sig"), banding.dtype)
             keys = hmh.band_keys(sig.reshape(-1, banding.registers), banding.rows)
             n, b = keys.shape
             ids = column(batch, "id").to_numpy()
@@ -86,11 +84,11 @@ def _bands(banding: hmh.Banding):
 def _estimates(banding: hmh.Banding):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, _ = binary_values(column(batch, "sig_a"), np.uint16)
-            b, _ = binary_values(column(batch, "sig_b"), np.uint16)
+            a, _ = binary_values(column(batch, "sig_a"), banding.dtype)
+            b, _ = binary_values(column(batch, "sig_b"), banding.dtype)
             n = column(batch, "n_a").to_numpy()
             m = column(batch, "n_b").to_numpy()
-            e = hmh.estimate(a.reshape(-1, banding.registers), b.reshape(-1, banding.registers), n, m) if len(n) else np.zeros(0)
+            e = hmh.estimate(a.reshape(-1, banding.registers), b.reshape(-1, banding.registers), n, m, banding.mantissa) if len(n) else np.zeros(0)
             ok = (e >= banding.least) & (100 * np.minimum(n, m) >= PERCENT * np.maximum(n, m))
             yield pa.RecordBatch.from_arrays([column(batch, "a").filter(pa.array(ok)), column(batch, "b").filter(pa.array(ok))], names=["a", "b"])
 
@@ -146,7 +144,7 @@ def _promising(banding: hmh.Banding):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys = ["bucket", "t1", "t2"]
         for t in sorted_groups(batches, keys):
-            sig, _ = binary_values(t["sig"], np.uint16)
+            sig, _ = binary_values(t["sig"], banding.dtype)
             sig = sig.reshape(-1, banding.registers)
             n, comp, band = t["n_shingles"].to_numpy(), t["comp"].to_numpy(), t["band"].to_numpy()
             keep = np.zeros(t.num_rows, dtype=bool)
@@ -161,7 +159,7 @@ def _promising(banding: hmh.Banding):
                     shared = eq.reshape(to - at, e - s, -1, banding.rows).all(axis=3)
                     first = shared.argmax(axis=2) == band[s]
                     share = eq.mean(axis=2)
-                    x = hmh.accidental(n[at:to, None], n[None, s:e])
+                    x = hmh.accidental(n[at:to, None], n[None, s:e], banding.mantissa)
                     lo, hi = np.minimum(n[at:to, None], n[None, s:e]), np.maximum(n[at:to, None], n[None, s:e])
                     good = first & ((share - x) / (1 - x) >= banding.least) & (comp[at:to, None] != comp[None, s:e]) & (100 * lo >= PERCENT * hi) & allowed[at - s : to - s]
                     keep[at:to] |= good.any(axis=1)
@@ -229,19 +227,17 @@ def _tile_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
 
-def _texts(df: DataFrame, wanted: DataFrame, keys: list[str], text: str, broadcast_keys: int) -> DataFrame:
+def _texts(df: DataFrame, wanted: DataFrame, keys: list[str], text: str) -> DataFrame:
     """(id, text) of the wanted nodes, read again: a text compresses far better than its set of hashes.
 
     `wanted` has id, node and the keys of one row; rows of equal keys with another
     text are told apart by the fingerprint.
     """
-    n = wanted.count()
-    small = n <= broadcast_keys
     right = wanted.select("id", F.col("node").alias("__node"), *[F.col(k).alias(f"__k_{k}") for k in keys])
     on: Column = F.lit(True)
     for k in keys:
         on = on & F.col(k).eqNullSafe(F.col(f"__k_{k}"))
-    rows = df.select(*keys, F.col(text).cast("string").alias("__text")).join(F.broadcast(right) if small else right, on).select("id", "__node", "__text")
+    rows = df.select(*keys, F.col(text).cast("string").alias("__text")).join(right, on).select("id", "__node", "__text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -251,13 +247,11 @@ def _texts(df: DataFrame, wanted: DataFrame, keys: list[str], text: str, broadca
                 mask = pa.array(same)
                 yield pa.RecordBatch.from_arrays([column(part, "id").filter(mask), column(part, "__text").filter(mask)], names=["id", "text"])
 
-    out = checkpoint(rows.mapInArrow(run, "id bigint, text string"))
-    if out.count() > n:  # rows that repeat keys and text
-        out = checkpoint(out.dropDuplicates(["id"]))
-    return out
+    # rows that repeat keys and text are equal
+    return checkpoint(rows.mapInArrow(run, "id bigint, text string").groupBy("id").agg(F.first("text").alias("text")))
 
 
-def link(df: DataFrame, keys: list[str], text: str, banding: hmh.Banding = DOCUMENTS, broadcast_keys: int = BROADCAST_KEYS) -> DataFrame:
+def link(df: DataFrame, keys: list[str], text: str, banding: hmh.Banding = DOCUMENTS) -> DataFrame:
     """keys, n_shingles, node and comp of every row of `df`.
 
     comp is equal exactly for rows whose texts are joined by links; rows without a
@@ -281,7 +275,7 @@ def link(df: DataFrame, keys: list[str], text: str, banding: hmh.Banding = DOCUM
     star = checkpoint(star.join(one, "a").join(two, "b").mapInArrow(_estimates(banding), "a bigint, b bigint"))
 
     wanted = nodes.join(met.select("id").distinct(), "id", "left_semi").select("id", "node", *[F.col(f"__key.{k}").alias(k) for k in keys])
-    texts = _texts(df, wanted, keys, text, broadcast_keys)
+    texts = _texts(df, wanted, keys, text)
     text_a = texts.select(F.col("id").alias("a"), F.col("text").alias("text_a"))
     text_b = texts.select(F.col("id").alias("b"), F.col("text").alias("text_b"))
     edges = checkpoint(star.join(text_a, "a").join(text_b, "b").mapInArrow(_confirm, "a bigint, b bigint"))

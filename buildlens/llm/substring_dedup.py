@@ -15,16 +15,15 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from buildlens.llm.common import bound_batches, checkpoint, column, slices, table
-from buildlens.llm.hyperminhash import Banding
+from buildlens.llm.hyperminhash import LONG, Banding
 from buildlens.llm.neardup import PERCENT, link
 from buildlens.llm.textops import hash_ranges, ngram_hashes, split_words, utf8
 
 #: Paragraphs with fewer words are too short to count as repeated passages.
 MIN_WORDS = 20
 #: Paragraphs are many, and unrelated ones hardly share a shingle: bands of two need the fewest rows for this recall.
-PARAGRAPHS = Banding.tuned(2, PERCENT / 100, 1 - 1e-5)
-#: Many paragraphs of a corpus meet others, so their texts are shuffled from the start; only few keys are broadcast.
-BROADCAST_KEYS = 10_000
+#: Two registers of four bytes tell the paragraphs of any corpus apart, where two of two bytes meet by chance.
+PARAGRAPHS = Banding.tuned(2, PERCENT / 100, 1 - 1e-5, LONG)
 #: Consecutive grams of `min_words` words of which one is chosen: equal runs of min_words + WINDOW - 1 = 50 words share one.
 WINDOW = 31
 
@@ -116,7 +115,7 @@ def chosen_grams(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 def _linked_lines(docs: DataFrame, min_words: int) -> DataFrame:
     parts = paragraphs(docs, min_words)
     keys = ["doc_id", "paragraph", "start_byte", "end_byte", "n_words"]
-    rows = link(parts, keys, "text", PARAGRAPHS, BROADCAST_KEYS).select(*keys, "comp")
+    rows = link(parts, keys, "text", PARAGRAPHS).select(*keys, "comp")
     first = rows.groupBy("comp").agg(F.min(F.struct("doc_id", "paragraph")).alias("first"), F.count("*").alias("members")).where("members > 1")
     out = rows.join(first, "comp")
     out = out.select(*keys, F.col("first.doc_id").alias("cluster_doc_id"), F.col("first.paragraph").alias("cluster_paragraph"))
@@ -130,7 +129,7 @@ def _equal_runs(docs: DataFrame, lines: DataFrame, min_words: int) -> DataFrame:
     The first holder of a gram keeps it.  Grams of a text that lie alike to those of
     one holder, a window apart at most, are one run, as are overlapping ones.
     """
-    grams = chosen_grams(docs, min_words)
+    grams = checkpoint(chosen_grams(docs, min_words))
     place = F.struct("doc_id", "row", "word")
     held = grams.groupBy("gram").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first < last").select("gram", "first")
     shared = grams.join(held, "gram").select("doc_id", "row", "word", "start_byte", "end_byte", F.col("first.doc_id").alias("cluster_doc_id"), F.col("first.row").alias("of"), (F.col("word") - F.col("first.word")).alias("shift"))

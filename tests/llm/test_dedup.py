@@ -115,7 +115,7 @@ def test_hyperminhash_estimates():
         keep = int(len(a) * 2 * share / (1 + share))
         b = np.unique(np.concatenate([a[:keep], rng.integers(0, 2**63, len(a) - keep, dtype=np.uint64)]))
         true = len(np.intersect1d(a, b)) / len(np.union1d(a, b))
-        sig = hmh.signatures(np.concatenate([a, b]), np.array([0, len(a), len(a) + len(b)]), 256)
+        sig = hmh.signatures(np.concatenate([a, b]), np.array([0, len(a), len(a) + len(b)]), hmh.Banding(1, 256, 0.0))
         assert abs(hmh.estimate(sig[0], sig[1], len(a), len(b)) - true) < 0.12
     least = np.array([1, 2, 3, 2**63, 2**64 - 1, 2**40 + 5], dtype=np.uint64)
     assert [int(x) >> 10 for x in hmh.compress(least)] == [64 - int(v).bit_length() for v in least.tolist()]
