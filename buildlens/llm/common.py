@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 from collections.abc import Iterator
 
@@ -38,6 +39,12 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def release(spark: SparkSession) -> None:
+    """Let the cleaner remove shuffle files that nothing refers to any more: behind a large checkpoint they only fill disks."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def slices(batch: pa.RecordBatch, text: str, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Consecutive slices of a batch with about `most` bytes of text each, one row at least."""
     n = batch.num_rows

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from buildlens.llm.common import table
-from buildlens.llm.neardup import link
+from buildlens.llm.neardup import DOCUMENTS, link, sketch, texts_of
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -22,7 +22,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     component.  Rows that repeat id and text get equal results.  Rows that repeat an
     id with another text are separate members.  Other columns are not read.
     """
-    rows = link(docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")), ["doc_id"], "text")
+    docs = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
+    rows = link(sketch(docs, ["doc_id"], "text", DOCUMENTS), lambda wanted: texts_of(docs, wanted, ["doc_id"], "text"))
     least = rows.where("comp is not null").groupBy("comp").agg(F.min("doc_id").alias("least"))
     out = rows.join(least, "comp", "left").withColumn("component_id", F.when(F.col("comp").isNull(), F.col("doc_id")).otherwise(F.col("least")))
     return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))

@@ -15,7 +15,7 @@ or more.  Components need no list of all pairs, so a bucket is worked off in two
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from buildlens.llm import hyperminhash as hmh
-from buildlens.llm.common import binary_values, bound_batches, boundaries, checkpoint, column, list_binary, slices, sorted_groups
+from buildlens.llm.common import binary_values, bound_batches, boundaries, checkpoint, column, list_binary, release, slices, sorted_groups
 from buildlens.llm.components import connected_components
 from buildlens.llm.textops import mix64, segment_reduce, shingle_sets, word_hashes
 
@@ -36,10 +36,13 @@ DOCUMENTS = hmh.Banding.tuned(4, PERCENT / 100, 1 - 5e-6)
 TILE = 1024
 
 
-def _nodes_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def nodes_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(shingles, offsets, 16-byte fingerprints of the sets)."""
-    h, rows = word_hashes(texts)
-    grams, offs = shingle_sets(h, rows, SHINGLE)
+    return fingerprinted(*shingle_sets(*word_hashes(texts), SHINGLE))
+
+
+def fingerprinted(grams: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The sets with their fingerprints."""
     one = segment_reduce(np.add, mix64(grams ^ np.uint64(0x5851F42D4C957F2D)), offs)
     two = segment_reduce(np.bitwise_xor, mix64(grams * np.uint64(0xDA942042E4DD58B5)), offs)
     size = np.diff(offs).astype(np.uint64)
@@ -47,11 +50,24 @@ def _nodes_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return grams, offs, print_
 
 
-def _fingerprint_cells(prints: np.ndarray) -> pa.Array:
+def fingerprint_cells(prints: np.ndarray) -> pa.Array:
     n = len(prints)
     return list_binary(np.ascontiguousarray(prints).ravel(), np.arange(n + 1) * 2)
 
 
+def sketch_cells(grams: np.ndarray, offs: np.ndarray, banding: hmh.Banding) -> list[pa.Array]:
+    """Columns n_shingles, node and sig of sets."""
+    _, _, prints = fingerprinted(grams, offs)
+    sig = hmh.signatures(grams, offs, banding)
+    return [pa.array(np.diff(offs), pa.int64()), fingerprint_cells(prints), list_binary(sig.ravel(), np.arange(len(sig) + 1) * banding.registers)]
+
+
+def same_node(texts: pa.Array, nodes: pa.Array) -> pa.Array:
+    """Mask of the texts whose sets have the fingerprint beside them."""
+    _, _, prints = nodes_of(texts)
+    return pa.array([x == y for x, y in zip(fingerprint_cells(prints).to_pylist(), nodes.to_pylist())], pa.bool_())
+
+
 def sketch(df: DataFrame, keys: list[str], text: str, banding: hmh.Banding) -> DataFrame:
     """keys, n_shingles, node (fingerprint of the set), sig (registers) of every row."""
     bound_batches(df.sparkSession)
@@ -61,10 +77,8 @@ def sketch(df: DataFrame, keys: list[str], text: str, banding: hmh.Banding) -> D
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "__text"):
-                grams, offs, prints = _nodes_of(column(part, "__text"))
-                sig = hmh.signatures(grams, offs, banding)
-                cells = list_binary(sig.ravel(), np.arange(len(sig) + 1) * banding.registers)
-                yield pa.RecordBatch.from_arrays([column(part, k) for k in keys] + [pa.array(np.diff(offs), pa.int64()), _fingerprint_cells(prints), cells], names=[*keys, "n_shingles", "node", "sig"])
+                cells = sketch_cells(*shingle_sets(*word_hashes(column(part, "__text")), SHINGLE), banding)
+                yield pa.RecordBatch.from_arrays([*(column(part, k) for k in keys), *cells], names=[*keys, "n_shingles", "node", "sig"])
 
     return df.mapInArrow(run, schema)
 
@@ -227,7 +241,7 @@ def _tile_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
 
-def _texts(df: DataFrame, wanted: DataFrame, keys: list[str], text: str) -> DataFrame:
+def texts_of(df: DataFrame, wanted: DataFrame, keys: list[str], text: str) -> DataFrame:
     """(id, text) of the wanted nodes, read again: a text compresses far better than its set of hashes.
 
     `wanted` has id, node and the keys of one row; rows of equal keys with another
@@ -242,31 +256,37 @@ def _texts(df: DataFrame, wanted: DataFrame, keys: list[str], text: str) -> Data
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "__text"):
-                _, _, prints = _nodes_of(column(part, "__text"))
-                same = np.array([x == y for x, y in zip(_fingerprint_cells(prints).to_pylist(), column(part, "__node").to_pylist())], dtype=bool)
-                mask = pa.array(same)
+                mask = same_node(column(part, "__text"), column(part, "__node"))
                 yield pa.RecordBatch.from_arrays([column(part, "id").filter(mask), column(part, "__text").filter(mask)], names=["id", "text"])
 
     # rows that repeat keys and text are equal
-    return checkpoint(rows.mapInArrow(run, "id bigint, text string").groupBy("id").agg(F.first("text").alias("text")))
+    return rows.mapInArrow(run, "id bigint, text string").groupBy("id").agg(F.first("text").alias("text"))
 
 
-def link(df: DataFrame, keys: list[str], text: str, banding: hmh.Banding = DOCUMENTS) -> DataFrame:
-    """keys, n_shingles, node and comp of every row of `df`.
+def link(drawn: DataFrame, fetch: Callable[[DataFrame], DataFrame], banding: hmh.Banding = DOCUMENTS) -> DataFrame:
+    """The columns of `drawn` but sig, and comp.
 
-    comp is equal exactly for rows whose texts are joined by links; rows without a
-    shingle have a comp of null.  The keys should tell rows with different texts apart;
-    equal keys with different texts are still handled as separate nodes.
+    `drawn` has keys, n_shingles, node and sig of every text; `fetch` gives (id, text),
+    once each, for a frame of id, node and keys.  comp is equal exactly for rows whose
+    texts are joined by links; rows without a shingle have a comp of null.  The keys
+    should tell rows with different texts apart; equal keys with different texts are
+    still handled as separate nodes.
     """
-    drawn = checkpoint(sketch(df, keys, text, banding))
+    spark = drawn.sparkSession
+    keys = [c for c in drawn.columns if c not in ("n_shingles", "node", "sig")]
+    drawn = checkpoint(drawn)
     whole = drawn.where("n_shingles > 0")
     pick = F.max(F.struct(*keys)).alias("__key")
     nodes = whole.groupBy("node").agg(F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig"), pick)
     nodes = checkpoint(nodes.withColumn("id", F.monotonically_increasing_id()))
+    release(spark)
 
+    # a node has a row for each bucket of its, so a bucket of two rows has two nodes
     bands = nodes.select("id", "sig").mapInArrow(_bands(banding), "bucket bigint, band int, id bigint")
-    led = bands.groupBy("bucket").agg(F.min("id").alias("lead"), F.max("id").alias("last")).where("lead < last").select("bucket", "lead")
-    met = checkpoint(bands.join(led, "bucket"))
+    several = bands.groupBy("bucket").agg(F.count("*").alias("rows")).where("rows > 1").select("bucket")
+    shared = checkpoint(bands.join(several, "bucket"))
+    met = checkpoint(shared.join(shared.groupBy("bucket").agg(F.min("id").alias("lead")), "bucket"))
+    release(spark)
 
     sig = nodes.select("id", "n_shingles", "sig")
     one = sig.select(F.col("id").alias("a"), F.col("n_shingles").alias("n_a"), F.col("sig").alias("sig_a"))
@@ -275,7 +295,8 @@ def link(df: DataFrame, keys: list[str], text: str, banding: hmh.Banding = DOCUM
     star = checkpoint(star.join(one, "a").join(two, "b").mapInArrow(_estimates(banding), "a bigint, b bigint"))
 
     wanted = nodes.join(met.select("id").distinct(), "id", "left_semi").select("id", "node", *[F.col(f"__key.{k}").alias(k) for k in keys])
-    texts = _texts(df, wanted, keys, text)
+    texts = checkpoint(fetch(wanted))
+    release(spark)
     text_a = texts.select(F.col("id").alias("a"), F.col("text").alias("text_a"))
     text_b = texts.select(F.col("id").alias("b"), F.col("text").alias("text_b"))
     edges = checkpoint(star.join(text_a, "a").join(text_b, "b").mapInArrow(_confirm, "a bigint, b bigint"))

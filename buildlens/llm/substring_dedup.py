@@ -11,13 +11,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from buildlens.llm.common import bound_batches, checkpoint, column, slices, table
+from buildlens.llm.common import bound_batches, checkpoint, column, release, slices, table
 from buildlens.llm.hyperminhash import LONG, Banding
-from buildlens.llm.neardup import PERCENT, link
-from buildlens.llm.textops import hash_ranges, ngram_hashes, split_words, utf8
+from buildlens.llm.neardup import PERCENT, SHINGLE, link, same_node, sketch_cells
+from buildlens.llm.textops import hash_ranges, ngram_hashes, shingle_sets, split_words, utf8
 
 #: Paragraphs with fewer words are too short to count as repeated passages.
 MIN_WORDS = 20
@@ -28,40 +29,102 @@ PARAGRAPHS = Banding.tuned(2, PERCENT / 100, 1 - 1e-5, LONG)
 WINDOW = 31
 
 
+def _row_key() -> Column:
+    """Tells rows with equal ids and different texts apart."""
+    return F.xxhash64(F.col("doc_id").cast("bigint"), F.col("text").cast("string"))
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    bound_batches(docs.sparkSession)
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), _row_key().alias("row"), F.col("text").cast("string").alias("__text"))
+
+
+def _lines(part: pa.RecordBatch, min_words: int) -> tuple:
+    """(bytes, row offsets, words, row, number, begin, end, first word, end word) of the lines of enough words of a slice."""
+    data, offs = utf8(column(part, "__text"))
+    words = split_words(column(part, "__text"))
+    breaks = np.flatnonzero(data == 10)
+    # a line begins with its row or behind a break of it; one behind a closing break is empty
+    row = np.concatenate([np.arange(len(offs) - 1), np.searchsorted(offs[1:], breaks, side="right")])
+    begin = np.concatenate([offs[:-1], breaks + 1])
+    order = np.lexsort((begin, row))
+    begin, row = begin[order], row[order]
+    last = np.append(row[1:] != row[:-1], True) if len(row) else np.zeros(0, bool)
+    end = np.where(last, offs[1:][row], np.append(begin[1:], 0) - 1)
+    number = np.arange(len(begin)) - np.searchsorted(row, row)
+    first, to = np.searchsorted(words.start, begin), np.searchsorted(words.start, end)
+    keep = np.flatnonzero(to - first >= min_words)
+    return data, offs, words, row[keep], number[keep], begin[keep], end[keep], first[keep], to[keep]
+
+
+_PLACE = "doc_id bigint, row bigint, paragraph int, start_byte bigint, end_byte bigint, n_words bigint"
+
+
+def _place(part: pa.RecordBatch, lines: tuple) -> list[pa.Array]:
+    _, offs, _, row, number, begin, end, first, to = lines
+    owner = pa.array(row)
+    return [column(part, "doc_id").take(owner), column(part, "row").take(owner), pa.array(number.astype(np.int32)), pa.array(begin - offs[row]), pa.array(end - offs[row]), pa.array((to - first).astype(np.int64))]
+
+
 def paragraphs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """doc_id, paragraph, start_byte, end_byte, n_words, text of the \\n-split lines with enough words.
+    """doc_id, row, paragraph, start_byte, end_byte, n_words, text of the \\n-split lines with enough words.
 
-    `paragraph` counts all lines of the text from 0; byte offsets are of the UTF-8 text.
-    Null and empty texts have no paragraph.
+    `paragraph` counts all lines of the text from 0; byte offsets are of the UTF-8 text;
+    `row` is equal for rows of equal id and text.  Null and empty texts have no paragraph.
     """
-    bound_batches(docs.sparkSession)
-    docs = docs.selectExpr("cast(doc_id as bigint) doc_id", "cast(text as string) __text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "__text"):
+                lines = _lines(part, min_words)
+                raw = lines[0].tobytes()
+                text = pa.array([raw[a:b] for a, b in zip(lines[5].tolist(), lines[6].tolist())], pa.binary()).cast(pa.string())
+                yield pa.RecordBatch.from_arrays([*_place(part, lines), text], names=["doc_id", "row", "paragraph", "start_byte", "end_byte", "n_words", "text"])
+
+    return _keyed(docs).mapInArrow(run, _PLACE + ", text string")
+
+
+def _sketched(docs: DataFrame, min_words: int) -> DataFrame:
+    """The paragraphs' places and sketches, without their texts: words are hashed once a text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "__text"):
+                lines = _lines(part, min_words)
+                _, _, words, _, _, _, _, first, to = lines
+                size = to - first
+                rows = np.concatenate([[0], np.cumsum(size)])
+                at = np.arange(rows[-1]) + np.repeat(first - rows[:-1], size)
+                h = hash_ranges(words.data, words.start, words.end)[at]
+                cells = sketch_cells(*shingle_sets(h, rows, SHINGLE), PARAGRAPHS)
+                yield pa.RecordBatch.from_arrays([*_place(part, lines), *cells], names=["doc_id", "row", "paragraph", "start_byte", "end_byte", "n_words", "n_shingles", "node", "sig"])
+
+    return _keyed(docs).mapInArrow(run, _PLACE + ", n_shingles bigint, node binary, sig binary")
+
+
+def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(id, text) of wanted paragraphs; `wanted` has id, node and a paragraph's place."""
+    spans = wanted.groupBy(F.col("row").alias("__row")).agg(F.collect_list(F.struct("id", "node", "start_byte", "end_byte")).alias("spans"))
+    rows = _keyed(docs).join(spans, F.col("row") == F.col("__row")).select("__text", "spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "__text"):
                 data, offs = utf8(column(part, "__text"))
-                words = split_words(column(part, "__text"), lower=False).start
-                breaks = np.flatnonzero(data == 10)
-                # a line begins with its row or behind a break of it; one behind a closing break is empty
-                row = np.concatenate([np.arange(len(offs) - 1), np.searchsorted(offs[1:], breaks, side="right")])
-                begin = np.concatenate([offs[:-1], breaks + 1])
-                order = np.lexsort((begin, row))
-                begin, row = begin[order], row[order]
-                last = np.append(row[1:] != row[:-1], True) if len(row) else np.zeros(0, bool)
-                end = np.where(last, offs[1:][row], np.append(begin[1:], 0) - 1)
-                number = np.arange(len(begin)) - np.searchsorted(row, row)
-                n = np.searchsorted(words, end) - np.searchsorted(words, begin)
-                keep = np.flatnonzero(n >= min_words)
                 raw = data.tobytes()
-                text = pa.array([raw[a:b] for a, b in zip(begin[keep].tolist(), end[keep].tolist())], pa.binary()).cast(pa.string())
-                base = offs[row[keep]]
-                yield pa.RecordBatch.from_arrays(
-                    [column(part, "doc_id").take(pa.array(row[keep])), pa.array(number[keep].astype(np.int32)), pa.array(begin[keep] - base), pa.array(end[keep] - base), pa.array(n[keep].astype(np.int64)), text],
-                    names=["doc_id", "paragraph", "start_byte", "end_byte", "n_words", "text"],
-                )
+                spans = column(part, "spans")
+                flat, n = spans.flatten(), pc.list_value_length(spans).to_numpy()
+                base = np.repeat(offs[:-1], n)
+                begin, end = flat.field("start_byte").to_numpy() + base, flat.field("end_byte").to_numpy() + base
+                text = pa.array([raw[a:b] for a, b in zip(begin.tolist(), end.tolist())], pa.binary())
+                valid = pa.array(end <= np.repeat(offs[1:], n))  # another text of the same row key may be shorter
+                text, ids, nodes = text.filter(valid), flat.field("id").filter(valid), flat.field("node").filter(valid)
+                text = pa.array([x.decode("utf-8", "replace") for x in text.to_pylist()], pa.string())
+                mask = same_node(text, nodes)
+                yield pa.RecordBatch.from_arrays([ids.filter(mask), text.filter(mask)], names=["id", "text"])
 
-    return docs.mapInArrow(run, "doc_id bigint, paragraph int, start_byte bigint, end_byte bigint, n_words bigint, text string")
+    # rows that repeat id and text give equal paragraphs
+    return rows.mapInArrow(run, "id bigint, text string").groupBy("id").agg(F.first("text").alias("text"))
 
 
 def winnowed(grams: np.ndarray, rows: np.ndarray, window: int = WINDOW) -> np.ndarray:
@@ -78,15 +141,8 @@ def winnowed(grams: np.ndarray, rows: np.ndarray, window: int = WINDOW) -> np.nd
     return np.unique(at[row[:n] == row[window - 1 :]])
 
 
-def _row_key():
-    """Tells rows with equal ids and different texts apart."""
-    return F.xxhash64(F.col("doc_id").cast("bigint"), F.col("text").cast("string"))
-
-
 def chosen_grams(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """doc_id, row, word, start_byte, end_byte, gram: the winnowed grams of min_words words of whole texts."""
-    bound_batches(docs.sparkSession)
-    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), _row_key().alias("row"), F.col("text").cast("string").alias("__text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -109,13 +165,12 @@ def chosen_grams(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
                     names=["doc_id", "row", "word", "start_byte", "end_byte", "gram"],
                 )
 
-    return docs.mapInArrow(run, "doc_id bigint, row bigint, word bigint, start_byte bigint, end_byte bigint, gram bigint")
+    return _keyed(docs).mapInArrow(run, "doc_id bigint, row bigint, word bigint, start_byte bigint, end_byte bigint, gram bigint")
 
 
 def _linked_lines(docs: DataFrame, min_words: int) -> DataFrame:
-    parts = paragraphs(docs, min_words)
-    keys = ["doc_id", "paragraph", "start_byte", "end_byte", "n_words"]
-    rows = link(parts, keys, "text", PARAGRAPHS).select(*keys, "comp")
+    keys = ["doc_id", "row", "paragraph", "start_byte", "end_byte", "n_words"]
+    rows = link(_sketched(docs, min_words), lambda wanted: _texts(docs, wanted), PARAGRAPHS).select(*keys, "comp")
     first = rows.groupBy("comp").agg(F.min(F.struct("doc_id", "paragraph")).alias("first"), F.count("*").alias("members")).where("members > 1")
     out = rows.join(first, "comp")
     out = out.select(*keys, F.col("first.doc_id").alias("cluster_doc_id"), F.col("first.paragraph").alias("cluster_paragraph"))
@@ -130,6 +185,7 @@ def _equal_runs(docs: DataFrame, lines: DataFrame, min_words: int) -> DataFrame:
     one holder, a window apart at most, are one run, as are overlapping ones.
     """
     grams = checkpoint(chosen_grams(docs, min_words))
+    release(docs.sparkSession)
     place = F.struct("doc_id", "row", "word")
     held = grams.groupBy("gram").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first < last").select("gram", "first")
     shared = grams.join(held, "gram").select("doc_id", "row", "word", "start_byte", "end_byte", F.col("first.doc_id").alias("cluster_doc_id"), F.col("first.row").alias("of"), (F.col("word") - F.col("first.word")).alias("shift"))
@@ -143,8 +199,8 @@ def _equal_runs(docs: DataFrame, lines: DataFrame, min_words: int) -> DataFrame:
         F.first("doc_id").alias("doc_id"), F.min("start_byte").alias("start_byte"), F.max("end_byte").alias("end_byte"), (F.max("word") - F.min("word") + min_words).alias("n_words"),
         F.first("cluster_doc_id").alias("cluster_doc_id"), F.first("removed").alias("removed"),
     )
-    line = lines.select(F.col("doc_id").alias("__id"), F.col("start_byte").alias("__start"), F.col("end_byte").alias("__end"))
-    runs = runs.join(line, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("start_byte") >= F.col("__start")) & (F.col("end_byte") <= F.col("__end")), "left_anti")
+    line = lines.select(F.col("row").alias("__row"), F.col("start_byte").alias("__start"), F.col("end_byte").alias("__end")).distinct()
+    runs = runs.join(line, (F.col("row") == F.col("__row")) & (F.col("start_byte") >= F.col("__start")) & (F.col("end_byte") <= F.col("__end")), "left_anti")
     none = F.lit(None).cast("int")
     return runs.select("doc_id", none.alias("paragraph"), "start_byte", "end_byte", "n_words", "cluster_doc_id", none.alias("cluster_paragraph"), "removed", "row")
 
@@ -166,7 +222,7 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     The least doc_id that has its words keeps them, and is named as the cluster.
     """
     lines = _linked_lines(docs, min_words)
-    return lines.unionByName(_equal_runs(docs, lines, min_words).drop("row"))
+    return lines.unionByName(_equal_runs(docs, lines, min_words)).drop("row")
 
 
 def _cut(text, gone, cuts):
@@ -196,9 +252,9 @@ def _cut(text, gone, cuts):
 def drop_repeated(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """`docs` with removed paragraphs and runs cut out of the texts; all rows and columns stay."""
     lines = _linked_lines(docs, min_words)
-    gone = lines.where("removed").groupBy("doc_id").agg(F.collect_set("paragraph").alias("__gone")).withColumnRenamed("doc_id", "__id")
+    gone = lines.where("removed").groupBy(F.col("row").alias("__id")).agg(F.collect_set("paragraph").alias("__gone"))
     cuts = _equal_runs(docs, lines, min_words).where("removed").groupBy("row").agg(F.collect_list(F.struct("start_byte", "end_byte")).alias("__cuts")).withColumnRenamed("row", "__row")
-    joined = docs.join(gone, F.col("doc_id").cast("bigint").eqNullSafe(F.col("__id")), "left").join(cuts, _row_key() == F.col("__row"), "left")
+    joined = docs.join(gone, _row_key() == F.col("__id"), "left").join(cuts, _row_key() == F.col("__row"), "left")
     kept = F.when(F.col("__gone").isNull() & F.col("__cuts").isNull() | F.col("text").isNull(), F.col("text")).otherwise(F.udf(_cut, "string")("text", "__gone", "__cuts"))
     return joined.withColumn("text", kept).select(*docs.columns)
 
