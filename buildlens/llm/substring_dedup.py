@@ -184,10 +184,10 @@ def _equal_runs(docs: DataFrame, lines: DataFrame, min_words: int) -> DataFrame:
     The first holder of a gram keeps it.  Grams of a text that lie alike to those of
     one holder, a window apart at most, are one run, as are overlapping ones.
     """
-    grams = checkpoint(chosen_grams(docs, min_words))
     release(docs.sparkSession)
+    grams = chosen_grams(docs, min_words)
     place = F.struct("doc_id", "row", "word")
-    held = grams.groupBy("gram").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first < last").select("gram", "first")
+    held = grams.groupBy("gram").agg(F.min(place).alias("first"), F.count("*").alias("places")).where("places > 1").select("gram", "first")
     shared = grams.join(held, "gram").select("doc_id", "row", "word", "start_byte", "end_byte", F.col("first.doc_id").alias("cluster_doc_id"), F.col("first.row").alias("of"), (F.col("word") - F.col("first.word")).alias("shift"))
     shared = shared.withColumn("removed", (F.col("of") != F.col("row")) | (F.col("shift") != 0))
     order = Window.partitionBy("row").orderBy("word")

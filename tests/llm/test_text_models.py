@@ -221,12 +221,14 @@ def plain_ppm(train, text, order=lm_scoring.ORDER):
     return total
 
 
-def test_lm_brute_force(spark):
+@pytest.mark.parametrize("head", [lm_scoring.HEAD_GRAMS, 20, 0])
+def test_lm_brute_force(spark, head):
+    """Whatever goes to the tasks, the scores are those of the whole trie."""
     rng = random.Random(3)
     texts = [" ".join(rng.choice(["the", "river", "stone", "Ran", "on", "é", "x"]) for _ in range(rng.randint(0, 30))) for _ in range(40)] + ["", None, " \n ", "the " * 3000]
     rows = list(enumerate(texts)) + [(0, texts[0]), (None, "the end")]
     docs = spark.createDataFrame([(*r, 0) for r in rows], DOC + ", score int")
-    got = lm_scoring.score_documents(docs, F.coalesce(F.col("doc_id") % 3, F.lit(0)) != 1, head_words=2).collect()
+    got = lm_scoring.score_documents(docs, F.coalesce(F.col("doc_id") % 3, F.lit(0)) != 1, head_grams=head, head_words=2).collect()
     train = [t or "" for k, t in rows if (k or 0) % 3 != 1]
     counts = Counter(w for t in train for w in WORD.findall(lower(t)))
     n, v = sum(counts.values()) + len(train), len(counts) + 1
