@@ -55,11 +55,14 @@ def fingerprint_cells(prints: np.ndarray) -> pa.Array:
     return list_binary(np.ascontiguousarray(prints).ravel(), np.arange(n + 1) * 2)
 
 
-def sketch_cells(grams: np.ndarray, offs: np.ndarray, banding: hmh.Banding) -> list[pa.Array]:
-    """Columns n_shingles, node and sig of sets."""
+def sketch_cells(grams: np.ndarray, offs: np.ndarray, banding: hmh.Banding | None) -> list[pa.Array]:
+    """Columns n_shingles, node and, with a banding, sig of sets."""
     _, _, prints = fingerprinted(grams, offs)
+    cells = [pa.array(np.diff(offs), pa.int64()), fingerprint_cells(prints)]
+    if banding is None:
+        return cells
     sig = hmh.signatures(grams, offs, banding)
-    return [pa.array(np.diff(offs), pa.int64()), fingerprint_cells(prints), list_binary(sig.ravel(), np.arange(len(sig) + 1) * banding.registers)]
+    return [*cells, list_binary(sig.ravel(), np.arange(len(sig) + 1) * banding.registers)]
 
 
 def same_node(texts: pa.Array, nodes: pa.Array) -> pa.Array:
@@ -68,17 +71,18 @@ def same_node(texts: pa.Array, nodes: pa.Array) -> pa.Array:
     return pa.array([x == y for x, y in zip(fingerprint_cells(prints).to_pylist(), nodes.to_pylist())], pa.bool_())
 
 
-def sketch(df: DataFrame, keys: list[str], text: str, banding: hmh.Banding) -> DataFrame:
-    """keys, n_shingles, node (fingerprint of the set), sig (registers) of every row."""
+def sketch(df: DataFrame, keys: list[str], text: str, banding: hmh.Banding | None) -> DataFrame:
+    """keys, n_shingles, node (fingerprint of the set) and, with a banding, sig (registers) of every row."""
     bound_batches(df.sparkSession)
     df = df.select(*keys, F.col(text).cast("string").alias("__text"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields[:-1]) + ", n_shingles bigint, node binary, sig binary"
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields[:-1]) + ", n_shingles bigint, node binary" + ", sig binary" * (banding is not None)
+    names = [*keys, "n_shingles", "node", *["sig"] * (banding is not None)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "__text"):
                 cells = sketch_cells(*shingle_sets(*word_hashes(column(part, "__text")), SHINGLE), banding)
-                yield pa.RecordBatch.from_arrays([*(column(part, k) for k in keys), *cells], names=[*keys, "n_shingles", "node", "sig"])
+                yield pa.RecordBatch.from_arrays([*(column(part, k) for k in keys), *cells], names=names)
 
     return df.mapInArrow(run, schema)
 
@@ -263,10 +267,11 @@ def texts_of(df: DataFrame, wanted: DataFrame, keys: list[str], text: str) -> Da
     return rows.mapInArrow(run, "id bigint, text string").groupBy("id").agg(F.first("text").alias("text"))
 
 
-def link(drawn: DataFrame, fetch: Callable[[DataFrame], DataFrame], banding: hmh.Banding = DOCUMENTS) -> DataFrame:
-    """The columns of `drawn` but sig, and comp.
+def link(drawn: DataFrame, rows: DataFrame, fetch: Callable[[DataFrame], DataFrame], banding: hmh.Banding = DOCUMENTS) -> DataFrame:
+    """The columns of `rows`, and comp.
 
-    `drawn` has keys, n_shingles, node and sig of every text; `fetch` gives (id, text),
+    `drawn` has keys, n_shingles, node and sig of every text, `rows` the same but sig
+    (large registers are not kept on disk till the end for them); `fetch` gives (id, text),
     once each, for a frame of id, node and keys.  comp is equal exactly for rows whose
     texts are joined by links; rows without a shingle have a comp of null.  The keys
     should tell rows with different texts apart; equal keys with different texts are
@@ -274,7 +279,6 @@ def link(drawn: DataFrame, fetch: Callable[[DataFrame], DataFrame], banding: hmh
     """
     spark = drawn.sparkSession
     keys = [c for c in drawn.columns if c not in ("n_shingles", "node", "sig")]
-    drawn = checkpoint(drawn)
     whole = drawn.where("n_shingles > 0")
     pick = F.max(F.struct(*keys)).alias("__key")
     nodes = whole.groupBy("node").agg(F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig"), pick)
@@ -319,4 +323,4 @@ def link(drawn: DataFrame, fetch: Callable[[DataFrame], DataFrame], banding: hmh
     merged = connected_components(lifted.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")))
     final = nodes.select("node", "id").join(label, "id", "left").select("node", F.coalesce("comp", "id").alias("mid"))
     final = final.join(merged.select(F.col("id").alias("mid"), F.col("comp").alias("top")), "mid", "left").select("node", F.coalesce("top", "mid").alias("comp"))
-    return drawn.drop("sig").join(final, "node", "left").withColumn("comp", F.when(F.col("n_shingles") > 0, F.col("comp")))
+    return rows.join(final, "node", "left").withColumn("comp", F.when(F.col("n_shingles") > 0, F.col("comp")))

@@ -84,8 +84,9 @@ def paragraphs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     return _keyed(docs).mapInArrow(run, _PLACE + ", text string")
 
 
-def _sketched(docs: DataFrame, min_words: int) -> DataFrame:
+def _sketched(docs: DataFrame, min_words: int, banding: Banding | None) -> DataFrame:
     """The paragraphs' places and sketches, without their texts: words are hashed once a text."""
+    names = ["doc_id", "row", "paragraph", "start_byte", "end_byte", "n_words", "n_shingles", "node", *["sig"] * (banding is not None)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -96,10 +97,10 @@ def _sketched(docs: DataFrame, min_words: int) -> DataFrame:
                 rows = np.concatenate([[0], np.cumsum(size)])
                 at = np.arange(rows[-1]) + np.repeat(first - rows[:-1], size)
                 h = hash_ranges(words.data, words.start, words.end)[at]
-                cells = sketch_cells(*shingle_sets(h, rows, SHINGLE), PARAGRAPHS)
-                yield pa.RecordBatch.from_arrays([*_place(part, lines), *cells], names=["doc_id", "row", "paragraph", "start_byte", "end_byte", "n_words", "n_shingles", "node", "sig"])
+                cells = sketch_cells(*shingle_sets(h, rows, SHINGLE), banding)
+                yield pa.RecordBatch.from_arrays([*_place(part, lines), *cells], names=names)
 
-    return _keyed(docs).mapInArrow(run, _PLACE + ", n_shingles bigint, node binary, sig binary")
+    return _keyed(docs).mapInArrow(run, _PLACE + ", n_shingles bigint, node binary" + ", sig binary" * (banding is not None))
 
 
 def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -170,7 +171,7 @@ def chosen_grams(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 
 def _linked_lines(docs: DataFrame, min_words: int) -> DataFrame:
     keys = ["doc_id", "row", "paragraph", "start_byte", "end_byte", "n_words"]
-    rows = link(_sketched(docs, min_words), lambda wanted: _texts(docs, wanted), PARAGRAPHS).select(*keys, "comp")
+    rows = link(_sketched(docs, min_words, PARAGRAPHS), _sketched(docs, min_words, None), lambda wanted: _texts(docs, wanted), PARAGRAPHS).select(*keys, "comp")
     first = rows.groupBy("comp").agg(F.min(F.struct("doc_id", "paragraph")).alias("first"), F.count("*").alias("members")).where("members > 1")
     out = rows.join(first, "comp")
     out = out.select(*keys, F.col("first.doc_id").alias("cluster_doc_id"), F.col("first.paragraph").alias("cluster_paragraph"))
@@ -187,7 +188,9 @@ def _equal_runs(docs: DataFrame, lines: DataFrame, min_words: int) -> DataFrame:
     release(docs.sparkSession)
     grams = chosen_grams(docs, min_words)
     place = F.struct("doc_id", "row", "word")
-    held = grams.groupBy("gram").agg(F.min(place).alias("first"), F.count("*").alias("places")).where("places > 1").select("gram", "first")
+    # written first: a join of two plain shuffles can be split where a gram is very common
+    held = checkpoint(grams.groupBy("gram").agg(F.min(place).alias("first"), F.count("*").alias("places")).where("places > 1").select("gram", "first"))
+    release(docs.sparkSession)
     shared = grams.join(held, "gram").select("doc_id", "row", "word", "start_byte", "end_byte", F.col("first.doc_id").alias("cluster_doc_id"), F.col("first.row").alias("of"), (F.col("word") - F.col("first.word")).alias("shift"))
     shared = shared.withColumn("removed", (F.col("of") != F.col("row")) | (F.col("shift") != 0))
     order = Window.partitionBy("row").orderBy("word")
@@ -252,11 +255,13 @@ def _cut(text, gone, cuts):
 def drop_repeated(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """`docs` with removed paragraphs and runs cut out of the texts; all rows and columns stay."""
     lines = _linked_lines(docs, min_words)
-    gone = lines.where("removed").groupBy(F.col("row").alias("__id")).agg(F.collect_set("paragraph").alias("__gone"))
-    cuts = _equal_runs(docs, lines, min_words).where("removed").groupBy("row").agg(F.collect_list(F.struct("start_byte", "end_byte")).alias("__cuts")).withColumnRenamed("row", "__row")
-    joined = docs.join(gone, _row_key() == F.col("__id"), "left").join(cuts, _row_key() == F.col("__row"), "left")
+    gone = lines.where("removed").groupBy(F.col("row").alias("__gone_row")).agg(F.collect_set("paragraph").alias("__gone"))
+    cuts = _equal_runs(docs, lines, min_words).where("removed").groupBy("row").agg(F.collect_list(F.struct("start_byte", "end_byte")).alias("__cuts")).withColumnRenamed("row", "__cut_row")
+    names = docs.columns
+    docs = docs.select(F.struct("*").alias("__doc"), F.col("doc_id"), F.col("text"))  # other columns keep any names
+    joined = docs.join(gone, _row_key() == F.col("__gone_row"), "left").join(cuts, _row_key() == F.col("__cut_row"), "left")
     kept = F.when(F.col("__gone").isNull() & F.col("__cuts").isNull() | F.col("text").isNull(), F.col("text")).otherwise(F.udf(_cut, "string")("text", "__gone", "__cuts"))
-    return joined.withColumn("text", kept).select(*docs.columns)
+    return joined.select(*[(kept if c == "text" else F.col("__doc").getField(c)).alias(c) for c in names])
 
 
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
