@@ -1,8 +1,11 @@
 """Quality rules: a linear-chain conditional random field marks lines as content or boilerplate.
 
 Lines with a word are a sequence; Viterbi decoding finds the likeliest labels, and a
-document is kept if content lines hold enough of its words.  The field is trained here,
-on labelled documents: every line bears its document's label.
+document is kept if content lines hold enough of its words.  The field is trained here.
+Labels are of documents, states of lines, so it learns from two kinds of sequences: whole
+labelled documents, and pages spliced of runs of lines of good and of bad documents, in
+which states change.  A second fit lets the first one correct lines of bad documents that
+look like content: a bad document needs no bad line everywhere.
 """
 
 from __future__ import annotations
@@ -19,9 +22,11 @@ from buildlens.llm.quality_gam import labelled
 from buildlens.llm.textops import segment_reduce
 from buildlens.llm.textstats import Stats, measure
 
-#: Labelled documents that the field is fitted on at most, in windows of WINDOW lines.
+#: Labelled documents that the field is fitted on at most; all their lines count, in windows of WINDOW.
 SAMPLE = 4_000
 WINDOW = 48
+RUN = 6  # lines of a run in a spliced page on average
+SURE = 0.9  # probability of content at which a line of a bad document is taken for content
 STEPS = 120
 SHARE = 0.5  # of words in content lines, for a document to be kept
 MIN_WORDS = 50
@@ -80,48 +85,128 @@ def _logsum(a: np.ndarray, axis: int) -> np.ndarray:
     return (m + np.log(np.exp(a - m).sum(axis=axis, keepdims=True))).squeeze(axis)
 
 
-def fit(x: np.ndarray, mask: np.ndarray, y: np.ndarray, steps: int = STEPS, ridge: float = 1e-3) -> Field:
-    """Maximum likelihood by gradient steps (Adam).  x: (sequences, window, features); y: one state a sequence."""
-    n, width, f = x.shape
-    if n == 0 or len(np.unique(y)) < 2:
+@dataclass
+class Sequences:
+    """Windows of about equal length: features, presence, states, whether a text begins there, weight."""
+
+    x: np.ndarray
+    mask: np.ndarray
+    y: np.ndarray
+    first: np.ndarray
+    weight: np.ndarray
+
+    @staticmethod
+    def of(lines: list[np.ndarray], states: list[np.ndarray], first: list[bool], weight: list[float]) -> list[Sequences]:
+        """Padded by lengths of 4, 8, 16 ... so that short texts cost little."""
+        size = np.array([len(v) for v in lines], dtype=np.int64)
+        out, low, width = [], 0, 4
+        while low < (size.max() if len(size) else 0):
+            some = np.flatnonzero((size > low) & (size <= width))
+            if len(some):
+                x = np.zeros((len(some), width, lines[0].shape[1]))
+                mask, y = np.zeros((len(some), width)), np.zeros((len(some), width), np.int64)
+                for k, i in enumerate(some.tolist()):
+                    x[k, : size[i]], mask[k, : size[i]], y[k, : size[i]] = lines[i], 1, states[i]
+                out.append(Sequences(x, mask, y, np.array(first, dtype=np.float64)[some], np.array(weight)[some]))
+            low, width = width, 2 * width
+        return out
+
+
+def _posterior(field: Field, s: Sequences) -> tuple[np.ndarray, np.ndarray]:
+    """Probabilities of states and of neighbouring pairs, by the forward and backward sums."""
+    n, width, _ = s.x.shape
+    both = s.mask[:, 1:] * s.mask[:, :-1]
+    e = s.x @ field.emit
+    alpha, beta = np.empty((n, width, 2)), np.zeros((n, width, 2))
+    alpha[:, 0] = s.first[:, None] * field.start + e[:, 0]
+    for t in range(1, width):
+        a = _logsum(alpha[:, t - 1, :, None] + field.move, 1) + e[:, t]
+        alpha[:, t] = np.where(s.mask[:, t, None] > 0, a, alpha[:, t - 1])
+    for t in range(width - 2, -1, -1):
+        b = _logsum(field.move[None] + (e[:, t + 1] + beta[:, t + 1])[:, None, :], 2)
+        beta[:, t] = np.where(s.mask[:, t + 1, None] > 0, b, 0.0)
+    z = _logsum(alpha[:, -1], 1)
+    node = np.exp(alpha + beta - z[:, None, None]) * s.mask[:, :, None]
+    pair = np.exp(alpha[:, :-1, :, None] + field.move + (e[:, 1:] + beta[:, 1:])[:, :, None, :] - z[:, None, None, None]) * both[:, :, None, None]
+    return node, pair
+
+
+def fit(batches: list[Sequences], steps: int = STEPS, ridge: float = 1e-3) -> Field:
+    """Maximum likelihood by gradient steps (Adam); without lines of both states all is content."""
+    seen = {int(v) for s in batches for v in np.unique(s.y[s.mask > 0])}
+    if len(seen) < 2:
+        f = batches[0].x.shape[2] if batches else len(line_features(measure(pa.array(["a"])))[0])
         return Field(np.stack([np.zeros(f), np.eye(f)[0]], axis=1), np.zeros((2, 2)), np.zeros(2))
+    f = batches[0].x.shape[2]
     theta = np.zeros(2 * f + 6)
-    gold = np.zeros((n, width, 2))
-    gold[np.arange(n), :, y] = mask
-    weight = np.where(y == 1, 0.5 / max((y == 1).mean(), 1e-9), 0.5 / max((y == 0).mean(), 1e-9))  # classes count alike
-    total = float((mask * weight[:, None]).sum())
-    gold_move = np.zeros((2, 2))
-    both = mask[:, 1:] * mask[:, :-1]
-    for k in (0, 1):
-        gold_move[k, k] = (both * weight[:, None])[y == k].sum()
-    gold_start = np.array([weight[y == k].sum() for k in (0, 1)])
+    total = sum(float((s.mask * s.weight[:, None]).sum()) for s in batches)
+    gold = []
+    for s in batches:
+        node = np.stack([(s.y == k) * s.mask for k in (0, 1)], axis=2)
+        pair = node[:, :-1, :, None] * node[:, 1:, None, :]
+        gold.append((node, np.einsum("ntij,n->ij", pair, s.weight), np.einsum("nk,n->k", node[:, 0], s.weight * s.first)))
     m1, m2 = np.zeros_like(theta), np.zeros_like(theta)
+    unpack = lambda v: Field(v[: 2 * f].reshape(f, 2), v[2 * f : 2 * f + 4].reshape(2, 2), v[2 * f + 4 :])
     for step in range(1, steps + 1):
-        emit, move, start = theta[: 2 * f].reshape(f, 2), theta[2 * f : 2 * f + 4].reshape(2, 2), theta[2 * f + 4 :]
-        e = x @ emit
-        alpha, beta = np.empty((n, width, 2)), np.zeros((n, width, 2))
-        alpha[:, 0] = start + e[:, 0]
-        for t in range(1, width):
-            a = _logsum(alpha[:, t - 1, :, None] + move, 1) + e[:, t]
-            alpha[:, t] = np.where(mask[:, t, None] > 0, a, alpha[:, t - 1])
-        for t in range(width - 2, -1, -1):
-            b = _logsum(move[None] + (e[:, t + 1] + beta[:, t + 1])[:, None, :], 2)
-            beta[:, t] = np.where(mask[:, t + 1, None] > 0, b, 0.0)
-        z = _logsum(alpha[:, -1], 1)
-        node = np.exp(alpha + beta - z[:, None, None]) * mask[:, :, None]
-        pair = np.exp(alpha[:, :-1, :, None] + move + (e[:, 1:] + beta[:, 1:])[:, :, None, :] - z[:, None, None, None]) * both[:, :, None, None]
-        w = weight[:, None, None]
-        grad_e = np.einsum("ntf,nts->fs", x, (gold - node) * w)
-        grad_m = gold_move - (pair * w[..., None]).sum((0, 1))
-        grad_s = gold_start - (node[:, 0] * weight[:, None]).sum(0)
+        grad_e, grad_m, grad_s = np.zeros((f, 2)), np.zeros((2, 2)), np.zeros(2)
+        for s, (node0, pair0, start0) in zip(batches, gold):
+            node, pair = _posterior(unpack(theta), s)
+            off = ((node0 - node) * s.weight[:, None, None]).reshape(-1, 2)
+            grad_e += s.x.reshape(-1, f).T @ off
+            grad_m += pair0 - np.einsum("ntij,n->ij", pair, s.weight)
+            grad_s += start0 - np.einsum("nk,n->k", node[:, 0], s.weight * s.first)
         grad = np.concatenate([grad_e.ravel(), grad_m.ravel(), grad_s]) / total - ridge * theta
         m1, m2 = 0.9 * m1 + 0.1 * grad, 0.99 * m2 + 0.01 * grad * grad
         theta = theta + 0.1 * (m1 / (1 - 0.9**step)) / (np.sqrt(m2 / (1 - 0.99**step)) + 1e-9)
-    return Field(theta[: 2 * f].reshape(f, 2), theta[2 * f : 2 * f + 4].reshape(2, 2), theta[2 * f + 4 :])
+    return unpack(theta)
+
+
+def spliced(texts: list[list[np.ndarray]], n: int, rng: np.random.Generator) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """(lines, states) of n pages: runs of lines of bad (texts[0]) and good documents (texts[1]) in turn."""
+    lines, states = [], []
+    for _ in range(n):
+        state, x, y = int(rng.integers(2)), [], []
+        for _ in range(int(rng.integers(2, 6))):
+            of = texts[state][int(rng.integers(len(texts[state])))]
+            at = int(rng.integers(len(of)))
+            run = of[at : at + int(rng.geometric(1 / RUN))]
+            x.append(run)
+            y.append(np.full(len(run), state))
+            state = 1 - state
+        lines.append(np.concatenate(x)[:WINDOW])
+        states.append(np.concatenate(y)[:WINDOW])
+    return lines, states
+
+
+def learn(texts: list[list[np.ndarray]], steps: int = STEPS, seed: int = 5) -> Field:
+    """The field of line features of bad (texts[0]) and good documents (texts[1])."""
+    if not texts[0] or not texts[1]:
+        one = [v[:WINDOW] for v in texts[0] + texts[1]]
+        return fit(Sequences.of(one, [np.ones(len(v), np.int64) for v in one], [True] * len(one), [1.0] * len(one)), steps)
+    rng = np.random.default_rng(seed)
+    total = len(texts[0]) + len(texts[1])
+    cut = [[(v[a : a + WINDOW], a == 0) for v in group for a in range(0, len(v), WINDOW)] for group in texts]
+    mixed, mixed_y = spliced(texts, total // 2, rng)
+    lines = [v for group in cut for v, _ in group] + mixed
+    first = [b for group in cut for _, b in group] + [True] * len(mixed)
+    weight = [0.5 * total / len(group) for group in cut for _ in group] + [1.0] * len(mixed)  # both labels count alike
+    states = [np.full(len(v), k) for k, group in enumerate(cut) for v, _ in group] + mixed_y
+    field = fit(Sequences.of(lines, states, first, weight), steps // 2)
+    # lines of bad documents that the first field takes for content, alone and so without their neighbours' say
+    alone = lambda v: _sigmoid(v @ (field.emit[:, 1] - field.emit[:, 0]))
+    states = [np.where((y == 0) & (alone(v) > SURE), 1, y) for v, y in zip(lines, states)]
+    return fit(Sequences.of(lines, states, first, weight), steps)
+
+
+def _sigmoid(v: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(v, -30, 30)))
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Field:
-    """Fit on labelled documents; only windows of line features reach the driver."""
+    """Fit on at most `sample` labelled documents; only their line features reach the driver.
+
+    Without labels of both kinds, or an empty table, all lines are content.
+    """
     bound_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -129,21 +214,17 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Field:
             for part in slices(batch, "__text"):
                 s = measure(column(part, "__text"))
                 x, y = line_features(s), column(part, "label").to_numpy()
-                begin = s.line_rows[:-1]
-                size = np.minimum(np.diff(s.line_rows), WINDOW)
-                some = np.flatnonzero(size > 0)
-                cells = [x[begin[i] : begin[i] + size[i]].astype(np.float32).tobytes() for i in some]
+                some = np.flatnonzero(np.diff(s.line_rows) > 0)
+                cells = [x[s.line_rows[i] : s.line_rows[i + 1]].astype(np.uint8).tobytes() for i in some]
                 yield pa.RecordBatch.from_arrays([pa.array(y[some], pa.int32()), pa.array(cells, pa.binary())], names=["label", "x"])
 
     got = labelled(docs, labels, "quality", sample).mapInArrow(run, "label int, x binary").toArrow().to_pylist()
     got.sort(key=lambda r: (r["label"], r["x"]))
     f = line_features(measure(pa.array([""]))).shape[1]
-    x = np.zeros((len(got), WINDOW, f))
-    mask = np.zeros((len(got), WINDOW))
-    for i, r in enumerate(got):
-        v = np.frombuffer(r["x"], np.float32).reshape(-1, f)
-        x[i, : len(v)], mask[i, : len(v)] = v, 1
-    return fit(x, mask, np.array([int(r["label"] > 0) for r in got], dtype=np.int64))
+    texts: list[list[np.ndarray]] = [[], []]
+    for r in got:
+        texts[int(r["label"] > 0)].append(np.frombuffer(r["x"], np.uint8).reshape(-1, f).astype(np.float64))
+    return learn(texts)
 
 
 def judge(texts: pa.Array, field: Field, share: float = SHARE) -> dict[str, np.ndarray]:
@@ -163,7 +244,9 @@ def quality_rules(docs: DataFrame, field: Field, share: float = SHARE) -> DataFr
     """Counts, base rule and verdict of every row.
 
     Null and empty texts have no words and fail the base rule.  Rows that repeat are
-    judged alike; columns other than doc_id and text are not read.
+    judged alike, also those that repeat an id with another text; ties of states go to
+    content; a text of any length is one sequence; an empty table gives an empty one.
+    Columns other than doc_id and text are not read.
     """
     bound_batches(docs.sparkSession)
     docs = docs.selectExpr("cast(doc_id as bigint) doc_id", "cast(text as string) __text")

@@ -131,25 +131,26 @@ def crossover(a: list[list[int]], b: list[list[int]], sizes: list[int], capacity
 
 
 def evolve(sizes: list[int], capacity: int, seed: int, founders: list[list[list[int]]], population: int = POPULATION, generations: int = GENERATIONS) -> list[list[int]]:
-    """The elite of one island after some generations; `founders` join the first population."""
+    """The elite of one island: the best offspring, unless a founder needs fewer bins.
+
+    Generations follow until an offspring reaches the least number of bins that the sizes
+    allow, one at least.  `founders` (the elites of an epoch before) join the population;
+    the others are best-fit packings of random orders, the first from large to small.
+    """
     rng = random.Random(seed)
     least = -(-sum(sizes) // capacity)
-    down = sorted(range(len(sizes)), key=lambda i: (-sizes[i], i))
-    people = list(founders) or [_pack(down, sizes, capacity)]
-    key = lambda s: (len(s), -fitness(s, sizes, capacity))
-    best = min(people, key=key)
-    if len(best) <= least:
-        return best
-    while len(people) < population:
-        noise = sorted(range(len(sizes)), key=lambda i: -sizes[i] * rng.uniform(0.8, 1.25))
-        people.append(_pack(noise, sizes, capacity))
-    for _ in range(generations):
-        people.sort(key=key)
-        if len(people[0]) <= least:
-            break
-        children = [crossover(*rng.sample(people, 2), sizes, capacity, rng) for _ in range(population - 1)]
+    people = [(x, 0) for x in founders]
+    while len(people) < max(population, 2):
+        spread = 1.25 if people else 1.0
+        order = sorted(range(len(sizes)), key=lambda i: (-sizes[i] * rng.uniform(1 / spread, spread), i))
+        people.append((_pack(order, sizes, capacity), 0))
+    key = lambda one: (len(one[0]), one[1] == 0, -fitness(one[0], sizes, capacity))
+    for born in range(1, generations + 1):
+        children = [(crossover(x[0], y[0], sizes, capacity, rng), born) for x, y in (rng.sample(people, 2) for _ in range(max(population - 1, 1)))]
         people = sorted(people + children, key=key)[:population]
-    return min(people, key=key)
+        if people[0][1] and len(people[0][0]) <= least:
+            break
+    return min(people, key=key)[0]
 
 
 def _bins_of(assigned: np.ndarray) -> list[list[int]]:
