@@ -28,7 +28,9 @@ def cut_pieces(docs: DataFrame, capacity: int = CAPACITY, path: str | None = Non
 
     A document is its ids and a closing 0.  Only a longer one than `capacity` is cut:
     the first piece takes the remainder, the others are full.  Null texts are empty:
-    one piece, the closing id.  Every row of `docs` counts for itself.
+    one piece, the closing id.  Every row of `docs` counts for itself.  A special text of
+    the tokenizer (its end mark) that a document spells out is its one special id, as the
+    tokenizer has it by default.
     """
     bound_batches(docs.sparkSession)
     path = path or tokens.default_path()
@@ -36,7 +38,7 @@ def cut_pieces(docs: DataFrame, capacity: int = CAPACITY, path: str | None = Non
     schema = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint" + ", ids binary" * with_ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = tokens.encoder(path)
+        enc = tokens.encoder(path, tokens.special_tokens(path))
         for batch in batches:
             for part in slices(batch, "__text"):
                 ids, offs = enc.encode(column(part, "__text"))
@@ -190,6 +192,9 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, shard: int = SHARD, island
     a shard is packed by islands, each with a population of its own, and after an
     epoch every island gets the elite of its neighbour.  The best island's packing
     is the shard's.  Nothing grows with the input but the number of shards.
+
+    Ties between packings go to the fuller bins, then to the lesser island.  Rows that
+    repeat are pieces of their own; an empty table gives an empty one.
     """
     pieces = checkpoint(pieces).withColumn("__pid", F.monotonically_increasing_id())
     n = pieces.where(F.col("length") < capacity).count()

@@ -10,11 +10,13 @@ as they are.
 from __future__ import annotations
 
 import base64
+import json
 import re
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 from buildlens.llm.textops import SPACE, as_array, hash_ranges, utf8
 
@@ -32,15 +34,17 @@ def default_path() -> str:
 
 
 class Encoder:
-    """`path` is a ranks file (one base64 token and its id a line)."""
+    """`path` is a ranks file (one base64 token and its id a line); `special` texts have ids of their own."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, special: tuple[tuple[str, int], ...] = ()):
         import public_tokenizers
         import tiktoken
 
         with open(path, "rb") as f:
             self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        self.bpe = tiktoken.Encoding("chunks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=self.ranks, special_tokens={})
+        self.bpe = tiktoken.Encoding("chunks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=self.ranks, special_tokens=dict(special))
+        self.special = re.compile("|".join(re.escape(t) for t, _ in special)) if special else None
+        self.ranks |= {t.encode(): i for t, i in special}
         self.token_bytes = np.zeros(max(self.ranks.values()) + 1, dtype=np.int64)
         for token, i in self.ranks.items():
             self.token_bytes[i] = len(token)
@@ -68,7 +72,7 @@ class Encoder:
         counts = np.zeros(len(start), dtype=np.int64)
         counts[some] = np.diff(upto, prepend=0)
         rest = np.flatnonzero(~plain)
-        own = [self.bpe.encode_ordinary(data[start[i] : end[i]].tobytes().decode("utf-8", "replace")) for i in rest]
+        own = [self.bpe.encode(data[start[i] : end[i]].tobytes().decode("utf-8", "replace"), allowed_special="all", disallowed_special=()) for i in rest]
         counts[rest] = [len(x) for x in own]
         out = np.empty(int(counts.sum()), dtype=np.uint32)
         is_plain = np.repeat(plain, counts)
@@ -120,11 +124,14 @@ class Encoder:
         ids = self.flat[np.arange(done[-1]) + np.repeat(self.ptr[which] - done[:-1], size)]
         return ids, done[np.searchsorted(start, offsets)]
 
-    @staticmethod
-    def _odd_rows(texts: pa.Array, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    def _odd_rows(self, texts: pa.Array, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """Rows that are encoded whole: odd white space and special texts join with what stands beside them."""
         lead = np.concatenate([[0], np.cumsum(_LEADS[data], dtype=np.int64)])
         maybe = np.flatnonzero(lead[offsets[1:]] > lead[offsets[:-1]])
-        return np.array([i for i in maybe if _ODD_SPACE.search(texts[int(i)].as_py())], dtype=np.int64)
+        odd = {int(i) for i in maybe if _ODD_SPACE.search(texts[int(i)].as_py())}
+        if self.special:
+            odd |= set(np.flatnonzero(pc.match_substring_regex(texts, self.special.pattern).to_numpy(zero_copy_only=False)).tolist())
+        return np.array(sorted(odd), dtype=np.int64)
 
     def decode(self, ids: np.ndarray, offsets: np.ndarray) -> pa.Array:
         """The texts of consecutive runs of ids."""
@@ -140,6 +147,13 @@ class Encoder:
         return cells.cast(pa.large_string()).cast(pa.string())
 
 
+@lru_cache(maxsize=4)
+def encoder(path: str, special: tuple[tuple[str, int], ...] = ()) -> Encoder:
+    return Encoder(path, special)
+
+
 @lru_cache(maxsize=2)
-def encoder(path: str) -> Encoder:
-    return Encoder(path)
+def special_tokens(path: str) -> tuple[tuple[str, int], ...]:
+    """The special texts that the tokenizer beside a ranks file knows, which it finds in plain texts too."""
+    with open(re.sub(r"\.tiktoken$", ".json", path), encoding="utf-8") as f:
+        return tuple((t["content"], t["id"]) for t in json.load(f).get("added_tokens", []))

@@ -55,7 +55,6 @@ def plain_pieces(rows):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     out = []
     for k, text in rows:
         ids = t.encode(text or "", add_special_tokens=False).ids + [0]
@@ -110,20 +109,52 @@ def test_genetic_operators():
     assert len(best) <= len(a)
 
 
+def test_packing_is_evolved(spark, monkeypatch):
+    """Crossover makes the result, on every island and with guests of the other one, also where a founder has the least bins."""
+    rng = random.Random(12)
+    sizes = [rng.randint(5, 600) for _ in range(400)]
+    born = []
+    crossover = packing.crossover
+    monkeypatch.setattr(packing, "crossover", lambda *a: born.append(crossover(*a)) or born[-1])
+    elites = [packing.evolve(sizes, 2048, seed, []) for seed in (1, 2)]
+    assert all(any(e is x for x in born) for e in elites)
+    both = packing.evolve(sizes, 2048, 3, elites)  # an elite and its migrant
+    assert any(both is x for x in born) and len(both) <= min(map(len, elites)) and len(both) <= -(-sum(sizes) // 2048) + 1
+    states = []
+    epoch = packing._epoch
+    monkeypatch.setattr(packing, "_epoch", lambda capacity, k: states.append(k) or epoch(capacity, k))
+    pieces = spark.createDataFrame([(k, v) for k, v in enumerate(sizes)], "doc_id bigint, length bigint")
+    assert check_places(packing.pack(pieces, islands=2, epochs=2).collect()) <= -(-sum(sizes) // 2048) + 1 and states == [0, 1]
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.lists(st.text(alphabet="ab '\n\t\u00a0é日!1<|", max_size=30), max_size=5))
 def test_encoder(texts):
     import public_tokenizers
     from tokenizers import Tokenizer
 
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    for special in (), tokens.special_tokens(tokens.default_path()):
+        _same_ids(t, special, texts)
+
+
+def _same_ids(t, special, texts):
     import pyarrow as pa
 
-    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
-    ids, offs = tokens.encoder(tokens.default_path()).encode(pa.array(texts, pa.string()))
+    t.encode_special_tokens = not special
+    ids, offs = tokens.encoder(tokens.default_path(), special).encode(pa.array(texts, pa.string()))
     assert [ids[a:b].tolist() for a, b in zip(offs[:-1], offs[1:])] == [t.encode(x, add_special_tokens=False).ids for x in texts]
 
 
+def test_encoder_special_texts():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    for special in (), tokens.special_tokens(tokens.default_path()):
+        _same_ids(t, special, ["a <|endoftext|> b", "<|endoftext|><|endoftext|>", "x<|endoftext|>\n y", "plain text", "", "a\u00a0<|endoftext|>"])
+
+
 # --- op10 ---
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var x = "<p>no</p>";</script></head><body>

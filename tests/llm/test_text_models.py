@@ -58,6 +58,31 @@ def test_line_crf_accuracy(spark):
     assert not right[0] or np.mean(right[0]) > 0.6
 
 
+def test_mixed_documents_decode_as_mixed():
+    """Pages spliced of runs of lines of documents that were not learned from."""
+    import pyarrow.parquet as pq
+
+    from buildlens.llm.textstats import measure
+
+    d = "/root/testdata/sf0.1"
+    docs, labels = pq.read_table(f"{d}/documents.parquet", columns=["doc_id", "text"]).to_pylist(), {r["doc_id"]: r["quality"] for r in pq.read_table(f"{d}/labels.parquet").to_pylist()}
+    some = [r for r in docs if r["doc_id"] in labels and r["text"]]
+    groups = {(fold, q): [r["text"] for r in some if (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0) == fold and labels[r["doc_id"]] == q][:400] for fold in (False, True) for q in (0, 1)}
+
+    def lines(texts):
+        s = measure(pa.array(texts))
+        x = line_crf.line_features(s).astype(float)
+        return [x[a:b] for a, b in zip(s.line_rows[:-1], s.line_rows[1:]) if b > a]
+
+    field = line_crf.learn([lines(groups[False, 0]), lines(groups[False, 1])], steps=60)
+    pages, states = line_crf.spliced([lines(groups[True, 0]), lines(groups[True, 1])], 200, np.random.default_rng(9))
+    rows = np.concatenate([[0], np.cumsum([len(p) for p in pages])])
+    got, want = field.viterbi(np.concatenate(pages), rows), np.concatenate(states)
+    assert (got == want).mean() > 0.75 and (got == 1)[want == 1].mean() > 0.75
+    mixed = [0 < got[a:b].sum() < b - a for a, b, y in zip(rows[:-1], rows[1:], states) if 0 < y.sum() < len(y)]
+    assert np.mean(mixed) > 0.6
+
+
 def test_viterbi_brute_force():
     rng = np.random.default_rng(1)
     field = line_crf.Field(rng.normal(size=(3, 2)), rng.normal(size=(2, 2)), rng.normal(size=2))
