@@ -31,7 +31,7 @@ def command_parts(commands: DataFrame) -> DataFrame:
 
 def wall_time(time: Column) -> Column:
     """(valid, value): whether a number is a time in seconds at all; null stays null."""
-    valid = ~(F.isnan(time) | (time < 0) | (F.abs(time) >= TOO_LONG))
+    valid = ~(F.isnan(time) | (time < 0) | (time > TOO_LONG))
     return F.when(time.isNotNull(), F.struct(valid.alias("valid"), time.alias("value")))
 
 

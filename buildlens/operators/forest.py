@@ -17,9 +17,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from buildlens.operators.shared import checkpoint
 
-def nest(spans: DataFrame) -> DataFrame:
-    """`spans` with end, depth, first_pos, parent_pos, n_descendants.
+
+def nest(spans: DataFrame, sums: bool = False) -> DataFrame:
+    """`spans` with end, depth, first_pos, parent_pos, parent_duration, n_descendants; see build_forest for `sums`.
 
     Needs trace_id, pos (0, 1, ... by ascending end), start, duration.  Roots have a
     null parent_pos.  In a trace whose spans overlap in part the results mean nothing,
@@ -38,21 +40,26 @@ def nest(spans: DataFrame) -> DataFrame:
     points = points.withColumn("first_pos", F.sum("__point.ends").over(running).cast("int")).where(F.col("__point.ends") == 0).drop("__point")
     points = points.withColumn("depth", (F.col("__pre") - F.col("first_pos")).cast("int"))
     # Every span is offered to the level below it, and asks at the level above.
-    roles = points.withColumn("__role", F.explode(F.array(F.struct(F.col("depth").alias("level"), F.col("pos").alias("offer")), F.struct((F.col("depth") - 1).alias("level"), F.lit(None).cast("int").alias("offer")))))
+    me = F.struct(F.col("depth").alias("level"), F.struct(F.col("pos").cast("int").alias("pos"), F.col("duration").cast("double").alias("duration")).alias("offer"))
+    roles = points.withColumn("__role", F.explode(F.array(me, F.struct((F.col("depth") - 1).alias("level"), F.lit(None).cast("struct<pos:int,duration:double>").alias("offer")))))
     up = Window.partitionBy("trace_id", "__role.level").orderBy("__pre").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    asked = roles.withColumn("parent_pos", F.last("__role.offer", ignorenulls=True).over(up)).where(F.col("__role.offer").isNull())
-    return asked.withColumn("n_descendants", F.col("pos") - F.col("first_pos")).drop("__role", "__pre")
-
-
-def with_self(nested: DataFrame) -> DataFrame:
-    """`nested` with n_children and self_duration, the duration less that of the direct children."""
-    kids = nested.where("parent_pos is not null").groupBy("trace_id", F.col("parent_pos").alias("pos")).agg(F.count("*").cast("int").alias("n_children"), F.sum("duration").alias("__inner"))
-    out = nested.join(kids, ["trace_id", "pos"], "left")
-    return out.withColumn("n_children", F.coalesce("n_children", F.lit(0))).withColumn("self_duration", F.col("duration") - F.coalesce("__inner", F.lit(0.0))).drop("__inner")
+    roles = roles.withColumn("__up", F.last("__role.offer", ignorenulls=True).over(up))
+    asks = F.col("__role.offer").isNull()
+    if sums:
+        # a span and those that ask for it stand together; then the two roles of a span meet again
+        family = Window.partitionBy("trace_id", "__role.level", "__up.pos")
+        kids = F.col("__up").isNotNull() & asks
+        roles = roles.withColumn("n_children", F.sum(kids.cast("int")).over(family)).withColumn("__inner", F.sum(F.when(kids, F.col("duration"))).over(family))
+        own = Window.partitionBy("trace_id", "pos")
+        of_offer = lambda c: F.max(F.when(~asks, F.col(c))).over(own)
+        roles = roles.repartition("trace_id").withColumn("n_children", of_offer("n_children").cast("int")).withColumn("self_duration", F.col("duration") - F.coalesce(of_offer("__inner"), F.lit(0.0))).drop("__inner")
+    out = roles.where(asks).withColumn("parent_pos", F.col("__up.pos")).withColumn("parent_duration", F.col("__up.duration"))
+    return out.withColumn("n_descendants", F.col("pos") - F.col("first_pos")).drop("__role", "__pre", "__up")
 
 
 def build_forest(spans: DataFrame) -> DataFrame:
-    return with_self(nest(spans))
+    """`nest` with n_children and self_duration, the duration less that of the direct children, in the same pass."""
+    return nest(spans, sums=True)
 
 
 def order_errors(spans: DataFrame) -> DataFrame:
@@ -94,7 +101,7 @@ def span_at(forest: DataFrame, pos: int) -> DataFrame:
 def parents(forest: DataFrame, *columns: str) -> DataFrame:
     """`forest` with the given columns of each span's parent, as parent_<column>."""
     up = forest.select("trace_id", F.col("pos").alias("parent_pos"), *[F.col(c).alias(f"parent_{c}") for c in columns])
-    return forest.join(up, ["trace_id", "parent_pos"], "left")
+    return forest.drop(*[f"parent_{c}" for c in columns]).join(up, ["trace_id", "parent_pos"], "left")
 
 
 def children(forest: DataFrame, of: DataFrame) -> DataFrame:
@@ -102,16 +109,40 @@ def children(forest: DataFrame, of: DataFrame) -> DataFrame:
     return forest.join(of.select("trace_id", F.col("pos").alias("parent_pos")).distinct(), ["trace_id", "parent_pos"])
 
 
+_FAN = 16  # blocks of positions: 1, 16, 256 ... long
+_TIERS = 8  # of 16 ** 8 = 2 ** 32 positions at most
+
+
+def _inside(ranges: DataFrame, points: DataFrame) -> DataFrame:
+    """Every point (trace_id, point) with every range (trace_id, begin, end) that holds it: an equi-join as large as its result.
+
+    A range is cut into the fewest aligned blocks, a point lies in one block of every
+    size, and so they meet in one block or in none.
+    """
+    at = lambda k: F.pow(F.lit(_FAN), k).cast("bigint")
+    cut = ranges.withColumn("__k", F.explode(F.sequence(F.lit(0), F.lit(_TIERS - 1))))
+    lo, hi = (lambda k: F.ceil(F.col("begin") / at(k))), (lambda k: F.floor(F.col("end") / at(k)))
+    k = F.col("__k")
+    cut = cut.withColumn("__l", lo(k)).withColumn("__r", hi(k)).withColumn("__l2", lo(k + 1) * _FAN).withColumn("__r2", hi(k + 1) * _FAN).where("__l < __r")
+    run = lambda a, b: F.when(F.col(a) < F.col(b), F.sequence(F.col(a), F.col(b) - 1)).otherwise(F.array().cast("array<bigint>"))
+    blocks = F.when(F.col("__l2") < F.col("__r2"), F.concat(run("__l", "__l2"), run("__r2", "__r"))).otherwise(run("__l", "__r"))
+    cut = cut.withColumn("__block", F.explode(blocks)).drop("__l", "__r", "__l2", "__r2")
+    points = points.withColumn("__k", F.explode(F.sequence(F.lit(0), F.lit(_TIERS - 1)))).withColumn("__block", F.floor(F.col("point") / at(k)))
+    return cut.join(points, ["trace_id", "__k", "__block"]).drop("__k", "__block")
+
+
 def descendants(forest: DataFrame, of: DataFrame) -> DataFrame:
     """All spans below each of `of` (trace_id, pos, first_pos), with ancestor_pos: a run of positions, no recursion."""
-    top = of.select("trace_id", F.col("pos").alias("ancestor_pos"), F.col("first_pos").alias("__first"))
-    return forest.join(top, "trace_id").where("pos >= __first and pos < ancestor_pos").drop("__first")
+    top = of.select("trace_id", F.col("pos").alias("ancestor_pos"), F.col("first_pos").alias("begin"), F.col("pos").alias("end"))
+    held = forest.select(F.struct("*").alias("__span"), "trace_id", F.col("pos").alias("point"))
+    return _inside(top, held).select("__span.*", "ancestor_pos")
 
 
 def ancestors(forest: DataFrame, of: DataFrame) -> DataFrame:
     """All spans above each of `of` (trace_id, pos), with below_pos: the innermost has the least pos."""
-    low = of.select("trace_id", F.col("pos").alias("below_pos"))
-    return forest.join(low, "trace_id").where("first_pos <= below_pos and pos > below_pos")
+    low = of.select("trace_id", F.col("pos").alias("below_pos"), F.col("pos").alias("point"))
+    held = forest.select(F.struct("*").alias("__span"), "trace_id", F.col("first_pos").alias("begin"), F.col("pos").alias("end"))
+    return _inside(held, low).select("__span.*", "below_pos")
 
 
 def with_children(forest: DataFrame) -> DataFrame:
@@ -133,16 +164,17 @@ def zoom(forest: DataFrame, pos: int, flat: bool = False) -> DataFrame:
 
 
 def process_trees(processes: DataFrame, root_pids: DataFrame) -> DataFrame:
-    """(job, pid) of every process below, or being, a job's root: a recursive join on the parent id.
+    """(job, pid) of every process below, or being, a job's root.
 
-    `processes`: job, pid, ppid; `root_pids`: job, pid.  A cycle of ids ends by the distinct step.
+    `processes`: job, pid, ppid; `root_pids`: job, pid.  A level a round: children of
+    the last level that are not found yet, so trees of any depth end, and cycles too.
     """
-    spark = processes.sparkSession
-    processes.select("job", "pid", "ppid").distinct().createOrReplaceTempView("__processes")
-    root_pids.select("job", "pid").distinct().createOrReplaceTempView("__roots")
-    return spark.sql(
-        """with recursive tree(job, pid, hops) as (
-             select job, pid, 0 from __roots
-             union all select p.job, p.pid, t.hops + 1 from tree t join __processes p on p.job = t.job and p.ppid = t.pid and p.pid <> t.pid where t.hops < 64)
-           select distinct job, pid from tree"""
-    )
+    links = checkpoint(processes.select("job", "pid", "ppid").where("pid <> ppid").distinct())
+    level = checkpoint(root_pids.select("job", "pid").distinct())
+    found = level
+    while True:
+        below = links.join(level.withColumnRenamed("pid", "ppid"), ["job", "ppid"]).select("job", "pid").distinct()
+        level = checkpoint(below.join(found, ["job", "pid"], "left_anti"))
+        if not level.limit(1).count():
+            return found
+        found = checkpoint(found.union(level))

@@ -19,24 +19,31 @@ def percent_norm(total: Column) -> Column:
     return F.when((total != 0) & ~F.isnan(total) & (F.abs(total) < float("inf")), F.lit(100.0) / total)
 
 
+def _roots_total(by: list[str]) -> Column:
+    """Duration of the roots of each key, beside every row."""
+    return F.sum(F.when(F.col("parent_pos").isNull(), F.col("duration"))).over(Window.partitionBy(*by))
+
+
 def with_share(forest: DataFrame, metric: str | Column = "duration", by: list[str] | None = None) -> DataFrame:
-    """`forest` with share: the metric over the total of the roots.  The total is one row a key, joined."""
+    """`forest` with share: the metric over the total of the roots, of each key of `by` or of everything (one row, broadcast)."""
     value = F.col(metric) if isinstance(metric, str) else metric
-    norm = duration_norm(forest, by).drop("total")
-    joined = forest.join(norm, by) if by else forest.crossJoin(F.broadcast(norm))  # a single row
+    if by:
+        return forest.withColumn("share", value * F.try_divide(F.lit(1.0), _roots_total(by)))
+    joined = forest.crossJoin(F.broadcast(duration_norm(forest).drop("total")))  # a single row
     return joined.withColumn("share", value * F.col("norm")).drop("norm")
 
 
 def activity_breakdown(forest: DataFrame, by: list[str] | None = None) -> DataFrame:
     """activity, self_duration (summed), n_spans, share of all self time; sort by self_duration, descending.
 
-    The sums are made map-side; what is shuffled has a row an activity and task.
+    The sums are made map-side; what is shuffled has a row an activity and task.  The
+    total of the roots is summed with them, so the forest is built once.
     """
     keys = [*(by or []), "activity"]
-    sums = forest.groupBy(*keys).agg(F.sum("self_duration").alias("self_duration"), F.count("*").alias("n_spans"))
-    norm = duration_norm(forest, by).drop("total")
-    joined = sums.join(norm, by) if by else sums.crossJoin(F.broadcast(norm))
-    return joined.withColumn("share", F.col("self_duration") * F.col("norm")).drop("norm")
+    roots = F.sum(F.when(F.col("parent_pos").isNull(), F.col("duration"))).alias("__roots")
+    sums = forest.groupBy(*keys).agg(F.sum("self_duration").alias("self_duration"), F.count("*").alias("n_spans"), roots)
+    total = F.sum("__roots").over(Window.partitionBy(*(by or [F.lit(0)])))  # over a row an activity
+    return sums.withColumn("share", F.col("self_duration") * F.try_divide(F.lit(1.0), total)).drop("__roots")
 
 
 def hottest(spans: DataFrame, metric: str | Column, threshold: float) -> DataFrame:
@@ -85,10 +92,8 @@ def remainder(spans: DataFrame, metric: str | Column, threshold: float, by: list
 
 def percent_of_parent(forest: DataFrame) -> DataFrame:
     """`forest` with percent of the parent's duration; of a root: of all roots of its trace."""
-    up = forest.select("trace_id", F.col("pos").alias("parent_pos"), F.col("duration").alias("__norm"))
-    top = duration_norm(forest, ["trace_id"]).select("trace_id", F.col("total").alias("__total"))
-    out = forest.join(up, ["trace_id", "parent_pos"], "left").join(top, "trace_id", "left")
-    return out.withColumn("percent", F.try_divide(F.col("duration") * 100, F.coalesce("__norm", "__total"))).drop("__norm", "__total")
+    norm = F.coalesce("parent_duration", _roots_total(["trace_id"]))
+    return forest.withColumn("percent", F.try_divide(F.col("duration") * 100, norm))
 
 
 def percent_of_total(forest: DataFrame) -> DataFrame:

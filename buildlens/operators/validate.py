@@ -133,7 +133,7 @@ def load(texts: DataFrame, strict: bool = False, arrays: bool = False) -> Loaded
     no rows elsewhere.
     """
     docs = documents(texts, arrays)
-    docs = docs.withColumn("error", document_error(docs))
+    docs = docs.withColumn("error", document_error(docs)).persist()  # texts are parsed once
     events = raw_events(docs.where("error is null"))
     checked = event_errors(events).select(
         "trace_id", "raw_pos", "route", "name", "pid", "ts", "dur", "catalogue_type", "malformed", "error", "error_detail",
@@ -153,7 +153,7 @@ def load(texts: DataFrame, strict: bool = False, arrays: bool = False) -> Loaded
         "detail", "catalogue_type", F.col("ts").alias("start"), F.col("dur").alias("duration"),
     )
     spans = spans.withColumn("arg_type", F.coalesce("catalogue_type", infer_type(F.col("detail")), F.lit("Nothing"))).drop("catalogue_type")
-    nested = forest.nest(spans).persist()
+    nested = forest.build_forest(spans).persist()
     overlapping = forest.overlapping_traces(nested).withColumn("overlap", F.lit(True))
     status = traces.join(malformed.select("trace_id", F.lit(True).alias("malformed")), "trace_id", "left").join(overlapping, "trace_id", "left")
     error = F.when(F.col("malformed"), "CtfParseError").when(F.col("first").isNotNull(), F.col("first.error")).when(F.col("overlap"), "ActivityTreeError").when(F.col("process").isNull(), "NoProcessName")
@@ -167,4 +167,4 @@ def load(texts: DataFrame, strict: bool = False, arrays: bool = False) -> Loaded
     ids = good.select("trace_id")
     stats = checked.where("route = 'stat' and error is null").select("trace_id", F.expr("substring(name, 7)").alias("name"), F.col("dur").alias("total_duration"), "count")
     stats = stats.join(ids, "trace_id", "left_semi")
-    return Loaded(good, forest.with_self(nested.join(ids, "trace_id", "left_semi")), stats.withColumn("average_duration", F.try_divide("total_duration", F.col("count"))), rejects, (checked, nested))
+    return Loaded(good, nested.join(ids, "trace_id", "left_semi"), stats.withColumn("average_duration", F.try_divide("total_duration", F.col("count"))), rejects, (docs, checked, nested))

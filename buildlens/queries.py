@@ -11,6 +11,7 @@ from buildlens.functions import arguments, names, paths, text
 from buildlens.operators import build, dictionary, forest, profile, resources
 from buildlens.operators import validate
 from buildlens.sources import traces, units
+from buildlens.sources.examples import EXAMPLES
 from buildlens.sources.tables import SPANS_SQL, table, table_spans
 from buildlens.streaming import samples as streams
 
@@ -29,10 +30,13 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     return register
 
 
-#: Forest of the table spans by the closed forms: parent is the next later span that starts no later.
+#: Forest of the table spans by their known shape: lines stand in their order, orders in their customer.
 FOREST_SQL = SPANS_SQL + """,
-nested as (select s.*, (select min(j.pos) from spans j where j.trace_id = s.trace_id and j.pos > s.pos and j.start <= s.start) as parent_pos,
-  coalesce((select max(j.pos) + 1 from spans j where j.trace_id = s.trace_id and j.pos < s.pos and j.start < s.start), 0) as first_pos from spans s),
+n_lines as (select trace_id, k1, count(*) as n from spans where level = 0 group by 1, 2),
+nested as materialized (select s.*, coalesce(o.pos, c.pos) as parent_pos, case s.level when 0 then s.pos when 1 then s.pos - coalesce(n, 0) else 0 end as first_pos
+  from spans s left join spans o on s.level = 0 and o.level = 1 and o.trace_id = s.trace_id and o.k1 = s.k1
+  left join spans c on s.level = 1 and c.level = 2 and c.trace_id = s.trace_id
+  left join n_lines on s.level = 1 and n_lines.trace_id = s.trace_id and n_lines.k1 = s.k1),
 inner_time as (select trace_id, parent_pos, sum(duration) as d, count(*) as n from nested where parent_pos is not null group by 1, 2),
 forest as (select n.*, n.duration - coalesce(i.d, 0) as self_duration, coalesce(i.n, 0)::integer as n_children from nested n left join inner_time i on i.trace_id = n.trace_id and i.parent_pos = n.pos)
 """
@@ -64,11 +68,11 @@ def _event_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""select trace_id, pos, e as "end", p as previous_end from (select user_id as trace_id, pos, e, lag(e) over (partition by user_id order by pos) as p from
-  (select user_id, row_number() over (partition by user_id order by event_id) - 1 as pos, epoch_us(ts)::double as e from events)) where e < p""")
+  (select user_id, row_number() over (partition by user_id order by event_id) - 1 as pos, epoch_us(ts)::double + floor(value) * 1e9 as e from events)) where e < p""")
 def tree2_order_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events by their ids, as spans without length: which come too early."""
+    """Events by their ids, as spans as long as their values: which end too early."""
     w = Window.partitionBy("user_id").orderBy("event_id")
-    spans = table(spark, sf_dir, "events").select(F.col("user_id").alias("trace_id"), (F.row_number().over(w) - 1).cast("bigint").alias("pos"), F.unix_micros(F.col("ts").cast("timestamp")).cast("double").alias("start"), F.lit(0.0).alias("duration"))
+    spans = table(spark, sf_dir, "events").select(F.col("user_id").alias("trace_id"), (F.row_number().over(w) - 1).cast("bigint").alias("pos"), F.unix_micros(F.col("ts").cast("timestamp")).cast("double").alias("start"), (F.floor("value") * 1e9).alias("duration"))
     return forest.order_errors(spans)
 
 
@@ -138,20 +142,31 @@ def tree14_ancestors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return forest.ancestors(nested, nested.where("activity = 'Line'")).select("trace_id", "below_pos", "pos", "activity")
 
 
-@query(FOREST_SQL + "select c.trace_id, c.pos, round(c.duration * 100 / p.duration, 6) as percent from nested c join nested p on p.trace_id = c.trace_id and p.pos = c.parent_pos where p.activity = 'Customer'")
+_ZOOM_SQL = FOREST_SQL + "select c.trace_id, c.pos, round(c.duration * 100 / p.duration, 6) as percent from nested c join nested p on p.trace_id = c.trace_id and p.pos = 8 and "
+
+
+@query(_ZOOM_SQL + "c.parent_pos = p.pos")
 def tree15_zoom(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What the children of each root take of it."""
-    rows = forest.nest(table_spans(spark, sf_dir))
-    return profile.percent_of_parent(rows).where("depth = 1").select("trace_id", "pos", F.round("percent", 6).alias("percent"))
+    """What the direct children of the ninth span of each trace take of it."""
+    return forest.zoom(forest.nest(table_spans(spark, sf_dir)), 8).select("trace_id", "pos", F.round("percent", 6).alias("percent"))
+
 
+@query(_ZOOM_SQL + "c.pos >= p.first_pos and c.pos < p.pos")
+def win4_zoom_flat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What all spans below it take."""
+    return forest.zoom(forest.nest(table_spans(spark, sf_dir)), 8, flat=True).select("trace_id", "pos", F.round("percent", 6).alias("percent"))
 
-@query("""with recursive p as (select distinct user_id as job, event_id as pid, event_id - 7 * (1 + user_id % 3) as ppid from events),
-tree(job, pid, hops) as (select job, min(pid), 0 from p group by job union all select p.job, p.pid, hops + 1 from tree join p on p.job = tree.job and p.ppid = tree.pid where hops < 64)
-select distinct job, pid from tree""")
+
+@query("""with recursive e as (select user_id as job, row_number() over (partition by user_id order by event_id) as pid from events),
+p as (select job, pid, pid // 2 + case when pid % 5 = 4 then 1000000 else 0 end as ppid from e),
+tree(job, pid) as (select distinct job, 1::bigint from p union select p.job, p.pid from tree join p on p.job = tree.job and p.ppid = tree.pid)
+select job, pid from tree""")
 def tree17_process_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Event ids as processes whose parent is a fixed step below."""
-    p = table(spark, sf_dir, "events").select(F.col("user_id").alias("job"), F.col("event_id").alias("pid"), (F.col("event_id") - 7 * (1 + F.col("user_id") % 3)).alias("ppid"))
-    return forest.process_trees(p, p.groupBy("job").agg(F.min("pid").alias("pid")))
+    """A user's events as processes, each below that of half its number; every fifth is an orphan."""
+    nth = F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")).cast("bigint")
+    p = table(spark, sf_dir, "events").select(F.col("user_id").alias("job"), nth.alias("pid"))
+    p = p.withColumn("ppid", F.expr("pid div 2") + F.when(F.col("pid") % 5 == 4, 1000000).otherwise(0))
+    return forest.process_trees(p, p.select("job").distinct().withColumn("pid", F.lit(1).cast("bigint")))
 
 
 # --- profiles ---
@@ -376,10 +391,10 @@ def flt6_command_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return build.command_parts(rows).select("o_orderkey", "program", "product", "trace_file", F.size("args").alias("n_args"))
 
 
-@query("select o_orderkey, isfinite(t) and t >= 0 as valid from (select o_orderkey, case o_orderkey % 5 when 0 then 'nan'::float when 1 then 'inf'::float when 2 then -o_totalprice::float else o_totalprice::float end as t from orders)")
+@query("select o_orderkey, isfinite(t) and t >= 0 and t <= 18446744073709551616 as valid from (select o_orderkey, case o_orderkey % 7 when 0 then 'nan'::float when 1 then 'inf'::float when 2 then -o_totalprice::float when 3 then 18446744073709551616::float when 4 then 18446746272732807168::float else o_totalprice::float end as t from orders)")
 def flt9_wall_time(spark: SparkSession, sf_dir: str) -> DataFrame:
-    k = F.col("o_orderkey") % 5
-    t = F.when(k == 0, float("nan")).when(k == 1, float("inf")).when(k == 2, -F.col("o_totalprice")).otherwise(F.col("o_totalprice")).cast("float")
+    k = F.col("o_orderkey") % 7
+    t = F.when(k == 0, float("nan")).when(k == 1, float("inf")).when(k == 2, -F.col("o_totalprice")).when(k == 3, 2.0**64).when(k == 4, 2.0**64 + 2.0**41).otherwise(F.col("o_totalprice")).cast("float")
     return table(spark, sf_dir, "orders").select("o_orderkey", build.wall_time(t).valid.alias("valid"))
 
 
@@ -425,12 +440,20 @@ def str7_oom_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- scalar functions ---
 
 
-@query("""select event_id, case when us >= 86399995000 then null when us >= 3599995000 then null when us >= 59995000 then null when us >= 999995 then printf('%.2fs', us / 1e6) when us >= 1000 then printf('%.2fms', us / 1e3) else us::bigint || 'µs' end as t
-from (select event_id, floor(abs(value) * 1000) * (case event_id % 2 when 0 then 1 else 100 end) as us from events) where us < 59995000""")
+@query("""with a as (select event_id, floor(abs(value) * 1000) * [1, 100, 100000, 10000000][event_id % 4 + 1] as us from events),
+b as (select *, case when us >= 86399995000 then floor((us + 5000) / 86400000000) else 0 end as d from a),
+c as (select *, greatest(us - d * 86400000000, 0) as r from b),
+e as (select *, case when us >= 3599995000 then floor((r + 5000) / 3600000000) else 0 end as h from c),
+f as (select * replace (greatest(r - h * 3600000000, 0) as r) from e),
+g as (select *, case when us >= 59995000 then floor((r + 5000) / 60000000) else 0 end as m from f),
+i as (select * replace (d::bigint as d, h::bigint as h, m::bigint as m, greatest(r - m * 60000000, 0) / 1e6 as r) from g)
+select event_id, case when us >= 86399995000 then printf('%dd %02d:%02d:%05.2f', d, h, m, r) when us >= 3599995000 then printf('%d:%02d:%05.2f', h, m, r) when us >= 59995000 then printf('%d:%05.2f', m, r)
+  when us >= 999995 then printf('%.2fs', us / 1e6) when us >= 1000 then printf('%.2fms', us / 1e3) else us::bigint || 'µs' end as t from i""")
 def sca1_duration_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    us = F.floor(F.abs("value") * 1000) * F.when(F.col("event_id") % 2 == 0, 1).otherwise(100)
-    rows = table(spark, sf_dir, "events").select("event_id", us.cast("double").alias("us")).where("us < 59995000")
-    return rows.select("event_id", text.duration_text(F.col("us")).alias("t"))
+    """Values as durations from microseconds to days."""
+    k = F.col("event_id") % 4
+    us = F.floor(F.abs("value") * 1000) * F.when(k == 0, 1).when(k == 1, 100).when(k == 2, 100000).otherwise(10000000)
+    return table(spark, sf_dir, "events").select("event_id", text.duration_text(us.cast("double")).alias("t"))
 
 
 @query("select p_partkey, case when length(p_name) <= 8 then p_name else left(p_name, 3) || '…' || right(p_name, 4) end as short from part")
@@ -452,11 +475,21 @@ def sca12_infer_type(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", arguments.infer_type(s).alias("kind"))
 
 
-@query("select page_id, '/' || array_to_string(list_filter(string_split(regexp_extract(url, '^[a-z]+://[^/]*(/.*)?$', 1), '/'), lambda x: x not in ('', '.')), '/') as path from pages where url is not null and regexp_extract(url, '^[a-z]+://[^/]*(/.*)?$', 1) <> '' and url not like '%..%'")
+#: A path of each page, with . and .. in many; the SQL folds its parts as one text.
+_PATHS_SQL = """with p as (select page_id, regexp_extract(url, '^[a-z]+://[^/]*(/.*)?$', 1) || case page_id % 4 when 0 then '' when 1 then '/../x' when 2 then '/./y/../..' else '/../../../../../../../z/..' end as path from pages where url is not null),
+n as (select page_id, path, case when path like '/%' then list_reduce([''] || string_split(path, '/'), lambda acc, x: case when x in ('', '.') then acc when x = '..' then regexp_replace(acc, '/[^/]*$', '') else acc || '/' || x end) end as folded from p)
+"""
+
+
+def _page_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("page_id") % 4
+    more = F.when(k == 0, "").when(k == 1, "/../x").when(k == 2, "/./y/../..").otherwise("/../../../../../../../z/..")
+    return table(spark, sf_dir, "pages").where("url is not null").select("page_id", F.concat(F.regexp_extract("url", "^[a-z]+://[^/]*(/.*)?$", 1), more).alias("path"))
+
+
+@query(_PATHS_SQL + "select page_id, case when folded = '' then '/' else folded end as path from n")
 def sca18_path_norm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = F.regexp_extract("url", "^[a-z]+://[^/]*(/.*)?$", 1)
-    rows = table(spark, sf_dir, "pages").where("url is not null and url not like '%..%'").where(path != "")
-    return rows.select("page_id", paths.normalized(path).alias("path"))
+    return _page_paths(spark, sf_dir).select("page_id", paths.normalized(F.col("path")).alias("path"))
 
 
 @query("select p_partkey, case when p_partkey % 2 = 0 then 'b/' || p_size || '.cpp' else '../a/' || p_size || '.cpp' end as rel from part")
@@ -465,10 +498,10 @@ def sca20_relative_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", paths.relative_to(path, F.lit("/x/y")).alias("rel"))
 
 
-@query("select p_partkey, ['cc', '-D' || p_size, p_name]::varchar as words from part where p_name not like '%''%'")
+@query("select p_partkey, ['cc', '-D' || p_size, p_name]::varchar as words from part")
 def sca21_shell_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     command = F.concat(F.lit("cc -D"), F.col("p_size").cast("string"), F.lit(" '"), F.col("p_name"), F.lit("'"))
-    rows = table(spark, sf_dir, "part").where("p_name not like '%\\'%'")
+    rows = table(spark, sf_dir, "part")
     return rows.select("p_partkey", F.concat(F.lit("["), F.array_join(arguments.shell_words(command), ", "), F.lit("]")).alias("words"))
 
 
@@ -495,15 +528,44 @@ def int2_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dictionary.decode(dictionary.encode(docs, "source", "source_key"), d, "source_key").select("doc_id", "source")
 
 
-@query("select count(*) as n_paths, max(len(c))::integer as max_length from (select distinct list_filter(string_split(regexp_extract(url, '^[a-z]+://[^/]*(/.*)?$', 1), '/'), lambda x: x not in ('', '.')) as p, ['/'] || p as c from pages where regexp_extract(url, '^[a-z]+://[^/]*(/.*)?$', 1) <> '' and url not like '%..%')")
+@query(_PATHS_SQL + "select count(*) as n_paths, max(1 + len(folded) - len(replace(folded, '/', '')))::integer as max_length from (select distinct folded from n where folded is not null)")
 def int6_path_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = F.regexp_extract("url", "^[a-z]+://[^/]*(/.*)?$", 1)
-    rows = table(spark, sf_dir, "pages").where("url is not null and url not like '%..%'").where(path != "").select(path.alias("path"))
-    return dictionary.path_dictionary(rows, "path").agg(F.count("*").alias("n_paths"), F.max(F.size("components")).alias("max_length"))
+    return dictionary.path_dictionary(_page_paths(spark, sf_dir).where("path like '/%'"), "path").agg(F.count("*").alias("n_paths"), F.max(F.size("components")).alias("max_length"))
 
 
 # --- whole traces from JSON ---
 
+_CASES_SQL = "with cases as (select * from (values " + ", ".join(
+    "(%d, '%s', %s, %s)" % (k, name, *("null" if v is None else f"'{v}'" for v in (error, detail))) for k, (name, (_, error, detail)) in enumerate(EXAMPLES.items())
+) + f") c(k, name, error, detail)), docs as (select o_orderkey, name, error, detail from orders join cases on o_orderkey % {len(EXAMPLES)} = k) "
+
+
+def _examples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A trace document an order, of every kind of error in turn."""
+    cases = spark.createDataFrame([(k, name, text) for k, (name, (text, _, _)) in enumerate(EXAMPLES.items())], "k bigint, name string, text string")
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_orderkey") % len(EXAMPLES)).alias("k")).join(F.broadcast(cases), "k")
+    return rows.select(F.format_string("%d %s", "o_orderkey", "name").alias("trace_id"), "text")
+
+
+@query(_CASES_SQL + "select name, error, detail, count(*) as n from docs where error is not null group by 1, 2, 3")
+def val_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """VAL0 to VAL17: documents with every error of the reader, by the error that it gives."""
+    found = validate.load(_examples(spark, sf_dir)).rejects
+    return found.groupBy(F.split_part("trace_id", F.lit(" "), F.lit(2)).alias("name"), "error", "detail").agg(F.count("*").alias("n"))
+
+
+@query(_CASES_SQL + "select o_orderkey || ' ' || name as trace_id, 'clang' as process_name, case when name = 'good' then 'clang' end as thread_name, case when name <> 'good_old' then 42 end::bigint as pid, case when name = 'good' then 42.0::double end as beginning_of_time from docs where error is null")
+def flt3_trace_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Metadata of the documents that are read."""
+    return validate.load(_examples(spark, sf_dir)).traces.select("trace_id", "process_name", "thread_name", F.col("pid").cast("bigint").alias("pid"), "beginning_of_time")
+
+
+@query(_CASES_SQL + "select o_orderkey || ' ' || name as trace_id, 'Frontend' as name, 2.0::double as total_duration, 2::bigint as n, 1.0::double as average_duration from docs where name = 'good'")
+def val15_global_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stats = validate.load(_examples(spark, sf_dir)).global_stats
+    return stats.select("trace_id", "name", "total_duration", F.col("count").cast("bigint").alias("n"), "average_duration")
+
+
 
 def trace_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The table spans written as trace documents, a customer each: (trace_id, text).

@@ -60,5 +60,5 @@ s0 as (
   select o_custkey as trace_id, 0 as level, o_orderkey as k1, nth as k2, 'Line' as activity, l_partkey::varchar as detail, begin_at + 0.5::double + before as start, l_quantity as duration from o1 join l0 on l_orderkey = o_orderkey
   union all select o_custkey, 1, o_orderkey, 0, 'Order', o_orderkey::varchar, begin_at, length from o1
   union all select c_custkey, 2, 0, 0, 'Customer', c_name, 1.5::double, 2.0::double + coalesce(busy, 0) from customer left join (select o_custkey, sum(length) as busy from o1 group by 1) on o_custkey = c_custkey),
-spans as (select trace_id, (row_number() over (partition by trace_id order by start + duration, level, k1, k2) - 1)::integer as pos, activity, detail, start, duration, start + duration as end_at from s0)
+spans as (select trace_id, (row_number() over (partition by trace_id order by start + duration, level, k1, k2) - 1)::integer as pos, level, k1, activity, detail, start, duration, start + duration as end_at from s0)
 """

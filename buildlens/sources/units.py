@@ -82,10 +82,27 @@ def read_profile(spark: SparkSession, path: str) -> DataFrame:
 def write_profile(profiles: DataFrame, path: str) -> None:
     """Unit profiles as CSV, a part file a task.
 
-    Spark writes to a temporary folder and moves it, so that a failed write leaves the
-    old profile whole.
+    The new profile is written beside the old one.  Only when it is whole is the old one
+    moved out of the way, and back again if the new one can't take its place; a write
+    that fails leaves the old profile as it was.
     """
-    profiles.write.mode("overwrite").option("header", True).csv(path)
+    spark = profiles.sparkSession
+    jvm = spark.sparkContext._jvm
+    target, new, old = (jvm.org.apache.hadoop.fs.Path(path.rstrip("/") + end) for end in ("", ".new", ".old"))
+    fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    try:
+        profiles.write.mode("overwrite").option("header", True).csv(new.toString())
+        fs.delete(old, True)
+        backup = fs.exists(target)
+        if backup and not fs.rename(target, old):
+            raise SourceError(f"cannot move {path}")
+        if not fs.rename(new, target):
+            if backup:
+                fs.rename(old, target)
+            raise SourceError(f"cannot write {path}")
+        fs.delete(old, True)
+    finally:
+        fs.delete(new, True)
 
 
 def latest_per_key(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:

@@ -62,12 +62,12 @@ def test_overlaps_and_order(spark):
     df = spark.createDataFrame(rows, SPANS)
     assert {r[0] for r in forest.overlapping_traces(forest.nest(df)).collect()} == bad
     assert {r["trace_id"] for r in forest.overlaps(df).collect()} == bad
-    assert forest.order_errors(spark.createDataFrame([("a", 0, 4.6, 1.8), ("a", 1, 0.1, 4.1)], SPANS)).count() == 1
+    assert forest.order_errors(spark.createDataFrame([("a", 0, 7.0, 2.5), ("a", 1, 1.5, 3.0)], SPANS)).count() == 1
     assert forest.order_errors(df).count() == 0
 
 
 def test_known_forest(spark):
-    rows = [("Pending", 0.3, 3.0e6), ("Frontend", 0.2, 3.2e6), ("CodeGenPasses", 3.6e6, 0.4e6), ("Backend", 3.5e6, 0.6e6), ("ExecuteCompiler", 0.1, 4.2e6)]
+    rows = [("Parse", 20.0, 700.0), ("Read", 10.0, 750.0), ("Emit", 805.0, 40.0), ("Write", 800.0, 60.0), ("Run", 5.0, 900.0)]
     df = spark.createDataFrame([("t", p, s, d, a) for p, (a, s, d) in enumerate(rows)], SPANS + ", activity string")
     f = forest.build_forest(df)
     got = {r["pos"]: (r["parent_pos"], r["first_pos"]) for r in f.collect()}
@@ -76,14 +76,32 @@ def test_known_forest(spark):
     assert {r["pos"] for r in forest.zoom(f, 4).collect()} == {1, 3}
     assert {r["pos"] for r in forest.zoom(f, 4, flat=True).collect()} == {0, 1, 2, 3}
     assert {r["pos"] for r in forest.leaves(f).collect()} == {0, 2}
-    assert [r["activity"] for r in profile.activity_breakdown(f).orderBy("self_duration", ascending=False).collect()][0] == "Pending"
-    order = [r["pos"] for r in profile.tree_order(profile.hierarchical_profile(f, 0.1)).orderBy("path").collect()]
+    assert [r["activity"] for r in profile.activity_breakdown(f).orderBy("self_duration", ascending=False).collect()][0] == "Parse"
+    order = [r["pos"] for r in profile.tree_order(profile.hierarchical_profile(f, 0.05)).orderBy("path").collect()]
     assert order == [4, 1, 0, 3]
     with pytest.raises(ValueError):
         profile.profile(f, mode="round")
     assert profile.profile(f.withColumn("detail", f.activity), "flat", "global", 50.0).count() == 1
 
 
+def test_relatives_against_all_pairs(spark):
+    rng = random.Random(21)
+    rows = [(f"t{k}", p, s, d) for k in range(20) for p, (s, d) in enumerate(random_spans(rng, 0, 400, 6))]
+    nested = forest.nest(spark.createDataFrame(rows, SPANS))
+    spans = [(r["trace_id"], r["first_pos"], r["pos"]) for r in nested.collect()]
+    want = {(t, a, p) for t, first, a in spans for u, _, p in spans if t == u and first <= p < a}
+    below = [(r["trace_id"], r["ancestor_pos"], r["pos"]) for r in forest.descendants(nested, nested).collect()]
+    above = [(r["trace_id"], r["pos"], r["below_pos"]) for r in forest.ancestors(nested, nested).collect()]
+    assert len(below) == len(above) == len(want) and set(below) == set(above) == want and max(p for _, _, p in spans) > 40
+
+
+def test_process_trees(spark):
+    """A chain deeper than any fixed bound of rounds, a cycle, and an orphan."""
+    rows = [("a", k, k - 1) for k in range(2, 90)] + [("b", 1, 3), ("b", 2, 1), ("b", 3, 2), ("b", 9, 8), ("c", 5, 1)]
+    got = {tuple(r) for r in forest.process_trees(spark.createDataFrame(rows, "job string, pid bigint, ppid bigint"), spark.createDataFrame([("a", 1), ("b", 1)], "job string, pid bigint")).collect()}
+    assert got == {("a", k) for k in range(1, 90)} | {("b", k) for k in (1, 2, 3)}
+
+
 def test_empty_forest(spark):
     f = forest.build_forest(spark.createDataFrame([], SPANS + ", activity string"))
     assert f.count() == 0 and profile.activity_breakdown(f).count() == 0
@@ -101,12 +119,12 @@ def test_report(spark, tmp_path):
     events = [
         x("Source", 3, 900, detail="/usr/include/c++/12/bits/stl_vector.h"), x("InstantiateClass", 1000, 2000, detail="std::map<std::string, std::vector<int> >"), x("Frontend", 2, 4000), x("ExecuteCompiler", 1.5, 10_000_000),
         {"ph": "X", "pid": 42, "tid": 1, "ts": 0, "dur": 900, "name": "Total Source", "args": {"count": 1, "avg ms": 0.9}},
-        {"ph": "M", "pid": 42, "tid": 42, "ts": 0, "cat": "", "name": "process_name", "args": {"name": "clang-14.0.5"}},
+        {"ph": "M", "pid": 42, "tid": 42, "ts": 0, "cat": "", "name": "process_name", "args": {"name": "clang-17.0.6"}},
     ]
     (tmp_path / "t.json").write_text(trace(events))
     traces = Traces.read(spark, str(tmp_path / "t.json"))
     text = report(traces, 0.01, 0.01, 80)
-    assert text.startswith("Data from clang-14.0.5, pid 42, recorded 2022-06-29T13:18:22.311015Z.")
+    assert text.startswith("Data from clang-17.0.6, pid 42, recorded 2022-06-29T13:18:22.311015Z.")
     assert "- ExecuteCompiler [10.00s, 100.00%]" in text and "  - Frontend [4.00ms, 0.04%]" in text
     assert "1 other children" not in text.split("ExecuteCompiler [10.00s")[0]
     assert traces.loaded.global_stats.collect()[0]["average_duration"] == 900
@@ -118,5 +136,5 @@ def test_report(spark, tmp_path):
 
 @pytest.mark.parametrize("cols, lines", [(89, 1), (88, 2), (51, 2), (50, 3), (37, 3), (22, 1)])
 def test_metadata_wraps(cols, lines):
-    text = metadata_text("clang-14.0.5", 5884, "clang++", 1656508702311015.0, cols)
+    text = metadata_text("clang-17.0.6", 5884, "clang++", 1656508702311015.0, cols)
     assert text.count("\n") == lines - 1 and (text == "…") == (cols == 22)
