@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,6 +31,8 @@ def shared_checkpoints(spark: SparkSession) -> None:
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         named = context.getConf().get("spark.checkpoint.dir")
+        if not named and not context.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="buildlens-checkpoints-"))
 
 
@@ -40,9 +43,14 @@ def checkpoint(df: DataFrame) -> DataFrame:
 
 
 def release(spark: SparkSession) -> None:
-    """Let the cleaner remove shuffle files that nothing refers to any more: behind a large checkpoint they only fill disks."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    """Let the cleaner remove shuffle files that nothing refers to any more: behind a large checkpoint they only fill disks.
+
+    Handles that Python lets go in the first round are gone for the second.
+    """
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.3)
 
 
 def slices(batch: pa.RecordBatch, text: str, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:

@@ -23,7 +23,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     id with another text are separate members.  Other columns are not read.
     """
     docs = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
-    rows = link(sketch(docs, ["doc_id"], "text", DOCUMENTS), sketch(docs, ["doc_id"], "text", None), lambda wanted: texts_of(docs, wanted, ["doc_id"], "text"))
+    rows = link(sketch(docs, ["doc_id"], "text", DOCUMENTS), sketch(docs, ["doc_id"], "text", None), lambda wanted, _: texts_of(docs, wanted, ["doc_id"], "text"))
     least = rows.where("comp is not null").groupBy("comp").agg(F.min("doc_id").alias("least"))
     out = rows.join(least, "comp", "left").withColumn("component_id", F.when(F.col("comp").isNull(), F.col("doc_id")).otherwise(F.col("least")))
     return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))

@@ -16,6 +16,7 @@ or more.  Components need no list of all pairs, so a bucket is worked off in two
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -267,12 +268,12 @@ def texts_of(df: DataFrame, wanted: DataFrame, keys: list[str], text: str) -> Da
     return rows.mapInArrow(run, "id bigint, text string").groupBy("id").agg(F.first("text").alias("text"))
 
 
-def link(drawn: DataFrame, rows: DataFrame, fetch: Callable[[DataFrame], DataFrame], banding: hmh.Banding = DOCUMENTS) -> DataFrame:
+def link(drawn: DataFrame, rows: DataFrame, fetch: Callable[[DataFrame, int], DataFrame], banding: hmh.Banding = DOCUMENTS, rounds: int = 1) -> DataFrame:
     """The columns of `rows`, and comp.
 
     `drawn` has keys, n_shingles, node and sig of every text, `rows` the same but sig
     (large registers are not kept on disk till the end for them); `fetch` gives (id, text),
-    once each, for a frame of id, node and keys.  comp is equal exactly for rows whose
+    once each, for a frame of id, node and keys, a share of them in each of `rounds` calls.  comp is equal exactly for rows whose
     texts are joined by links; rows without a shingle have a comp of null.  The keys
     should tell rows with different texts apart; equal keys with different texts are
     still handled as separate nodes.
@@ -299,8 +300,11 @@ def link(drawn: DataFrame, rows: DataFrame, fetch: Callable[[DataFrame], DataFra
     star = checkpoint(star.join(one, "a").join(two, "b").mapInArrow(_estimates(banding), "a bigint, b bigint"))
 
     wanted = nodes.join(met.select("id").distinct(), "id", "left_semi").select("id", "node", *[F.col(f"__key.{k}").alias(k) for k in keys])
-    texts = checkpoint(fetch(wanted))
-    release(spark)
+    parts = []
+    for k in range(rounds):
+        parts.append(checkpoint(fetch(wanted, k)))
+        release(spark)
+    texts = reduce(DataFrame.union, parts)
     text_a = texts.select(F.col("id").alias("a"), F.col("text").alias("text_a"))
     text_b = texts.select(F.col("id").alias("b"), F.col("text").alias("text_b"))
     edges = checkpoint(star.join(text_a, "a").join(text_b, "b").mapInArrow(_confirm, "a bigint, b bigint"))
@@ -314,9 +318,13 @@ def link(drawn: DataFrame, rows: DataFrame, fetch: Callable[[DataFrame], DataFra
     order = ["bucket", "t1", "t2", "id"]
     near = tiles.join(sig, "id").repartition("bucket", "t1", "t2").sortWithinPartitions(*order)
     near = near.select("bucket", "band", "t1", "t2", "side", "id", "comp", "n_shingles", "sig").mapInArrow(_promising(banding), "bucket bigint, t1 int, t2 int, side int, id bigint, comp bigint")
-    more = checkpoint(near).join(texts, "id").repartition("bucket", "t1", "t2").sortWithinPartitions(*order)
+    near = checkpoint(near)
+    release(spark)
+    more = near.join(texts, "id").repartition("bucket", "t1", "t2").sortWithinPartitions(*order)
     more = checkpoint(more.select("bucket", "t1", "t2", "side", "id", "comp", "text").mapInArrow(_tile_links, "a bigint, b bigint"))
 
+    release(spark)
+
     # Components of components: the later links join earlier components, so only those are run again.
     label = comps.select("id", "comp")
     lifted = more.join(label.select(F.col("id").alias("a"), F.col("comp").alias("ca")), "a", "left").join(label.select(F.col("id").alias("b"), F.col("comp").alias("cb")), "b", "left")

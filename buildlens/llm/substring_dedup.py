@@ -25,6 +25,8 @@ MIN_WORDS = 20
 #: Paragraphs are many, and unrelated ones hardly share a shingle: bands of two need the fewest rows for this recall.
 #: Two registers of four bytes tell the paragraphs of any corpus apart, where two of two bytes meet by chance.
 PARAGRAPHS = Banding.tuned(2, PERCENT / 100, 1 - 1e-5, LONG)
+#: Candidates' texts are fetched in so many rounds, each of which shuffles its share of the corpus.
+FETCHES = 2
 #: Consecutive grams of `min_words` words of which one is chosen: equal runs of min_words + WINDOW - 1 = 50 words share one.
 WINDOW = 31
 
@@ -103,10 +105,11 @@ def _sketched(docs: DataFrame, min_words: int, banding: Banding | None) -> DataF
     return _keyed(docs).mapInArrow(run, _PLACE + ", n_shingles bigint, node binary" + ", sig binary" * (banding is not None))
 
 
-def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(id, text) of wanted paragraphs; `wanted` has id, node and a paragraph's place."""
-    spans = wanted.groupBy(F.col("row").alias("__row")).agg(F.collect_list(F.struct("id", "node", "start_byte", "end_byte")).alias("spans"))
-    rows = _keyed(docs).join(spans, F.col("row") == F.col("__row")).select("__text", "spans")
+def _texts(docs: DataFrame, wanted: DataFrame, part: int, parts: int) -> DataFrame:
+    """(id, text) of wanted paragraphs of one part of all texts; `wanted` has id, node and a paragraph's place."""
+    mine = F.pmod(F.col("row"), F.lit(parts)) == part
+    spans = wanted.where(mine).groupBy(F.col("row").alias("__row")).agg(F.collect_list(F.struct("id", "node", "start_byte", "end_byte")).alias("spans"))
+    rows = _keyed(docs).where(mine).join(spans, F.col("row") == F.col("__row")).select("__text", "spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -171,7 +174,7 @@ def chosen_grams(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 
 def _linked_lines(docs: DataFrame, min_words: int) -> DataFrame:
     keys = ["doc_id", "row", "paragraph", "start_byte", "end_byte", "n_words"]
-    rows = link(_sketched(docs, min_words, PARAGRAPHS), _sketched(docs, min_words, None), lambda wanted: _texts(docs, wanted), PARAGRAPHS).select(*keys, "comp")
+    rows = link(_sketched(docs, min_words, PARAGRAPHS), _sketched(docs, min_words, None), lambda wanted, k: _texts(docs, wanted, k, FETCHES), PARAGRAPHS, FETCHES).select(*keys, "comp")
     first = rows.groupBy("comp").agg(F.min(F.struct("doc_id", "paragraph")).alias("first"), F.count("*").alias("members")).where("members > 1")
     out = rows.join(first, "comp")
     out = out.select(*keys, F.col("first.doc_id").alias("cluster_doc_id"), F.col("first.paragraph").alias("cluster_paragraph"))
