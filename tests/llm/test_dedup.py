@@ -108,6 +108,18 @@ def test_drop_near_duplicates_edges(spark):
     assert drop_near_duplicates(docs.limit(0)).count() == 0 and near_duplicates(docs.limit(0)).count() == 0
 
 
+def test_drop_near_duplicates_with_repeated_and_null_ids(spark):
+    t = " ".join(f"m{k}" for k in range(40))
+    near, other = t + " tail", " ".join(f"o{k}" for k in range(30))
+    rows = [(5, t), (5, near), (7, t.upper()), (7, other), (None, near.upper()), (None, "alone with its own words here"), (None, "alone with its own words here"), (None, None), (2**63 - 1, "last of all ids"), (None, "last of all ids now")]
+    docs = spark.createDataFrame([(*r, 0, "x", "y") for r in rows], DOC + ", row int, member string, __doc string")
+    out = [(r["doc_id"], r["text"]) for r in drop_near_duplicates(docs).collect()]
+    copies = [r for r in out if r in rows[:3] + rows[4:5]]
+    assert len(copies) == 1 and copies[0][0] == 5
+    assert sorted((r for r in out if r not in copies), key=str) == sorted([rows[3], rows[5], rows[7], rows[8], rows[9]], key=str)
+    assert drop_near_duplicates(docs).columns == docs.columns
+
+
 def test_hyperminhash_estimates():
     rng = np.random.default_rng(0)
     a = np.unique(rng.integers(0, 2**63, 3000, dtype=np.uint64))
