@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from buildlens.llm.common import table
 from buildlens.llm.neardup import DOCUMENTS, link, sketch, texts_of
 
+#: The rows of a component meet its least id in so many tasks.
+SALTS = 16
+
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """doc_id, text and the key of a member (absent, member, row): rows of equal id and text are one.
@@ -28,6 +31,17 @@ def _linked(docs: DataFrame, keys: list[str]) -> DataFrame:
     return link(sketch(docs, keys, "text", DOCUMENTS), sketch(docs, keys, "text", None), lambda wanted, _: texts_of(docs, wanted, keys, "text"))
 
 
+def _with_least(rows: DataFrame, of: Column, name: str) -> DataFrame:
+    """`rows` with several, whether their comp has several rows, and then the least `of` there.
+
+    Rows of a large component are dealt over SALTS tasks; one of a row, or null, needs no partner.
+    """
+    least = rows.where("comp is not null").groupBy("comp").agg(F.min(of).alias(name), F.count("*").alias("__n")).where("__n > 1")
+    least = least.select("comp", name, F.lit(True).alias("several"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("__salt"))
+    dealt = rows.withColumn("__salt", F.pmod(F.xxhash64(of), F.lit(SALTS)).cast("int"))
+    return dealt.join(least, ["comp", "__salt"], "left").withColumn("several", F.coalesce("several", F.lit(False)))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row of `docs`.
 
@@ -43,8 +57,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     docs = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
     rows = _linked(docs, ["doc_id"])
-    least = rows.where("comp is not null").groupBy("comp").agg(F.min("doc_id").alias("least"))
-    out = rows.join(least, "comp", "left").withColumn("component_id", F.when(F.col("comp").isNull(), F.col("doc_id")).otherwise(F.col("least")))
+    out = _with_least(rows, F.col("doc_id"), "least").withColumn("component_id", F.when(F.col("several"), F.col("least")).otherwise(F.col("doc_id")))
     return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
@@ -58,8 +71,7 @@ def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     """
     keys = ["absent", "member", "row"]
     rows = _linked(_keyed(docs, "doc_id", "text"), keys).where("comp is not null").select(F.struct(*keys).alias("key"), "comp")
-    best = rows.groupBy("comp").agg(F.min("key").alias("best"))
-    gone = rows.join(best, "comp").where("key <> best").select("key.*").distinct()
+    gone = _with_least(rows, F.col("key"), "best").where("several and key <> best").select("key.*").distinct()
     whole = docs.select(F.struct("*").alias("__doc"), *_member(F.col("doc_id"), F.col("text")))
     once = whole.repartition(*keys).dropDuplicates(keys)
     return once.join(gone, keys, "left_anti").select(*[F.col("__doc").getField(c).alias(c) for c in docs.columns])
