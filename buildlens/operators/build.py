@@ -96,3 +96,27 @@ def compiler_version(text: Column) -> Column:
     minor = F.when(line.rlike(pattern), F.regexp_extract(line, pattern, 2).cast("int"))
     error = F.when(F.length(F.trim(text)) == 0, "EmptyVersion").when(major.isNull(), "UnexpectedVersion").when(major < 9, "AncientVersion")
     return F.struct(major.alias("major"), minor.alias("minor"), error.alias("error"))
+
+
+def _pipe_text(stdout: Column, stderr: Column) -> Column:
+    """What a job wrote, by pipe; null if it wrote nothing."""
+    said = lambda kind, c: F.when(F.length(c) > 0, F.concat(F.lit(f"non-empty standard {kind}\n---\n"), c, F.lit("---")))
+    return F.nullif(F.concat_ws("\nand ", said("output", stdout), said("error", stderr)), F.lit(""))
+
+
+def job_reports(jobs: DataFrame) -> DataFrame:
+    """`jobs` (exit_code, stdout, stderr) with level and message: a non-zero exit is an error, output of a success a warning.
+
+    A null exit_code is a job that a signal ended: an error too.  Null outputs are empty ones; a quiet success has nulls.
+    """
+    failed = F.coalesce(F.col("exit_code") != 0, F.lit(True))
+    said = _pipe_text(F.col("stdout"), F.col("stderr"))
+    how = F.concat(F.lit("Job failed with "), F.coalesce(F.concat(F.lit("exit status: "), F.col("exit_code").cast("string")), F.lit("a signal")))
+    message = F.when(failed, F.concat(how, F.coalesce(F.concat(F.lit(", it had "), said), F.lit("")))).otherwise(F.concat(F.lit("Job had "), said))
+    return jobs.withColumn("level", F.when(failed, "error").when(said.isNotNull(), "warning")).withColumn("message", message)
+
+
+def attempts(runs: DataFrame) -> DataFrame:
+    """(job, n_attempts, n_stopped, finished) from `runs` (job, stopped): a stopped job goes back to the queue and runs again."""
+    stopped = F.count(F.when(F.col("stopped"), 1))
+    return runs.groupBy("job").agg(F.count("*").alias("n_attempts"), stopped.alias("n_stopped"), (F.count("*") > stopped).alias("finished"))

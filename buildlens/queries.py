@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from buildlens.functions import arguments, names, paths, text
+from buildlens.functions.sql import register_functions
 from buildlens.operators import build, dictionary, forest, profile, resources
 from buildlens.operators import validate
 from buildlens.sources import traces, units
@@ -430,9 +431,15 @@ def str4_unit_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resources.unit_profiles(_samples(spark, sf_dir), 3000.0).withColumn("file", F.col("file").cast("string"))
 
 
-@query()
+@query("""with recursive t as (select user_id::varchar as host, event_id as tick, floor(value)::bigint * 10000000 as free, row_number() over (partition by user_id order by event_id) as n from events),
+r as (select host, 0::bigint as tick, 0::bigint as n, free, 500000000::bigint as margin, 4 as threads, 0 as stop from t where n = 1
+  union all select host, tick, n, free, case when yields and threads > 0 then raised * threads // (threads + 1) else raised end, case when yields and threads > 0 then threads - 1 else threads end,
+    case when not yields then 0 when threads = 0 then -1 else 1 end
+  from (select *, free < raised as yields from (select t.host, t.tick, t.n, t.free, r.threads,
+    case when r.free - t.free > r.margin then ((r.free - t.free) // (r.threads + 1) + 1) * (r.threads + 1) else r.margin end as raised from r join t on t.host = r.host and t.n = r.n + 1)))
+select host, tick, margin, threads::integer as threads, stop::integer as stop from r where n > 0""")
 def str7_oom_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events as ticks of hosts; tests hold the fold against a plain loop."""
+    """Events as ticks of hosts."""
     ticks = table(spark, sf_dir, "events").select(F.col("user_id").alias("host"), F.col("event_id").alias("tick"), (F.floor("value").cast("bigint") * 10_000_000).alias("available_memory"))
     return resources.oom_replay(ticks, 4)
 
@@ -585,3 +592,119 @@ def src2_load_traces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Trace documents read, checked, typed and nested."""
     loaded = validate.load(trace_texts(spark, sf_dir))
     return loaded.forest.select("trace_id", "pos", "activity", "detail", "arg_type", "start", "duration", "parent_pos", "self_duration")
+
+
+# --- jobs, details and units ---
+
+
+@query("select event_id, case when took > 50 then ceil(took * 11 / 10.0)::bigint else 50 end as interval_ms from (select event_id, event_id % 120 as took from events)")
+def str1_slower_poll(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").select("event_id", resources.slower_poll(F.lit(50).cast("bigint"), F.col("event_id") % 120).cast("bigint").alias("interval_ms"))
+
+
+@query("select user_id as job, count(*) as n_attempts, count(*) filter (event_id % 3 > 0) as n_stopped, count(*) filter (event_id % 3 = 0) > 0 as finished from events group by 1")
+def str6_attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return build.attempts(table(spark, sf_dir, "events").select(F.col("user_id").alias("job"), (F.col("event_id") % 3 > 0).alias("stopped")))
+
+
+@query("select p_partkey, (p_size + 2)::bigint * 100000000 as margin from part")
+def str8_initial_margin(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "part").select("p_partkey", resources.initial_margin(F.col("p_size").cast("bigint"), 2).alias("margin"))
+
+
+@query("""with j as (select o_orderkey, case when o_orderkey % 7 = 6 then null else (o_orderkey % 3)::integer end as code, case when o_orderkey % 2 = 0 then o_orderpriority || chr(10) end as o, case when o_orderkey % 5 = 0 then 'e' else '' end as e from orders),
+s as (select *, case when o is not null then 'non-empty standard output' || chr(10) || '---' || chr(10) || o || '---' else '' end || case when o is not null and e <> '' then chr(10) || 'and ' else '' end
+  || case when e <> '' then 'non-empty standard error' || chr(10) || '---' || chr(10) || e || '---' else '' end as said from j)
+select o_orderkey, case when code is null or code <> 0 then 'error' when said <> '' then 'warning' end as level,
+  case when code is null or code <> 0 then 'Job failed with ' || coalesce('exit status: ' || code, 'a signal') || case when said <> '' then ', it had ' || said else '' end when said <> '' then 'Job had ' || said end as message from s""")
+def str14_job_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("o_orderkey")
+    jobs = table(spark, sf_dir, "orders").select(
+        k, F.when(k % 7 != 6, (k % 3).cast("int")).alias("exit_code"), F.when(k % 2 == 0, F.concat("o_orderpriority", F.lit("\n"))).alias("stdout"), F.when(k % 5 == 0, "e").otherwise("").alias("stderr")
+    )
+    return build.job_reports(jobs).select("o_orderkey", "level", "message")
+
+
+@query("""select o_orderkey, case o_orderkey % 3 when 2 then o_orderkey % 2 = 1 and (o_orderkey % 11 = 0 or o_orderkey % 120 >= 60) else true end as offer from orders""")
+def str16_should_measure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("o_orderkey")
+    state = F.when(k % 3 == 0, "Nonexistent").when(k % 3 == 1, "Outdated").otherwise("MaybeOutdated")
+    return table(spark, sf_dir, "orders").select("o_orderkey", build.should_measure(state, F.when(k % 11 != 0, k % 120), k % 2 == 0).alias("offer"))
+
+
+@query("select event_id, ' [' || printf('%.2fms', (event_id % 999 + 1)::double) || ', ' || printf('%.2f', (event_id % 100)::double) || '%]' as info from events")
+def sca2_profile_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").select("event_id", text.profile_text((F.col("event_id") % 999 + 1) * 1000.0, F.col("event_id") % 100 / 100).alias("info"))
+
+
+_DETAILS_SQL = """with d as (select event_id, ['Nothing', 'String', 'FilePathOrModule', 'CppEntity', 'Symbol', 'UnnamedLoopOpt'][(event_id % 6 + 1)::integer] as arg_type,
+  case event_id // 6 % 5 when 0 then '[module]' when 1 then '/src/a.cpp' when 2 then '<unnamed loop>' when 3 then 'main' end as detail from events) """
+
+
+def _details(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kinds = F.array(*map(F.lit, ("Nothing", "String", "FilePathOrModule", "CppEntity", "Symbol", "UnnamedLoopOpt")))
+    which = F.floor(F.col("event_id") / 6) % 5
+    detail = F.when(which == 0, "[module]").when(which == 1, "/src/a.cpp").when(which == 2, "<unnamed loop>").when(which == 3, "main")
+    return table(spark, sf_dir, "events").select("event_id", kinds[(F.col("event_id") % 6).cast("int")].alias("arg_type"), detail.alias("detail"))
+
+
+@query(_DETAILS_SQL + """select event_id, case when detail is null then 'Nothing' when arg_type = 'FilePathOrModule' then case detail when '[module]' then 'Module' when '/src/a.cpp' then 'FilePath' else 'String' end
+  when arg_type = 'UnnamedLoopOpt' then case detail when '<unnamed loop>' then 'UnnamedLoop' else 'String' end else arg_type end as kind,
+  case when arg_type = 'FilePathOrModule' and detail in ('main', '<unnamed loop>') then 'BadFilePath' when arg_type = 'UnnamedLoopOpt' and detail <> '<unnamed loop>' then 'UnexpectedLoopName' end as error from d""")
+def sca13_detail_kind(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kind, detail = F.col("arg_type"), F.col("detail")
+    return _details(spark, sf_dir).select("event_id", arguments.detail_kind(kind, detail).alias("kind"), arguments.detail_error(kind, detail).alias("error"))
+
+
+@query(_DETAILS_SQL + "select event_id, case when detail = 'main' then 'Parsed' when detail is not null then 'MaybeMangled' end as state from d")
+def sca16_symbol_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _details(spark, sf_dir).select("event_id", arguments.symbol_state(F.col("detail")).alias("state"))
+
+
+@query("select p_partkey, p_type || ' ' || p_brand as items from part")
+def int3_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sequences give way to their keys, and the keys to their sequences."""
+    rows = table(spark, sf_dir, "part").select("p_partkey", F.array("p_type", "p_brand").alias("items"))
+    back = dictionary.decode(dictionary.encode(rows, "items", "key"), dictionary.sequence_dictionary(rows, "items"), "key")
+    return back.select("p_partkey", F.array_join("items", " ").alias("items"))
+
+
+@query("select p_partkey, 'cc|a b|-D' || p_size as words, case when p_size % 2 = 0 then '…::f<…>' else 'x::f<' || p_brand || '>' end as name from part")
+def ext6_sql_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    register_functions(spark)
+    renderings = "entity_renderings(concat('x::f<', p_brand, '>'))"
+    return table(spark, sf_dir, "part").selectExpr("p_partkey", "array_join(shell_words(concat('cc \"a b\" -D', p_size)), '|') as words", f"if(p_size % 2 = 0, {renderings}[0], element_at({renderings}, -1)) as name")
+
+
+@query("""select case when o_orderkey % 5 = 0 or o_orderkey % 7 = 0 then 'ParseError' end as error, count(*) as n, count(distinct case when o_orderkey % 5 <> 0 and o_orderkey % 7 <> 0 then o_orderkey end) as n_files,
+  count(case when o_orderkey % 5 <> 0 and o_orderkey % 7 <> 0 and o_orderkey % 2 = 0 then 1 end) as n_outputs from orders group by 1""")
+def src4_commands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A database of one entry an order: some have a stray key, some lack the file."""
+    k = F.col("o_orderkey")
+    entry = F.struct(
+        F.lit("/b").alias("directory"), F.lit("cc").alias("command"), F.when(k % 7 != 0, F.concat(F.lit("/s/"), k.cast("string"))).alias("file"), F.when(k % 2 == 0, F.concat(k.cast("string"), F.lit(".o"))).alias("output"),
+        F.when(k % 5 == 0, 1).alias("stray"),
+    )
+    rows = units.commands_from_text(table(spark, sf_dir, "orders").select(F.to_json(F.array(entry)).alias("text")))
+    return rows.groupBy("error").agg(F.count("*").alias("n"), F.countDistinct("file").alias("n_files"), F.count("output").alias("n_outputs"))
+
+
+@query("select 's' || o_orderkey as file, floor(o_totalprice)::bigint as max_rss, case when o_orderkey % 2 = 0 then '/b/' || o_orderkey || '.o' end as product from orders")
+def flt4_units_with_commands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = table(spark, sf_dir, "orders").withColumn("file", F.concat(F.lit("s"), F.col("o_orderkey").cast("string")))
+    commands = orders.where("o_orderkey % 2 = 0").select("file", F.lit("/b").alias("directory"), F.format_string("cc -o ./%d.o", "o_orderkey").alias("command"), F.lit(None).cast("string").alias("output"))
+    return build.units_with_commands(orders.select("file", F.floor("o_totalprice").cast("bigint").alias("max_rss")), commands).select("file", "max_rss", "product")
+
+
+@query(FOREST_SQL + """, t as (select trace_id, sum(duration) as total from nested where parent_pos is null group by 1),
+c as (select n.duration, t.total, coalesce(p.duration, t.total) as up from nested n join t on t.trace_id = n.trace_id left join nested p on p.trace_id = n.trace_id and p.pos = n.parent_pos)
+select 0 as step, 'global' as unit, count(*) as n, round(sum(duration * 100 / total), 2) as total from c union all select 1, 'parent', count(*), round(sum(duration * 100 / up), 2) from c
+union all select 2, 'time', count(*), round(sum(duration), 2) from c union all select 3, 'global', count(*), round(sum(duration * 100 / total), 2) from c""")
+def win3_unit_cycle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The profile in each unit, as the unit is switched on, back to the first."""
+    spans, unit, out = _forest(spark, sf_dir), "global", []
+    for step in range(4):
+        rows = profile.profile(spans, unit=unit)
+        out.append(rows.agg(F.count("*").alias("n"), F.round(F.sum("total"), 2).alias("total")).select(F.lit(step).alias("step"), F.lit(unit).alias("unit"), "n", "total"))
+        unit = profile.next_unit(unit)
+    return out[0].union(out[1]).union(out[2]).union(out[3])

@@ -146,3 +146,24 @@ def test_dictionary(spark):
     d = dictionary.dictionary(rows, "v")
     assert dictionary.collisions(d).count() == 0
     assert sorted(str(r["v"]) for r in dictionary.decode(dictionary.encode(rows, "v", "key"), d, "key").collect()) == ["None", "a", "b", "b", "c"]
+
+
+def test_job_reports(spark):
+    jobs = spark.createDataFrame([(0, 0, None, ""), (1, 0, "a\n", "b\n"), (2, 3, None, None), (3, None, "", "no\n")], "k int, exit_code int, stdout string, stderr string")
+    rows = {r["k"]: (r["level"], r["message"]) for r in build.job_reports(jobs).collect()}
+    said = "non-empty standard error\n---\n{}---"
+    assert rows == {
+        0: (None, None), 1: ("warning", "Job had non-empty standard output\n---\na\n---\nand " + said.format("b\n")), 2: ("error", "Job failed with exit status: 3"),
+        3: ("error", "Job failed with a signal, it had " + said.format("no\n")),
+    }
+    runs = spark.createDataFrame([("x", True), ("x", True), ("x", False), ("y", True)], "job string, stopped boolean")
+    assert sorted(tuple(r) for r in build.attempts(runs).collect()) == [("x", 3, 2, True), ("y", 1, 1, False)]
+    assert build.attempts(runs.limit(0)).count() == 0
+
+
+def test_public_names():
+    import buildlens
+
+    assert all(callable(getattr(buildlens, name)) for name in buildlens.__all__)
+    with pytest.raises(AttributeError):
+        buildlens.nothing
