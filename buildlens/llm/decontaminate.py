@@ -28,6 +28,8 @@ THRESHOLD = 0.4
 ENOUGH = 30  # so many matching words are a match whatever their share
 #: Words of the benchmark that are searched in one pass; a larger benchmark takes more passes.
 BLOCK_WORDS = 1 << 20
+#: Pairs of a word of a text and a seed that are laid out at once.
+PAIRS_AT_ONCE = 1 << 20
 _BITS = 22
 
 
@@ -80,12 +82,20 @@ class Block:
         keep = np.sort(order[rank < PER_GROUP])
         return Block(self.item, self.words, self.rows, self.gram[keep], self.segment[keep], self.position[keep])
 
-    def find(self, grams: np.ndarray, bitmap: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(index into grams, index into the block's grams) of all equal pairs."""
+    def find(self, grams: np.ndarray, bitmap: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(index into grams, index into the block's grams) of all equal pairs, so many at once that memory stays bounded.
+
+        A gram that is common in the text and in the block has very many pairs; a part holds
+        those of PAIRS_AT_ONCE and of one more gram at most.
+        """
         some = np.flatnonzero(bitmap[grams >> np.uint64(64 - _BITS)])
         lo, hi = np.searchsorted(self.gram, grams[some]), np.searchsorted(self.gram, grams[some], side="right")
-        n = hi - lo
-        return np.repeat(some, n), np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        hit = hi > lo
+        some, lo, n = some[hit], lo[hit], (hi - lo)[hit]
+        part = np.cumsum(n) // PAIRS_AT_ONCE
+        cuts = np.flatnonzero(part[1:] != part[:-1]) + 1
+        for s, a, m in zip(np.split(some, cuts), np.split(lo, cuts), np.split(n, cuts)):
+            yield np.repeat(s, m), np.repeat(a, m) + np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)
 
 
 def local_alignment(a: list[np.ndarray], b: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -120,13 +130,12 @@ def matches(texts: pa.Array, block: Block, bitmap: np.ndarray, threshold: float
     """row, item, score, begin, end (words of the text) of the aligned passages: the best a (row, item)."""
     h, rows = word_hashes(texts)
     grams, at = ngram_hashes(h, rows, NGRAM)
-    g, k = block.find(grams, bitmap)
-    row = np.searchsorted(at, g, side="right") - 1
-    place = g - at[row]
-    seg = block.segment[k]
-    size = np.diff(block.rows)[seg]
-    bucket = (place - block.position[k]) // np.maximum(size, 1)
-    found = np.unique(np.stack([row, seg, bucket], axis=1), axis=0) if len(row) else np.zeros((0, 3), np.int64)
+    sizes = np.diff(block.rows)
+    found = np.zeros((0, 3), np.int64)
+    for g, k in block.find(grams, bitmap):
+        row, seg = np.searchsorted(at, g, side="right") - 1, block.segment[k]
+        bucket = (g - at[row] - block.position[k]) // np.maximum(sizes[seg], 1)
+        found = np.unique(np.concatenate([found, np.stack([row, seg, bucket], axis=1)]), axis=0)
     out: dict[tuple[int, int], tuple] = {}
     for cut in range(0, len(found), 256):
         part = found[cut : cut + 256]
