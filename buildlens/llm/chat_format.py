@@ -155,7 +155,9 @@ def digests(turns: DataFrame) -> DataFrame:
     """A row a conversation: n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars, n_tokens.
 
     Turns come as read_back gives them.  A digest needs its turns in order: they are
-    dealt by conversation, sorted with spilling, and hashed as they stream by.
+    dealt by conversation, sorted with spilling, and hashed as they stream by.  Turns of equal
+    number go by role, then text; repeated ones count each.  Rows without a conv_id are one
+    conversation.  An empty table gives an empty one.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -446,7 +446,10 @@ def extract(page: str, model: tuple[float, list[Tree]]) -> str:
 def extract_text(pages: DataFrame, model: tuple[float, list[Tree]] | None = None) -> DataFrame:
     """page_id, url, text, n_chars of every row; null or empty html gives an empty text.
 
-    Repeated rows give repeated results; other columns are not read.
+    Pages of any length are read whole, one after the other within a task.  A node that is as
+    likely inside as outside the article stays outside; one below the article stays inside.
+    Repeated rows give repeated results, an empty table an empty one; null ids and urls
+    stay null; other columns are not read.
     """
     bound_batches(pages.sparkSession)
     model = model or trained()

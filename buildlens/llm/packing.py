@@ -233,7 +233,12 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, shard: int = SHARD, island
 
 
 def pack_documents(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32, sequence_id, offset: a row a piece."""
+    """doc_id, piece, start, length, ids_crc32, sequence_id, offset: a row a piece.
+
+    Null and empty texts are one piece of the closing id alone; texts of any length are cut
+    whole.  Repeated rows are packed each; a null doc_id stays null; an empty table gives an
+    empty one.  Columns other than doc_id and text are not read.
+    """
     return pack(cut_pieces(docs, capacity, path), capacity)
 
 

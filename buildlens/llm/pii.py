@@ -8,6 +8,7 @@ The trees are trained here, on generated texts with known spans and look-alikes.
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import math
 import random
@@ -265,7 +266,10 @@ class Detector:
         return 1 / (1 + np.exp(-(self.slope[kinds] * raw + self.offset[kinds])))
 
     def spans(self, text: str) -> tuple[list[Span], list[Span]]:
-        """(base spans, all spans): the likeliest candidates above their thresholds that overlap nothing chosen."""
+        """(base spans, all spans): the likeliest candidates above their thresholds that overlap nothing chosen.
+
+        Of equally likely ones that overlap the earlier goes first, then the kind listed first.
+        """
         base = base_spans(text)
         found = candidates(text, base)
         if not found:
@@ -273,22 +277,20 @@ class Detector:
         kinds = np.array([KINDS.index(c[2]) for c in found])
         p = self.probability(np.array([describe(text, c) for c in found]), kinds)
         chosen: list[Span] = []
-        taken = np.zeros(0)
-        for i in np.lexsort((kinds, [c[0] for c in found], -p)):
+        begins: list[int] = []  # of the chosen spans in text order, and their ends
+        ends: list[int] = []
+        for i in np.lexsort((kinds, [c[0] for c in found], -p)).tolist():
             if p[i] < self.threshold[kinds[i]]:
                 continue
-            s = found[i]
-            if all(s[1] <= o[0] or s[0] >= o[1] for o in chosen) if len(chosen) < 64 else not _hits(taken, s):
-                chosen.append(s)
-                taken = np.array(sorted((a, b) for a, b, _ in chosen))
+            a, b, _ = found[i]
+            k = bisect.bisect_left(begins, b)
+            if not k or ends[k - 1] <= a:
+                chosen.append(found[i])
+                begins.insert(k, a)
+                ends.insert(k, b)
         return base, sorted(base + chosen, key=lambda s: (s[0], KINDS.index(s[2])))
 
 
-def _hits(taken: np.ndarray, s: Span) -> bool:
-    k = int(np.searchsorted(taken[:, 0], s[1]))
-    return k > 0 and taken[k - 1, 1] > s[0]
-
-
 @lru_cache(maxsize=1)
 def trained(texts: int = 6000, trees: int = 60, depth: int = 4, precision: float = 0.97) -> Detector:
     """Fit on generated texts; calibrate and choose thresholds on others."""
@@ -345,7 +347,9 @@ def find_pii(docs: DataFrame, detector: Detector | None = None) -> DataFrame:
     """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans of every row.
 
     Counts and digest are of base spans, in code points; spans has them all.  Null and
-    empty texts have no spans; repeated rows give repeated results.
+    empty texts have no spans; texts of any length are searched whole; repeated rows give
+    repeated results, an empty table an empty one.  A null doc_id stays null; columns
+    other than doc_id and text are not read.
     """
     bound_batches(docs.sparkSession)
     detector = detector or trained()
@@ -384,7 +388,11 @@ def redacted(text: str, spans: list[Span]) -> str:
 
 
 def redact(docs: DataFrame, detector: Detector | None = None) -> DataFrame:
-    """`docs` with every found span replaced by its kind; n_chars, if there, is counted anew in such rows."""
+    """`docs` with every found span replaced by its kind; n_chars, if there, is counted anew in such rows.
+
+    Null and empty texts stay as they are, and so do all other columns, whatever their
+    names; repeated rows stay, an empty table gives an empty one.
+    """
     bound_batches(docs.sparkSession)
     detector = detector or trained()
     schema = docs.schema

@@ -153,6 +153,11 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, sample: int = SAMPL
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int = SAMPLE) -> Model:
+    """The model of at most `sample` labelled documents, the same whatever their partitions.
+
+    Null texts count as empty ones.  Without labels, or with one class only, the model is
+    the smoothed share of label 1 for every text.
+    """
     bound_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -169,7 +174,13 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: in
 
 
 def score(docs: DataFrame, model: Model, held_out: Column, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, held_out, score, predicted of every row; null texts are scored as empty ones."""
+    """doc_id, held_out, score, predicted of every row.
+
+    Null texts are scored as empty ones, texts of any length whole; a score equal to the
+    threshold predicts 1.  Equal texts get equal scores, repeated rows repeated results; a
+    null `held_out` is false, a null doc_id stays null.  An empty table gives an empty one;
+    columns other than doc_id, text and what `held_out` names are not read.
+    """
     bound_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(held_out, F.lit(False)).alias("held_out"), F.col("text").cast("string").alias("__text"))
 

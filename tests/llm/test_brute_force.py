@@ -10,7 +10,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from buildlens.llm import decontaminate, quality_gam
+from buildlens.llm import decontaminate, pii, quality_gam
 from test_dedup import plain_alignment
 
 
@@ -118,3 +118,25 @@ def test_a_pair_of_features_is_learnt():
     y = ((x[:, 0] > 0.5) != (x[:, 1] > 0.5)).astype(float)
     model = quality_gam.fit(x, y)
     assert np.mean((model.probability(x) > 0.5) == y) > 0.85 and {(i, j) for i, j, _ in model.pairs} >= {(1, 0)}
+
+
+def test_chosen_spans_against_all_pairs(monkeypatch):
+    """Candidates by falling probability, none that overlaps one chosen before; many in a text."""
+    rng = random.Random(12)
+    detector = pii.trained()
+    found = []
+    for _ in range(1500):
+        a = rng.randrange(6000)
+        found.append((a, a + rng.randint(1, 12), rng.choice(pii.KINDS)))
+    p = np.round(np.array([rng.random() for _ in found]), 2)  # with ties
+    monkeypatch.setattr(pii, "base_spans", lambda text: [])
+    monkeypatch.setattr(pii, "candidates", lambda text, base: found)
+    monkeypatch.setattr(pii, "describe", lambda text, c: [0.0])
+    monkeypatch.setattr(pii.Detector, "probability", lambda self, x, kinds: p)
+    chosen = []
+    for i in sorted(range(len(found)), key=lambda i: (-p[i], found[i][0], pii.KINDS.index(found[i][2]))):
+        a, b, kind = found[i]
+        if p[i] >= detector.threshold[pii.KINDS.index(kind)] and all(b <= c or a >= d for c, d, _ in chosen):
+            chosen.append(found[i])
+    got = detector.spans("x")[1]
+    assert len(got) > 100 and got == sorted(chosen, key=lambda s: (s[0], pii.KINDS.index(s[2])))
