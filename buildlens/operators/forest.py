@@ -79,15 +79,18 @@ def overlapping_traces(nested: DataFrame) -> DataFrame:
 
 
 def overlaps(spans: DataFrame) -> DataFrame:
-    """(trace_id, pos, earlier_pos) for every span that begins inside earlier ones: the nearest of them.
+    """(trace_id, pos, earlier_pos) for every span that begins inside earlier ones: the last of them.
 
-    A diagnosis for traces that failed the check: the pairs of one trace may be many,
-    so they are reduced to one a span, map-side, as the join makes them.
+    Times are ranked within a trace; beginnings are points, the ranks between beginning and
+    end a range, so that beginnings meet only the spans round them.
     """
-    a = spans.select("trace_id", F.col("pos").alias("earlier_pos"), F.col("start").alias("s"), (F.col("start") + F.col("duration")).alias("e"))
-    b = spans.select("trace_id", "pos", "start")
-    met = b.join(a, "trace_id").where("earlier_pos < pos and s < start and start < e")
-    return met.groupBy("trace_id", "pos").agg(F.max("earlier_pos").alias("earlier_pos"))
+    end = F.col("start") + F.col("duration")
+    moments = spans.select("trace_id", "pos", F.explode(F.array(F.struct(F.col("start").alias("t"), F.lit(True).alias("begins")), F.struct(end.alias("t"), F.lit(False).alias("begins")))).alias("m"))
+    ranked = moments.select("trace_id", "pos", "m.begins", F.dense_rank().over(Window.partitionBy("trace_id").orderBy("m.t")).cast("bigint").alias("rank"))
+    points = ranked.where("begins").select("trace_id", "pos", F.col("rank").alias("point"))
+    rank_of = lambda begins: F.max(F.when(F.col("begins") == begins, F.col("rank")))
+    ranges = ranked.groupBy("trace_id", F.col("pos").alias("earlier_pos")).agg((rank_of(True) + 1).alias("begin"), rank_of(False).alias("end"))
+    return _inside(ranges, points).where("earlier_pos < pos").groupBy("trace_id", "pos").agg(F.max("earlier_pos").alias("earlier_pos"))
 
 
 def roots(forest: DataFrame) -> DataFrame:

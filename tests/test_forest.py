@@ -61,7 +61,9 @@ def test_overlaps_and_order(spark):
                 bad.add(f"t{k}")
     df = spark.createDataFrame(rows, SPANS)
     assert {r[0] for r in forest.overlapping_traces(forest.nest(df)).collect()} == bad
-    assert {r["trace_id"] for r in forest.overlaps(df).collect()} == bad
+    last = {(t, p): max((q for u, q, a, b in rows if u == t and q < p and a < s < a + b), default=None) for t, p, s, _ in rows}
+    assert {(r["trace_id"], r["pos"]): r["earlier_pos"] for r in forest.overlaps(df).collect()} == {k: v for k, v in last.items() if v is not None}
+    assert {t for t, _ in (k for k, v in last.items() if v is not None)} == bad
     assert forest.order_errors(spark.createDataFrame([("a", 0, 7.0, 2.5), ("a", 1, 1.5, 3.0)], SPANS)).count() == 1
     assert forest.order_errors(df).count() == 0
 
