@@ -72,7 +72,7 @@ def base_spans(text: str) -> list[Span]:
         for k in range(0, len(parts) - 3, 4):
             four = parts[k : k + 4]
             end = begin + sum(map(len, four)) + 3
-            if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in four):
+            if all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or "0") <= 255 for p in four):
                 out.append((begin, end, "ip"))
             begin = end + 1
     for m in _CARD.finditer(text):

@@ -181,6 +181,15 @@ def test_base_spans_of_long_runs():
         pii.candidates(text, [])
 
 
+def test_parts_of_any_number_of_digits():
+    """Numbers longer than Python converts by default."""
+    zeros = "0" * 1_000_000
+    assert pii.base_spans(f"{zeros}.1.1.1 {zeros}1.2.3.4 9{zeros}.1.1.1") == [(0, 1_000_006, "ip"), (1_000_007, 2_000_014, "ip")]
+    for text in (f"{zeros}@{zeros}.{zeros}", f"+{zeros}", zeros):
+        assert all(kind in ("email",) for *_, kind in pii.base_spans(text))
+        pii.candidates(text, [])
+
+
 def test_pii_held_out_accuracy():
     x, kinds, y = pii.training_rows(2000, 77)
     d = pii.trained()
