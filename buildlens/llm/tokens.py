@@ -55,14 +55,15 @@ class Encoder:
         self.flat = np.zeros(1 << 16, dtype=np.uint32)
         self.ptr = np.zeros(1 << 14, dtype=np.int64)
 
-    def _encode_chunks(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def _encode_chunks(self, data: np.ndarray, start: np.ndarray, end: np.ndarray, alone: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of byte ranges and the number of ids of each.
 
         Ranges that begin with a space and end otherwise are encoded in one call:
         no token crosses from one into the next, and token lengths tell them apart.
+        Those marked `alone` are encoded one by one, with special texts.
         """
         size = end - start
-        plain = SPACE[data[start]] & ~SPACE[data[end - 1]]
+        plain = SPACE[data[start]] & ~SPACE[data[end - 1]] & ~alone
         some = np.flatnonzero(plain)
         ends = np.cumsum(size[some])
         total = int(ends[-1]) if len(ends) else 0
@@ -102,7 +103,9 @@ class Encoder:
         edge[1:] &= ~space[:-1]
         edge[offsets[:-1][np.diff(offsets) > 0]] = True
         start = np.flatnonzero(edge)
+        alone = np.zeros(0, dtype=np.int64)
         if len(odd):
+            alone = offsets[odd]
             row = np.searchsorted(offsets, start, side="right") - 1
             start = start[~np.isin(row, odd) | np.isin(start, offsets[odd])]
         end = np.append(start[1:], len(data)) if len(start) else start
@@ -115,7 +118,7 @@ class Encoder:
         if new:
             at_first = first[np.asarray(new)]
             have = len(self.known)
-            self._learn([hashes[i] for i in new], *self._encode_chunks(data, start[at_first], end[at_first]))
+            self._learn([hashes[i] for i in new], *self._encode_chunks(data, start[at_first], end[at_first], np.isin(start[at_first], alone)))
             for k, i in enumerate(new):
                 at[i] = have + k
         which = np.asarray(at, dtype=np.int64)[inverse]

@@ -152,7 +152,16 @@ def test_encoder_special_texts():
 
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     for special in (), tokens.special_tokens(tokens.default_path()):
-        _same_ids(t, special, ["a <|endoftext|> b", "<|endoftext|><|endoftext|>", "x<|endoftext|>\n y", "plain text", "", "a\u00a0<|endoftext|>"])
+        _same_ids(t, special, ["a <|endoftext|> b", "<|endoftext|><|endoftext|>", "x<|endoftext|>\n y", "plain text", "", "a\u00a0<|endoftext|>", " x <|endoftext|> y", "\nfoo\n<|endoftext|>\nbar", "\t<|endoftext|>x", " \u00a0 y", " x", " x <|endoftext|> y"])
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.lists(st.sampled_from([" ", "\n", "x", "<|endoftext|>", "<|", "\u00a0", "yz", "é"]), max_size=8).map("".join), max_size=5))
+def test_encoder_mixed_texts(texts):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    _same_ids(Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")), tokens.special_tokens(tokens.default_path()), texts)
 
 
 # --- op10 ---
