@@ -24,7 +24,7 @@ from buildlens.llm.gbt import Tree, boost, raw_scores
 
 #: Fixed values of HTML: elements without content, with raw content, inline, and those that end an open p.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title template iframe".split())
+RAW = frozenset("script style textarea title iframe".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var".split())
 FOREIGN = frozenset(("svg", "math"))
 CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre search section summary table ul".split())
@@ -93,9 +93,14 @@ def _tag_end(page: str, at: int, unclosed: set[str]) -> int:
 
 
 def read_dom(page: str) -> Dom:
-    """A forgiving parser: unknown, unclosed and stray tags and cut-off pages are all right."""
+    """A forgiving parser: unknown, unclosed and stray tags and cut-off pages are all right.
+
+    The depths at which each name is open are kept, so that nesting of any depth costs a tag no
+    more.  What a template holds is no text of the page.
+    """
     dom, stack, link, run = Dom(), [], 0, 0
     names: list[str] = []
+    opened: dict[str, list[int]] = {}
 
     def open_node(name: str, attrs: str) -> None:
         k = len(dom.tag)
@@ -113,13 +118,14 @@ def read_dom(page: str) -> Dom:
         dom.marks.append("data-main" in attrs)
         dom.links.append(0)
         dom.link_chars.append(0)
+        opened.setdefault(name, []).append(len(names))
         stack.append(k)
         names.append(name)
 
     def close_to(depth: int) -> None:
         while len(stack) > depth:
             dom.end[stack.pop()] = len(dom.tag)
-            names.pop()
+            opened[names.pop()].pop()
 
     open_node("html", "")
     at, size = 0, len(page)
@@ -135,6 +141,8 @@ def read_dom(page: str) -> Dom:
         if text == "<" and page[at : at + 1].isalpha() | (page[at : at + 1] in ("/", "!", "?")) and page.find(">", at) < 0:
             break  # an unclosed tag at the end of a cut-off page
         if text is not None:
+            if opened.get("template"):
+                continue
             if not text.isspace():
                 dom.parts.append((stack[-1], text, run))
                 if link:
@@ -157,14 +165,16 @@ def read_dom(page: str) -> Dom:
             run += 1
             if name in ("html", "head") or name in VOID:
                 continue
-            if attrs.endswith("/") and (name in FOREIGN or any(x in FOREIGN for x in names)):
+            if attrs.endswith("/") and (name in FOREIGN or any(opened.get(x) for x in FOREIGN)):
                 continue  # only in these a slash closes an element
             if name == "body" and len(stack) > 1:
                 continue
-            if name in CLOSES_P and "p" in names:
-                close_to(len(names) - 1 - names[::-1].index("p"))
-            if name in ("li", "dt", "dd", "tr", "td", "th"):
-                _close_sibling(name, names, close_to)
+            if name in CLOSES_P and opened.get("p"):
+                close_to(opened["p"][-1])
+            if name in _SCOPE:
+                deepest = lambda some: max((opened[x][-1] for x in some if opened.get(x)), default=0)
+                if (kin := deepest(_KIN.get(name, (name,)))) > deepest(_SCOPE[name]):
+                    close_to(kin)
             open_node(name, attrs)
             link = 0
         elif closed is not None:
@@ -173,8 +183,8 @@ def read_dom(page: str) -> Dom:
                 link = 0
             elif name not in INLINE and name not in VOID:
                 run += 1
-                if name in names[1:] and name not in ("body", "html"):
-                    close_to(len(names) - 1 - names[::-1].index(name))
+                if opened.get(name) and name not in ("body", "html"):
+                    close_to(opened[name][-1])
     close_to(0)
     return dom
 
@@ -184,16 +194,6 @@ _SCOPE = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"
 _KIN = {"dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "td": {"td", "th"}, "th": {"td", "th"}}
 
 
-def _close_sibling(name: str, names: list[str], close_to) -> None:
-    kin = _KIN.get(name, {name})
-    for k in range(len(names) - 1, 0, -1):
-        if names[k] in kin:
-            close_to(k)
-            return
-        if names[k] in _SCOPE[name]:
-            return
-
-
 FEATURE_COUNT = 2 * (len(TAGS) + 1) + 2 * len(TOKENS) + 22
 
 

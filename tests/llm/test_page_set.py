@@ -1,6 +1,9 @@
 """Hand-written pages of many layouts, each with the text that a reader would call the article."""
 
 import itertools
+import random
+import re
+import time
 
 import numpy as np
 import pytest
@@ -35,6 +38,8 @@ PAGES = [
     ("comment mark", f"<body><article><!-- <p>hidden</p> --><h1>Ferries</h1><p>{LONG}</p><p>{MORE}</p></article></body>", f"Ferries {LONG} {MORE}"),
     ("other script", "<body><nav><a href=/>首页</a></nav><article><h1>渡轮</h1><p>渡轮每天从北港出发两次，大约需要四十分钟，逆潮时更久。</p><p>携带自行车的乘客在左侧等候，船员最后装载。</p></article><footer>版权所有</footer></body>", "渡轮 渡轮每天从北港出发两次，大约需要四十分钟，逆潮时更久。 携带自行车的乘客在左侧等候，船员最后装载。"),
     ("no article", "<body><nav><a href=/>Home</a> <a href=/n>News</a></nav><footer>Copyright 2020</footer></body>", ""),
+    ("templates", f"<body><nav><a href=/>Home</a></nav><article><h1>Ferries</h1><p>{LONG}</p><template><div><template><p>inner</p></template><p>rest of the outer one</p></div></template><p>{MORE}</p></article></body>", f"Ferries {LONG} {MORE}"),
+    ("open template", f"<body><nav><a href=/>Home</a></nav><article><h1>Ferries</h1><div><template><p>shadow</div><p>{LONG}</p><p>{MORE}</p></article></body>", f"Ferries {LONG} {MORE}"),
     ("one paragraph", f"<body><nav><ul><li><a href=/>Home</a></li></ul></nav><article><p>{LONG}</p></article><footer>Imprint</footer></body>", LONG),
     ("attributes", f"<body><nav><a href=/>Home</a></nav><article data-x='a > b' class=\"story\"><h1 title='5 > 4'>Ferries</h1><p>{LONG}</p><p>{MORE}</p></article></body>", f"Ferries {LONG} {MORE}"),
 ]
@@ -62,3 +67,44 @@ def test_decoding_is_the_likeliest_of_all():
         best = max(cost(s) for s in itertools.product(range(3), repeat=n) if allowed(s))
         got = html_extract.decode(dom, p).tolist()
         assert allowed(got) and cost(got) == pytest.approx(best)
+
+
+@pytest.mark.parametrize("tag", ["div", "p", "ul", "li", "template", "span", "td"])
+def test_deep_nesting_costs_no_square(tag):
+    began = time.process_time()
+    dom = html_extract.read_dom(f"<{tag}>" * 100_000 + "deep" + f"</{tag}><td>" * 50_000 + "<li>x<svg/>" * 10_000)
+    assert time.process_time() - began < 6 and len(dom.tag) == len(dom.end) > 1
+
+
+def plain_nesting(page):
+    """Open elements by lists that are searched each time."""
+    names, out = ["html"], []
+    scope = {"li": {"ul", "ol", "menu"}, "td": {"tr", "table"}, "tr": {"table"}}
+    for closing, name in re.findall(r"<(/?)(\w+)>", page):
+        if closing:
+            if name in names[1:]:
+                del names[len(names) - 1 - names[::-1].index(name) :]
+            continue
+        if name in html_extract.CLOSES_P and "p" in names:
+            del names[len(names) - 1 - names[::-1].index("p") :]
+        if name in scope:
+            for k in range(len(names) - 1, 0, -1):
+                if names[k] in ({"td", "th"} if name == "td" else {name}):
+                    del names[k:]
+                    break
+                if names[k] in scope[name]:
+                    break
+        out.append(len(names))
+        names.append(name)
+    return out
+
+
+def test_nesting_equals_searched_lists():
+    rng = random.Random(4)
+    for _ in range(500):
+        page = "".join(f"<{rng.choice(['', '', '/'])}{rng.choice(['p', 'div', 'li', 'ul', 'td', 'tr', 'table', 'section'])}>" for _ in range(rng.randrange(25)))
+        dom = html_extract.read_dom(page)
+        depth = [0]
+        for p in dom.parent[1:]:
+            depth.append(depth[p] + 1)
+        assert depth[1:] == plain_nesting(page), page
