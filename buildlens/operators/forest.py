@@ -2,11 +2,12 @@
 
 Spans of a trace come in the order `pos` of ascending ends.  The parent of a span is the
 next later one that starts no later; the subtree of a span is the run of positions from
-its first_pos to itself.  Both follow from ranks and counts, so windows find them:
+its first_pos to itself.  Starts and ends on one axis are a sequence of brackets, and running
+counts over it, by windows, find both:
 
 * depth: spans that begin before, less those that end before;
 * first_pos: the number of spans that lie wholly before;
-* parent: in the order of starts, the last span one level up.
+* parent: in that order, the last span one level up.
 
 All windows are on trace_id (and the level), so rows are shuffled to their trace once
 and spread by level for the parents.  Windows spill; no trace is held whole.
@@ -20,29 +21,45 @@ from pyspark.sql import functions as F
 from buildlens.operators.shared import checkpoint
 
 
+def axis(spans: DataFrame) -> DataFrame:
+    """Both ends of every span (column __ends: 1 for the end) with __point, their order as a sequence of brackets.
+
+    At one time spans end in the order of pos.  Empty spans stand, the later around the earlier,
+    before the next span that ends there, or, behind the last of these, inside what starts there.
+    """
+    end = F.col("start") + F.col("duration")
+    empty = F.col("duration") == 0
+    later = Window.partitionBy("trace_id", "__end").orderBy(F.desc("pos")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    spans = spans.withColumn("__end", end).withColumn("__next", F.min(F.when(~empty, F.col("pos"))).over(later))
+
+    def point(ends: int, x: str, k: Column, at: Column, step: Column, p: Column) -> Column:
+        inner = [x_.cast("bigint").alias(n) for n, x_ in (("k", k), ("at", at), ("step", step), ("p", p))]
+        return F.struct(F.lit(ends).alias("ends"), F.struct(F.col(x).cast("double").alias("x"), *inner).alias("point"))
+
+    zero, pos = F.lit(0), F.col("pos")
+    slot, at = F.when(F.col("__next").isNull(), 2).otherwise(0), F.coalesce("__next", zero)
+    start_point = F.when(empty, point(0, "start", slot, at, zero, -pos)).otherwise(point(0, "start", F.lit(1), zero, zero, -pos))
+    end_point = F.when(empty, point(1, "__end", slot, at, F.lit(1), pos)).otherwise(point(1, "__end", zero, pos, F.lit(2), zero))
+    both = spans.withColumn("__both", F.explode(F.array(start_point, end_point)))
+    return both.withColumn("__point", F.col("__both.point")).withColumn("__ends", F.col("__both.ends")).drop("__both", "__next", "__end")
+
+
 def nest(spans: DataFrame, sums: bool = False) -> DataFrame:
     """`spans` with end, depth, first_pos, parent_pos, parent_duration, n_descendants; see build_forest for `sums`.
 
     Needs trace_id, pos (0, 1, ... by ascending end), start, duration.  Roots have a
     null parent_pos.  In a trace whose spans overlap in part the results mean nothing,
-    but some span then has a parent_pos below its pos: see forest_errors.
+    but some span then has a parent_pos below its pos: see forest_errors.  A trace is sorted
+    in one task: see brackets.nest_in_chunks for larger ones.
     """
-    spans = spans.withColumn("end", F.col("start") + F.col("duration"))
-    w = Window.partitionBy("trace_id")
-    spans = spans.withColumn("__pre", F.row_number().over(w.orderBy("start", F.desc("pos"))) - 1)
-    # Ends and starts on one axis.  At one point of time the ends come first, starts of empty spans
-    # stand among them by position, and the ends of empty spans count for nobody there.
-    empty = F.col("duration") == 0
-    end_point = F.struct(F.col("end").alias("x"), F.when(empty, 2).otherwise(0).alias("k"), F.col("pos").alias("p"), F.lit(1).alias("ends"))
-    start_point = F.struct(F.col("start").alias("x"), F.when(empty, 0).otherwise(1).alias("k"), F.col("pos").alias("p"), F.lit(0).alias("ends"))
-    points = spans.withColumn("__point", F.explode(F.array(end_point, start_point)))
-    running = w.orderBy("__point.x", "__point.k", "__point.p", "__point.ends").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    points = points.withColumn("first_pos", F.sum("__point.ends").over(running).cast("int")).where(F.col("__point.ends") == 0).drop("__point")
-    points = points.withColumn("depth", (F.col("__pre") - F.col("first_pos")).cast("int"))
+    running = Window.partitionBy("trace_id").orderBy("__point").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    points = axis(spans).withColumn("__ended", F.sum("__ends").over(running)).withColumn("__passed", F.count("*").over(running)).where("__ends = 0")
+    points = points.withColumn("end", F.col("start") + F.col("duration")).withColumn("first_pos", F.col("__ended").cast("int"))
+    points = points.withColumn("depth", (F.col("__passed") - 1 - 2 * F.col("__ended")).cast("int")).drop("__ends", "__ended", "__passed")
     # Every span is offered to the level below it, and asks at the level above.
     me = F.struct(F.col("depth").alias("level"), F.struct(F.col("pos").cast("int").alias("pos"), F.col("duration").cast("double").alias("duration")).alias("offer"))
     roles = points.withColumn("__role", F.explode(F.array(me, F.struct((F.col("depth") - 1).alias("level"), F.lit(None).cast("struct<pos:int,duration:double>").alias("offer")))))
-    up = Window.partitionBy("trace_id", "__role.level").orderBy("__pre").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    up = Window.partitionBy("trace_id", "__role.level").orderBy("__point").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     roles = roles.withColumn("__up", F.last("__role.offer", ignorenulls=True).over(up))
     asks = F.col("__role.offer").isNull()
     if sums:
@@ -54,7 +71,7 @@ def nest(spans: DataFrame, sums: bool = False) -> DataFrame:
         of_offer = lambda c: F.max(F.when(~asks, F.col(c))).over(own)
         roles = roles.repartition("trace_id").withColumn("n_children", of_offer("n_children").cast("int")).withColumn("self_duration", F.col("duration") - F.coalesce(of_offer("__inner"), F.lit(0.0))).drop("__inner")
     out = roles.where(asks).withColumn("parent_pos", F.col("__up.pos")).withColumn("parent_duration", F.col("__up.duration"))
-    return out.withColumn("n_descendants", F.col("pos") - F.col("first_pos")).drop("__role", "__pre", "__up")
+    return out.withColumn("n_descendants", F.col("pos") - F.col("first_pos")).drop("__role", "__point", "__up")
 
 
 def build_forest(spans: DataFrame) -> DataFrame:

@@ -1,10 +1,11 @@
-"""Cutting lineage in the shared checkpoint folder."""
+"""Cutting lineage in the shared checkpoint folder, and numbering rows."""
 
 from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
@@ -16,3 +17,19 @@ def checkpoint(df: DataFrame) -> DataFrame:
             raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="buildlens-checkpoints-"))
     return df.checkpoint(eager=True)
+
+
+def numbered(df: DataFrame, name: str, *order: str | Column) -> DataFrame:
+    """`df` with a dense number from 0 in the given order of all rows; equal rows in any order.
+
+    Rows are range-partitioned and sorted; the partitions' sizes, a number each, give where
+    their counts begin.  The sorted rows are written once, so that both passes see the same.
+    """
+    ordered = checkpoint(df.orderBy(*order).withColumn("__part", F.spark_partition_id()).withColumn("__at", F.monotonically_increasing_id()))
+    sizes = sorted((r["__part"], r["n"]) for r in ordered.groupBy("__part").agg(F.count("*").alias("n")).collect())
+    shift, done = [], 0
+    for part, n in sizes:
+        shift.append((part, done - (part << 33)))  # ids of a partition begin at its number times 2 ** 33
+        done += n
+    begins = F.broadcast(df.sparkSession.createDataFrame(shift, "__part int, __shift bigint"))  # a row a partition
+    return ordered.join(begins, "__part").withColumn(name, F.col("__at") + F.col("__shift")).drop("__part", "__at", "__shift")

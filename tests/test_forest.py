@@ -1,8 +1,9 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
-from buildlens.operators import forest, profile
+from buildlens.operators import brackets, forest, profile
 from buildlens.plans.report import metadata_text, report
 from buildlens.plans.trace import Traces, described
 
@@ -23,7 +24,7 @@ def stack_forest(spans):
 def random_spans(rng, lo, hi, depth):
     """A valid forest on a coarse grid: many ties, empty spans, touching siblings."""
     out, at = [], lo
-    while at < hi and rng.random() < 0.8:
+    while at <= hi and rng.random() < 0.8:
         end = rng.randint(at, hi)
         if depth:
             out += random_spans(rng, at, end, depth - 1)
@@ -32,11 +33,13 @@ def random_spans(rng, lo, hi, depth):
     return out
 
 
-def test_nesting_against_a_stack(spark):
+@pytest.mark.parametrize("build", [forest.build_forest, lambda s: brackets.nest_in_chunks(s, 9, sums=True)], ids=["windows", "chunks"])
+def test_nesting_against_a_stack(spark, build):
     rng = random.Random(3)
     traces = {f"t{k}": random_spans(rng, 0, rng.choice([3, 6, 20]), 3) for k in range(150)}
+    traces["large"] = random_spans(rng, 0, 2000, 1) + [(0.0, 2000.0 + k) for k in range(40)]
     rows = [(t, p, s, d) for t, spans in traces.items() for p, (s, d) in enumerate(spans)]
-    nested = forest.build_forest(spark.createDataFrame(rows, SPANS))
+    nested = build(spark.createDataFrame(rows, SPANS))
     got = {(r["trace_id"], r["pos"]): r for r in nested.collect()}
     assert len(got) == len(rows)
     for t, spans in traces.items():
@@ -50,6 +53,27 @@ def test_nesting_against_a_stack(spark):
     assert forest.overlapping_traces(nested).count() == 0
 
 
+def test_one_trace_goes_to_all_chunks(spark):
+    """A single trace over many tasks: parents beyond their chunk, and spans that stay open over several."""
+    rng = random.Random(8)
+    spans = []
+    for k in range(60):
+        spans += [(10.0 * k + s, d) for s, d in random_spans(rng, 0, 9, 2)]
+        if k % 10 == 9:
+            spans.append((10.0 * (k - 9), 99.0))
+    spans += [(0.0, 600.0), (0.0, 700.0)]
+    frame = spark.createDataFrame([("one", p, s, d) for p, (s, d) in enumerate(spans)], SPANS)
+    got = {r["pos"]: r for r in brackets.nest_in_chunks(frame, 13).collect()}
+    want = {r["pos"]: r for r in forest.nest(frame).collect()}
+    parent, first = stack_forest(spans)
+    columns = ["end", "depth", "first_pos", "parent_pos", "parent_duration", "n_descendants"]
+    assert len(got) == len(spans) and all([got[p][c] for c in columns] == [want[p][c] for c in columns] for p in got)
+    assert all((got[p]["parent_pos"], got[p]["first_pos"]) == (parent[p], first[p]) for p in got)
+    rows = forest.axis(frame).repartitionByRange(13, "trace_id", "__point").groupBy(F.spark_partition_id()).count().collect()
+    assert len(rows) > 6 and max(r["count"] for r in rows) < len(spans)
+    assert brackets.nest_in_chunks(frame.limit(0), 4).count() == 0
+
+
 def test_overlaps_and_order(spark):
     rng = random.Random(5)
     rows, bad = [], set()
