@@ -61,16 +61,18 @@ def detail_error(arg_type: Column, detail: Column) -> Column:
     return F.when((arg_type == "FilePathOrModule") & (detail != "[module]") & ~detail.startswith("/"), "BadFilePath").when(arg_type.isin("UnnamedLoop", "UnnamedLoopOpt") & (detail != LOOP), "UnexpectedLoopName")
 
 
+def split_words(command: str | None) -> list[str] | None:
+    """The words of one command line; None where a quote stays open."""
+    try:
+        return None if command is None else shlex.split(command)
+    except ValueError:
+        return None
+
+
 @F.pandas_udf(ArrayType(StringType()))
 def _words(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    def split(s: str | None) -> list[str] | None:
-        try:
-            return None if s is None else shlex.split(s)
-        except ValueError:  # an open quote
-            return None
-
     for commands in batches:
-        yield pd.Series([split(s) for s in commands], dtype=object)
+        yield pd.Series([split_words(s) for s in commands], dtype=object)
 
 
 def shell_words(command: Column) -> Column:

@@ -10,14 +10,14 @@ names keep their spelling.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
-from buildlens.functions.text import ELLIPSIS, width
+from buildlens.functions.text import ELLIPSIS, is_ascii, width
 
 _OPEN, _CLOSE = "<([{", ">)]}"
 #: Operator names and arrows hold brackets that open or close nothing.
@@ -79,8 +79,12 @@ def renderings(name: str) -> list[str]:
 
 def bounded(name: str, cols: int) -> str:
     """The deepest rendering that fits into `cols` columns, up to the first that doesn't; an ellipsis if none does."""
+    return _last_fitting(renderings(name), cols)
+
+
+def _last_fitting(texts: Iterable[str], cols: int) -> str:
     best = ELLIPSIS
-    for text in renderings(name):
+    for text in texts:
         if width(text) > cols:
             break
         best = text
@@ -99,12 +103,24 @@ def entity_renderings(name: Column) -> Column:
     return _renderings(name)
 
 
-def bounded_entity(all_renderings: Column, cols: int) -> Column:
-    """Of an array of renderings, the last before the first that is wider than `cols`."""
+@F.pandas_udf(StringType())
+def _fitting(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    for all_, cols in batches:
+        yield pd.Series([None if r is None else _last_fitting(r, int(c)) for r, c in zip(all_, cols)], dtype=object)
+
+
+def bounded_entity(all_renderings: Column, cols: int | Column) -> Column:
+    """Of an array of renderings, the last before the first that is wider than `cols` terminal columns.
+
+    Renderings of ASCII alone are measured by their lengths, without Python.
+    """
+    cols = F.lit(cols) if isinstance(cols, int) else cols
+    plain = ~F.exists(all_renderings, lambda x: ~is_ascii(F.replace(x, F.lit(ELLIPSIS), F.lit("."))))
     start = F.struct(F.lit(ELLIPSIS).alias("best"), F.lit(False).alias("stop"))
 
     def step(acc: Column, text: Column) -> Column:
         stop = acc["stop"] | (F.length(text) > cols)
         return F.struct(F.when(stop, acc["best"]).otherwise(text).alias("best"), stop.alias("stop"))
 
-    return F.when(all_renderings.isNotNull(), F.aggregate(all_renderings, start, step, lambda acc: acc["best"]))
+    by_length = F.aggregate(all_renderings, start, step, lambda acc: acc["best"])
+    return F.when(all_renderings.isNull(), None).when(plain, by_length).otherwise(_fitting(F.when(~plain, all_renderings), cols))

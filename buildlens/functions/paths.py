@@ -109,8 +109,8 @@ def _short(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series
         yield pd.Series([None if p is None else shortened_path(list(p), int(c)) for p, c in zip(parts, cols)], dtype=object)
 
 
-def shorten_path(path: Column, cols: int) -> Column:
+def shorten_path(path: Column, cols: int | Column) -> Column:
     """An absolute path, normalized and shortened; null for relative paths."""
-    if cols < 1:
+    if isinstance(cols, int) and cols < 1:
         raise ValueError("one column at least")
-    return _short(components(path), F.lit(cols))
+    return _short(components(path), F.lit(cols) if isinstance(cols, int) else cols)

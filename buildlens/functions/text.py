@@ -12,7 +12,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import IntegerType, StringType
 
 MICROSECOND, MILLISECOND, SECOND, MINUTE, HOUR, DAY = 1.0, 1e3, 1e6, 6e7, 3.6e9, 8.64e10
 ELLIPSIS = "…"
@@ -141,19 +141,38 @@ def _shortened(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Se
         yield pd.Series([None if t is None else shortened(t, int(c)) for t, c in zip(text, cols)], dtype=object)
 
 
-def shorten_ascii(text: Column, cols: int) -> Column:
+def _at_least_one(cols: int | Column) -> Column:
+    if isinstance(cols, int):
+        if cols < 1:
+            raise ValueError("one column at least")
+        return F.lit(cols)
+    return cols
+
+
+def shorten_ascii(text: Column, cols: int | Column) -> Column:
     """As shorten, for texts of which a character is a column; nothing but built-in functions."""
-    if cols < 1:
-        raise ValueError("one column at least")
-    head = (cols - 1) // 2
-    tail = cols - 1 - head
-    cut = F.concat(F.left(text, F.lit(head)), F.lit(ELLIPSIS), F.right(text, F.lit(tail)) if tail else F.lit(""))
+    cols = _at_least_one(cols)
+    head = F.floor((cols - 1) / 2).cast("int")
+    cut = F.concat(F.left(text, head), F.lit(ELLIPSIS), F.right(text, cols - 1 - head))
     return F.when(F.length(text) <= cols, text).otherwise(cut)
 
 
-def shorten(text: Column, cols: int) -> Column:
-    """Text in at most `cols` columns, its middle elided where it doesn't fit."""
-    if cols < 1:
-        raise ValueError("one column at least")
-    plain = F.when(F.octet_length(text) == F.length(text), text)
-    return F.when(plain.isNotNull() | text.isNull(), shorten_ascii(text, cols)).otherwise(_shortened(text, F.lit(cols)))
+def is_ascii(text: Column) -> Column:
+    return F.octet_length(text) == F.length(text)
+
+
+def shorten(text: Column, cols: int | Column) -> Column:
+    """Text in at most `cols` columns, a number or a column of such, its middle elided where it doesn't fit."""
+    cols = _at_least_one(cols)
+    return F.when(is_ascii(text) | text.isNull(), shorten_ascii(text, cols)).otherwise(_shortened(F.when(~is_ascii(text), text), cols))
+
+
+@F.pandas_udf(IntegerType())
+def _widths(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    for texts in batches:
+        yield pd.Series([None if t is None else width(t) for t in texts], dtype="Int32")
+
+
+def columns_of(text: Column) -> Column:
+    """Terminal columns of a text; only texts beyond ASCII are measured character by character."""
+    return F.when(is_ascii(text), F.length(text)).otherwise(_widths(F.when(~is_ascii(text), text)))

@@ -63,6 +63,27 @@ def freshness(products: DataFrame) -> DataFrame:
     return products.withColumn("state", state).withColumn("age_s", age)
 
 
+def file_name(path: Column) -> Column:
+    """A path without its scheme, as listings and databases both have it."""
+    return F.regexp_replace(path, "^[a-zA-Z][a-zA-Z0-9+.-]*:/*(?=/)", "")
+
+
+def files_freshness(products: DataFrame, files: DataFrame, database: str, now: Column) -> DataFrame:
+    """`freshness` from a listing: `products` (product, inputs array) with product_time, database_time, input_time, state, age_s.
+
+    `files`: path, modified (see sources.units.listed_files).  Inputs that are not listed are older
+    than anything; without a database file every product is outdated that exists.
+    """
+    times = files.groupBy(file_name(F.col("path")).alias("__path")).agg(F.max("modified").alias("__time"))
+    rows = products.withColumn("__row", F.monotonically_increasing_id())
+    inputs = rows.select("__row", F.explode("inputs").alias("__in"))
+    latest = inputs.join(times, file_name(F.col("__in")) == F.col("__path")).groupBy("__row").agg(F.max("__time").alias("input_time"))
+    own = times.withColumnRenamed("__time", "product_time")
+    base = times.where(F.col("__path") == file_name(F.lit(database))).agg(F.coalesce(F.max("__time"), F.lit("9999-01-01").cast("timestamp")).alias("database_time"))
+    rows = rows.join(own, file_name(F.col("product")) == F.col("__path"), "left").drop("__path").join(latest, "__row", "left").drop("__row")
+    return freshness(rows.crossJoin(F.broadcast(base)).withColumn("now", now))  # a single row
+
+
 def should_measure(state: Column, age_s: Column, user_given: Column) -> Column:
     """Whether to offer a new measurement: always if missing or outdated, else if a minute old and not named by the user."""
     return state.isin("Nonexistent", "Outdated") | ((state == "MaybeOutdated") & ~user_given & (F.coalesce(age_s, F.lit(60)) >= 60))

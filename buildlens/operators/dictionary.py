@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from buildlens.functions.paths import components
+from buildlens.operators.shared import numbered
 
 
 def key_of(value: Column) -> Column:
@@ -30,15 +31,7 @@ def dense_keys(rows: DataFrame, value: str) -> DataFrame:
     the partitions before it end.  Only a count a partition reaches the driver.
     """
     values = rows.select(value).where(F.col(value).isNotNull()).distinct()
-    ordered = values.repartitionByRange(value).sortWithinPartitions(value).withColumn("__p", F.spark_partition_id()).withColumn("__m", F.monotonically_increasing_id())
-    ordered = ordered.withColumn("__n", F.col("__m") - F.shiftleft(F.col("__p").cast("bigint"), 33)).drop("__m").persist()
-    counts = sorted((r["__p"], r["n"]) for r in ordered.groupBy("__p").agg(F.count("*").alias("n")).collect())
-    starts, done = [], 0
-    for p, n in counts:
-        starts.append((p, done))
-        done += n
-    begin = values.sparkSession.createDataFrame(starts, "__p int, __begin bigint")
-    return ordered.join(F.broadcast(begin), "__p").select((F.col("__begin") + F.col("__n")).alias("key"), value)
+    return numbered(values, "key", value).select("key", value)
 
 
 def encode(rows: DataFrame, value: str, key: str) -> DataFrame:

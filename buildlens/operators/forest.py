@@ -15,6 +15,8 @@ and spread by level for the parents.  Windows spill; no trace is held whole.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -183,18 +185,19 @@ def zoom(forest: DataFrame, pos: int, flat: bool = False) -> DataFrame:
     return forest.join(top, "trace_id").where(inside).withColumn("percent", F.try_divide(F.col("duration") * 100, F.col("__norm"))).drop("__pos", "__first", "__norm")
 
 
-def process_trees(processes: DataFrame, root_pids: DataFrame) -> DataFrame:
-    """(job, pid) of every process below, or being, a job's root.
+def process_trees(processes: DataFrame, root_pids: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """keys (by default job) and pid of every process below, or being, a root of the same keys.
 
-    `processes`: job, pid, ppid; `root_pids`: job, pid.  A level a round: children of
-    the last level that are not found yet, so trees of any depth end, and cycles too.
+    `processes`: keys, pid, ppid; `root_pids`: keys, pid.  With a tick among the keys there is a tree a
+    tick.  A level a round: children of the last level that are not found yet, so trees of any depth
+    end, and cycles too.  Only new levels are written.
     """
-    links = checkpoint(processes.select("job", "pid", "ppid").where("pid <> ppid").distinct())
-    level = checkpoint(root_pids.select("job", "pid").distinct())
-    found = level
+    keys = keys or ["job"]
+    links = checkpoint(processes.select(*keys, "pid", "ppid").where("pid <> ppid").distinct())
+    levels = [checkpoint(root_pids.select(*keys, "pid").distinct())]
     while True:
-        below = links.join(level.withColumnRenamed("pid", "ppid"), ["job", "ppid"]).select("job", "pid").distinct()
-        level = checkpoint(below.join(found, ["job", "pid"], "left_anti"))
-        if not level.limit(1).count():
+        below = links.join(levels[-1].withColumnRenamed("pid", "ppid"), [*keys, "ppid"]).select(*keys, "pid").distinct()
+        found = reduce(DataFrame.union, levels)
+        levels.append(checkpoint(below.join(found, [*keys, "pid"], "left_anti")))
+        if levels[-1].isEmpty():
             return found
-        found = checkpoint(found.union(level))

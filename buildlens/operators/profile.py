@@ -67,19 +67,57 @@ def hierarchical_profile(forest: DataFrame, threshold: float = 0.005, by: list[s
 
 
 def tree_order(profile: DataFrame) -> DataFrame:
-    """`profile` with path: arrays that sort siblings by duration, longest first, each before its own children.
+    """`profile` with place: 0, 1, ... in each trace, parents before children, siblings from long to short.
 
-    A level a round; as many rounds as the kept spans are deep.
+    Needs trace_id, pos, first_pos, parent_pos, duration; every parent of a row must be a row.  A
+    row stands behind its parent and the subtrees of the siblings before it, so its place is a sum
+    over its ancestors and itself.  These are the intervals of positions round it: what each adds
+    goes in where it begins and out where it ends, and one running sum over the positions gives all
+    places, however deep the tree.
     """
-    me = F.struct((-F.col("duration")).alias("d"), F.col("pos").alias("p"))
-    deepest = profile.agg(F.max("depth")).first()[0]
-    level = profile.where("depth = 0").withColumn("path", F.array(me))
-    out = level
-    for k in range(1, (deepest if deepest is not None else -1) + 1):
-        above = level.select("trace_id", F.col("pos").alias("parent_pos"), F.col("path").alias("__above"))
-        level = profile.where(F.col("depth") == k).join(above, ["trace_id", "parent_pos"]).withColumn("path", F.concat("__above", F.array(me))).drop("__above")
-        out = out.unionByName(level)
-    return out
+    return _in_order(profile.withColumn("__at", 2 * F.col("pos").cast("bigint")).withColumn("__from", 2 * F.col("first_pos").cast("bigint") - 1)).drop("__at", "__from")
+
+
+def _in_order(rows: DataFrame) -> DataFrame:
+    """Places of rows that are intervals from __from to __at of their trace."""
+    trace = Window.partitionBy("trace_id")
+    upto = Window.unboundedPreceding, Window.currentRow
+    edge = lambda at, into: F.struct(F.col(at).alias("at"), F.lit(into).alias("into"))  # noqa: E731  an interval is entered before its own row, left behind it
+    edges = rows.withColumn("__edge", F.explode(F.array(edge("__from", 0), edge("__at", 1))))
+    line = trace.orderBy("__edge.at", "__edge.into").rangeBetween(*upto)
+    own = Window.partitionBy("trace_id", "__at").orderBy("__edge.into")
+    # rows up to here, less those before the begin: the size of the subtree
+    edges = edges.withColumn("__rows", F.sum("__edge.into").over(line))
+    edges = edges.withColumn("__size", F.col("__rows") - F.lag("__rows").over(own)).where("__edge.into = 1").drop("__edge", "__rows")
+    elder = Window.partitionBy("trace_id", "parent_pos").orderBy(F.col("pos").isNull(), F.desc("duration"), "pos").rowsBetween(Window.unboundedPreceding, -1)
+    step = F.coalesce(F.sum("__size").over(elder), F.lit(0)) + F.col("parent_pos").isNotNull().cast("int")
+    edges = edges.withColumn("__step", step)
+    come = F.struct(F.col("__from").alias("at"), F.lit(0).alias("into"), F.col("__step").alias("by"))
+    go = F.struct((F.col("__at") + 1).alias("at"), F.lit(-1).alias("into"), (-F.col("__step")).alias("by"))
+    here = F.struct(F.col("__at").alias("at"), F.lit(1).alias("into"), F.lit(0).cast("bigint").alias("by"))
+    sums = edges.withColumn("__edge", F.explode(F.array(come, go, here))).withColumn("place", F.sum("__edge.by").over(trace.orderBy("__edge.at", "__edge.into").rangeBetween(*upto)))
+    return sums.where("__edge.into = 1").drop("__edge", "__size", "__step")
+
+
+def report_tree(forest: DataFrame, threshold: float = 0.005, by: list[str] | None = None) -> DataFrame:
+    """The hierarchical profile in the order of a report, with a line for what it leaves out.
+
+    Rows of `hierarchical_profile` with n_hidden 0, and behind the children of each the line of its
+    hidden children: their number n_hidden and summed duration, null pos, one level deeper.  Hidden
+    roots have a line at the end.  Columns: trace_id, place, depth, pos, parent_pos, activity,
+    duration, share, n_hidden, and detail where the forest has it.
+    """
+    detail = [c for c in ("detail", "arg_type") if c in forest.columns]
+    rows = with_share(forest, "duration", by)
+    shown = rows.where(F.col("share") >= threshold).select("trace_id", "pos", "first_pos", "parent_pos", "depth", "activity", *detail, "duration", "share", F.lit(0).cast("bigint").alias("n_hidden"))
+    below = rows.where(~F.coalesce(F.col("share") >= threshold, F.lit(False)))
+    lines = below.groupBy("trace_id", "parent_pos").agg(F.min("depth").alias("depth"), F.sum("duration").alias("duration"), F.sum("share").alias("share"), F.count("*").alias("n_hidden"))
+    known = shown.select("trace_id", F.col("pos").alias("parent_pos"))
+    lines = lines.where("parent_pos is null").unionByName(lines.join(known, ["trace_id", "parent_pos"], "left_semi"))
+    at = F.when(F.col("parent_pos").isNull(), F.lit(2**62)).otherwise(2 * F.col("parent_pos").cast("bigint") - 1)  # behind all children, or all of the trace
+    lines = lines.select("trace_id", F.lit(None).cast("bigint").alias("pos"), "parent_pos", "depth", F.lit(None).cast("string").alias("activity"), *[F.lit(None).cast("string").alias(c) for c in detail], "duration", "share", "n_hidden", at.alias("__at"), at.alias("__from"))
+    shown = shown.withColumn("__at", 2 * F.col("pos").cast("bigint")).withColumn("__from", 2 * F.col("first_pos").cast("bigint") - 1).drop("first_pos")
+    return _in_order(shown.withColumn("pos", F.col("pos").cast("bigint")).unionByName(lines)).drop("__at", "__from")
 
 
 def remainder(spans: DataFrame, metric: str | Column, threshold: float, by: list[str] | None = None) -> DataFrame:

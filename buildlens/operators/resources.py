@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -60,36 +57,15 @@ def slower_poll(interval_ms: Column, took_ms: Column) -> Column:
     return F.when(took_ms > interval_ms, F.ceil(took_ms * 11 / 10)).otherwise(interval_ms)
 
 
-def oom_replay(ticks: DataFrame, workers: int, background: int = 1) -> DataFrame:
-    """(host, tick, margin, threads, stop): the memory policy replayed over the ticks of each host.
+def adaptive_margin(ticks: DataFrame, by: list[str], order: str, threads: int, background: int = 1, used: str = "newly_used") -> DataFrame:
+    """`ticks` with margin: bytes to keep free at each tick, while the number of threads stays.
 
-    `ticks`: host, tick, available_memory.  The margin starts as initial_margin; where a
-    tick uses more per thread than the margin holds for one, it is raised.  Below the
-    margin one job is stopped and the margin shrinks with the threads left; without a
-    job left, stop is -1.  The fold carries four numbers a host over rows that come
-    sorted, so no host's ticks are held together.
+    It begins at MARGIN_PER_JOB for each thread.  Where a tick uses more than the margin, what it
+    used a thread, rounded up beyond it, is kept free for each from then on.  As a margin only
+    rises, this is the greatest so far, a window.
     """
-    schema = "host string, tick bigint, margin bigint, threads int, stop int"
-    ordered = ticks.selectExpr("cast(host as string) host", "cast(tick as bigint) tick", "cast(available_memory as bigint) available_memory").repartition("host").sortWithinPartitions("host", "tick")
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        host, state = None, [0, 0, 0]
-        for frame in frames:
-            out = []
-            for h, tick, free in frame.itertuples(index=False):
-                if h != host:
-                    host, state = h, [(workers + background) * MARGIN_PER_JOB, workers, free]
-                margin, threads, before = state
-                used = max(before - free, 0)
-                need = threads + background
-                margin = max(margin, (used // need + 1) * need) if used > margin else margin
-                stop = 0
-                if free < margin:
-                    stop = -1 if threads == 0 else 1
-                    if threads:
-                        margin, threads = margin * (need - 1) // need, threads - 1
-                state = [margin, threads, free]
-                out.append((h, tick, margin, threads, stop))
-            yield pd.DataFrame(out, columns=["host", "tick", "margin", "threads", "stop"])
-
-    return ordered.mapInPandas(run, schema)
+    all_threads = threads + background
+    w = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    need = (F.floor(F.col(used) / all_threads) + 1) * all_threads
+    first = F.lit(all_threads * MARGIN_PER_JOB).cast("bigint")
+    return ticks.withColumn("margin", F.greatest(first, F.max(F.when(F.col(used) > first, need)).over(w).cast("bigint")))

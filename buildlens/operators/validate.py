@@ -11,13 +11,14 @@ from dataclasses import dataclass
 from functools import reduce
 from operator import and_
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from buildlens.catalogue import dim_activity
 from buildlens.functions.arguments import infer_type
 from buildlens.operators import forest
-from buildlens.sources.traces import absent, documents, is_number, is_string, kind, raw_events
+from buildlens.sources.ranges import event_texts
+from buildlens.sources.traces import absent, documents, is_number, is_string, kind, listed_events, raw_events
 
 
 @dataclass
@@ -126,15 +127,30 @@ def event_errors(events: DataFrame) -> DataFrame:
 
 
 def load(texts: DataFrame, strict: bool = False, arrays: bool = False) -> Loaded:
-    """Traces from (trace_id, text).
+    """Traces from (trace_id, text); see _load."""
+    docs = documents(texts, arrays)
+    docs = docs.withColumn("error", document_error(docs)).persist()  # texts are parsed once
+    return _load(docs, listed_events(docs.where("error is null")), strict)
+
+
+def load_ranges(spark: SparkSession, *paths: str, strict: bool = False, arrays: bool = False) -> Loaded:
+    """As `load` of the files' texts, but read by byte ranges: files may be larger than a cell or a task."""
+    events, rests = event_texts(spark, *paths, arrays=arrays)
+    docs = documents(rests, arrays)
+    docs = docs.withColumn("error", document_error(docs)).persist()
+    good = docs.where("error is null").select("trace_id")
+    parsed = events.select("trace_id", F.col("raw_pos").cast("int").alias("raw_pos"), F.try_parse_json("text").alias("e"))
+    return _load(docs, parsed.join(good, "trace_id", "left_semi"), strict)
+
+
+def _load(docs: DataFrame, listed: DataFrame, strict: bool) -> Loaded:
+    """Traces from documents and their events.
 
     rejects has one row a bad trace: trace_id, raw_pos (null for the document as a
     whole), error, detail.  A trace without events has NoProcessName.  Bad traces have
     no rows elsewhere.
     """
-    docs = documents(texts, arrays)
-    docs = docs.withColumn("error", document_error(docs)).persist()  # texts are parsed once
-    events = raw_events(docs.where("error is null"))
+    events = raw_events(listed)
     checked = event_errors(events).select(
         "trace_id", "raw_pos", "route", "name", "pid", "ts", "dur", "catalogue_type", "malformed", "error", "error_detail",
         "detail", "named", "count",

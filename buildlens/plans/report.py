@@ -36,11 +36,11 @@ def metadata_text(process: str, pid: int | None, thread: str | None, epoch: floa
     return "\n".join(lines) + "."
 
 
-def report(traces: Traces, self_threshold: float = 0.5, hierarchical_threshold: float = 0.5, cols: int = 200, most_lines: int = 10_000) -> str:
+def report(traces: Traces, self_threshold: float = 0.5, hierarchical_threshold: float = 0.5, cols: int = 200) -> str:
     """The report as text; thresholds are percentages.
 
-    Only rows above a threshold reach the driver, at most 100 / threshold of each list
-    and level; `most_lines` bounds them whatever the threshold.
+    Rows above a threshold reach the driver, a partition at a time: at most 100 / threshold of each
+    list and level.  Each list ends with how many it leaves out.
     """
     meta = traces.loaded.traces.limit(2).collect()
     if len(meta) != 1:
@@ -50,31 +50,18 @@ def report(traces: Traces, self_threshold: float = 0.5, hierarchical_threshold:
     spans = traces.spans
     flat_t, tree_t = self_threshold / 100, hierarchical_threshold / 100
     types = traces.breakdown().withColumn("shown", F.col("share") >= flat_t)
-    rows = types.where("shown").withColumn("t", profile_text(F.col("self_duration"), F.col("share"))).orderBy(F.desc("self_duration"), "activity").limit(most_lines).collect()
+    rows = types.where("shown").withColumn("t", profile_text(F.col("self_duration"), F.col("share"))).orderBy(F.desc("self_duration"), "activity").toLocalIterator()
     others = types.where("not shown").count()
     out += ["Self-duration breakdown by activity type:"] + [f"- {r['activity']}{r['t']}" for r in rows] + [f"- … and {others} other activity types …"] * (others > 0) + [""]
     flat = profiles.with_share(spans, "self_duration").withColumn("shown", F.col("share") >= flat_t)
-    rows = described(flat.where("shown").withColumn("t", profile_text(F.col("self_duration"), F.col("share"))), cols - 24).orderBy(F.desc("self_duration"), "pos").limit(most_lines).collect()
+    rows = described(flat.where("shown").withColumn("t", profile_text(F.col("self_duration"), F.col("share"))), cols - 24).orderBy(F.desc("self_duration"), "pos").toLocalIterator()
     others = flat.where("not shown").count()
     out += ["Hot activities by self-duration:"] + [f"- {r['description'] or ELLIPSIS}{r['t']}" for r in rows] + [f"- … and {others} other activities …"] * (others > 0) + [""]
-    tree = profiles.hierarchical_profile(spans, tree_t).withColumn("t", profile_text(F.col("duration"), F.col("share")))
-    shown = tree.select("trace_id", "pos")
-    hidden = spans.join(shown, ["trace_id", "pos"], "left_anti").where("parent_pos is not null").groupBy("parent_pos").agg(F.count("*").alias("n"))
-    ordered = profiles.tree_order(described(tree, cols - 24)).join(hidden.withColumnRenamed("parent_pos", "pos"), "pos", "left").orderBy("path").limit(most_lines).collect()
+    tree = described(profiles.report_tree(spans, tree_t).withColumn("t", profile_text(F.col("duration"), F.col("share"))), cols - 24).orderBy("trace_id", "place")
     out.append("Tree of hot activities:")
-    pending: list[tuple[int, int]] = []  # depth and number of hidden children still to be told
-
-    def flush(depth: int) -> None:
-        while pending and pending[-1][0] >= depth:
-            d, n = pending.pop()
-            out.append(f"{'  ' * (d + 1)}- … and {n} other children …")
-
-    for r in ordered:
-        flush(r["depth"])
-        out.append(f"{'  ' * r['depth']}- {r['description'] or ELLIPSIS}{r['t']}")
-        if r["n"]:
-            pending.append((r["depth"], r["n"]))
-    flush(0)
+    for r in tree.toLocalIterator():
+        what = f"{r['description'] or ELLIPSIS}{r['t']}" if not r["n_hidden"] else f"… and {r['n_hidden']} other {'children' if r['depth'] else 'activities'} …"
+        out.append(f"{'  ' * r['depth']}- {what}")
     return "\n".join(out) + "\n"
 
 

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from buildlens.functions.arguments import detail_kind, symbol_state
 from buildlens.functions.names import bounded_entity, entity_renderings
 from buildlens.functions.paths import shorten_path
-from buildlens.functions.text import ELLIPSIS, shorten
+from buildlens.functions.text import columns_of, shorten
 from buildlens.operators import forest as trees
 from buildlens.operators import profile as profiles
 from buildlens.operators.validate import Loaded, load
@@ -51,23 +52,16 @@ class Traces:
 def described(spans: DataFrame, cols: int) -> DataFrame:
     """`spans` with description: `Activity(detail)` in at most `cols` columns, null where not even `Activity(…)` fits.
 
-    To be called on the rows that are shown, after thresholds: details are shortened by
-    their type, names by the depth of their lists, each distinct text once a batch.
+    To be called on the rows that are shown, after thresholds: details are shortened by what they
+    are, names by the depth of their lists, each distinct text once a batch.  What is left for the
+    detail is a column.  A symbol that may be mangled is shown as it is, its middle elided.
     """
     name, detail = F.col("activity"), F.col("detail")
-    out = None
-    budget = F.lit(cols) - F.length(name) - 2
-    # A budget depends on the activity; shortening needs a number, so it is taken by blocks of equal length.
-    lengths = sorted(r[0] for r in spans.select(F.length("activity")).distinct().collect())
-    for n in lengths:
-        room = cols - n - 2
-        if room < 1:
-            text = F.lit(None).cast("string")
-        else:
-            entity = bounded_entity(entity_renderings(detail), room)
-            path = F.coalesce(F.when(detail.startswith("/"), shorten_path(detail, room)), shorten(detail, room))
-            text = F.when(F.col("arg_type").isin("CppEntity", "Symbol", "SymbolOpt"), entity).when(F.col("arg_type").isin("FilePathOrModule", "FilePath"), path).otherwise(shorten(detail, room))
-        one = F.when(F.length(name) == n, text)
-        out = one if out is None else F.coalesce(out, one)
-    shown = F.when(detail.isNull(), F.when(F.length(name) <= cols, name)).when(budget >= 1, F.concat(name, F.lit("("), F.coalesce(out if out is not None else F.lit(None).cast("string"), F.lit(ELLIPSIS)), F.lit(")")))
-    return spans.withColumn("description", shown)
+    room = F.lit(cols) - columns_of(name) - 2
+    space = F.greatest(room, F.lit(1))
+    kind = detail_kind(F.col("arg_type"), detail)
+    entity = (kind == "CppEntity") | ((kind == "Symbol") & (symbol_state(detail) == "Parsed"))
+    path = kind.isin("FilePath", "FilePathOrModule") & detail.startswith("/")
+    text = F.when(entity, bounded_entity(entity_renderings(F.when(entity, detail)), space)).when(path, F.coalesce(shorten_path(F.when(path, detail), space), shorten(detail, space))).otherwise(shorten(detail, space))
+    bare = F.when(columns_of(name) <= cols, name)
+    return spans.withColumn("description", F.when(detail.isNull(), bare).when(room >= 1, F.concat(name, F.lit("("), text, F.lit(")"))))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -9,11 +10,14 @@ from pyspark.sql import functions as F
 
 from buildlens.functions import arguments, names, paths, text
 from buildlens.functions.sql import register_functions
-from buildlens.operators import build, dictionary, forest, profile, resources
-from buildlens.operators import validate
+from buildlens.operators import brackets, build, dictionary, forest, profile, resources, validate
+from buildlens.operators.shared import numbered, shared_folder
+from buildlens.operators.vocabulary import Vocabulary
 from buildlens.sources import traces, units
+from buildlens.sources.ranges import event_texts
 from buildlens.sources.examples import EXAMPLES
 from buildlens.sources.tables import SPANS_SQL, table, table_spans
+from buildlens.streaming import jobs as stream_jobs
 from buildlens.streaming import samples as streams
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -34,7 +38,7 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 #: Forest of the table spans by their known shape: lines stand in their order, orders in their customer.
 FOREST_SQL = SPANS_SQL + """,
 n_lines as (select trace_id, k1, count(*) as n from spans where level = 0 group by 1, 2),
-nested as materialized (select s.*, coalesce(o.pos, c.pos) as parent_pos, case s.level when 0 then s.pos when 1 then s.pos - coalesce(n, 0) else 0 end as first_pos
+nested as materialized (select s.*, coalesce(o.pos, c.pos) as parent_pos, coalesce(o.activity, c.activity) as parent_activity, coalesce(o.duration, c.duration) as parent_duration, case s.level when 0 then s.pos when 1 then s.pos - coalesce(n, 0) else 0 end as first_pos
   from spans s left join spans o on s.level = 0 and o.level = 1 and o.trace_id = s.trace_id and o.k1 = s.k1
   left join spans c on s.level = 1 and c.level = 2 and c.trace_id = s.trace_id
   left join n_lines on s.level = 1 and n_lines.trace_id = s.trace_id and n_lines.k1 = s.k1),
@@ -107,7 +111,7 @@ def tree8_span_at(spark: SparkSession, sf_dir: str) -> DataFrame:
     return forest.span_at(table_spans(spark, sf_dir), 2).select("trace_id", "pos", "activity", "detail")
 
 
-@query(FOREST_SQL + "select c.trace_id, c.pos, c.parent_pos, c.activity, c.duration from nested c join nested p on p.trace_id = c.trace_id and p.pos = c.parent_pos where p.parent_pos is null")
+@query(FOREST_SQL + "select trace_id, pos, parent_pos, activity, duration from nested where level = 1")
 def tree9_children(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Direct children of the roots."""
     nested = forest.nest(table_spans(spark, sf_dir))
@@ -121,18 +125,18 @@ def tree10_descendants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return below.groupBy("trace_id", "ancestor_pos").agg(F.count("*").alias("n"), F.sum("duration").alias("duration"))
 
 
-@query(FOREST_SQL + "select c.trace_id, c.pos, c.activity, p.activity as parent_activity, p.duration as parent_duration from nested c left join nested p on p.trace_id = c.trace_id and p.pos = c.parent_pos")
+@query(FOREST_SQL + "select trace_id, pos, activity, parent_activity, parent_duration from nested")
 def tree11_parent(spark: SparkSession, sf_dir: str) -> DataFrame:
     nested = forest.nest(table_spans(spark, sf_dir))
     return forest.parents(nested, "activity", "duration").select("trace_id", "pos", "activity", "parent_activity", "parent_duration")
 
 
-@query(FOREST_SQL + "select trace_id, pos, activity from nested n where exists (select 1 from nested c where c.trace_id = n.trace_id and c.parent_pos = n.pos)")
+@query(FOREST_SQL + "select trace_id, pos, activity from nested where first_pos < pos")
 def tree12_has_children(spark: SparkSession, sf_dir: str) -> DataFrame:
     return forest.with_children(forest.nest(table_spans(spark, sf_dir))).select("trace_id", "pos", "activity")
 
 
-@query(FOREST_SQL + "select trace_id, pos, activity from nested n where not exists (select 1 from nested c where c.trace_id = n.trace_id and c.parent_pos = n.pos)")
+@query(FOREST_SQL + "select trace_id, pos, activity from nested where first_pos = pos")
 def tree13_leaves(spark: SparkSession, sf_dir: str) -> DataFrame:
     return forest.leaves(forest.nest(table_spans(spark, sf_dir))).select("trace_id", "pos", "activity")
 
@@ -143,16 +147,17 @@ def tree14_ancestors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return forest.ancestors(nested, nested.where("activity = 'Line'")).select("trace_id", "below_pos", "pos", "activity")
 
 
-_ZOOM_SQL = FOREST_SQL + "select c.trace_id, c.pos, round(c.duration * 100 / p.duration, 6) as percent from nested c join nested p on p.trace_id = c.trace_id and p.pos = 8 and "
+_ZOOM_SQL = FOREST_SQL + """, ninth as (select *, max(case when pos = 8 then duration end) over (partition by trace_id) as norm, max(case when pos = 8 then first_pos end) over (partition by trace_id) as begin_pos from nested)
+select trace_id, pos, round(duration * 100 / norm, 6) as percent from ninth where """
 
 
-@query(_ZOOM_SQL + "c.parent_pos = p.pos")
+@query(_ZOOM_SQL + "parent_pos = 8")
 def tree15_zoom(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the direct children of the ninth span of each trace take of it."""
     return forest.zoom(forest.nest(table_spans(spark, sf_dir)), 8).select("trace_id", "pos", F.round("percent", 6).alias("percent"))
 
 
-@query(_ZOOM_SQL + "c.pos >= p.first_pos and c.pos < p.pos")
+@query(_ZOOM_SQL + "pos >= begin_pos and pos < 8")
 def win4_zoom_flat(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What all spans below it take."""
     return forest.zoom(forest.nest(table_spans(spark, sf_dir)), 8, flat=True).select("trace_id", "pos", F.round("percent", 6).alias("percent"))
@@ -170,6 +175,63 @@ def tree17_process_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return forest.process_trees(p, p.select("job").distinct().withColumn("pid", F.lit(1).cast("bigint")))
 
 
+#: All orders as one trace: an order begins at its thousandfold key, its lines follow each other, a hundred keys are a batch, and all stand in one root.
+ONE_TRACE_SQL = """
+with l0 as (select l_orderkey, l_quantity, row_number() over w as nth, coalesce(sum(l_quantity) over (w rows between unbounded preceding and 1 preceding), 0) as before
+  from lineitem window w as (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_quantity)),
+s0 as (
+  select 0 as level, l_orderkey as k, nth, l_orderkey * 1000.0::double + 0.5 + before as start, l_quantity as duration from l0 join (select distinct o_orderkey from orders) on o_orderkey = l_orderkey
+  union all select 1, o_orderkey, 0, o_orderkey * 1000.0::double, 1 + coalesce(busy, 0) from (select distinct o_orderkey from orders) left join (select l_orderkey, sum(l_quantity) as busy from l0 group by 1) on l_orderkey = o_orderkey
+  union all select 2, o_orderkey // 100, 0, o_orderkey // 100 * 100000.0::double, 99999.0::double from orders group by o_orderkey // 100
+  union all select 3, 0, 0, 0.0::double, 1e15::double),
+spans as (select *, row_number() over (order by start + duration, level, k, nth) - 1 as pos from s0),
+size as (select level, k, count(*) as n from (select 1 as level, k from spans where level = 0 union all select 2, k // 100 from spans where level in (0, 1)) group by 1, 2),
+nested as (select s.*, s.pos - case s.level when 3 then s.pos else coalesce(z.n, 0) end as first_pos, coalesce(o.pos, b.pos, r.pos) as parent_pos, coalesce(o.duration, b.duration, r.duration) as parent_duration
+  from spans s left join spans o on s.level = 0 and o.level = 1 and o.k = s.k left join spans b on s.level = 1 and b.level = 2 and b.k = s.k // 100 left join spans r on s.level = 2 and r.level = 3
+  left join size z on z.level = s.level and z.k = s.k)
+"""
+
+
+def _one_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(trace_id, pos, start, duration) of the spans of ONE_TRACE_SQL."""
+    order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity")
+    lines = table(spark, sf_dir, "lineitem").withColumn("before", F.coalesce(F.sum("l_quantity").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))).withColumn("nth", F.row_number().over(order))
+    orders = table(spark, sf_dir, "orders").select("o_orderkey").distinct()
+    begin = F.col("o_orderkey") * 1000.0
+    spans = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select(F.lit(0).alias("level"), F.col("o_orderkey").alias("k"), "nth", (begin + 0.5 + F.col("before")).alias("start"), F.col("l_quantity").alias("duration"))
+    busy = lines.groupBy("l_orderkey").agg(F.sum("l_quantity").alias("busy"))
+    spans = spans.union(orders.join(busy, F.col("l_orderkey") == F.col("o_orderkey"), "left").select(F.lit(1), "o_orderkey", F.lit(0), begin, 1 + F.coalesce("busy", F.lit(0.0))))
+    batch = F.expr("o_orderkey div 100")
+    spans = spans.union(orders.select(batch.alias("b")).distinct().select(F.lit(2), "b", F.lit(0), F.col("b") * 100000.0, F.lit(99999.0)))
+    spans = spans.union(spark.range(1).select(F.lit(3), F.lit(0), F.lit(0), F.lit(0.0), F.lit(1e15)))
+    return numbered(spans, "pos", F.col("start") + F.col("duration"), "level", "k", "nth").select(F.lit("all").alias("trace_id"), "pos", "start", "duration")
+
+
+@query(ONE_TRACE_SQL + "select pos, start, duration, first_pos, parent_pos, parent_duration, 3 - level as depth from nested")
+def tree1_one_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A single trace over all tasks."""
+    nested = brackets.nest_in_chunks(_one_trace(spark, sf_dir))
+    return nested.select("pos", "start", "duration", "first_pos", "parent_pos", "parent_duration", "depth")
+
+
+@query(FOREST_SQL + """, r as (select trace_id, duration as total from spans where level = 2),
+kept as (select n.trace_id, pos, parent_pos, level, duration, 0 as n_hidden from nested n join r using (trace_id) where duration * (1 / total) >= 0.05),
+hidden as (select n.trace_id, null::integer as pos, parent_pos, level, sum(duration) as duration, count(*) as n_hidden from nested n join r using (trace_id) where duration * (1 / total) < 0.05
+  and (trace_id, parent_pos) in (select (trace_id, pos) from kept) group by all),
+shown as (select * from kept union all select * from hidden),
+size as (select trace_id, parent_pos as pos, count(*) as n from shown where level = 0 group by 1, 2),
+orders_ as (select s.*, 1 + coalesce(z.n, 0) as n, sum(1 + coalesce(z.n, 0)) over (partition by s.trace_id order by s.pos is null, s.duration desc, s.pos rows between unbounded preceding and 1 preceding) as ahead
+  from shown s left join size z on z.trace_id = s.trace_id and z.pos = s.pos where s.level = 1),
+placed as (select trace_id, pos, level, duration, n_hidden, 0 as place from shown where level = 2
+  union all select trace_id, pos, level, duration, n_hidden, 1 + coalesce(ahead, 0) from orders_
+  union all select s.trace_id, s.pos, s.level, s.duration, s.n_hidden, 1 + coalesce(o.ahead, 0) + row_number() over (partition by s.trace_id, s.parent_pos order by s.pos is null, s.duration desc, s.pos) from shown s join orders_ o on s.level = 0 and o.trace_id = s.trace_id and o.pos = s.parent_pos)
+select trace_id, place::bigint as place, 2 - level as depth, pos, duration, n_hidden from placed""")
+def top3_tree_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lines of a report in their order, with those for hidden children."""
+    rows = profile.report_tree(forest.nest(table_spans(spark, sf_dir)), 0.05, ["trace_id"])
+    return rows.select("trace_id", "place", "depth", "pos", "duration", "n_hidden")
+
+
 # --- profiles ---
 
 
@@ -203,8 +265,8 @@ def agg5_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(FOREST_SQL + "select trace_id, parent_pos, d as children_duration from inner_time")
 def agg6_children_duration(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nested = forest.nest(table_spans(spark, sf_dir)).where("parent_pos is not null")
-    return nested.groupBy("trace_id", "parent_pos").agg(F.sum("duration").alias("children_duration"))
+    sums = brackets.with_children_sums(forest.nest(table_spans(spark, sf_dir))).where("n_children > 0")
+    return sums.select("trace_id", F.col("pos").alias("parent_pos"), (F.col("duration") - F.col("self_duration")).alias("children_duration"))
 
 
 @query("""with w as (select list_filter(regexp_split_to_array(text, '[ \\t\\n\\r\\f\\v]+'), lambda x: x <> '') as words from documents where text is not null), d as (select words, count(*) as n from w group by 1)
@@ -273,16 +335,8 @@ def top5_sorted_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 def top7_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as units: their places by memory.  A global rank is the feature; it is what a sorted table shows."""
     rows = table(spark, sf_dir, "orders").select(F.format_string("src/%d.cpp", "o_orderkey").alias("file"), F.col("o_totalprice").alias("max_rss"), F.lit(None).cast("float").alias("time"))
-    ordered = build.unit_table(rows)
-    # dense places from the range-sorted partitions, without one window over all rows
-    placed = ordered.withColumn("__p", F.spark_partition_id()).withColumn("__n", F.monotonically_increasing_id() - F.shiftleft(F.spark_partition_id().cast("bigint"), 33)).persist()
-    counts = sorted((r["__p"], r["n"]) for r in placed.groupBy("__p").agg(F.count("*").alias("n")).collect())
-    begins, done = [], 0
-    for p, n in counts:
-        begins.append((p, done))
-        done += n
-    begin = spark.createDataFrame(begins, "__p int, b bigint")
-    return placed.join(F.broadcast(begin), "__p").select("file", F.col("max_rss").cast("decimal(38,2)").cast("string").alias("price"), (F.col("b") + F.col("__n") + 1).alias("place"))
+    placed = numbered(build.unit_table(rows), "place", F.desc("max_rss"), F.asc("file"))
+    return placed.select("file", F.col("max_rss").cast("decimal(38,2)").cast("string").alias("price"), (F.col("place") + 1).alias("place"))
 
 
 @query("select user_id as host, arg_min(event_id, (value, event_id)) as worker from events group by 1")
@@ -296,7 +350,7 @@ def win1_pct_global(spark: SparkSession, sf_dir: str) -> DataFrame:
     return profile.percent_of_total(forest.nest(table_spans(spark, sf_dir))).select("trace_id", "pos", F.round("percent", 6).alias("percent"))
 
 
-@query(FOREST_SQL + ", t as (select trace_id, sum(duration) as total from nested where parent_pos is null group by 1) select c.trace_id, c.pos, round(c.duration * 100 / coalesce(p.duration, total), 6) as percent from nested c join t on t.trace_id = c.trace_id left join nested p on p.trace_id = c.trace_id and p.pos = c.parent_pos")
+@query(FOREST_SQL + ", t as (select trace_id, sum(duration) as total from spans where level = 2 group by 1) select trace_id, pos, round(duration * 100 / coalesce(parent_duration, total), 6) as percent from nested join t using (trace_id)")
 def win2_pct_parent(spark: SparkSession, sf_dir: str) -> DataFrame:
     return profile.percent_of_parent(forest.nest(table_spans(spark, sf_dir))).select("trace_id", "pos", F.round("percent", 6).alias("percent"))
 
@@ -431,17 +485,13 @@ def str4_unit_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resources.unit_profiles(_samples(spark, sf_dir), 3000.0).withColumn("file", F.col("file").cast("string"))
 
 
-@query("""with recursive t as (select user_id::varchar as host, event_id as tick, floor(value)::bigint * 10000000 as free, row_number() over (partition by user_id order by event_id) as n from events),
-r as (select host, 0::bigint as tick, 0::bigint as n, free, 500000000::bigint as margin, 4 as threads, 0 as stop from t where n = 1
-  union all select host, tick, n, free, case when yields and threads > 0 then raised * threads // (threads + 1) else raised end, case when yields and threads > 0 then threads - 1 else threads end,
-    case when not yields then 0 when threads = 0 then -1 else 1 end
-  from (select *, free < raised as yields from (select t.host, t.tick, t.n, t.free, r.threads,
-    case when r.free - t.free > r.margin then ((r.free - t.free) // (r.threads + 1) + 1) * (r.threads + 1) else r.margin end as raised from r join t on t.host = r.host and t.n = r.n + 1)))
-select host, tick, margin, threads::integer as threads, stop::integer as stop from r where n > 0""")
-def str7_oom_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events as ticks of hosts."""
-    ticks = table(spark, sf_dir, "events").select(F.col("user_id").alias("host"), F.col("event_id").alias("tick"), (F.floor("value").cast("bigint") * 10_000_000).alias("available_memory"))
-    return resources.oom_replay(ticks, 4)
+@query(_SAMPLES_SQL + """, t as (select job, tick, sum(rss)::bigint as free from s group by 1, 2), u as (select job, tick, greatest(coalesce(lag(free) over (partition by job order by tick) - free, 0), 0) * 1000 as used from t)
+select job, tick, greatest(800000000, coalesce(max(case when used > 800000000 then (used // 8 + 1) * 8 end) over (partition by job order by tick), 0))::bigint as margin from u""")
+def win7_adaptive_margin(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What seven threads and the rest must leave free, tick by tick."""
+    ticks = resources.tick_totals(_samples(spark, sf_dir)).withColumnRenamed("rss", "available_memory")
+    used = resources.newly_used(ticks, ["job"], "tick").withColumn("newly_used", F.col("newly_used") * 1000)
+    return resources.adaptive_margin(used, ["job"], "tick", 7).select("job", "tick", "margin")
 
 
 # --- scalar functions ---
@@ -540,6 +590,21 @@ def int6_path_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dictionary.path_dictionary(_page_paths(spark, sf_dir).where("path like '/%'"), "path").agg(F.count("*").alias("n_paths"), F.max(F.size("components")).alias("max_length"))
 
 
+@query("""with a as (select distinct p_name as value from part where p_name is not null), b as (select distinct c_name as value from customer where c_name is not null and c_name not in (select value from a)),
+c as (select distinct text as value from conversations where text is not null and text not in (select value from a) and text not in (select value from b)),
+k as (select value, row_number() over (order by value) - 1 as key, 1 as version from a union all select value, (select count(*) from a) + row_number() over (order by value) - 1, 2 from b
+  union all select value, (select count(*) from a) + (select count(*) from b) + row_number() over (order by value) - 1, 3 from c)
+select key, value, version, version <= 2 as frozen from k""")
+def int9_living_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names of parts, then of customers as well, then texts: keys stay, and the vocabulary of the second version stays as it was."""
+    words = Vocabulary(spark, f"buildlens_words_{uuid.uuid4().hex}")
+    words.grow(table(spark, sf_dir, "part"), "p_name")
+    second = words.grow(table(spark, sf_dir, "customer").select("c_name").union(table(spark, sf_dir, "part").select("p_name")), "c_name").frozen()
+    words.grow(table(spark, sf_dir, "conversations"), "text")
+    held = second.rows().select("key", F.lit(True).alias("held"))
+    return words.rows().join(held, "key", "left").select("key", "value", "version", F.coalesce("held", F.lit(False)).alias("frozen"))
+
+
 # --- whole traces from JSON ---
 
 _CASES_SQL = "with cases as (select * from (values " + ", ".join(
@@ -708,3 +773,54 @@ def win3_unit_cycle(spark: SparkSession, sf_dir: str) -> DataFrame:
         out.append(rows.agg(F.count("*").alias("n"), F.round(F.sum("total"), 2).alias("total")).select(F.lit(step).alias("step"), F.lit(unit).alias("unit"), "n", "total"))
         unit = profile.next_unit(unit)
     return out[0].union(out[1]).union(out[2]).union(out[3])
+
+
+# --- traces by ranges, process trees, table functions ---
+
+
+_RANGES_SQL = """with e as (select user_id % 8 as trace, event_id, ['a}b', ']}],{', chr(34) || '}', chr(92), 'plain'][(event_id % 5 + 1)::integer] as odd from events where user_id is not null and event_id is not null)
+select 't' || trace as trace_id, row_number() over (partition by trace order by event_id) - 1 as raw_pos, event_id * 10.0::double as ts, event_id || odd as detail from e"""
+
+
+@query(_RANGES_SQL)
+def src1_events_by_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events written as a few large trace files, a row a line of a file, and read back by ranges."""
+    ev = table(spark, sf_dir, "events").where("user_id is not null and event_id is not null")
+    odd = F.array(*map(F.lit, ("a}b", "]}],{", '"}', "\\", "plain")))[(F.col("event_id") % 5).cast("int")]
+    args = F.struct(F.concat(F.col("event_id").cast("string"), odd).alias("detail"))
+    body = F.to_json(F.struct(F.lit("X").alias("ph"), (F.col("event_id") * 10.0).alias("ts"), args.alias("args")))
+    trace = F.concat(F.lit("t"), (F.col("user_id") % 8).cast("string"))
+    first = F.row_number().over(Window.partitionBy("trace").orderBy("event_id")) == 1
+    lines = ev.select(trace.alias("trace"), "event_id", body.alias("value")).withColumn("value", F.concat(F.when(first, '{"traceEvents":[').otherwise(","), "value")).select("trace", F.lit(0).alias("part"), "event_id", "value")
+    ends = lines.select("trace").distinct().select("trace", F.lit(1), F.lit(None).cast("bigint"), F.lit('],"beginningOfTime":1}'))
+    where = f"{shared_folder(spark)}/traces-{uuid.uuid4().hex}"
+    lines.union(ends).repartition("trace").sortWithinPartitions("trace", "part", "event_id").select("trace", "value").write.partitionBy("trace").text(where)
+    events, _ = event_texts(spark, where)
+    ev = events.select(F.regexp_extract("trace_id", "trace=([^/]*)", 1).alias("trace_id"), "raw_pos", F.try_parse_json("text").alias("e"))
+    return ev.select("trace_id", "raw_pos", F.expr("variant_get(e, '$.ts', 'double')").alias("ts"), F.expr("variant_get(e, '$.args.detail', 'string')").alias("detail"))
+
+
+_TREES_SQL = """with recursive e as (select 'j' || user_id as job, epoch_ms(ts) as ms, epoch_ms(ts) // 3000000 as tick, floor(value)::bigint * 1000 as rss, row_number() over (partition by user_id, epoch_ms(ts) // 3000000 order by event_id) as pid from events),
+p as (select *, case when pid % 7 = 6 then 1000000 else pid // 2 end as ppid from e),
+tree(job, tick, pid) as (select job, tick, pid from p where pid = 1 union select p.job, p.tick, p.pid from tree t join p on p.job = t.job and p.tick = t.tick and p.ppid = t.pid and p.pid <> p.ppid),
+sums as (select job, tick, sum(rss)::bigint as rss from p join tree using (job, tick, pid) group by 1, 2)
+select job, max(rss)::bigint as max_rss, count(*) as n_ticks, min(tick) as first_tick, max(tick) as last_tick from sums group by 1"""
+
+
+@query(_TREES_SQL)
+def str4_unit_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as samples of processes, a tree of them a tick: peaks of what is below the root."""
+    ms = F.unix_millis(F.col("ts").cast("timestamp"))
+    nth = F.row_number().over(Window.partitionBy("user_id", F.floor(ms / 3_000_000)).orderBy("event_id")).cast("bigint")
+    ev = table(spark, sf_dir, "events").select(F.concat(F.lit("j"), F.col("user_id").cast("string")).alias("job"), F.col("ts").cast("timestamp").alias("ts"), nth.alias("pid"), (F.floor("value").cast("bigint") * 1000).alias("rss"))
+    samples = ev.withColumn("ppid", F.when(F.col("pid") % 7 == 6, 1000000).otherwise(F.expr("pid div 2")).cast("bigint")).withColumn("root", F.col("pid") == 1)
+    return stream_jobs.batch_profiles(samples, 3_000_000).drop("ended")
+
+
+@query("""with w as (select p_partkey, unnest([['cc', 0], ['-D' || p_size, 1], [p_name, 2], ['a b', 3], ['c"d', 4]]) as x from part) select p_partkey, x[2]::integer as pos, x[1] as word from w""")
+def ext6_command_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Commands with quotes and escapes, word by word, by a table function in SQL."""
+    register_functions(spark)
+    rows = table(spark, sf_dir, "part").where("p_name is not null and p_size is not null")
+    command = F.concat(F.lit("cc  -D"), F.col("p_size").cast("string"), F.lit(" '"), F.col("p_name"), F.lit("' \"a b\" 'c\"d'"))
+    return spark.sql("select p_partkey, w.pos, w.word from {parts} p, lateral command_words(p.command) w", parts=rows.select("p_partkey", command.alias("command")))

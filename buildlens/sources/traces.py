@@ -52,14 +52,18 @@ def documents(texts: DataFrame, arrays: bool = False) -> DataFrame:
     return out.select("trace_id", events.alias("events"), *[F.col(f"d.{c.split(' ')[0]}") for c in _DOCUMENT.split(", ")[1:]])
 
 
-def raw_events(docs: DataFrame) -> DataFrame:
-    """A row an event: trace_id, raw_pos, its fields (null where absent or of another type), kinds, arg_kinds, malformed.
+def listed_events(docs: DataFrame) -> DataFrame:
+    """(trace_id, raw_pos, e) of the documents' events."""
+    return docs.select("trace_id", F.posexplode("events").alias("raw_pos", "e"))
+
+
+def raw_events(ev: DataFrame) -> DataFrame:
+    """A row an event (trace_id, raw_pos, e): trace_id, raw_pos, its fields (null where absent or of another type), kinds, arg_kinds, malformed.
 
     kinds and arg_kinds have the JSON types of the fields and of the fields of args, so
     that checks look names up instead of walking the event again.  malformed marks events
     that no reader of the format would take.
     """
-    ev = docs.select("trace_id", F.posexplode("events").alias("raw_pos", "e"))
     ev = ev.select("trace_id", "raw_pos", F.expr("try_variant_get(e, '$', 'map<string,variant>')").alias("m"))
     ev = ev.withColumn("a", F.expr("try_variant_get(try_element_at(m, 'args'), '$', 'map<string,variant>')"))
     types = lambda c: F.transform_values(c, lambda _, v: F.schema_of_variant(v))

@@ -90,6 +90,8 @@ def write_profile(profiles: DataFrame, path: str) -> None:
     jvm = spark.sparkContext._jvm
     target, new, old = (jvm.org.apache.hadoop.fs.Path(path.rstrip("/") + end) for end in ("", ".new", ".old"))
     fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if fs.exists(old) and not fs.exists(target):
+        fs.rename(old, target)  # a writer was lost between its two moves
     try:
         profiles.write.mode("overwrite").option("header", True).csv(new.toString())
         fs.delete(old, True)
@@ -105,6 +107,20 @@ def write_profile(profiles: DataFrame, path: str) -> None:
         fs.delete(new, True)
 
 
+def listed_files(spark: SparkSession, *paths: str, pattern: str | None = None) -> DataFrame:
+    """(path, modified, size) of the files at or below `paths`, by a listing: no file is opened.
+
+    A path that does not exist has no row.
+    """
+    there = [p for p in paths if _exists(spark, p)]
+    if not there:
+        return spark.createDataFrame([], "path string, modified timestamp, size bigint")
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", True)
+    if pattern:
+        reader = reader.option("pathGlobFilter", pattern)
+    return reader.load(there).select("path", F.col("modificationTime").alias("modified"), F.col("length").alias("size"))
+
+
 def latest_per_key(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     w = Window.partitionBy(*keys).orderBy(*[F.desc(c) for c in order])
     return rows.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")

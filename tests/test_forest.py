@@ -103,7 +103,7 @@ def test_known_forest(spark):
     assert {r["pos"] for r in forest.zoom(f, 4, flat=True).collect()} == {0, 1, 2, 3}
     assert {r["pos"] for r in forest.leaves(f).collect()} == {0, 2}
     assert [r["activity"] for r in profile.activity_breakdown(f).orderBy("self_duration", ascending=False).collect()][0] == "Parse"
-    order = [r["pos"] for r in profile.tree_order(profile.hierarchical_profile(f, 0.05)).orderBy("path").collect()]
+    order = [r["pos"] for r in profile.tree_order(profile.hierarchical_profile(f, 0.05)).orderBy("place").collect()]
     assert order == [4, 1, 0, 3]
     with pytest.raises(ValueError):
         profile.profile(f, mode="round")
@@ -140,6 +140,46 @@ def trace(events):
     return json.dumps({"traceEvents": events, "beginningOfTime": 1656508702311015})
 
 
+def told(spans, parent, least):
+    """(pos or number of hidden, depth) in the order of a report, by recursion."""
+    out, total = [], sum(d for p, (_, d) in enumerate(spans) if parent[p] is None)
+
+    def tell(above, depth):
+        kids = [p for p in range(len(spans)) if parent[p] == above]
+        shown = sorted((p for p in kids if total and spans[p][1] / total >= least), key=lambda p: (-spans[p][1], p))
+        for p in shown:
+            out.append((p, depth))
+            tell(p, depth + 1)
+        if len(shown) < len(kids):
+            out.append((f"{len(kids) - len(shown)} hidden", depth))
+
+    tell(None, 0)
+    return out
+
+
+def test_order_of_reports(spark):
+    rng = random.Random(12)
+    traces = {f"t{k}": random_spans(rng, 0, rng.choice([4, 9, 30]), 4) for k in range(60)}
+    rows = [(t, p, s, d, f"a{p}") for t, spans in traces.items() for p, (s, d) in enumerate(spans)]
+    built = forest.build_forest(spark.createDataFrame(rows, SPANS + ", activity string")).cache()
+    for least in (0.0, 0.1, 0.3):
+        got = {}
+        for r in profile.report_tree(built, least, ["trace_id"]).orderBy("trace_id", "place").collect():
+            got.setdefault(r["trace_id"], []).append((r["place"], (r["pos"] if r["n_hidden"] == 0 else f"{r['n_hidden']} hidden", r["depth"])))
+        for t, spans in traces.items():
+            want = told(spans, stack_forest(spans)[0], least)
+            assert [x for _, x in got.get(t, [])] == want and [p for p, _ in got.get(t, [])] == list(range(len(want)))
+    built.unpersist()
+
+
+def test_order_of_a_deep_tree(spark):
+    """One chain of 20,000 spans: no step of a level at a time."""
+    chain = spark.range(20_000).selectExpr("'deep' trace_id", "cast(id as int) pos", "cast(20000 - id as double) start", "cast(2 * id + 1 as double) duration")
+    nested = forest.nest(chain)
+    assert nested.agg(F.max("depth")).first()[0] == 19_999
+    assert profile.tree_order(nested).where("place <> 19999 - pos").count() == 0
+
+
 def test_report(spark, tmp_path):
     x = lambda name, ts, dur, **a: {"ph": "X", "pid": 42, "tid": 42, "ts": ts, "dur": dur, "name": name} | ({"args": a} if a else {})
     events = [

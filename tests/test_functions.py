@@ -1,9 +1,12 @@
+import os
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from buildlens.functions import arguments, names, paths, text
+from buildlens.functions.names import bounded, bounded_entity, entity_renderings
+from buildlens.functions.sql import register_functions
 from buildlens.operators import build, dictionary, resources
 from buildlens.sources import units
 from buildlens.streaming import samples
@@ -107,24 +110,18 @@ def test_freshness(spark):
     assert build.concurrency(None, True, 8) == 1 and build.concurrency(None, False, None) == 4 and build.concurrency(3, True, 8) == 3
 
 
-def test_oom_replay(spark):
+def test_adaptive_margin(spark):
+    """Against the rule applied tick by tick."""
     rng = random.Random(2)
-    rows = [(h, t, rng.randint(0, 900_000_000)) for h in ("a", "b") for t in range(50)]
-    got = {(r["host"], r["tick"]): (r["margin"], r["threads"], r["stop"]) for r in resources.oom_replay(spark.createDataFrame(rows, "host string, tick bigint, available_memory bigint"), 4).collect()}
-    for h in ("a", "b"):
-        margin, threads, before = 500_000_000, 4, None
-        for _, t, free in [r for r in rows if r[0] == h]:
-            used = max((before if before is not None else free) - free, 0)
+    rows = [(h, t, rng.choice([0, 10, 10**8, 3 * 10**8, 10**9, 10**9 + rng.randrange(10**9)])) for h in "ab" for t in range(40)]
+    got = resources.adaptive_margin(spark.createDataFrame(rows, "host string, tick int, newly_used bigint"), ["host"], "tick", 2).collect()
+    for h in "ab":
+        margin, want = 3 * resources.MARGIN_PER_JOB, []
+        for _, _, used in sorted(r for r in rows if r[0] == h):
             if used > margin:
-                margin = max(margin, (used // (threads + 1) + 1) * (threads + 1))
-            stop = 0
-            if free < margin:
-                stop = -1 if threads == 0 else 1
-                if threads:
-                    margin = margin * threads // (threads + 1)
-                    threads -= 1
-            before = free
-            assert got[h, t] == (margin, threads, stop)
+                margin = (used // 3 + 1) * 3
+            want.append(margin)
+        assert [r["margin"] for r in sorted(got, key=lambda r: r["tick"]) if r["host"] == h] == want
 
 
 def test_stream_equals_batch(spark, tmp_path):
@@ -167,3 +164,56 @@ def test_public_names():
     assert all(callable(getattr(buildlens, name)) for name in buildlens.__all__)
     with pytest.raises(AttributeError):
         buildlens.nothing
+
+
+def test_budgets_as_columns_and_wide_names(spark):
+    """Names are measured in terminal columns, with a budget of their own each."""
+    names = ["std::map<int, 表表表表>::find(int) const", "ns::very<long<name> >", "漢字::型<a<b> >", "éé<x<y> >", "plain", None]
+    rows = [(n, c) for n in names for c in (1, 4, 7, 9, 12, 18, 30, 60)]
+    df = spark.createDataFrame(rows, "name string, cols int")
+    got = df.select("name", "cols", bounded_entity(entity_renderings(F.col("name")), F.col("cols")).alias("short"), text.shorten(F.col("name"), F.col("cols")).alias("cut"), text.columns_of(F.col("name")).alias("w")).collect()
+    for r in got:
+        assert r["short"] == (None if r["name"] is None else bounded(r["name"], r["cols"]))
+        assert r["name"] is None or text.width(r["short"]) <= r["cols"] and text.width(r["cut"]) <= r["cols"] and r["w"] == text.width(r["name"])
+
+
+def test_table_functions(spark):
+    register_functions(spark)
+    rows = spark.createDataFrame([(1, 'cc -c \'a b.cpp\' \\"x\\"'), (2, "open 'quote"), (3, None), (4, "")], "k int, c string")
+    got = spark.sql("select k, w.pos, w.word from {rows} r, lateral command_words(text => r.c) w", rows=rows).collect()
+    assert sorted(map(tuple, got)) == [(1, 0, "cc"), (1, 1, "-c"), (1, 2, "a b.cpp"), (1, 3, '"x"')]
+    levels = spark.sql("select * from entity_levels('ns::a<b<表>>::f')").collect()
+    assert [r["rendering"] for r in levels] == names.renderings("ns::a<b<表>>::f") and levels[-1]["width"] == 15
+    assert "".join(r["part"] for r in spark.sql("select part from entity_parts('ns::a<b<c>>::f') order by pos").collect()) == "ns::a<b<c>>::f"
+    with pytest.raises(Exception, match="a text is needed"):
+        spark.sql("select * from command_words(3)").collect()
+
+
+def test_freshness_of_files(spark, tmp_path):
+    def put(name, at):
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_text("x" * 10)
+        os.utime(tmp_path / name, (at, at))
+
+    for name, at in (("compile_commands.json", 1000), ("a/old.json", 900), ("a/new.json", 5000), ("a/stale.json", 5000), ("a/future.json", 9000), ("in.cpp", 4000), ("late.h", 6000)):
+        put(name, at)
+    p = lambda n: str(tmp_path / n)
+    rows = [(p("a/old.json"), [p("in.cpp")]), (p("a/new.json"), [p("in.cpp"), p("not there")]), (p("a/stale.json"), [p("in.cpp"), p("late.h")]), (p("a/none.json"), []), (p("a/future.json"), None)]
+    files = units.listed_files(spark, str(tmp_path), p("not there"))
+    assert files.count() == 7 and files.agg(F.sum("size")).first()[0] == 70
+    assert "content" not in files._jdf.queryExecution().executedPlan().toString().split("ReadSchema")[1]
+    got = build.files_freshness(spark.createDataFrame(rows, "product string, inputs array<string>"), files, p("compile_commands.json"), F.timestamp_seconds(F.lit(8000)))
+    got = {os.path.basename(r["product"]): (r["state"], r["age_s"]) for r in got.collect()}
+    assert got == {"old.json": ("Outdated", None), "new.json": ("MaybeOutdated", 3000), "stale.json": ("Outdated", None), "none.json": ("Nonexistent", None), "future.json": ("MaybeOutdated", None)}
+    assert units.listed_files(spark, p("not there")).count() == 0
+
+
+def test_profile_survives_a_lost_writer(spark, tmp_path):
+    """A writer that was lost between its two moves leaves only the old profile, under another name."""
+    rows = spark.createDataFrame([("a.cpp", 5, 1.0)], "file string, max_rss bigint, time float")
+    path = str(tmp_path / "profile.csv")
+    units.write_profile(rows, path)
+    os.rename(path, path + ".old")
+    with pytest.raises(Exception):
+        units.write_profile(rows.withColumn("max_rss", F.raise_error(F.lit("no disk")).cast("bigint")), path)
+    assert units.read_profile(spark, path).first()["max_rss"] == 5
