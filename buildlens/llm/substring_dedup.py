@@ -1,13 +1,15 @@
 """Repeated passages, within and across documents: near-equal paragraphs, and equal runs of words anywhere.
 
-Paragraphs are compared by their shingle sets.  Runs are found by winnowing: of every
-few consecutive grams of words the least hash is chosen, so equal runs of enough words
-choose an equal gram, wherever lines break round them.
+Paragraphs are compared by their shingle sets.  What stays after that is searched for runs by
+winnowing: of every few consecutive grams of words the least hash is chosen, so equal runs of
+enough words choose an equal gram, wherever lines break round them.  Grams only propose: the words
+round them are fetched from both texts and compared, and what is equal there, to its ends, is a run.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -16,6 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from buildlens.llm.common import bound_batches, checkpoint, column, release, slices, table
+from buildlens.llm.components import connected_components
 from buildlens.llm.hyperminhash import LONG, Banding
 from buildlens.llm.neardup import PERCENT, SHINGLE, link, same_node, sketch_cells
 from buildlens.llm.textops import hash_ranges, ngram_hashes, shingle_sets, split_words, utf8
@@ -146,12 +149,13 @@ def winnowed(grams: np.ndarray, rows: np.ndarray, window: int = WINDOW) -> np.nd
 
 
 def chosen_grams(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """doc_id, row, word, start_byte, end_byte, gram: the winnowed grams of min_words words of whole texts."""
+    """doc_id, row, word, line, last_line, gram: the winnowed grams of min_words words of whole texts, and the \\n-split lines they begin and end in."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "__text"):
-                _, offs = utf8(column(part, "__text"))
+                data, offs = utf8(column(part, "__text"))
+                breaks = np.flatnonzero(data == 10)
                 w = split_words(column(part, "__text"))
                 grams, at = ngram_hashes(hash_ranges(w.data, w.start, w.end), w.rows, min_words)
                 pick = winnowed(grams, at)
@@ -163,13 +167,85 @@ def chosen_grams(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
                 row = np.searchsorted(at, pick, side="right") - 1
                 word = pick - at[row]
                 first = w.rows[row] + word
-                base = offs[row]
+                above = np.searchsorted(breaks, offs[row])
+                line, last_line = (pa.array((np.searchsorted(breaks, x) - above).astype(np.int32)) for x in (w.start[first], w.start[first + min_words - 1]))
+                owner = pa.array(row)
                 yield pa.RecordBatch.from_arrays(
-                    [column(part, "doc_id").take(pa.array(row)), column(part, "row").take(pa.array(row)), pa.array(word), pa.array(w.start[first] - base), pa.array(w.end[first + min_words - 1] - base), pa.array(grams[pick].view(np.int64))],
-                    names=["doc_id", "row", "word", "start_byte", "end_byte", "gram"],
+                    [column(part, "doc_id").take(owner), column(part, "row").take(owner), pa.array(word), line, last_line, pa.array(grams[pick].view(np.int64))],
+                    names=["doc_id", "row", "word", "line", "last_line", "gram"],
                 )
 
-    return _keyed(docs).mapInArrow(run, "doc_id bigint, row bigint, word bigint, start_byte bigint, end_byte bigint, gram bigint")
+    return _keyed(docs).mapInArrow(run, "doc_id bigint, row bigint, word bigint, line int, last_line int, gram bigint")
+
+
+def _word_runs(docs: DataFrame, wanted: DataFrame, part: int, parts: int) -> DataFrame:
+    """(row, begin, end, first, words, places) of wanted word ranges of one part of all texts.
+
+    `wanted` has row, begin, end, which may go beyond the text; `first` is where the range begins in
+    it.  `words` are A-Z lower-cased, one space between two; `places` the first and last bytes of each.
+    """
+    mine = F.pmod(F.col("row"), F.lit(parts)) == part
+    spans = wanted.where(mine).distinct().groupBy(F.col("row").alias("__row")).agg(F.collect_list(F.struct("begin", "end")).alias("spans"))
+    rows = _keyed(docs).where(mine).join(spans, F.col("row") == F.col("__row")).select("row", "__text", "spans")
+    names = ["row", "begin", "end", "first", "words", "places"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "__text"):
+                _, offs = utf8(column(part, "__text"))
+                w = split_words(column(part, "__text"))
+                raw = w.data.tobytes()
+                spans = column(part, "spans")
+                flat, n = spans.flatten(), pc.list_value_length(spans).to_numpy()
+                row = np.repeat(np.arange(part.num_rows), n)
+                begin, end = flat.field("begin").to_numpy(), flat.field("end").to_numpy()
+                first = np.maximum(begin, 0)
+                a, b = w.rows[row] + first, np.minimum(w.rows[row] + end, w.rows[row + 1])
+                texts, places = [], []
+                for k, (x, y) in enumerate(zip(a.tolist(), b.tolist())):
+                    from_, to = w.start[x:y], w.end[x:y]
+                    texts.append(b" ".join([raw[p:q] for p, q in zip(from_.tolist(), to.tolist())]))
+                    places.append((np.stack([from_, to], axis=1) - offs[row[k]]).tobytes())
+                yield pa.RecordBatch.from_arrays([column(part, "row").take(pa.array(row)), pa.array(begin), pa.array(end), pa.array(first), pa.array(texts, pa.binary()), pa.array(places, pa.binary())], names=names)
+
+    got = rows.mapInArrow(run, "row bigint, begin bigint, end bigint, first bigint, words binary, places binary")
+    return got.groupBy("row", "begin", "end").agg(*[F.first(c).alias(c) for c in names[3:]])  # rows that repeat are equal
+
+
+def equal_stretches(a: list[bytes], b: list[bytes], least: int) -> list[tuple[int, int]]:
+    """(begin, end) of the longest stretches of at least `least` words at which two lists agree place by place."""
+    n = min(len(a), len(b))
+    same = np.fromiter((x == y for x, y in zip(a, b)), bool, n)
+    edge = np.flatnonzero(np.diff(np.concatenate([[False], same, [False]]).astype(np.int8)))
+    return [(x, y) for x, y in zip(edge[::2].tolist(), edge[1::2].tolist()) if y - x >= least]
+
+
+_PAIRS = ", ".join(f"{side}{name} bigint" for side in ("", "of_") for name in ("row", "doc_id", "begin", "end", "start_byte", "end_byte"))
+
+
+def _compared(min_words: int):
+    """A row for every stretch in which the words fetched for a run agree with those of its holder, and where it lies in both."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = [x.split(" ")[0] for x in _PAIRS.split(", ")]
+        for batch in batches:
+            c = {k: column(batch, k).to_pylist() for k in ("row", "doc_id", "of", "of_doc_id", "shift", "first", "words", "places", "of_first", "of_words", "of_places")}
+            out = []
+            for k in range(batch.num_rows):
+                # both from the same word on: the later of the two begins
+                lead = c["first"][k] - c["shift"][k] - c["of_first"][k]
+                skip = (max(-lead, 0), max(lead, 0))
+                own, held = c["words"][k].split(b" ")[skip[0] :], c["of_words"][k].split(b" ")[skip[1] :]
+                for x, y in equal_stretches(own, held, min_words):
+                    row = []
+                    for (of, raw, first), more in zip((("row", "places", "first"), ("of", "of_places", "of_first")), skip):
+                        places = np.frombuffer(c[raw][k], np.int64).reshape(-1, 2)
+                        begin = c[first][k] + more
+                        row += [c[of][k], c["doc_id" if of == "row" else "of_doc_id"][k], begin + x, begin + y, int(places[more + x, 0]), int(places[more + y - 1, 1])]
+                    out.append(row)
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], pa.int64()) for k in range(len(names))], names=names)
+
+    return run
 
 
 def _linked_lines(docs: DataFrame, min_words: int) -> DataFrame:
@@ -183,32 +259,63 @@ def _linked_lines(docs: DataFrame, min_words: int) -> DataFrame:
 
 
 def _equal_runs(docs: DataFrame, lines: DataFrame, min_words: int) -> DataFrame:
-    """Runs of equal words that no single one of the linked `lines` holds: their columns, and row.
+    """Runs of equal words in what the removal of `lines` leaves: the columns of `lines`, and row.
 
-    The first holder of a gram keeps it.  Grams of a text that lie alike to those of
-    one holder, a window apart at most, are one run, as are overlapping ones.
+    The first place of a gram holds it; all other places are candidates for removal.  Grams of a
+    text that lie alike to those of one holder, a window apart at most, propose one run; the words
+    of both, a window further at either end, are compared.  Runs that overlap are one passage.
     """
     release(docs.sparkSession)
     grams = chosen_grams(docs, min_words)
+    several = checkpoint(grams.groupBy("gram").agg(F.count("*").alias("places")).where("places > 1").select("gram"))
+    # what goes with its line neither holds nor is removed again
+    gone = lines.where("removed").select(F.col("row").alias("__row"), F.col("paragraph").alias("__line")).distinct()
+    stays = lambda df, line: df.join(gone, (F.col("row") == F.col("__row")) & (F.col(line) == F.col("__line")), "left_anti")
+    shared = checkpoint(stays(stays(grams.join(several, "gram"), "line"), "last_line").drop("line", "last_line"))
     place = F.struct("doc_id", "row", "word")
     # written first: a join of two plain shuffles can be split where a gram is very common
-    held = checkpoint(grams.groupBy("gram").agg(F.min(place).alias("first"), F.count("*").alias("places")).where("places > 1").select("gram", "first"))
+    held = checkpoint(shared.groupBy("gram").agg(F.min(place).alias("first"), F.count("*").alias("places")).where("places > 1").select("gram", "first"))
     release(docs.sparkSession)
-    shared = grams.join(held, "gram").select("doc_id", "row", "word", "start_byte", "end_byte", F.col("first.doc_id").alias("cluster_doc_id"), F.col("first.row").alias("of"), (F.col("word") - F.col("first.word")).alias("shift"))
-    shared = shared.withColumn("removed", (F.col("of") != F.col("row")) | (F.col("shift") != 0))
-    order = Window.partitionBy("row").orderBy("word")
-    before = lambda c: F.lag(c).over(order)
-    step = F.col("word") - before("word")
-    on = (F.col("of") == before("of")) & (((F.col("shift") == before("shift")) & (step <= WINDOW)) | ((F.col("removed") == before("removed")) & (step < min_words)))
-    runs = shared.withColumn("new", F.when(on, 0).otherwise(1)).withColumn("run", F.sum("new").over(order))
-    runs = runs.groupBy("row", "run").agg(
-        F.first("doc_id").alias("doc_id"), F.min("start_byte").alias("start_byte"), F.max("end_byte").alias("end_byte"), (F.max("word") - F.min("word") + min_words).alias("n_words"),
-        F.first("cluster_doc_id").alias("cluster_doc_id"), F.first("removed").alias("removed"),
-    )
-    line = lines.select(F.col("row").alias("__row"), F.col("start_byte").alias("__start"), F.col("end_byte").alias("__end")).distinct()
-    runs = runs.join(line, (F.col("row") == F.col("__row")) & (F.col("start_byte") >= F.col("__start")) & (F.col("end_byte") <= F.col("__end")), "left_anti")
+    later = shared.join(held, "gram").where((F.col("row") != F.col("first.row")) | (F.col("word") != F.col("first.word")))
+    later = later.select("doc_id", "row", "word", F.col("first.doc_id").alias("of_doc_id"), F.col("first.row").alias("of"), (F.col("word") - F.col("first.word")).alias("shift"))
+    order = Window.partitionBy("row", "of", "shift").orderBy("word")
+    begins = F.coalesce(F.col("word") - F.lag("word").over(order) > WINDOW, F.lit(True)).cast("int")
+    runs = later.withColumn("__new", begins).withColumn("__run", F.sum("__new").over(order)).groupBy("row", "of", "shift", "__run")
+    runs = runs.agg(F.first("doc_id").alias("doc_id"), F.first("of_doc_id").alias("of_doc_id"), (F.min("word") - WINDOW + 1).alias("begin"), (F.max("word") + min_words + WINDOW - 1).alias("end"))
+    runs = checkpoint(runs.drop("__run"))
+    wanted = runs.select("row", "begin", "end").union(runs.select("of", F.col("begin") - F.col("shift"), F.col("end") - F.col("shift")))
+    parts = []
+    for k in range(FETCHES):
+        parts.append(checkpoint(_word_runs(docs, wanted, k, FETCHES)))
+        release(docs.sparkSession)
+    words = reduce(DataFrame.union, parts)
+    other = words.select(F.col("row").alias("of"), F.col("begin").alias("of_begin"), F.col("end").alias("of_end"), F.col("first").alias("of_first"), F.col("words").alias("of_words"), F.col("places").alias("of_places"))
+    both = runs.join(words, ["row", "begin", "end"]).withColumn("of_begin", F.col("begin") - F.col("shift")).withColumn("of_end", F.col("end") - F.col("shift")).join(other, ["of", "of_begin", "of_end"])
+    return _passages(checkpoint(both.mapInArrow(_compared(min_words), _PAIRS)))
+
+
+def _passages(pairs: DataFrame) -> DataFrame:
+    """Overlapping runs of a text as one passage, named after the least doc_id of its component.
+
+    A passage that many texts repeat is one range of its holder: ranges are made distinct before a text's meet.
+    """
+    kept = pairs.select(*[F.col(f"of_{c}").alias(c) for c in ("row", "doc_id", "begin", "end", "start_byte", "end_byte")], F.lit(False).alias("removed"))
+    ranges = pairs.select("row", "doc_id", "begin", "end", "start_byte", "end_byte", F.lit(True).alias("removed")).union(kept)
+    ranges = ranges.groupBy("row", "removed", "begin", "end").agg(*[F.first(c).alias(c) for c in ("doc_id", "start_byte", "end_byte")])
+    order = Window.partitionBy("row", "removed").orderBy("begin", "end")
+    reached = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    ranges = checkpoint(ranges.withColumn("__new", F.coalesce(F.col("begin") >= reached, F.lit(True)).cast("int")).withColumn("nth", F.sum("__new").over(order)).drop("__new"))
+    passages = ranges.groupBy("row", "removed", "nth").agg(F.first("doc_id").alias("doc_id"), F.min("start_byte").alias("start_byte"), F.max("end_byte").alias("end_byte"), (F.max("end") - F.min("begin")).alias("n_words"))
+    passages = checkpoint(passages.withColumn("id", F.monotonically_increasing_id()))
+    ids = checkpoint(ranges.join(passages.select("row", "removed", "nth", "id"), ["row", "removed", "nth"]).select("row", "removed", "begin", "end", "id"))
+    own = ids.where("removed").select("row", "begin", "end", F.col("id").alias("a"))
+    held = ids.where("not removed").select(F.col("row").alias("of_row"), F.col("begin").alias("of_begin"), F.col("end").alias("of_end"), F.col("id").alias("b"))
+    edges = pairs.join(own, ["row", "begin", "end"]).select("a", "of_row", "of_begin", "of_end").distinct().join(held, ["of_row", "of_begin", "of_end"])
+    comps = connected_components(edges.select("a", "b").distinct()).select("id", "comp")
+    passages = passages.join(comps, "id")
+    named = passages.groupBy("comp").agg(F.min(F.struct("doc_id")).alias("least"))
     none = F.lit(None).cast("int")
-    return runs.select("doc_id", none.alias("paragraph"), "start_byte", "end_byte", "n_words", "cluster_doc_id", none.alias("cluster_paragraph"), "removed", "row")
+    return passages.join(named, "comp").select("doc_id", none.alias("paragraph"), "start_byte", "end_byte", "n_words", F.col("least.doc_id").alias("cluster_doc_id"), none.alias("cluster_paragraph"), "removed", "row")
 
 
 def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
@@ -222,10 +329,13 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     cannot tell copies apart, rows with equal doc_id and paragraph share one verdict.
     A null doc_id sorts first.
 
-    Runs have a null paragraph: they may be parts of lines or go over several.  Each run
-    of min_words + WINDOW - 1 equal words (A-Z as a-z) is found, shorter ones of
-    min_words by chance; up to WINDOW - 1 words at either end of a run may be left out.
-    The least doc_id that has its words keeps them, and is named as the cluster.
+    Runs have a null paragraph: they may be parts of lines or go over several.  They are sought in
+    what the removed lines leave, each stretch between two of them for itself.  Of each run of
+    min_words + WINDOW - 1 equal words (A-Z as a-z) in several places all but one lose it, so no
+    such run is left; shorter ones of min_words are found by chance.  The least (doc_id, word)
+    keeps the words (removed is false).  Runs are compared word by word and go to their ends,
+    overlapping ones are one row.  Passages that share a run, directly or through others, are a
+    cluster, named after its least doc_id.
     """
     lines = _linked_lines(docs, min_words)
     return lines.unionByName(_equal_runs(docs, lines, min_words)).drop("row")
