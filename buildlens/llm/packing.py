@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 import random
 import zlib
 from collections.abc import Iterator
@@ -20,7 +21,12 @@ CAPACITY = 2048
 SHARD = 8192
 ISLANDS = 2
 POPULATION = 3
-GENERATIONS = 4
+GENERATIONS = 200
+#: Generations without a better packing after which an island rests.
+PATIENCE = 4
+#: Displaced items that look for exchanges in a crossover, and open bins that they look at; all others are best-fitted.
+LOOSE = 64
+EXCHANGED = 64
 
 
 def cut_pieces(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None, with_ids: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -113,31 +119,93 @@ def fitness(solution: list[list[int]], sizes: list[int], capacity: int) -> float
     return sum((sum(sizes[i] for i in b) / capacity) ** 2 for b in solution) / max(len(solution), 1)
 
 
+def _fill(b: list[int], used: int, loose: list[tuple[int, int]], sizes: list[int], capacity: int) -> int:
+    """Exchange an item of a bin for one or two loose ones, or two for one, so that it is fuller; gives how full it is.
+
+    `loose` has (size, item) in order.  Small loose items are the easiest to place afterwards, so a
+    fuller bin is a step forward whatever comes back.
+    """
+    while loose:
+        best: tuple[int, list[int], list[int]] | None = None
+
+        def offer(gain: int, out: list[int], into: list[int]) -> None:
+            nonlocal best
+            if gain > 0 and (best is None or gain > best[0]):
+                best = gain, out, into
+
+        room = capacity - used
+        if not room:
+            break
+        outs = [(sizes[x], [x]) for x in b] + [(sizes[x] + sizes[y], [x, y]) for n, x in enumerate(b) for y in b[:n]]
+        for size, out in outs:
+            k = bisect.bisect_right(loose, (size + room, len(sizes))) - 1
+            if k >= 0:
+                offer(loose[k][0] - size, out, [k])
+            if len(out) == 1:  # two loose ones that come nearest to the room, from both ends
+                lo, hi = 0, len(loose) - 1
+                while lo < hi:
+                    both = loose[lo][0] + loose[hi][0]
+                    if both <= size + room:
+                        offer(both - size, out, [lo, hi])
+                        lo += 1
+                    else:
+                        hi -= 1
+        if best is None:
+            break
+        gain, out, into = best
+        used += gain
+        for k in sorted(into, reverse=True):
+            b.append(loose.pop(k)[1])
+        for x in out:
+            b.remove(x)
+            bisect.insort(loose, (sizes[x], x))
+    return used
+
+
 def crossover(a: list[list[int]], b: list[list[int]], sizes: list[int], capacity: int, rng: random.Random) -> list[list[int]]:
-    """Well-filled bins of b go into a whole; a's bins with their items dissolve, and the displaced items are best-fitted."""
-    ranked = sorted(b, key=lambda x: (-sum(sizes[i] for i in x), x[0]))
+    """Well-filled bins of b go into a whole; a's bins with their items dissolve, and the displaced items are best-fitted.
+
+    Bins of a without room stay as they are: only the open ones are worth crossing.  Before the
+    displaced items are fitted, they are exchanged for items of open bins that these make fuller.
+    """
+    used = [sum(sizes[i] for i in x) for x in a]
+    closed = [x for x, n in zip(a, used) if n == capacity]
+    settled = {i for x in closed for i in x}
+    ranked = sorted((x for x in b if settled.isdisjoint(x)), key=lambda x: (-sum(sizes[i] for i in x), x[0]))
     good = ranked[: max(1, len(ranked) // 2)]
-    gift = [x for x in good if rng.random() < 0.5] or good[:1]
+    gift = [list(x) for x in good if rng.random() < 0.5] or [list(x) for x in good[:1]]
     inside = {i for x in gift for i in x}
     kept, displaced = [], []
-    for x in a:
+    for x, n in zip(a, used):
+        if n == capacity:
+            continue
         if inside.isdisjoint(x):
-            kept.append(list(x))
+            kept.append((n, list(x)))
         else:
             displaced += [i for i in x if i not in inside]
-    worst = sorted(range(len(kept)), key=lambda k: sum(sizes[i] for i in kept[k]))[: max(1, len(kept) // 50)]
-    for k in sorted(worst, reverse=True):  # mutation: the emptiest bins dissolve as well
-        displaced += kept.pop(k)
-    displaced.sort(key=lambda i: (-sizes[i], i))
-    return _pack(displaced, sizes, capacity, [list(x) for x in gift] + kept)
-
-
-def evolve(sizes: list[int], capacity: int, seed: int, founders: list[list[list[int]]], population: int = POPULATION, generations: int = GENERATIONS) -> list[list[int]]:
+    kept.sort(key=lambda x: (x[0], x[1]))
+    worst = max(1, len(kept) // 50)  # mutation: the emptiest bins dissolve as well
+    displaced += [i for _, x in kept[:worst] for i in x]
+    kept = kept[worst:]
+    loose = sorted((sizes[i], i) for i in displaced)
+    if len(loose) > LOOSE:  # the largest are the hardest to place: they are fitted first, the rest looks for exchanges
+        first, loose = loose[LOOSE:], loose[:LOOSE]
+    else:
+        first = []
+    tried = kept if len(kept) <= EXCHANGED else rng.sample(kept, EXCHANGED)
+    for n, x in tried:
+        _fill(x, n, loose, sizes, capacity)
+    rest = sorted(first + loose, key=lambda x: (-x[0], x[1]))
+    return _pack([i for _, i in rest], sizes, capacity, closed + gift + [x for _, x in kept])
+
+
+def evolve(sizes: list[int], capacity: int, seed: int, founders: list[list[list[int]]], population: int = POPULATION, generations: int = GENERATIONS, patience: int = PATIENCE) -> list[list[int]]:
     """The elite of one island: the best offspring, unless a founder needs fewer bins.
 
-    Generations follow until an offspring reaches the least number of bins that the sizes
-    allow, one at least.  `founders` (the elites of an epoch before) join the population;
-    the others are best-fit packings of random orders, the first from large to small.
+    Generations follow until an offspring reaches the least number of bins that the sizes allow,
+    or `patience` of them bring no better one, one at least.  `founders` (the elites of an epoch
+    before) join the population; the others are best-fit packings of random orders, the first from
+    large to small.
     """
     rng = random.Random(seed)
     least = -(-sum(sizes) // capacity)
@@ -147,10 +215,13 @@ def evolve(sizes: list[int], capacity: int, seed: int, founders: list[list[list[
         order = sorted(range(len(sizes)), key=lambda i: (-sizes[i] * rng.uniform(1 / spread, spread), i))
         people.append((_pack(order, sizes, capacity), 0))
     key = lambda one: (len(one[0]), one[1] == 0, -fitness(one[0], sizes, capacity))
+    stale = 0
     for born in range(1, generations + 1):
+        best = min(map(key, people))
         children = [(crossover(x[0], y[0], sizes, capacity, rng), born) for x, y in (rng.sample(people, 2) for _ in range(max(population - 1, 1)))]
         people = sorted(people + children, key=key)[:population]
-        if people[0][1] and len(people[0][0]) <= least:
+        stale = 0 if key(people[0]) < best else stale + 1
+        if people[0][1] and (len(people[0][0]) <= least or stale >= patience):
             break
     return min(people, key=key)[0]
 

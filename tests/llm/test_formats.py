@@ -109,6 +109,70 @@ def test_genetic_operators():
     assert len(best) <= len(a)
 
 
+def triplets(n, rng, capacity=1000):
+    """Sizes that fill n bins by threes to the last token, on which best-fit decreasing fails."""
+    out = []
+    for _ in range(n):
+        a = rng.randint(380, 490)
+        b = max(rng.randint((capacity - a) // 2 - 60, (capacity - a) // 2), 250)
+        out += [a, b, capacity - a - b]
+    rng.shuffle(out)
+    return out
+
+
+@pytest.mark.parametrize("n", [20, 60])
+def test_evolved_packings_need_fewer_bins(n):
+    for seed in range(3):
+        sizes = triplets(n, random.Random(seed))
+        down = packing._pack(sorted(range(len(sizes)), key=lambda i: -sizes[i]), sizes, 1000)
+        best = packing.evolve(sizes, 1000, seed, [])
+        assert sorted(i for x in best for i in x) == list(range(3 * n)) and all(sum(sizes[i] for i in x) <= 1000 for x in best)
+        assert n <= len(best) < len(down) and len(best) - n <= (len(down) - n) / 2
+
+
+def fewest(sizes, capacity):
+    """Bins of the best of all packings."""
+    best = len(sizes)
+
+    def place(k, bins):
+        nonlocal best
+        if len(bins) >= best:
+            return
+        if k == len(sizes):
+            best = len(bins)
+            return
+        for room in {*bins}:
+            if room >= sizes[k]:
+                rest = list(bins)
+                rest.remove(room)
+                place(k + 1, [*rest, room - sizes[k]])
+        place(k + 1, [*bins, capacity - sizes[k]])
+
+    sizes = sorted(sizes, reverse=True)
+    place(0, [])
+    return best
+
+
+def test_bins_against_all_packings():
+    rng = random.Random(21)
+    over = 0
+    for _ in range(60):
+        sizes = [rng.randint(15, 70) for _ in range(rng.randrange(1, 11))]
+        over += len(packing.evolve(sizes, 100, 1, [])) - fewest(sizes, 100)
+    assert over <= 1
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(1, 60), min_size=1, max_size=5), st.lists(st.integers(1, 60), max_size=12))
+def test_exchanges_keep_all_items(inside, outside):
+    sizes = inside + outside
+    used = sum(inside)
+    b, loose = list(range(len(inside))), sorted((v, len(inside) + k) for k, v in enumerate(outside))
+    after = packing._fill(b, used, loose, sizes, used + 7)
+    assert sorted(b + [i for _, i in loose]) == list(range(len(sizes))) and loose == sorted(loose)
+    assert after == sum(sizes[i] for i in b) and used <= after <= used + 7
+
+
 def test_packing_is_evolved(spark, monkeypatch):
     """Crossover makes the result, on every island and with guests of the other one, also where a founder has the least bins."""
     rng = random.Random(12)
