@@ -112,9 +112,10 @@ def _fitting(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Seri
 def bounded_entity(all_renderings: Column, cols: int | Column) -> Column:
     """Of an array of renderings, the last before the first that is wider than `cols` terminal columns.
 
-    Renderings of ASCII alone are measured by their lengths, without Python.
+    With one budget for all rows, renderings of ASCII alone are measured by their lengths, without Python.
     """
-    cols = F.lit(cols) if isinstance(cols, int) else cols
+    if isinstance(cols, Column):
+        return _fitting(all_renderings, cols)
     plain = ~F.exists(all_renderings, lambda x: ~is_ascii(F.replace(x, F.lit(ELLIPSIS), F.lit("."))))
     start = F.struct(F.lit(ELLIPSIS).alias("best"), F.lit(False).alias("stop"))
 
@@ -123,4 +124,4 @@ def bounded_entity(all_renderings: Column, cols: int | Column) -> Column:
         return F.struct(F.when(stop, acc["best"]).otherwise(text).alias("best"), stop.alias("stop"))
 
     by_length = F.aggregate(all_renderings, start, step, lambda acc: acc["best"])
-    return F.when(all_renderings.isNull(), None).when(plain, by_length).otherwise(_fitting(F.when(~plain, all_renderings), cols))
+    return F.when(all_renderings.isNull(), None).when(plain, by_length).otherwise(_fitting(F.when(~plain, all_renderings), F.lit(cols)))
