@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from buildlens.llm import chat_format, decontaminate, delta_lloyd, fill_middle, html_extract, line_crf, lm_scoring, minhash_dedup, packing, pii, quality_gam, substring_dedup, toxicity
+from buildlens.llm import chat_format, contract, decontaminate, delta_lloyd, fill_middle, html_extract, line_crf, lm_scoring, minhash_dedup, packing, pii, quality_gam, substring_dedup, toxicity
 
-_MODULES = (chat_format, decontaminate, quality_gam, minhash_dedup, line_crf, substring_dedup, pii, packing, lm_scoring, html_extract, delta_lloyd, fill_middle, toxicity)
+_MODULES = (chat_format, decontaminate, quality_gam, minhash_dedup, line_crf, substring_dedup, pii, packing, lm_scoring, html_extract, delta_lloyd, fill_middle, toxicity, contract)
 
 
 def queries() -> dict:
