@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 
 from buildlens.functions import arguments, names, paths, text
 from buildlens.functions.sql import register_functions
-from buildlens.operators import brackets, build, dictionary, forest, profile, resources, validate
+from buildlens.operators import brackets, build, content, dictionary, forest, profile, resources, validate
 from buildlens.operators.shared import numbered, shared_folder
 from buildlens.operators.vocabulary import Vocabulary
+from buildlens.plans.trace import described
 from buildlens.sources import traces, units
 from buildlens.sources.ranges import event_texts
 from buildlens.sources.examples import EXAMPLES
@@ -817,10 +818,84 @@ def str4_unit_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stream_jobs.batch_profiles(samples, 3_000_000).drop("ended")
 
 
-@query("""with w as (select p_partkey, unnest([['cc', 0], ['-D' || p_size, 1], [p_name, 2], ['a b', 3], ['c"d', 4]]) as x from part) select p_partkey, x[2]::integer as pos, x[1] as word from w""")
+@query("""select p_partkey, unnest(range(5))::integer as pos, unnest(['cc', '-D' || p_size, p_name, 'a b', 'c"d']) as word from part where p_name is not null and p_size is not null""")
 def ext6_command_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Commands with quotes and escapes, word by word, by a table function in SQL."""
     register_functions(spark)
     rows = table(spark, sf_dir, "part").where("p_name is not null and p_size is not null")
     command = F.concat(F.lit("cc  -D"), F.col("p_size").cast("string"), F.lit(" '"), F.col("p_name"), F.lit("' \"a b\" 'c\"d'"))
     return spark.sql("select p_partkey, w.pos, w.word from {parts} p, lateral command_words(p.command) w", parts=rows.select("p_partkey", command.alias("command")))
+
+
+# --- what details hold, descriptions, paths, files ---
+
+
+@query("""with p as (select p_partkey, 'ns::' || replace(p_type, ' ', '_') || '<' || replace(p_brand, '#', '_') || ',' || p_size || ', int>::f' as d, p_partkey % 5 as trace from part where p_type is not null and p_brand is not null and p_size is not null),
+i as (select trace, 'activities' as kind, 'Source' as item, 1 as length from p union all select trace, 'activities', 'InstantiateFunction', 1 from p
+  union all select trace, 'details', d, 1 from p union all select trace, 'details', '/usr/' || (p_partkey % 7) || '/a.h', 1 from p union all select trace, 'paths', '/usr/' || (p_partkey % 7) || '/a.h', 1 from p
+  union all select trace, 'path_parts', unnest(['usr', (p_partkey % 7)::varchar, 'a.h']), 3 from p union all select trace, 'entities', d, 1 from p
+  union all select trace, 'identifiers', unnest(regexp_extract_all(d, '[A-Za-z_][A-Za-z0-9_]*')), len(regexp_extract_all(d, '[A-Za-z_][A-Za-z0-9_]*')) from p
+  union all select trace, 'scopes', 'ns', 1 from p
+  union all select trace, 'arguments', unnest(string_split(replace(regexp_extract(d, '<(.*)>', 1), ' ', ''), ',')), 3 from p)
+select trace as trace_id, kind, count(*) as n_items, count(distinct item) as n_distinct, max(length)::integer as longest from i group by 1, 2""")
+def agg7_trace_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as spans with a name and with a path: what each of five traces holds."""
+    rows = table(spark, sf_dir, "part").where("p_type is not null and p_brand is not null and p_size is not null")
+    name = F.concat(F.lit("ns::"), F.replace("p_type", F.lit(" "), F.lit("_")), F.lit("<"), F.replace("p_brand", F.lit("#"), F.lit("_")), F.lit(","), F.col("p_size").cast("string"), F.lit(", int>::f"))
+    path = F.concat(F.lit("/usr/"), (F.col("p_partkey") % 7).cast("string"), F.lit("/a.h"))
+    span = lambda activity, detail: F.struct(F.lit(activity).alias("activity"), detail.alias("detail"))
+    spans = rows.select((F.col("p_partkey") % 5).alias("trace_id"), F.explode(F.array(span("InstantiateFunction", name), span("Source", path))).alias("s")).select("trace_id", "s.*")
+    return content.trace_statistics(spans)
+
+
+@query(SPANS_SQL + """select trace_id, pos, case when length(activity) + length(detail) + 2 <= 20 then activity || '(' || detail || ')' else activity || '(' || left(detail, (17 - length(activity)) // 2) || '…' || right(detail, 17 - length(activity) - (17 - length(activity)) // 2) || ')' end as description from spans""")
+def sca8_described(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Activities with their details in twenty columns."""
+    return described(table_spans(spark, sf_dir).withColumn("arg_type", F.lit("String")), 20).select("trace_id", "pos", "description")
+
+
+@query("""select p_partkey, case p_partkey % 4 when 0 then '/' || p_partkey || '/a.h' when 1 then '/…/' || p_partkey || '.h' when 2 then 'lib' || p_size || '.h' else '/usr/…/' || p_size || '/x.h' end as short from part where p_size is not null""")
+def sca4_short_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Paths in eighteen columns: whole, without their long folder, below the working folder, and cut in the middle."""
+    key, size = F.col("p_partkey").cast("string"), F.col("p_size").cast("string")
+    k = F.col("p_partkey") % 4
+    long = F.lit("/a-folder-with-a-long-name/")
+    path = F.when(k == 0, F.concat(F.lit("/"), key, F.lit("/./b/../a.h"))).when(k == 1, F.concat(long, key, F.lit(".h"))).when(k == 2, F.concat(F.lit("/work/lib"), size, F.lit(".h"))).otherwise(F.concat(F.lit("/usr"), long, size, F.lit("/x.h")))
+    rows = table(spark, sf_dir, "part").where("p_size is not null")
+    short = F.when(k == 2, paths.relative_to(path, F.lit("/work"))).otherwise(paths.shorten_path(path, 18))
+    return rows.select("p_partkey", short.alias("short"))
+
+
+@query("select p_partkey, length(p_name) + 6 as columns, case when length(p_name) + 6 <= 20 then '表é' || p_name || '漢' || chr(769) || 'x' end as whole from part where p_name is not null")
+def sca22_width(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names between wide characters and one that takes no column."""
+    name = F.concat(F.lit("表é"), F.col("p_name"), F.lit("漢\u0301x"))
+    rows = table(spark, sf_dir, "part").where("p_name is not null").withColumn("name", name)
+    short = text.shorten(F.col("name"), 20)
+    return rows.select("p_partkey", text.columns_of(F.col("name")).cast("bigint").alias("columns"), F.when(short == F.col("name"), short).alias("whole"))
+
+
+@query("select 'src/' || o_orderkey || '.cpp' as file, floor(o_totalprice)::bigint as max_rss, floor(o_totalprice / 1024)::float::double as seconds from orders where o_totalprice is not null")
+def snk1_profile_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as unit profiles, written as CSV twice, the second in place of the first, and read back."""
+    rows = table(spark, sf_dir, "orders").where("o_totalprice is not null")
+    made = rows.select(F.format_string("src/%d.cpp", "o_orderkey").alias("file"), F.floor("o_totalprice").cast("bigint").alias("max_rss"), F.floor(F.col("o_totalprice") / 1024).cast("float").alias("time"))
+    path = f"{shared_folder(spark)}/profile-{uuid.uuid4().hex}.csv"
+    units.write_profile(made.withColumn("max_rss", F.lit(0).cast("bigint")), path)
+    units.write_profile(made, path)
+    return units.read_profile(spark, path).select("file", F.col("max_rss").cast("bigint").alias("max_rss"), F.col("time").cast("double").alias("seconds"))
+
+
+@query(FOREST_SQL + "select trace_id, pos, activity, duration - self_duration as inner_time from forest where duration - self_duration >= 100")
+def ext1_metric(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The hottest spans by a metric of one's own: time in children."""
+    metric = F.col("duration") - F.col("self_duration")
+    return profile.hottest(_forest(spark, sf_dir), metric, 100.0).select("trace_id", "pos", "activity", metric.alias("inner_time"))
+
+
+@query("select event_id, case when event_id % 3 = 0 then event_id::varchar else 'f' || event_id end as frame from events")
+def val19_stack_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stack frame ids that are numbers or texts in one JSON field."""
+    k = F.col("event_id")
+    raw = F.concat(F.lit('{"sf":'), F.when(k % 3 == 0, k.cast("string")).otherwise(F.concat(F.lit('"f'), k.cast("string"), F.lit('"'))), F.lit("}"))
+    return table(spark, sf_dir, "events").select("event_id", traces.stack_frame_id(F.variant_get(F.parse_json(raw), "$.sf", "string")).alias("frame"))

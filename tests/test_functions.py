@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from buildlens.functions import arguments, names, paths, text
 from buildlens.functions.names import bounded, bounded_entity, entity_renderings
 from buildlens.functions.sql import register_functions
-from buildlens.operators import build, dictionary, resources
+from buildlens.operators import build, content, dictionary, resources
 from buildlens.sources import units
 from buildlens.streaming import samples
 
@@ -217,3 +217,17 @@ def test_profile_survives_a_lost_writer(spark, tmp_path):
     with pytest.raises(Exception):
         units.write_profile(rows.withColumn("max_rss", F.raise_error(F.lit("no disk")).cast("bigint")), path)
     assert units.read_profile(spark, path).first()["max_rss"] == 5
+
+
+def test_sketches_merge(spark):
+    """Counts of builds merged from sketches, within four standard errors of the exact ones."""
+    rows = [(f"t{k % 6}", "Source" if k % 3 else "InstantiateClass", f"ns{k % 90}::c{k % 4000}<int, t{k % 700}>" if k % 2 else f"/src/d{k % 50}/f{k % 3000}.h") for k in range(30_000)]
+    spans = spark.createDataFrame([*rows, ("t0", "Frontend", None), ("t0", "OptModule", "[module]")], "trace_id string, activity string, detail string")
+    exact = {r["kind"]: r for r in content.trace_statistics(spans, []).collect()}
+    about = {r["kind"]: r for r in content.merged(content.sketches(spans)).collect()}
+    assert set(exact) == set(about) == set(content.KINDS)
+    for kind, r in exact.items():
+        assert about[kind]["n_items"] == r["n_items"]
+        assert abs(about[kind]["about_distinct"] - r["n_distinct"]) <= 4 * 1.04 / 2 ** (content.SKETCH / 2) * r["n_distinct"] + 1
+    assert exact["activities"]["n_distinct"] == 4 and exact["path_parts"]["longest"] == 3 and exact["scopes"]["n_distinct"] == 90
+    assert content.trace_statistics(spans.limit(0)).count() == 0
