@@ -3,7 +3,8 @@
 Paragraphs are compared by their shingle sets.  What stays after that is searched for runs by
 winnowing: of every few consecutive grams of words the least hash is chosen, so equal runs of
 enough words choose an equal gram, wherever lines break round them.  Grams only propose: the words
-round them are fetched from both texts and compared, and what is equal there, to its ends, is a run.
+round them are fetched from both texts and compared one by one (by 64-bit hashes of their own), and
+what is equal there, to its ends, is a run.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from buildlens.llm.common import bound_batches, checkpoint, column, release, slices, table
+from buildlens.llm.common import binary_values, bound_batches, checkpoint, column, list_binary, release, slices, table
 from buildlens.llm.components import connected_components
 from buildlens.llm.hyperminhash import LONG, Banding
 from buildlens.llm.neardup import PERCENT, SHINGLE, link, same_node, sketch_cells
@@ -182,7 +183,7 @@ def _word_runs(docs: DataFrame, wanted: DataFrame, part: int, parts: int) -> Dat
     """(row, begin, end, first, words, places) of wanted word ranges of one part of all texts.
 
     `wanted` has row, begin, end, which may go beyond the text; `first` is where the range begins in
-    it.  `words` are A-Z lower-cased, one space between two; `places` the first and last bytes of each.
+    it.  `words` has a 64-bit hash of each word, A-Z as a-z, `places` its first and last bytes.
     """
     mine = F.pmod(F.col("row"), F.lit(parts)) == part
     spans = wanted.where(mine).distinct().groupBy(F.col("row").alias("__row")).agg(F.collect_list(F.struct("begin", "end")).alias("spans"))
@@ -194,30 +195,39 @@ def _word_runs(docs: DataFrame, wanted: DataFrame, part: int, parts: int) -> Dat
             for part in slices(batch, "__text"):
                 _, offs = utf8(column(part, "__text"))
                 w = split_words(column(part, "__text"))
-                raw = w.data.tobytes()
+                h = hash_ranges(w.data, w.start, w.end)
                 spans = column(part, "spans")
                 flat, n = spans.flatten(), pc.list_value_length(spans).to_numpy()
                 row = np.repeat(np.arange(part.num_rows), n)
                 begin, end = flat.field("begin").to_numpy(), flat.field("end").to_numpy()
                 first = np.maximum(begin, 0)
-                a, b = w.rows[row] + first, np.minimum(w.rows[row] + end, w.rows[row + 1])
-                texts, places = [], []
-                for k, (x, y) in enumerate(zip(a.tolist(), b.tolist())):
-                    from_, to = w.start[x:y], w.end[x:y]
-                    texts.append(b" ".join([raw[p:q] for p, q in zip(from_.tolist(), to.tolist())]))
-                    places.append((np.stack([from_, to], axis=1) - offs[row[k]]).tobytes())
-                yield pa.RecordBatch.from_arrays([column(part, "row").take(pa.array(row)), pa.array(begin), pa.array(end), pa.array(first), pa.array(texts, pa.binary()), pa.array(places, pa.binary())], names=names)
+                size = np.maximum(np.minimum(w.rows[row] + end, w.rows[row + 1]) - w.rows[row] - first, 0)
+                upto = np.concatenate([[0], np.cumsum(size)])
+                at = np.arange(upto[-1]) + np.repeat(w.rows[row] + first - upto[:-1], size)
+                base = np.repeat(offs[row], size)
+                places = np.column_stack([w.start[at] - base, w.end[at] - base]).astype(np.uint32)
+                cells = [list_binary(h[at], upto), list_binary(places.ravel(), 2 * upto)]
+                yield pa.RecordBatch.from_arrays([column(part, "row").take(pa.array(row)), pa.array(begin), pa.array(end), pa.array(first), *cells], names=names)
 
     got = rows.mapInArrow(run, "row bigint, begin bigint, end bigint, first bigint, words binary, places binary")
     return got.groupBy("row", "begin", "end").agg(*[F.first(c).alias(c) for c in names[3:]])  # rows that repeat are equal
 
 
-def equal_stretches(a: list[bytes], b: list[bytes], least: int) -> list[tuple[int, int]]:
-    """(begin, end) of the longest stretches of at least `least` words at which two lists agree place by place."""
-    n = min(len(a), len(b))
-    same = np.fromiter((x == y for x, y in zip(a, b)), bool, n)
-    edge = np.flatnonzero(np.diff(np.concatenate([[False], same, [False]]).astype(np.int8)))
-    return [(x, y) for x, y in zip(edge[::2].tolist(), edge[1::2].tolist()) if y - x >= least]
+def equal_stretches(same: np.ndarray, rows: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, begin, end) of the longest runs of True of at least `least` within each row; begins and ends count from the row's."""
+    n = len(same)
+    on = np.concatenate([[False], same, [False]])
+    edge = on[1:] != on[:-1]
+    starts, ends = np.flatnonzero(edge & on[1:]), np.flatnonzero(edge & on[:-1])
+    # a run that goes over a row's end is cut there
+    cuts = rows[1:-1]
+    cuts = cuts[(cuts > 0) & (cuts < n)]
+    cuts = cuts[same[cuts - 1] & same[cuts]]
+    starts, ends = np.unique(np.concatenate([starts, cuts])), np.unique(np.concatenate([ends, cuts]))
+    long = ends - starts >= least
+    starts, ends = starts[long], ends[long]
+    row = np.searchsorted(rows, starts, side="right") - 1
+    return row, starts - rows[row], ends - rows[row]
 
 
 _PAIRS = ", ".join(f"{side}{name} bigint" for side in ("", "of_") for name in ("row", "doc_id", "begin", "end", "start_byte", "end_byte"))
@@ -229,28 +239,30 @@ def _compared(min_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [x.split(" ")[0] for x in _PAIRS.split(", ")]
         for batch in batches:
-            c = {k: column(batch, k).to_pylist() for k in ("row", "doc_id", "of", "of_doc_id", "shift", "first", "words", "places", "of_first", "of_words", "of_places")}
+            take = lambda name: column(batch, name).to_numpy()
+            own, held = binary_values(column(batch, "words"), np.uint64), binary_values(column(batch, "of_words"), np.uint64)
+            # both from the same word on: the later of the two begins
+            lead = take("first") - take("shift") - take("of_first")
+            skip = np.maximum(-lead, 0), np.maximum(lead, 0)
+            size = np.maximum(np.minimum(np.diff(own[1]) - skip[0], np.diff(held[1]) - skip[1]), 0)
+            rows = np.concatenate([[0], np.cumsum(size)])
+            at = [np.arange(rows[-1]) + np.repeat(offs[:-1] + more - rows[:-1], size) for (_, offs), more in zip((own, held), skip)]
+            r, x, y = equal_stretches(own[0][at[0]] == held[0][at[1]], rows, min_words)
             out = []
-            for k in range(batch.num_rows):
-                # both from the same word on: the later of the two begins
-                lead = c["first"][k] - c["shift"][k] - c["of_first"][k]
-                skip = (max(-lead, 0), max(lead, 0))
-                own, held = c["words"][k].split(b" ")[skip[0] :], c["of_words"][k].split(b" ")[skip[1] :]
-                for x, y in equal_stretches(own, held, min_words):
-                    row = []
-                    for (of, raw, first), more in zip((("row", "places", "first"), ("of", "of_places", "of_first")), skip):
-                        places = np.frombuffer(c[raw][k], np.int64).reshape(-1, 2)
-                        begin = c[first][k] + more
-                        row += [c[of][k], c["doc_id" if of == "row" else "of_doc_id"][k], begin + x, begin + y, int(places[more + x, 0]), int(places[more + y - 1, 1])]
-                    out.append(row)
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], pa.int64()) for k in range(len(names))], names=names)
+            for of, doc, first, raw, index, more in (("row", "doc_id", "first", "places", at[0], skip[0]), ("of", "of_doc_id", "of_first", "of_places", at[1], skip[1])):
+                places = binary_values(column(batch, raw), np.uint32)[0].reshape(-1, 2).astype(np.int64)
+                begin = take(first)[r] + more[r]
+                who = pa.array(r)
+                out += [column(batch, of).take(who), column(batch, doc).take(who), pa.array(begin + x), pa.array(begin + y), pa.array(places[index[rows[r] + x], 0]), pa.array(places[index[rows[r] + y - 1], 1])]
+            yield pa.RecordBatch.from_arrays(out, names=names)
 
     return run
 
 
 def _linked_lines(docs: DataFrame, min_words: int) -> DataFrame:
     keys = ["doc_id", "row", "paragraph", "start_byte", "end_byte", "n_words"]
-    rows = link(_sketched(docs, min_words, PARAGRAPHS), _sketched(docs, min_words, None), lambda wanted, k: _texts(docs, wanted, k, FETCHES), PARAGRAPHS, FETCHES).select(*keys, "comp")
+    rows = link(_sketched(docs, min_words, PARAGRAPHS), _sketched(docs, min_words, None), lambda wanted, k: _texts(docs, wanted, k, FETCHES), PARAGRAPHS, FETCHES).where("comp is not null").select(*keys, "comp")
+    rows = checkpoint(rows)  # read twice, and a row of it is a pass over its text
     first = rows.groupBy("comp").agg(F.min(F.struct("doc_id", "paragraph")).alias("first"), F.count("*").alias("members")).where("members > 1")
     out = rows.join(first, "comp")
     out = out.select(*keys, F.col("first.doc_id").alias("cluster_doc_id"), F.col("first.paragraph").alias("cluster_paragraph"))
@@ -269,9 +281,11 @@ def _equal_runs(docs: DataFrame, lines: DataFrame, min_words: int) -> DataFrame:
     grams = chosen_grams(docs, min_words)
     several = checkpoint(grams.groupBy("gram").agg(F.count("*").alias("places")).where("places > 1").select("gram"))
     # what goes with its line neither holds nor is removed again
-    gone = lines.where("removed").select(F.col("row").alias("__row"), F.col("paragraph").alias("__line")).distinct()
-    stays = lambda df, line: df.join(gone, (F.col("row") == F.col("__row")) & (F.col(line) == F.col("__line")), "left_anti")
-    shared = checkpoint(stays(stays(grams.join(several, "gram"), "line"), "last_line").drop("line", "last_line"))
+    gone = lines.where("removed").groupBy(F.col("row").alias("__row")).agg(F.collect_set("paragraph").alias("__gone"))
+    shared = grams.join(several, "gram").join(gone, F.col("row") == F.col("__row"), "left")
+    touches = lambda line: F.coalesce(F.array_contains("__gone", F.col(line)), F.lit(False))
+    shared = checkpoint(shared.where(~touches("line") & ~touches("last_line")).select("doc_id", "row", "word", "gram"))
+    release(docs.sparkSession)
     place = F.struct("doc_id", "row", "word")
     # written first: a join of two plain shuffles can be split where a gram is very common
     held = checkpoint(shared.groupBy("gram").agg(F.min(place).alias("first"), F.count("*").alias("places")).where("places > 1").select("gram", "first"))
@@ -283,6 +297,7 @@ def _equal_runs(docs: DataFrame, lines: DataFrame, min_words: int) -> DataFrame:
     runs = later.withColumn("__new", begins).withColumn("__run", F.sum("__new").over(order)).groupBy("row", "of", "shift", "__run")
     runs = runs.agg(F.first("doc_id").alias("doc_id"), F.first("of_doc_id").alias("of_doc_id"), (F.min("word") - WINDOW + 1).alias("begin"), (F.max("word") + min_words + WINDOW - 1).alias("end"))
     runs = checkpoint(runs.drop("__run"))
+    del several, shared, held, later  # their files go with them
     wanted = runs.select("row", "begin", "end").union(runs.select("of", F.col("begin") - F.col("shift"), F.col("end") - F.col("shift")))
     parts = []
     for k in range(FETCHES):
@@ -291,7 +306,10 @@ def _equal_runs(docs: DataFrame, lines: DataFrame, min_words: int) -> DataFrame:
     words = reduce(DataFrame.union, parts)
     other = words.select(F.col("row").alias("of"), F.col("begin").alias("of_begin"), F.col("end").alias("of_end"), F.col("first").alias("of_first"), F.col("words").alias("of_words"), F.col("places").alias("of_places"))
     both = runs.join(words, ["row", "begin", "end"]).withColumn("of_begin", F.col("begin") - F.col("shift")).withColumn("of_end", F.col("end") - F.col("shift")).join(other, ["of", "of_begin", "of_end"])
-    return _passages(checkpoint(both.mapInArrow(_compared(min_words), _PAIRS)))
+    pairs = checkpoint(both.mapInArrow(_compared(min_words), _PAIRS))
+    del runs, wanted, parts, words, other, both
+    release(docs.sparkSession)
+    return _passages(pairs)
 
 
 def _passages(pairs: DataFrame) -> DataFrame:
