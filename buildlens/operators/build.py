@@ -119,6 +119,17 @@ def compiler_version(text: Column) -> Column:
     return F.struct(major.alias("major"), minor.alias("minor"), error.alias("error"))
 
 
+def compiler_probe(status: Column, output: Column) -> Column:
+    """(major, minor, error) of a run of the compiler that asks for its version: `status` is null if there is no compiler, `output` its bytes.
+
+    Errors besides those of compiler_version: NotFound, BadStatus, NotUtf8.
+    """
+    found = compiler_version(F.coalesce(F.try_validate_utf8(output.cast("string")), F.lit("")))
+    error = F.when(status.isNull(), "NotFound").when(status != 0, "BadStatus").when(~F.is_valid_utf8(output.cast("string")), "NotUtf8").otherwise(found["error"])
+    known = lambda part: F.when(error.isNull() | (error == "AncientVersion"), found[part])
+    return F.struct(known("major").alias("major"), known("minor").alias("minor"), error.alias("error"))
+
+
 def _pipe_text(stdout: Column, stderr: Column) -> Column:
     """What a job wrote, by pipe; null if it wrote nothing."""
     said = lambda kind, c: F.when(F.length(c) > 0, F.concat(F.lit(f"non-empty standard {kind}\n---\n"), c, F.lit("---")))

@@ -7,6 +7,7 @@ no harm; strict mode raises on any.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 from operator import and_
@@ -17,6 +18,7 @@ from pyspark.sql import functions as F
 from buildlens.catalogue import dim_activity
 from buildlens.functions.arguments import infer_type
 from buildlens.operators import forest
+from buildlens.operators.brackets import nest_in_chunks
 from buildlens.sources.ranges import event_texts
 from buildlens.sources.traces import absent, documents, is_number, is_string, kind, listed_events, raw_events
 
@@ -140,10 +142,10 @@ def load_ranges(spark: SparkSession, *paths: str, strict: bool = False, arrays:
     docs = docs.withColumn("error", document_error(docs)).persist()
     good = docs.where("error is null").select("trace_id")
     parsed = events.select("trace_id", F.col("raw_pos").cast("int").alias("raw_pos"), F.try_parse_json("text").alias("e"))
-    return _load(docs, parsed.join(good, "trace_id", "left_semi"), strict)
+    return _load(docs, parsed.join(good, "trace_id", "left_semi"), strict, nest_in_chunks)
 
 
-def _load(docs: DataFrame, listed: DataFrame, strict: bool) -> Loaded:
+def _load(docs: DataFrame, listed: DataFrame, strict: bool, build: Callable[..., DataFrame] = forest.nest) -> Loaded:
     """Traces from documents and their events.
 
     rejects has one row a bad trace: trace_id, raw_pos (null for the document as a
@@ -169,7 +171,7 @@ def _load(docs: DataFrame, listed: DataFrame, strict: bool) -> Loaded:
         "detail", "catalogue_type", F.col("ts").alias("start"), F.col("dur").alias("duration"),
     )
     spans = spans.withColumn("arg_type", F.coalesce("catalogue_type", infer_type(F.col("detail")), F.lit("Nothing"))).drop("catalogue_type")
-    nested = forest.build_forest(spans).persist()
+    nested = build(spans, sums=True).persist()
     overlapping = forest.overlapping_traces(nested).withColumn("overlap", F.lit(True))
     status = traces.join(malformed.select("trace_id", F.lit(True).alias("malformed")), "trace_id", "left").join(overlapping, "trace_id", "left")
     error = F.when(F.col("malformed"), "CtfParseError").when(F.col("first").isNotNull(), F.col("first.error")).when(F.col("overlap"), "ActivityTreeError").when(F.col("process").isNull(), "NoProcessName")

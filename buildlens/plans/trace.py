@@ -11,7 +11,7 @@ from buildlens.functions.paths import shorten_path
 from buildlens.functions.text import columns_of, shorten
 from buildlens.operators import forest as trees
 from buildlens.operators import profile as profiles
-from buildlens.operators.validate import Loaded, load
+from buildlens.operators.validate import Loaded, load, load_ranges
 from buildlens.sources.traces import read_trace_texts
 
 
@@ -26,6 +26,11 @@ class Traces:
     def read(spark: SparkSession, *paths: str, strict: bool = True) -> Traces:
         return Traces(load(read_trace_texts(spark, *paths), strict))
 
+    @staticmethod
+    def read_ranges(spark: SparkSession, *paths: str, strict: bool = True) -> Traces:
+        """As `read`, for files of any size: no trace is held in one cell while it is read."""
+        return Traces(load_ranges(spark, *paths, strict=strict))
+
     def roots(self) -> DataFrame:
         return trees.roots(self.spans)
 

@@ -899,3 +899,15 @@ def val19_stack_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("event_id")
     raw = F.concat(F.lit('{"sf":'), F.when(k % 3 == 0, k.cast("string")).otherwise(F.concat(F.lit('"f'), k.cast("string"), F.lit('"'))), F.lit("}"))
     return table(spark, sf_dir, "events").select("event_id", traces.stack_frame_id(F.variant_get(F.parse_json(raw), "$.sf", "string")).alias("frame"))
+
+
+@query("""select o_orderkey, case when o_orderkey % 7 in (5, 6) then (case o_orderkey % 7 when 5 then 3 else 9 + o_orderkey % 9 end)::integer end as major, case when o_orderkey % 7 in (5, 6) then (o_orderkey % 5)::integer end as minor,
+  ['NotFound', 'BadStatus', 'NotUtf8', 'EmptyVersion', 'UnexpectedVersion', 'AncientVersion', null][(o_orderkey % 7 + 1)::integer] as error from orders""")
+def val20_compiler_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a run of the compiler tells of it, with every error in turn."""
+    k = F.col("o_orderkey")
+    which = k % 7
+    says = F.format_string("Ubuntu clang version %d.%d.6 (x)\nTarget: y", F.when(which == 5, 3).otherwise((9 + k % 9).cast("int")), (k % 5).cast("int")).cast("binary")
+    output = F.when(which == 2, F.unhex(F.lit("FF41"))).when(which == 3, F.lit(" \n").cast("binary")).when(which == 4, F.lit("gcc 12").cast("binary")).otherwise(says)
+    probe = build.compiler_probe(F.when(which == 1, 1).when(which > 1, 0), output)
+    return table(spark, sf_dir, "orders").select("o_orderkey", probe.alias("p")).select("o_orderkey", "p.major", "p.minor", "p.error")

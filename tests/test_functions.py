@@ -1,3 +1,4 @@
+import json
 import os
 import random
 
@@ -231,3 +232,19 @@ def test_sketches_merge(spark):
         assert abs(about[kind]["about_distinct"] - r["n_distinct"]) <= 4 * 1.04 / 2 ** (content.SKETCH / 2) * r["n_distinct"] + 1
     assert exact["activities"]["n_distinct"] == 4 and exact["path_parts"]["longest"] == 3 and exact["scopes"]["n_distinct"] == 90
     assert content.trace_statistics(spans.limit(0)).count() == 0
+
+
+def test_build_command(spark, tmp_path, capsys):
+    from buildlens import cli
+
+    commands = [{"directory": "/b", "command": f"cc -c {n}.cpp", "file": f"/s/{n}.cpp"} for n in "abc"]
+    (tmp_path / "db.json").write_text(json.dumps(commands))
+    os.utime(tmp_path / "db.json", (1000, 1000))
+    path = str(tmp_path / "p.csv")
+    args = ["build", "--build-profile", path, "--commands", str(tmp_path / "db.json"), "-g", "100", "-n", "2"]
+    assert cli.main(args) == 0 and capsys.readouterr().out == f"{path}: Nonexistent\n"
+    units.write_profile(spark.createDataFrame([("/s/a.cpp", 10**9, 2.5), ("/s/b.cpp", 3 * 10**9, 1.0), ("/s/new.cpp", 5, None)], "file string, max_rss bigint, time float"), path)
+    assert cli.main(args) == 0
+    lines = capsys.readouterr().out.splitlines()
+    assert lines[0].startswith(path) and "Outdated" not in lines[0] and lines[1].endswith("/s/b.cpp") and lines[2] == "    cc -c b.cpp -ftime-trace -ftime-trace-granularity=100"
+    assert lines[3].endswith("/s/a.cpp") and lines[-1] == "… and more units …"
