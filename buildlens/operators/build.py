@@ -71,10 +71,13 @@ def file_name(path: Column) -> Column:
 def files_freshness(products: DataFrame, files: DataFrame, database: str, now: Column) -> DataFrame:
     """`freshness` from a listing: `products` (product, inputs array) with product_time, database_time, input_time, state, age_s.
 
-    `files`: path, modified (see sources.units.listed_files).  Inputs that are not listed are older
+    `files`: path, modified (see sources.units.listed_files).  A folder is as new as the newest file in
+    it, as products of several parts are folders.  Inputs that are not listed are older
     than anything; without a database file every product is outdated that exists.
     """
-    times = files.groupBy(file_name(F.col("path")).alias("__path")).agg(F.max("modified").alias("__time"))
+    name = file_name(F.col("path"))
+    both = F.array(name, F.regexp_replace(name, "/[^/]*$", ""))
+    times = files.select(F.explode(both).alias("__path"), "modified").groupBy("__path").agg(F.max("modified").alias("__time"))
     rows = products.withColumn("__row", F.monotonically_increasing_id())
     inputs = rows.select("__row", F.explode("inputs").alias("__in"))
     latest = inputs.join(times, file_name(F.col("__in")) == F.col("__path")).groupBy("__row").agg(F.max("__time").alias("input_time"))

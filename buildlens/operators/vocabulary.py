@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,6 +24,7 @@ class Vocabulary:
     table: str
     version: int | None = None
     buckets: int = 32
+    path: str | None = None  # where the table's files lie; by default in the warehouse
 
     def rows(self) -> DataFrame:
         """(key, value, version)."""
@@ -33,7 +34,7 @@ class Vocabulary:
         return out if self.version is None else out.where(F.col("version") <= self.version)
 
     def at(self, version: int) -> Vocabulary:
-        return Vocabulary(self.spark, self.table, version, self.buckets)
+        return replace(self, version=version)
 
     def latest(self) -> int:
         """Number of the last version; 0 for none."""
@@ -58,7 +59,8 @@ class Vocabulary:
         new = new.select((F.col("key") + size).alias("key"), "value", F.lit(last + 1).alias("version"))
         if new.isEmpty():
             return self.at(last)
-        new.write.bucketBy(self.buckets, "value").sortBy("value").mode("append").saveAsTable(self.table)
+        writer = new.write.bucketBy(self.buckets, "value").sortBy("value").mode("append")
+        (writer.option("path", self.path) if self.path else writer).saveAsTable(self.table)
         return self.at(last + 1)
 
     def encode(self, rows: DataFrame, value: str, key: str) -> DataFrame:

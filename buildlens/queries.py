@@ -598,7 +598,8 @@ k as (select value, row_number() over (order by value) - 1 as key, 1 as version
 select key, value, version, version <= 2 as frozen from k""")
 def int9_living_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Names of parts, then of customers as well, then texts: keys stay, and the vocabulary of the second version stays as it was."""
-    words = Vocabulary(spark, f"buildlens_words_{uuid.uuid4().hex}")
+    name = f"buildlens_words_{uuid.uuid4().hex}"
+    words = Vocabulary(spark, name, path=f"{shared_folder(spark)}/{name}")
     words.grow(table(spark, sf_dir, "part"), "p_name")
     second = words.grow(table(spark, sf_dir, "customer").select("c_name").union(table(spark, sf_dir, "part").select("p_name")), "c_name").frozen()
     words.grow(table(spark, sf_dir, "conversations"), "text")
@@ -908,6 +909,6 @@ def val20_compiler_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("o_orderkey")
     which = k % 7
     says = F.format_string("Ubuntu clang version %d.%d.6 (x)\nTarget: y", F.when(which == 5, 3).otherwise((9 + k % 9).cast("int")), (k % 5).cast("int")).cast("binary")
-    output = F.when(which == 2, F.unhex(F.lit("FF41"))).when(which == 3, F.lit(" \n").cast("binary")).when(which == 4, F.lit("gcc 12").cast("binary")).otherwise(says)
+    output = F.when(which == 2, F.unhex(F.lit("FF41"))).when(which == 3, F.lit("").cast("binary")).when(which == 4, F.lit("gcc 12").cast("binary")).otherwise(says)
     probe = build.compiler_probe(F.when(which == 1, 1).when(which > 1, 0), output)
     return table(spark, sf_dir, "orders").select("o_orderkey", probe.alias("p")).select("o_orderkey", "p.major", "p.minor", "p.error")

@@ -230,7 +230,7 @@ def test_sketches_merge(spark):
     for kind, r in exact.items():
         assert about[kind]["n_items"] == r["n_items"]
         assert abs(about[kind]["about_distinct"] - r["n_distinct"]) <= 4 * 1.04 / 2 ** (content.SKETCH / 2) * r["n_distinct"] + 1
-    assert exact["activities"]["n_distinct"] == 4 and exact["path_parts"]["longest"] == 3 and exact["scopes"]["n_distinct"] == 90
+    assert exact["activities"]["n_distinct"] == 4 and exact["path_parts"]["longest"] == 3 and exact["scopes"]["n_distinct"] == 45
     assert content.trace_statistics(spans.limit(0)).count() == 0
 
 
