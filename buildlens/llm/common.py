@@ -42,6 +42,16 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def sized_anew(df: DataFrame) -> DataFrame:
+    """A checkpointed frame without the size that was estimated for the plan behind it.
+
+    Estimates of joins are products, and checkpoints hand them on: in a loop of joins they grow to
+    numbers of millions of digits, which the planner then multiplies.
+    """
+    spark, frame = df.sparkSession, df._jdf
+    return DataFrame(spark._jsparkSession.createDataFrame(frame.toJavaRDD(), frame.schema()), spark)
+
+
 def release(spark: SparkSession) -> None:
     """Let the cleaner remove shuffle files that nothing refers to any more: behind a large checkpoint they only fill disks.
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from buildlens.llm.common import checkpoint
+from buildlens.llm.common import checkpoint, sized_anew
 
 MAX_ROUNDS = 60
 
@@ -19,14 +19,16 @@ def connected_components(edges: DataFrame) -> DataFrame:
     aggregated map-side before each shuffle; nothing is collected but one counter.
     """
     edges = edges.where("a is not null and b is not null").select("a", "b")
-    both = checkpoint(edges.select(F.col("a").alias("id"), F.col("b").alias("other")).union(edges.select(F.col("b"), F.col("a"))).distinct())
+    both = sized_anew(checkpoint(edges.select(F.col("a").alias("id"), F.col("b").alias("other")).union(edges.select(F.col("b"), F.col("a"))).distinct()))
     labels = checkpoint(both.groupBy("id").agg(F.min("other").alias("m")).select("id", F.least("id", "m").alias("comp")))
-    for _ in range(MAX_ROUNDS):
+    for k in range(MAX_ROUNDS):
         near = both.join(labels.withColumnRenamed("id", "other"), "other").groupBy("id").agg(F.min("comp").alias("m"))
         better = labels.join(near, "id").select("id", "comp", F.least("comp", "m").alias("now"))
         parent = labels.select(F.col("id").alias("now"), F.col("comp").alias("up"))
         moved = checkpoint(better.join(parent, "now", "left").select("id", F.least("now", F.coalesce("up", "now")).alias("new"), "comp"))
         changed = moved.where("new < comp").limit(1).count()
+        if not changed or k % 3 == 2:
+            moved = sized_anew(moved)
         labels = moved.select("id", F.col("new").alias("comp"))
         if not changed:
             return labels
