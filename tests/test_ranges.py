@@ -5,6 +5,7 @@ import json
 import pytest
 
 from buildlens.operators.validate import load, load_ranges
+from buildlens.queries import QUERIES
 from buildlens.sources.examples import EXAMPLES, NAME, SPAN
 from buildlens.sources.ranges import event_texts
 from buildlens.sources.traces import read_trace_texts
@@ -72,3 +73,14 @@ def test_cut_at_every_byte(spark, folder, cut):
         events, rests = event_texts(spark, str(folder / "sub" / "one"))
         assert [json.dumps(json.loads(r["text"])) for r in events.orderBy("raw_pos").collect()] == want
         assert json.loads(rests.first()["text"]) == {"x": {}, "traceEvents": [], "y": 1}
+
+
+def test_a_trace_of_events_is_one_file(spark, tmp_path):
+    """With partitions coalesced on both sides of a union the end of a trace was a file of its own."""
+    n, before = 300_000, spark.conf.get("spark.sql.shuffle.partitions")
+    spark.range(n).selectExpr("id as event_id", "id % 8 as user_id").write.parquet(str(tmp_path / "events.parquet"))
+    spark.conf.set("spark.sql.shuffle.partitions", "200")
+    try:
+        assert QUERIES["src1_events_by_ranges"](spark, str(tmp_path)).count() == n
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
