@@ -204,3 +204,14 @@ def test_report(spark, tmp_path):
 def test_metadata_wraps(cols, lines):
     text = metadata_text("clang-17.0.6", 5884, "clang++", 1656508702311015.0, cols)
     assert text.count("\n") == lines - 1 and (text == "…") == (cols == 22)
+
+
+def test_tasks_grow_with_the_tables(spark, small, monkeypatch):
+    """What a task holds of the table spans stays the same: their partitions follow the number of rows."""
+    from buildlens.operators import shared
+    from buildlens.sources.tables import table_spans
+
+    monkeypatch.setattr(shared, "ROWS_A_TASK", 500)
+    spans = table_spans(spark, small)
+    held = [r[0] for r in forest.build_forest(spans).groupBy(F.spark_partition_id()).count().select("count").collect()]
+    assert len(held) > 8 and sum(held) == spans.count() and max(held) < 1500
