@@ -1,4 +1,5 @@
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -215,3 +216,28 @@ def test_tasks_grow_with_the_tables(spark, small, monkeypatch):
     spans = table_spans(spark, small)
     held = [r[0] for r in forest.build_forest(spans).groupBy(F.spark_partition_id()).count().select("count").collect()]
     assert len(held) > 8 and sum(held) == spans.count() and max(held) < 1500
+
+
+NAMED = ["tree4_self_duration", "tree9_children", "tree11_parent", "tree12_has_children", "tree13_leaves", "tree15_zoom", "win2_pct_parent", "agg1_norm", "agg2_percent_norm", "agg3_type_breakdown", "agg5_counts", "agg6_children_duration", "top4_type_cut", "flt2_remainder"]
+
+
+@pytest.mark.parametrize("name", NAMED)
+def test_every_shuffle_of_spans_grows_with_the_tables(spark, small, monkeypatch, name):
+    """No shuffle keeps the session's number of partitions; those of sums by activity or position are made in every task before."""
+    from buildlens import queries
+    from buildlens.operators import shared
+
+    monkeypatch.setattr(shared, "ROWS_A_TASK", 500)
+    plan = queries.QUERIES[name](spark, small)._jdf.queryExecution().executedPlan().toString()
+    shuffles = re.findall(r"Exchange hashpartitioning\(([a-z_]+)#[^)]*?, (\d+)\)", plan)
+    assert len(shuffles) > 4 and "BroadcastExchange" not in plan
+    assert [k for k, n in shuffles if int(n) <= 8 and k not in ("activity", "_groupingexpression", "parent_pos")] == []
+
+
+def test_children_by_condition_or_frame(spark):
+    rng = random.Random(5)
+    rows = [(t, p, s, d) for t in "abc" for p, (s, d) in enumerate(random_spans(rng, 0, 40, 3))]
+    forest_ = forest.build_forest(spark.createDataFrame(rows, SPANS))
+    of = F.col("depth") == 1
+    got = sorted(map(tuple, forest.children(forest_, of).select("trace_id", "pos", "parent_pos").collect()))
+    assert got and got == sorted(map(tuple, forest.children(forest_, forest_.where(of)).select("trace_id", "pos", "parent_pos").collect()))
