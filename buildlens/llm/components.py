@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from buildlens.llm.common import checkpoint, sized_anew
+from buildlens.llm.common import checkpoint, release, sized_anew
 
 MAX_ROUNDS = 60
 
@@ -16,7 +16,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
     `edges` has BIGINT columns a and b; loops, repeats and nulls do no harm.  Every
     round takes the least label among the neighbours and then jumps to the label's
     own label, so a path of length n takes about log n rounds.  Labels are
-    aggregated map-side before each shuffle; nothing is collected but one counter.
+    aggregated map-side before each shuffle; nothing is collected but one flag.  The shuffle
+    files of earlier rounds are freed in every third, so that disks don't fill with rounds.
     """
     edges = edges.where("a is not null and b is not null").select("a", "b")
     both = sized_anew(checkpoint(edges.select(F.col("a").alias("id"), F.col("b").alias("other")).union(edges.select(F.col("b"), F.col("a"))).distinct()))
@@ -26,9 +27,11 @@ def connected_components(edges: DataFrame) -> DataFrame:
         better = labels.join(near, "id").select("id", "comp", F.least("comp", "m").alias("now"))
         parent = labels.select(F.col("id").alias("now"), F.col("comp").alias("up"))
         moved = checkpoint(better.join(parent, "now", "left").select("id", F.least("now", F.coalesce("up", "now")).alias("new"), "comp"))
-        changed = moved.where("new < comp").limit(1).count()
+        changed = not moved.where("new < comp").isEmpty()
         if not changed or k % 3 == 2:
             moved = sized_anew(moved)
+            del near, better, parent, labels
+            release(moved.sparkSession)
         labels = moved.select("id", F.col("new").alias("comp"))
         if not changed:
             return labels

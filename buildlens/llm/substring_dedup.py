@@ -323,9 +323,12 @@ def _passages(pairs: DataFrame) -> DataFrame:
     order = Window.partitionBy("row", "removed").orderBy("begin", "end")
     reached = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
     ranges = checkpoint(ranges.withColumn("__new", F.coalesce(F.col("begin") >= reached, F.lit(True)).cast("int")).withColumn("nth", F.sum("__new").over(order)).drop("__new"))
+    release(ranges.sparkSession)
     passages = ranges.groupBy("row", "removed", "nth").agg(F.first("doc_id").alias("doc_id"), F.min("start_byte").alias("start_byte"), F.max("end_byte").alias("end_byte"), (F.max("end") - F.min("begin")).alias("n_words"))
     passages = checkpoint(passages.withColumn("id", F.monotonically_increasing_id()))
     ids = checkpoint(ranges.join(passages.select("row", "removed", "nth", "id"), ["row", "removed", "nth"]).select("row", "removed", "begin", "end", "id"))
+    del ranges
+    release(ids.sparkSession)
     own = ids.where("removed").select("row", "begin", "end", F.col("id").alias("a"))
     held = ids.where("not removed").select(F.col("row").alias("of_row"), F.col("begin").alias("of_begin"), F.col("end").alias("of_end"), F.col("id").alias("b"))
     edges = pairs.join(own, ["row", "begin", "end"]).select("a", "of_row", "of_begin", "of_end").distinct().join(held, ["of_row", "of_begin", "of_end"])

@@ -164,18 +164,32 @@ def shingle_sets(h: np.ndarray, rows: np.ndarray, n: int = 5) -> tuple[np.ndarra
             has = per[short] > k
             at = np.where(has, rows[short] + k, rows[short])
             seed = np.where(has, seed * np.uint64(0x9FB21C651E98DF25) + h[at], seed)
-        grams = np.concatenate([grams, mix64(seed + per[short].astype(np.uint64))])
-        owner = np.concatenate([np.repeat(np.arange(len(per)), np.diff(offs)), short])
-    else:
-        owner = np.repeat(np.arange(len(per)), np.diff(offs))
-    if len(grams) == 0:
-        return grams, np.zeros(len(per) + 1, np.int64)
-    order = np.lexsort((grams, owner))
-    grams, owner = grams[order], owner[order]
+        grams = np.insert(grams, offs[short], mix64(seed + per[short].astype(np.uint64)))
+        offs = offs + np.searchsorted(short, np.arange(len(offs)))
+    grams = sorted_rows(grams, offs)
     keep = np.ones(len(grams), dtype=bool)
-    keep[1:] = (grams[1:] != grams[:-1]) | (owner[1:] != owner[:-1])
-    grams, owner = grams[keep], owner[keep]
-    return grams, np.searchsorted(owner, np.arange(len(per) + 1))
+    keep[1:] = grams[1:] != grams[:-1]
+    keep[offs[:-1][np.diff(offs) > 0]] = True  # a row begins anew
+    return grams[keep], np.concatenate([[0], np.cumsum(keep)])[offs].astype(np.int64)
+
+
+def sorted_rows(values: np.ndarray, offs: np.ndarray) -> np.ndarray:
+    """The values sorted within each row: rows of like sizes as one matrix, filled up with the largest value."""
+    out, size = np.empty_like(values), np.diff(offs)
+    kind = np.frexp(np.maximum(size - 1, 0).astype(np.float64))[1]
+    for k in np.unique(kind):
+        these = np.flatnonzero((kind == k) & (size > 0))
+        step = max((1 << 20) >> int(k), 1)  # a matrix has a million cells, or one row
+        for at in range(0, len(these), step):
+            some = these[at : at + step]
+            column = np.arange(size[some].max())
+            inside = column < size[some][:, None]
+            place = (offs[some][:, None] + column)[inside]
+            block = np.full(inside.shape, np.iinfo(values.dtype).max, values.dtype)
+            block[inside] = values[place]
+            block.sort(axis=1)
+            out[place] = block[inside]
+    return out
 
 
 def segment_reduce(ufunc, values: np.ndarray, offsets: np.ndarray, empty=0):

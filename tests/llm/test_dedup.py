@@ -333,3 +333,33 @@ def test_shingle_counts(text):
     h, rows = word_hashes(pa.array(["z z", text, None]))
     _, offs = shingle_sets(h, rows)
     assert (np.diff(offs)[1], np.diff(rows)[1]) == (len(shingles(text)), len(words(text)))
+
+
+def test_sorted_rows_and_shingle_sets():
+    """Rows of all sizes, empty ones and those of fewer words than a shingle, against a set a row."""
+    from buildlens.llm.textops import ngram_hashes, shingle_sets, sorted_rows
+
+    rng = np.random.default_rng(4)
+    size = np.concatenate([rng.integers(0, 70, 400), [0, 1, 4, 5, 6, 3000, 0]])
+    rows = np.concatenate([[0], np.cumsum(size)])
+    h = rng.integers(0, 3, rows[-1]).astype(np.uint64)
+    h[rows[-2] - 40 : rows[-2]] = np.uint64(2**64 - 1)  # the largest value is one like others
+    assert all((x == np.sort(h[a:b])).all() for a, b in zip(rows[:-1], rows[1:]) for x in [sorted_rows(h, rows)[a:b]])
+    sets, offs = shingle_sets(h, rows)
+    grams, at = ngram_hashes(h, rows, 5)
+    for k, n in enumerate(size):
+        own = sets[offs[k] : offs[k + 1]]
+        assert (own == np.unique(grams[at[k] : at[k + 1]])).all() if n >= 5 else len(own) == (n > 0), k
+
+
+def test_components_free_their_files(spark):
+    """A long path takes many rounds; the shuffle files of the earlier ones are gone at the end."""
+    from buildlens.llm.common import release
+    from buildlens.llm.components import connected_components
+
+    release(spark)
+    disk = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    before = disk.getAllFiles().size()
+    out = connected_components(spark.range(2000).selectExpr("id as a", "id + 1 as b"))
+    left = disk.getAllFiles().size() - before
+    assert out.select("comp").distinct().count() == 1 and left < 20, left
