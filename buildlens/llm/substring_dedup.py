@@ -135,18 +135,62 @@ def _texts(docs: DataFrame, wanted: DataFrame, part: int, parts: int) -> DataFra
     return rows.mapInArrow(run, "id bigint, text string").groupBy("id").agg(F.first("text").alias("text"))
 
 
+def _spread(ufunc: np.ufunc, values: np.ndarray, window: int) -> np.ndarray:
+    """ufunc of every `window` values in a row, from those of 1, 2, 4 ..."""
+    width = 1
+    while width < window:
+        step = min(width, window - width)
+        values, width = ufunc(values[:-step], values[step:]), width + step
+    return values
+
+
 def winnowed(grams: np.ndarray, rows: np.ndarray, window: int = WINDOW) -> np.ndarray:
     """Places of the least gram, the first of equals, of every window within a row."""
     n = len(grams) - window + 1
     if n <= 0:
         return np.zeros(0, np.int64)
-    at, width = np.arange(len(grams)), 1
-    while width < window:
-        step = min(width, window - width)
-        left, right = at[:-step], at[step:]
-        at, width = np.where(grams[right] < grams[left], right, left), width + step
-    row = np.repeat(np.arange(len(rows) - 1), np.diff(rows))
-    return np.unique(at[row[:n] == row[window - 1 :]])
+    row = np.repeat(np.arange(len(rows) - 1, dtype=np.int32), np.diff(rows))
+    inside = row[:n] == row[window - 1 :]
+    least = np.where(inside, _spread(np.minimum, grams, window), grams.dtype.type(0))
+    # a gram is chosen where it is the least of some window: the greatest of their leasts is itself
+    edge = np.zeros(window - 1, grams.dtype)
+    pick = np.flatnonzero(_spread(np.maximum, np.concatenate([edge, least, edge]), window) == grams)
+    # of equal ones, a later one only if a window of its begins behind the earlier; a 0 may also be no window's
+    before = np.concatenate([[-window], pick[:-1]])
+    doubt = np.flatnonzero((grams[pick] == 0) | (pick - before < window) & (grams[before] == grams[pick]))
+    keep = np.ones(len(pick), bool)
+    for some in np.array_split(doubt, len(doubt) // (1 << 16) + 1):
+        i, p = pick[some, None], np.where(grams[before[some]] == grams[pick[some]], before[some], -1)[:, None]
+        j = i - np.arange(window)
+        at = np.clip(j, 0, n - 1)
+        keep[some] = ((j > p) & (j == at) & inside[at] & (least[at] == grams[i])).any(axis=1)
+    return pick[keep]
+
+
+def _chosen(part: pa.RecordBatch, min_words: int) -> tuple:
+    """(words, grams, offsets of each row's, chosen places) of a slice."""
+    w = split_words(column(part, "__text"))
+    grams, at = ngram_hashes(hash_ranges(w.data, w.start, w.end), w.rows, min_words)
+    pick = winnowed(grams, at)
+    same = np.zeros(len(grams), bool)
+    same[1:] = grams[1:] == grams[:-1]
+    if same.any():  # in a run of one repeated word all grams are equal: overlapping ones are enough
+        since = np.arange(len(grams)) - np.maximum.accumulate(np.where(same, 0, np.arange(len(grams))))
+        pick = pick[since[pick] % max(min_words // 2, 1) == 0]
+    return w, grams, at, pick
+
+
+def bare_grams(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """The column gram of `chosen_grams` alone: what counts them needs no places."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "__text"):
+                _, grams, _, pick = _chosen(part, min_words)
+                yield pa.RecordBatch.from_arrays([pa.array(grams[pick].view(np.int64))], names=["gram"])
+
+    bound_batches(docs.sparkSession)
+    return docs.select(F.col("text").cast("string").alias("__text")).mapInArrow(run, "gram bigint")
 
 
 def chosen_grams(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
@@ -157,14 +201,7 @@ def chosen_grams(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
             for part in slices(batch, "__text"):
                 data, offs = utf8(column(part, "__text"))
                 breaks = np.flatnonzero(data == 10)
-                w = split_words(column(part, "__text"))
-                grams, at = ngram_hashes(hash_ranges(w.data, w.start, w.end), w.rows, min_words)
-                pick = winnowed(grams, at)
-                # in a run of one repeated word all grams are equal: overlapping ones are enough
-                same = np.zeros(len(grams), bool)
-                same[1:] = grams[1:] == grams[:-1]
-                since = np.arange(len(grams)) - np.maximum.accumulate(np.where(same, 0, np.arange(len(grams))))
-                pick = pick[since[pick] % max(min_words // 2, 1) == 0]
+                w, grams, at, pick = _chosen(part, min_words)
                 row = np.searchsorted(at, pick, side="right") - 1
                 word = pick - at[row]
                 first = w.rows[row] + word
@@ -279,7 +316,7 @@ def _equal_runs(docs: DataFrame, lines: DataFrame, min_words: int) -> DataFrame:
     """
     release(docs.sparkSession)
     grams = chosen_grams(docs, min_words)
-    several = checkpoint(grams.groupBy("gram").agg(F.count("*").alias("places")).where("places > 1").select("gram"))
+    several = checkpoint(bare_grams(docs, min_words).groupBy("gram").agg(F.count("*").alias("places")).where("places > 1").select("gram"))
     # what goes with its line neither holds nor is removed again
     gone = lines.where("removed").groupBy(F.col("row").alias("__row")).agg(F.collect_set("paragraph").alias("__gone"))
     shared = grams.join(several, "gram").join(gone, F.col("row") == F.col("__row"), "left")

@@ -22,6 +22,7 @@ SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
+_LOWERED = LOWER.tobytes()
 
 _MULT = np.uint64(0x9E3779B97F4A7C15 | 1)
 _rng = np.random.Generator(np.random.PCG64(20240229))
@@ -104,8 +105,8 @@ class Words:
 def split_words(arr: pa.Array, lower: bool = True) -> Words:
     data, offsets = utf8(arr)
     if lower:
-        data = LOWER[data]
-    inside = ~SPACE[data]
+        data = np.frombuffer(data.tobytes().translate(_LOWERED), np.uint8)
+    inside = (data != 0x20) & (data - np.uint8(9) > 4)
     edge = inside.copy()
     edge[1:] &= ~inside[:-1]
     firsts = offsets[:-1][offsets[:-1] < len(data)]
@@ -124,8 +125,14 @@ def hash_ranges(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndar
     if len(start) == 0:
         return np.zeros(0, np.uint64)
     n = len(data)
-    total = np.zeros(n + 1, dtype=np.uint64)
-    np.cumsum(_BYTE[data] * _pow("up", n)[:n], dtype=np.uint64, out=total[1:])
+    total, up = np.zeros(n + 1, dtype=np.uint64), _pow("up", n)
+    block = np.empty(min(n, 1 << 16), dtype=np.uint64)  # stays in the cache
+    for at in range(0, n, 1 << 16):
+        to = min(at + (1 << 16), n)
+        x = np.take(_BYTE, data[at:to], out=block[: to - at], mode="clip")  # bytes are no index beyond it
+        x *= up[at:to]
+        x[:1] += total[at : at + 1]
+        np.cumsum(x, out=total[at + 1 : to + 1])
     raw = (total[end] - total[start]) * _pow("down", n + 1)[start]
     return mix64(raw + (end - start).astype(np.uint64) * _MULT)
 
@@ -143,10 +150,19 @@ def ngram_hashes(h: np.ndarray, rows: np.ndarray, n: int) -> tuple[np.ndarray, n
     if out_rows[-1] == 0:
         return np.zeros(0, np.uint64), out_rows
     pos = np.arange(out_rows[-1]) - np.repeat(out_rows[:-1] - rows[:-1], counts)
-    acc = np.zeros(len(pos), dtype=np.uint64)
-    for k in range(n):
-        acc = (acc * np.uint64(0xA0761D6478BD642F)) + h[pos + k]
-    return mix64(acc), out_rows
+    return mix64(_polynomials(h, n)[pos]), out_rows
+
+
+def _polynomials(h: np.ndarray, n: int, base: int = 0xA0761D6478BD642F) -> np.ndarray:
+    """Sum of h[i + k] * base**(n - 1 - k) modulo 2**64 for every i, from sums over 1, 2, 4 ... words."""
+    out, done, run, width = None, 0, np.asarray(h, np.uint64), 1
+    while True:
+        if n & width:
+            out = run if out is None else out[: len(h) - done - width + 1] * np.uint64(pow(base, width, 2**64)) + run[done:]
+            done += width
+        if done == n:
+            return out
+        run, width = run[:-width] * np.uint64(pow(base, width, 2**64)) + run[width:], 2 * width
 
 
 def shingle_sets(h: np.ndarray, rows: np.ndarray, n: int = 5) -> tuple[np.ndarray, np.ndarray]:

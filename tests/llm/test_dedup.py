@@ -363,3 +363,54 @@ def test_components_free_their_files(spark):
     out = connected_components(spark.range(2000).selectExpr("id as a", "id + 1 as b"))
     left = disk.getAllFiles().size() - before
     assert out.select("comp").distinct().count() == 1 and left < 20, left
+
+
+def test_components_of_several_tasks(spark, monkeypatch):
+    """Edges that more than one task contracts: rounds over the stars, against a search."""
+    from buildlens.llm import components
+
+    monkeypatch.setattr(components, "EDGES_A_TASK", 16)
+    rng = random.Random(11)
+    edges = [(k, k + 1) for k in range(1000, 1100)] + [(rng.randrange(120), rng.randrange(120)) for _ in range(70)] + [(5, 5), (7, 3), (None, 2)]
+    near: dict = {}
+    for a, b in edges[:-1]:
+        near.setdefault(a, set()).add(b)
+        near.setdefault(b, set()).add(a)
+    want: dict = {}
+    for k in sorted(near):
+        todo = [] if k in want else [k]
+        while todo:
+            if (x := todo.pop()) not in want:
+                want[x] = k
+                todo += near[x]
+    got = connected_components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()
+    assert {r["id"]: r["comp"] for r in got} == want and len(got) == len(want)
+
+
+def test_few_edges_take_few_stages(spark):
+    """A long path that fits a task takes no rounds of joins, each of which is a task a partition."""
+    context = spark.sparkContext
+    context.setJobGroup("few-edges", "components")
+    try:
+        assert connected_components(spark.range(2000).selectExpr("id as a", "id + 1 as b")).select("comp").distinct().count() == 1
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+    tracker = context.statusTracker()
+    stages = {s for j in tracker.getJobIdsForGroup("few-edges") for s in tracker.getJobInfo(j).stageIds}
+    assert 0 < len(stages) < 12, len(stages)
+
+
+def test_winnowed_and_bare_grams(spark):
+    """The least of every window, the first of equals, against a loop; the grams that are counted are those that have places."""
+    from buildlens.llm.substring_dedup import bare_grams, chosen_grams, winnowed
+
+    rng = np.random.default_rng(6)
+    for n, kinds, window in ((0, 3, 4), (40, 1, 5), (60, 2, 7), (90, 4, 31), (200, 9, 6), (300, 10**6, 31)):
+        grams = rng.integers(0, kinds, n).astype(np.uint64)
+        rows = np.concatenate([[0], np.sort(rng.integers(0, n + 1, 3)), [n]])
+        want = {j + int(np.argmin(grams[j : j + window])) for a, b in zip(rows[:-1], rows[1:]) for j in range(a, b - window + 1)}
+        assert winnowed(grams, rows, window).tolist() == sorted(want)
+    words_ = [" ".join(rng.choice(["a", "b", "c"], 300 if k % 2 else 90)) for k in range(8)] + ["x " * 400, "", None]
+    docs = spark.createDataFrame(list(enumerate(words_)), "doc_id bigint, text string")
+    grams = sorted(r[0] for r in bare_grams(docs, 5).collect())
+    assert grams and grams == sorted(r["gram"] for r in chosen_grams(docs, 5).collect())
