@@ -216,16 +216,38 @@ def chosen_grams(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     return _keyed(docs).mapInArrow(run, "doc_id bigint, row bigint, word bigint, line int, last_line int, gram bigint")
 
 
+def short_bytes(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes, offsets) of whole numbers below 2^35, seven bits a byte, lowest first; a number's last byte is under 128."""
+    size = 1 + sum((values >= 1 << 7 * k).astype(np.int64) for k in range(1, 5))
+    upto = np.concatenate([[0], np.cumsum(size)])
+    out = np.zeros(upto[-1], np.uint8)
+    for k in range(size.max(initial=0)):
+        has = size > k
+        out[upto[:-1][has] + k] = values[has] >> 7 * k & 127 | (size[has] > k + 1) << 7
+    return out, upto
+
+
+def short_values(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The inverse of short_bytes: (values, offsets of the cells counted in values)."""
+    last = np.flatnonzero(data < 128)
+    first = np.concatenate([[0], last[:-1] + 1])[: len(last)]
+    part = (data & 127).astype(np.int64) << 7 * (np.arange(len(data)) - np.repeat(first, last + 1 - first))
+    return np.add.reduceat(part, first) if len(first) else part, np.searchsorted(last, offs)
+
+
 def _word_runs(docs: DataFrame, wanted: DataFrame, part: int, parts: int) -> DataFrame:
-    """(row, begin, end, first, words, places) of wanted word ranges of one part of all texts.
+    """(row, begin, end, of, shift, doc_id, first, start, words, places) of wanted word ranges of one part of all texts.
 
-    `wanted` has row, begin, end, which may go beyond the text; `first` is where the range begins in
-    it.  `words` has a 64-bit hash of each word, A-Z as a-z, `places` its first and last bytes.
+    `wanted` has row, begin, end, which may go beyond the text, and what else tells its rows apart:
+    of and shift.  `first` is where the range begins in the text, in words, and `start` in bytes.
+    `words` has a 64-bit hash of each word, A-Z as a-z, `places` the steps from `start` to its first
+    byte, its end, the next word's first byte and so on: mostly two bytes a word.  Texts that repeat
+    give their ranges again.
     """
     mine = F.pmod(F.col("row"), F.lit(parts)) == part
-    spans = wanted.where(mine).distinct().groupBy(F.col("row").alias("__row")).agg(F.collect_list(F.struct("begin", "end")).alias("spans"))
-    rows = _keyed(docs).where(mine).join(spans, F.col("row") == F.col("__row")).select("row", "__text", "spans")
-    names = ["row", "begin", "end", "first", "words", "places"]
+    spans = wanted.where(mine).groupBy(F.col("row").alias("__row")).agg(F.collect_list(F.struct("begin", "end", "of", "shift")).alias("spans"))
+    rows = _keyed(docs).where(mine).join(spans, F.col("row") == F.col("__row")).select("row", "doc_id", "__text", "spans")
+    names = ["row", "begin", "end", "of", "shift", "doc_id", "first", "start", "words", "places"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -241,13 +263,20 @@ def _word_runs(docs: DataFrame, wanted: DataFrame, part: int, parts: int) -> Dat
                 size = np.maximum(np.minimum(w.rows[row] + end, w.rows[row + 1]) - w.rows[row] - first, 0)
                 upto = np.concatenate([[0], np.cumsum(size)])
                 at = np.arange(upto[-1]) + np.repeat(w.rows[row] + first - upto[:-1], size)
-                base = np.repeat(offs[row], size)
-                places = np.column_stack([w.start[at] - base, w.end[at] - base]).astype(np.uint32)
-                cells = [list_binary(h[at], upto), list_binary(places.ravel(), 2 * upto)]
-                yield pa.RecordBatch.from_arrays([column(part, "row").take(pa.array(row)), pa.array(begin), pa.array(end), pa.array(first), *cells], names=names)
+                some = size > 0
+                start = np.zeros(len(size), np.int64)
+                start[some] = w.start[at[upto[:-1][some]]]
+                steps = np.diff(np.column_stack([w.start[at], w.end[at]]).ravel(), prepend=0)
+                steps[2 * upto[:-1][some]] = 0
+                coded, cut = short_bytes(steps)
+                start[some] -= offs[row[some]]
+                cells = [pa.array(start), list_binary(h[at], upto), list_binary(coded, cut[2 * upto])]
+                who = pa.array(row)
+                yield pa.RecordBatch.from_arrays(
+                    [column(part, "row").take(who), pa.array(begin), pa.array(end), flat.field("of"), flat.field("shift"), column(part, "doc_id").take(who), pa.array(first), *cells], names=names
+                )
 
-    got = rows.mapInArrow(run, "row bigint, begin bigint, end bigint, first bigint, words binary, places binary")
-    return got.groupBy("row", "begin", "end").agg(*[F.first(c).alias(c) for c in names[3:]])  # rows that repeat are equal
+    return rows.mapInArrow(run, "row bigint, begin bigint, end bigint, of bigint, shift bigint, doc_id bigint, first bigint, start bigint, words binary, places binary")
 
 
 def equal_stretches(same: np.ndarray, rows: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -286,11 +315,14 @@ def _compared(min_words: int):
             at = [np.arange(rows[-1]) + np.repeat(offs[:-1] + more - rows[:-1], size) for (_, offs), more in zip((own, held), skip)]
             r, x, y = equal_stretches(own[0][at[0]] == held[0][at[1]], rows, min_words)
             out = []
-            for of, doc, first, raw, index, more in (("row", "doc_id", "first", "places", at[0], skip[0]), ("of", "of_doc_id", "of_first", "of_places", at[1], skip[1])):
-                places = binary_values(column(batch, raw), np.uint32)[0].reshape(-1, 2).astype(np.int64)
-                begin = take(first)[r] + more[r]
+            for side, (row, doc), index, more in (("", ("row", "doc_id"), at[0], skip[0]), ("of_", ("of", "of_doc_id"), at[1], skip[1])):
+                steps, cell = short_values(*binary_values(column(batch, side + "places"), np.uint8))
+                gone = np.concatenate([[0], np.cumsum(steps)])
+                base = take(side + "start")[r] - gone[cell[r]]
+                first_byte, last_byte = (base + gone[2 * index[rows[r] + i] + k] for i, k in ((x, 1), (y - 1, 2)))
+                begin = take(side + "first")[r] + more[r]
                 who = pa.array(r)
-                out += [column(batch, of).take(who), column(batch, doc).take(who), pa.array(begin + x), pa.array(begin + y), pa.array(places[index[rows[r] + x], 0]), pa.array(places[index[rows[r] + y - 1], 1])]
+                out += [column(batch, row).take(who), column(batch, doc).take(who), pa.array(begin + x), pa.array(begin + y), pa.array(first_byte), pa.array(last_byte)]
             yield pa.RecordBatch.from_arrays(out, names=names)
 
     return run
@@ -328,23 +360,29 @@ def _equal_runs(docs: DataFrame, lines: DataFrame, min_words: int) -> DataFrame:
     held = checkpoint(shared.groupBy("gram").agg(F.min(place).alias("first"), F.count("*").alias("places")).where("places > 1").select("gram", "first"))
     release(docs.sparkSession)
     later = shared.join(held, "gram").where((F.col("row") != F.col("first.row")) | (F.col("word") != F.col("first.word")))
-    later = later.select("doc_id", "row", "word", F.col("first.doc_id").alias("of_doc_id"), F.col("first.row").alias("of"), (F.col("word") - F.col("first.word")).alias("shift"))
+    later = later.select("row", "word", F.col("first.row").alias("of"), (F.col("word") - F.col("first.word")).alias("shift"))
     order = Window.partitionBy("row", "of", "shift").orderBy("word")
     begins = F.coalesce(F.col("word") - F.lag("word").over(order) > WINDOW, F.lit(True)).cast("int")
     runs = later.withColumn("__new", begins).withColumn("__run", F.sum("__new").over(order)).groupBy("row", "of", "shift", "__run")
-    runs = runs.agg(F.first("doc_id").alias("doc_id"), F.first("of_doc_id").alias("of_doc_id"), (F.min("word") - WINDOW + 1).alias("begin"), (F.max("word") + min_words + WINDOW - 1).alias("end"))
-    runs = checkpoint(runs.drop("__run"))
+    runs = runs.agg((F.min("word") - WINDOW + 1).alias("begin"), (F.max("word") + min_words + WINDOW - 1).alias("end"))
+    runs = checkpoint(runs.select("row", "begin", "end", "of", "shift"))
     del several, shared, held, later  # their files go with them
-    wanted = runs.select("row", "begin", "end").union(runs.select("of", F.col("begin") - F.col("shift"), F.col("end") - F.col("shift")))
+    # a run's words come with what it is to be compared with, so that only holders' ranges, of which many runs share one, are joined to them
+    none = F.lit(None).cast("bigint")
+    ranges = runs.select(F.col("of").alias("row"), F.col("begin") - F.col("shift"), F.col("end") - F.col("shift"), none, none)
+    wanted = runs.union(ranges.distinct())
     parts = []
     for k in range(FETCHES):
         parts.append(checkpoint(_word_runs(docs, wanted, k, FETCHES)))
         release(docs.sparkSession)
     words = reduce(DataFrame.union, parts)
-    other = words.select(F.col("row").alias("of"), F.col("begin").alias("of_begin"), F.col("end").alias("of_end"), F.col("first").alias("of_first"), F.col("words").alias("of_words"), F.col("places").alias("of_places"))
-    both = runs.join(words, ["row", "begin", "end"]).withColumn("of_begin", F.col("begin") - F.col("shift")).withColumn("of_end", F.col("end") - F.col("shift")).join(other, ["of", "of_begin", "of_end"])
-    pairs = checkpoint(both.mapInArrow(_compared(min_words), _PAIRS))
-    del runs, wanted, parts, words, other, both
+    key = {"row": "of", "begin": "of_begin", "end": "of_end"}
+    value = ["doc_id", "first", "start", "words", "places"]
+    # written first, as above; rows that repeat are equal
+    other = checkpoint(words.where("of is null").groupBy(*[F.col(c).alias(k) for c, k in key.items()]).agg(*[F.first(c).alias(f"of_{c}") for c in value]))
+    own = words.where("of is not null").withColumn("of_begin", F.col("begin") - F.col("shift")).withColumn("of_end", F.col("end") - F.col("shift"))
+    pairs = checkpoint(own.join(other, list(key.values())).mapInArrow(_compared(min_words), _PAIRS))
+    del runs, ranges, wanted, parts, words, other, own
     release(docs.sparkSession)
     return _passages(pairs)
 

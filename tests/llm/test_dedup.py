@@ -414,3 +414,41 @@ def test_winnowed_and_bare_grams(spark):
     docs = spark.createDataFrame(list(enumerate(words_)), "doc_id bigint, text string")
     grams = sorted(r[0] for r in bare_grams(docs, 5).collect())
     assert grams and grams == sorted(r["gram"] for r in chosen_grams(docs, 5).collect())
+
+
+def test_short_bytes():
+    """Numbers of any size there and back, cell by cell; steps between words mostly take a byte."""
+    from buildlens.llm.substring_dedup import short_bytes, short_values
+
+    rng = np.random.default_rng(3)
+    for n in (0, 1, 500):
+        values = np.array([rng.integers(1 << rng.integers(36)) for _ in range(n)], np.int64)
+        cells = np.sort(np.concatenate([[0, 0, n], rng.integers(0, n + 1, 5)]))
+        data, upto = short_bytes(values)
+        got, at = short_values(data, upto[cells])
+        assert got.tolist() == values.tolist() and at.tolist() == cells.tolist()
+    assert len(short_bytes(np.array([0, 1, 127, 128, 1 << 35 - 1]))[0]) == 1 + 1 + 1 + 2 + 5
+
+
+def test_words_of_runs_are_shuffled_once(spark):
+    """Texts that repeat one passage: their words go to its holder once, in few bytes, and not again as if they held it."""
+    rng = random.Random(4)
+    fresh = iter(range(10**6))
+    word = lambda: f"{'w' * rng.randrange(12)}{next(fresh)}"
+    passage = " ".join(word() for _ in range(90))
+    some = lambda: " ".join(word() for _ in range(40))
+    texts = {k: f"{some()} {passage}  {some()}" for k in range(600)} | {600: "\u00e9" * 200 + " " + "x" * 40_000 + f" {passage.upper()} \u00df"}
+    context = spark.sparkContext
+    context.setJobGroup("words-once", "runs")
+    try:
+        found = repeated_passages(spark.createDataFrame(list(texts.items()), DOC)).collect()
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+    assert len({r["doc_id"] for r in found if r["removed"]}) == sum(r["removed"] for r in found) == 600
+    for r in found:
+        mine = texts[r["doc_id"]].encode()[r["start_byte"] : r["end_byte"]].decode().lower()
+        assert mine in passage and len(mine.split()) == r["n_words"] >= 20
+    tracker, store = context.statusTracker(), context._jsc.sc().statusStore()
+    stages = {s for j in tracker.getJobIdsForGroup("words-once") for s in tracker.getJobInfo(j).stageIds}
+    moved = sum(store.lastStageAttempt(s).shuffleWriteBytes() for s in stages if tracker.getStageInfo(s))
+    assert 0 < moved < 4_500_000, moved
