@@ -1,10 +1,11 @@
+import os
 import random
 import re
 
 import pytest
 from pyspark.sql import functions as F
 
-from buildlens.operators import brackets, forest, profile
+from buildlens.operators import brackets, forest, profile, shared
 from buildlens.plans.report import metadata_text, report
 from buildlens.plans.trace import Traces, described
 
@@ -75,6 +76,40 @@ def test_one_trace_goes_to_all_chunks(spark):
     assert brackets.nest_in_chunks(frame.limit(0), 4).count() == 0
 
 
+def folder_size(path):
+    return sum(os.path.getsize(os.path.join(d, f)) for d, _, files in os.walk(path) for f in files)
+
+
+def test_one_trace_takes_little_disk(spark):
+    """A trace is written once, packed, not span by span and with both its ends."""
+    folder = spark.sparkContext.getCheckpointDir() or shared.shared_folder(spark)
+    hundredth = "id % 100 = 99"
+    spans = spark.range(60_000).selectExpr("'one' trace_id", "cast(id as int) pos", f"cast(if({hundredth}, id - 99, id) as double) start", f"cast(if({hundredth}, 100, 1) as double) duration")
+    before = folder_size(folder.removeprefix("file:"))
+    nested = brackets.nest_in_chunks(spans, 6)
+    assert nested.count() == 60_000
+    assert 0 < folder_size(folder.removeprefix("file:")) - before < 30 * 60_000
+
+
+@pytest.mark.parametrize("most", [1, 3, 50])
+def test_blocks_against_windows(spark, monkeypatch, most):
+    """Blocks of few spans: chains open over many of them, ends of traces within, overlaps, spans that come without numbers."""
+    monkeypatch.setattr(brackets, "BLOCK_ROWS", most)
+    rng = random.Random(most)
+    traces = {f"t{k}": random_spans(rng, 0, rng.choice([3, 20, 60]), 4) for k in range(25)}
+    traces["deep"] = [(float(300 - k // 2), float(k)) for k in range(200)]
+    bad = {f"t{k}": sorted(((float(s), float(rng.randint(0, 5))) for s in (rng.randint(0, 9) for _ in range(12))), key=lambda x: x[0] + x[1]) for k in range(90, 110)}
+    rows = [(t, p, s, d) for t, spans in {**traces, **bad}.items() for p, (s, d) in enumerate(spans)]
+    frame = spark.createDataFrame(rows, SPANS)
+    got, want = brackets.nest_in_chunks(frame, 3), forest.nest(frame)
+    assert got.count() == len(rows) and {r[0] for r in forest.overlapping_traces(got).collect()} == {r[0] for r in forest.overlapping_traces(want).collect()} != set()
+    columns = ["trace_id", "pos", "start", "duration", "end", "depth", "first_pos", "parent_pos", "parent_duration", "n_descendants"]
+    told = lambda f: sorted(map(tuple, f.where(F.col("trace_id").isin(*traces)).select(*columns).collect()), key=lambda r: r[:2])
+    assert told(got) == told(want)
+    numbered = brackets.nest_in_chunks(frame.withColumnRenamed("pos", "nth"), 3, order=[F.col("start") + F.col("duration"), "nth"])
+    assert "nth" not in numbered.columns and told(numbered) == told(want)
+
+
 def test_overlaps_and_order(spark):
     rng = random.Random(5)
     rows, bad = [], set()
